@@ -1,7 +1,7 @@
 """Whole batches of texts as numpy arrays: word spans, rolling hashes and per-document sums.
 
 Every helper works on the UTF-8 bytes of an Arrow string column, so a batch costs a few array
-passes instead of a Python loop over words.  Batches are cut into pieces of a few megabytes
+passes instead of a Python loop over words.  Batches are cut into pieces of half a megabyte
 first, which bounds the memory of the temporary arrays; a longer single text is a piece alone.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _powers = {True: np.ones(1, np.uint64), False: np.ones(1, np.uint64)}

@@ -1,7 +1,7 @@
 """Line-first cleaning: rules per line, then a rule on what is left of the document.
 
-A line fails when it reads as navigation (several separators between its words), carries a
-boilerplate phrase, or does not end like a sentence.  Failing lines are removed; a document that
+A line fails when it reads as navigation (several separators between its words), is strewn with
+symbols, carries a boilerplate phrase, or neither ends like a sentence nor holds sentence ends.  Failing lines are removed; a document that
 loses more than ``LOSS`` of its word characters is rejected.  A few counts over the whole text go
 first: documents with few words or with many words in repeated windows are rejected at once.
 """
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from callboard.llm.arrays import LEAD, LOWER, WORD, Rolling, chained, owners, pieces, raw, spans, sums
+from callboard.llm.arrays import LEAD, LOWER, WORD, Rolling, chained, mixed, owners, pieces, raw, spans, sums
 
 LEAST_WORDS = 50
 #: A document is rejected when 100 times its repeated words are over this many times its words.
@@ -25,6 +25,11 @@ LOSS = 0.5
 #: A line with at least so many separator words, and one for every so many words, is navigation.
 SEPARATORS = 3
 SEPARATOR_EVERY = 6
+#: A line with at least so many symbols, and this share of its word characters, is strewn.
+SYMBOLS = 3
+SYMBOL_SHARE = 0.15
+#: A line that does not end like a sentence needs a sentence end for every so many words.
+SENTENCE_WORDS = 30
 #: Phrases of page furniture.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript",
@@ -39,6 +44,8 @@ LINE = np.ones(256, bool)
 LINE[0x0A] = False
 CLOSING = np.zeros(256, bool)
 CLOSING[list(b".!?\"':;)]}")] = True
+STOP = np.zeros(256, bool)
+STOP[list(b".!?")] = True
 #: Sentence ends beyond ASCII: ellipsis, closing quotes, guillemet, CJK stops.
 CLOSING_WIDE = tuple(c.encode() for c in "…”’»。！？")
 SEPARATOR_WORDS = tuple(c.encode() for c in ("|", "||", ">", ">>", "»", "·", "•", "/", "::", "*", "-", "–"))
@@ -52,8 +59,9 @@ def _repeated(hashes: np.ndarray, doc: np.ndarray, firsts: np.ndarray) -> np.nda
     window = chained(hashes, 3)
     inside = doc[:-2] == doc[2:]
     window, owner, at = window[inside], doc[:-2][inside], np.flatnonzero(inside)
-    order = np.lexsort((window, owner))
-    same = (window[order][1:] == window[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    key = mixed(window + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
     twice = np.zeros(len(order), bool)
     twice[1:] |= same
     twice[:-1] |= same
@@ -117,9 +125,14 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             for k, byte in enumerate(reversed(c)):
                 same &= data[last[fits] - k] == byte
             closed[fits[same]] = True
-    failed = worded & (navigation | boilerplate | ~closed)
+    if len(ends):
+        stops = np.concatenate([[0], np.cumsum(STOP[data[ends - 1]])])
+        closed |= (stops[high] - stops[low]) * SENTENCE_WORDS >= np.maximum(high - low, 1)
     c = np.concatenate([[0], np.cumsum(chars)])
     line_chars = c[high] - c[low]
+    n_symbols = symbols[l_ends] - symbols[l_starts]
+    strewn = (n_symbols >= SYMBOLS) & (n_symbols >= SYMBOL_SHARE * line_chars)
+    failed = worded & (navigation | strewn | boilerplate | ~closed)
     return {
         "n_words": np.diff(firsts), "word_chars": sums(chars, firsts), "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]],
         "n_dup_lines": sums(dup, l_firsts), "n_repeat_words": _repeated(hashes, doc, firsts), "lost_chars": sums(np.where(failed, line_chars, 0), l_firsts),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from callboard.llm import decontaminate, mixing, quality, secrets, sharding, simhash
+from callboard.llm import decontaminate, langid, mixing, quality, secrets, sharding, simhash, toxicity
 from callboard.llm.oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -30,6 +31,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _table(spark, sf_dir, "documents"), langid.held_out(4, 2)
+    field = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(docs, field).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = langid.held_out(5, 0)
+    found = langid.identify(docs, langid.train(docs, F.col("doc_id").isNotNull() & ~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=("doc_id",)))
 
@@ -38,4 +52,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_sharding, op4_quality_rules, op8_decontamination, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_sharding, op4_quality_rules, op5_toxicity, op6_language_id, op8_decontamination, op9_mixing)}

@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     the loop ends when no label moves.  Both directions of an edge are kept; a hub is reduced
     by map-side ``min`` and its side of the join can be split by the skew-join rule.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").checkpoint()
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
     loops = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()

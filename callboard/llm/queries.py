@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callboard.llm import decontaminate, langid, mixing, quality, secrets, sharding, simhash, toxicity
+from callboard.llm import decontaminate, langid, mixing, quality, repeats, secrets, sharding, simhash, toxicity
 from callboard.llm.oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -52,4 +52,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_sharding, op4_quality_rules, op5_toxicity, op6_language_id, op8_decontamination, op9_mixing)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_sharding, op4_quality_rules, op5_toxicity, op6_language_id, op8_decontamination, op9_mixing, op10_suffix_dedup)}

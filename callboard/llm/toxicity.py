@@ -154,7 +154,7 @@ def _seeds(hashed: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray
         seen = np.unique((doc.astype(np.int64) << 31) | hashed[k])
         known, at = np.unique(seen & ((1 << 31) - 1), return_inverse=True)
         bad, every = np.bincount(at, toxic[seen >> 31]), np.bincount(at)
-        least = max(SEED_DOCUMENTS, np.log(0.01 / max(len(known), 1)) / np.log(share), SEED_COVER * toxic.sum())
+        least = max(SEED_DOCUMENTS, np.log(0.5 / max(len(known), 1)) / np.log(share), SEED_COVER * toxic.sum())
         out |= np.isin(hashed[k], known[(bad >= least) & (bad >= SEED_SHARE * every)])
     return out & toxic[doc]
 

@@ -29,10 +29,56 @@ from callboard.operators.graph import connected_components
 SHINGLE_WORDS = 3
 BUDGET = 2
 #: Leaves under one node of the trie that one task walks.
-LEAVES = 2048
+LEAVES = 8192
+#: Leaves gathered for one walk, pairs of leaves that a walk may face, and pairs of leaves of one
+#: node pair that are compared at once.
+GATHERED = 1 << 15
+HELD = 1 << 21
+DIRECT = 64
 SEED = 42
 
 
+#: The primes of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
+
+
+def xxh64(line: bytes, low: np.ndarray, high: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every slice line[low:high], all slices at once; those of 32 bytes and more, which
+    the hash treats in another way, one by one."""
+    size = high - low
+    data = np.frombuffer(line + bytes(8), np.uint8)
+    eights = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1))
+    h = np.uint64(seed) + P5 + size.astype(np.uint64)
+    short = np.flatnonzero(size < 32)
+    for lane in range(3):
+        some = short[size[short] >= 8 * (lane + 1)]
+        if len(some):
+            k = _turned(np.ascontiguousarray(eights[low[some] + 8 * lane]).view("<u8").ravel() * P2, 31) * P1
+            h[some] = _turned(h[some] ^ k, 27) * P1 + P4
+    at = low + (size & ~7)
+    some = short[size[short] & 4 > 0]
+    if len(some):
+        k = np.ascontiguousarray(eights[at[some], :4]).view("<u4").ravel().astype(np.uint64) * P1
+        h[some] = _turned(h[some] ^ k, 23) * P2 + P3
+    at = at + (size & 4)
+    for byte in range(3):
+        some = short[size[short] & 3 > byte]
+        h[some] = _turned(h[some] ^ (data[at[some] + byte].astype(np.uint64) * P5), 11) * P1
+    h ^= h >> np.uint64(33)
+    h *= P2
+    h ^= h >> np.uint64(29)
+    h *= P3
+    h ^= h >> np.uint64(32)
+    long = np.flatnonzero(size >= 32)
+    digest = xxhash.xxh64_intdigest
+    h[long] = np.array([digest(line[a:b], seed) for a, b in zip(low[long].tolist(), high[long].tolist(), strict=True)], np.uint64)
+    return h
+
+
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of each text's word shingles, and the index of each text's first one."""
     starts, ends, firsts = spans(data, offsets, WORD)
@@ -43,9 +89,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_W
     owner = np.repeat(np.arange(len(sizes)), counts)
     low = firsts[:-1][owner] + np.arange(begins[-1]) - begins[:-1][owner]
     high = np.minimum(low + words, firsts[1:][owner]) - 1
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[a:b], SEED) for a, b in zip(places[low].tolist(), (places[high] + (ends - starts)[high]).tolist(), strict=True)]
-    return np.array(hashes, np.uint64), begins
+    return xxh64(line, places[low], places[high] + (ends - starts)[high]), begins
 
 
 def majority(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -85,22 +129,32 @@ def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: st
     return docs.select(*carry, text).mapInArrow(of, schema)
 
 
-def walk(left: np.ndarray, right: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j) whose sorted distinct leaves left[i], right[j] differ in ``budget`` bits or fewer.
+def walk(leaves: np.ndarray, roots: np.ndarray, budget: int) -> np.ndarray:
+    """All (i, j) under the root pairs whose leaves differ in ``budget`` bits or fewer.
 
-    Level by level, for all node pairs at once: a node is a range of leaves, split where its
-    next bit turns to one.
+    A node is a range of sorted leaves, and roots has rows (from, to, from, to).  All pairs go
+    down together, level by level: a range is split where its next bit turns to one, and a pair
+    whose turns differ gains a bit.  A pair with few leaves left is compared leaf by leaf.
     """
-    if not len(left) or not len(right):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.array([[0, len(left), 0, len(right), 0]])
-    for bit in range(63, -1, -1):
-        turn = np.uint64(1) << np.uint64(bit)
-        cut = []
-        for leaves, a, b in ((left, 0, 1), (right, 2, 3)):
-            ones = np.concatenate([[0], np.cumsum((leaves & turn) != 0)])
-            cut.append(pairs[:, b] - (ones[pairs[:, b]] - ones[pairs[:, a]]))
-        (l0, l1, r0, r1, bits), (lc, rc) = pairs.T, cut
+    pairs = np.concatenate([roots, np.zeros((len(roots), 1), np.int64)], axis=1)
+    found = []
+    for bit in range(63, -2, -1):
+        l0, l1, r0, r1, bits = pairs.T
+        few = (l1 - l0) * (r1 - r0) <= (DIRECT if bit >= 0 else 1 << 62)
+        if few.any():
+            a, b, c, d, _ = pairs[few].T
+            each = (b - a) * (d - c)
+            which = np.repeat(np.arange(len(each)), each)
+            k = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            i, j = a[which] + k // (d - c)[which], c[which] + k % (d - c)[which]
+            near = np.bitwise_count(leaves[i] ^ leaves[j]) <= budget
+            found.append(np.stack([i[near], j[near]], 1))
+            pairs = pairs[~few]
+            l0, l1, r0, r1, bits = pairs.T
+        if not len(pairs) or bit < 0:
+            break
+        ones = np.concatenate([[0], np.cumsum((leaves & (np.uint64(1) << np.uint64(bit))) != 0)])
+        lc, rc = l1 - (ones[l1] - ones[l0]), r1 - (ones[r1] - ones[r0])
         kids = np.concatenate(
             [
                 np.stack([l0, lc, r0, rc, bits], 1),
@@ -110,33 +164,48 @@ def walk(left: np.ndarray, right: np.ndarray, budget: int) -> tuple[np.ndarray,
             ]
         )
         pairs = kids[(kids[:, 4] <= budget) & (kids[:, 0] < kids[:, 1]) & (kids[:, 2] < kids[:, 3])]
-        if not len(pairs):
-            break
-    return pairs[:, 0], pairs[:, 2]
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def forest(left: np.ndarray, right: np.ndarray, budget: int) -> np.ndarray:
-    """Links (leaf, leaf) that connect just what the close pairs of the two nodes connect."""
-    same = left is right
-    nodes = left if same else np.concatenate([left, right])
-    found = []
-    for low in range(0, len(left), 256):  # bounds the pairs held at once in a dense group
-        i, j = walk(left[low : low + 256], right, budget)
-        i = i + low
-        found.append(np.stack([i, j], 1)[i < j] if same else np.stack([i, j + len(left)], 1))
-    pairs = np.concatenate(found)
-    label = np.arange(len(nodes))
+def _forest(nodes: int, pairs: np.ndarray) -> np.ndarray:
+    """At most one link per node, which connect just what the pairs connect."""
+    label = np.arange(nodes)
     while len(pairs):
         a, b = label[pairs[:, 0]], label[pairs[:, 1]]
-        if (a == b).all():
+        apart = a != b
+        if not apart.any():
             break
+        a, b = a[apart], b[apart]
         low = label.copy()
         np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
         while (low[low] != low).any():
             low = low[low]
         label = low[label]
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return np.stack([nodes[label[moved]], nodes[moved]], 1)
+    moved = np.flatnonzero(label != np.arange(nodes))
+    return np.stack([label[moved], moved], 1)
+
+
+def forest(groups: list[tuple[np.ndarray, np.ndarray | None]], budget: int) -> np.ndarray:
+    """Links (leaf, leaf) of a spanning forest of each group's close pairs.
+
+    A group is the leaves of one node, or of the two nodes of a pair.  Many groups are walked at
+    once, and a dense one in slices, so that a walk holds a bounded number of pairs.
+    """
+    arrays, roots, at = [], [], 0
+    for left, right in groups:
+        left = np.sort(left)
+        low, high = at, at + len(left)
+        arrays.append(left)
+        if right is not None:
+            arrays.append(np.sort(right))
+            low, high = high, high + len(right)
+        step = max(1, HELD // max(high - low, 1))
+        roots += [(a, min(a + step, at + len(left)), low, high) for a in range(at, at + len(left), step)]
+        at = high
+    leaves, roots = np.concatenate(arrays), np.array(roots)
+    load = np.cumsum((roots[:, 1] - roots[:, 0]) * (roots[:, 3] - roots[:, 2])) // HELD
+    links = [_forest(len(leaves), walk(leaves, part, budget)) for part in np.split(roots, np.flatnonzero(np.diff(load)) + 1)]
+    return leaves[_forest(len(leaves), np.concatenate(links))]
 
 
 def _rotate(column, by: int):
@@ -171,18 +240,21 @@ def links(fps: DataFrame, budget: int = BUDGET, leaves: int = LEAVES) -> DataFra
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            tries_of, lefts, others, turned_by = (batch.column(k) for k in range(4))
-            for k in range(batch.num_rows):
-                by = np.uint64(tries_of[k].as_py() * width)
-                left = np.sort(lefts[k].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                right = left if turned_by[k].as_py() == 0 else np.sort(others[k].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                found = forest(left, right, budget)
-                if len(found):
-                    out.append((found >> by) | (found << (np.uint64(64) - by)) if by else found)
-            if out:
-                both = np.concatenate(out).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["src", "dst"])
+            low = 0
+            while low < batch.num_rows:  # groups of about GATHERED leaves together
+                high, held = low, 0
+                by_trie: dict[int, list] = {}
+                while high < batch.num_rows and held < GATHERED:
+                    left = batch.column(1)[high].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    right = None if batch.column(3)[high].as_py() == 0 else batch.column(2)[high].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    by_trie.setdefault(batch.column(0)[high].as_py() * width, []).append((left, right))
+                    held += len(left) + (0 if right is None else len(right))
+                    high += 1
+                low = high
+                for by, groups in by_trie.items():
+                    found = forest(groups, budget)
+                    back = ((found >> np.uint64(by)) | (found << np.uint64(64 - by)) if by else found).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(back[:, 0])), pa.array(np.ascontiguousarray(back[:, 1]))], ["src", "dst"])
 
     return grouped.mapInArrow(met, "src long, dst long")
 

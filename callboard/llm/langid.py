@@ -47,7 +47,9 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray
     whether a text has a letter.  Texts are read as letters and single blanks between them."""
     places = np.concatenate([[0], np.cumsum(LEAD[data])])[offsets]
     codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    letters = np.where(codes < 1 << 16, _fold()[np.minimum(codes, 0xFFFF)], codes)
+    letters = _fold()[np.minimum(codes, 0xFFFF)]
+    for code in np.unique(codes[codes > 0xFFFF]):
+        letters[codes == code] = code if chr(code).isalpha() else 0x20
     solid = letters != 0x20
     # A run of blanks counts once; each text begins with a blank of its own.
     keep = solid.copy()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callboard.llm import decontaminate, langid, mixing, quality, repeats, secrets, sharding, simhash, toxicity
+from callboard.llm import decontaminate, langid, lm, mixing, quality, repeats, secrets, sharding, simhash, toxicity
 from callboard.llm.oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -44,6 +44,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_table(spark, sf_dir, "documents"), langid.held_out(7, 2))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=("doc_id",)))
 
@@ -56,4 +60,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_sharding, op4_quality_rules, op5_toxicity, op6_language_id, op8_decontamination, op9_mixing, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_sharding, op4_quality_rules, op5_toxicity, op6_language_id, op7_lm_scoring, op8_decontamination, op9_mixing, op10_suffix_dedup)}

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callboard.llm.arrays import LOWER, WORD, joined, pieces, raw, spans
@@ -275,3 +275,19 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, leaves: int = LEAVES,
     lows = linked.groupBy("component").agg(F.min("low").alias("class_low"))
     named = distinct.join(linked.join(lows, "component").select("fp", "class_low"), "fp", "left").select("fp", F.coalesce("class_low", "low").alias("component_id"))
     return rows.join(named, "fp").select(*carry, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The document with the smallest id of every class, with its own columns; among rows of one
+    id (or none) and class the one with the least text hash, and of equal rows just one.
+
+    Only ids, text hashes and classes are grouped.  The texts move once, to meet the kept keys.
+    """
+    key = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"), F.length("text"))
+    named = near_duplicates(docs.select("doc_id", "text", F.struct(*key).alias("__key")), budget, carry=("doc_id", "__key"))
+    # A null class stands for rows without ids; their fingerprint tells classes of one text apart.
+    kept = named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("fp")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("low"))
+    kept = kept.select(F.col("low.__key").alias("__kept")).distinct()
+    keyed = docs.withColumn("__key", F.struct(*key))
+    alone = keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi")
+    return alone.withColumn("__row", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(1)))).where("__row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

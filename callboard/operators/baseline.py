@@ -50,9 +50,10 @@ def funding_measures(programs: DataFrame) -> DataFrame:
 
 
 def quartiles(df: DataFrame, keys: list[str], value: str, digits: int = 2) -> DataFrame:
-    """Linear-interpolation quartiles per group, rounded half-even."""
+    """Linear-interpolation quartiles per group, rounded half-even; binary noise is rounded away
+    first, so that a tie in decimals is one."""
     got = df.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, QUARTILES))).alias("q"))
-    return got.select(*keys, "n", *(F.bround(F.col("q")[k], digits).alias(name) for k, name in enumerate(("q25", "median", "q75"))))
+    return got.select(*keys, "n", *(F.bround(F.round(F.col("q")[k], 6).cast("decimal(24,6)"), digits).cast("double").alias(name) for k, name in enumerate(("q25", "median", "q75"))))
 
 
 def deadline_metrics(programs: DataFrame, as_of: Column) -> DataFrame:

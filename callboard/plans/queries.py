@@ -20,7 +20,14 @@ AS_OF = F.lit(datetime(2024, 1, 25))
 
 
 def query(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+    """Registers a query.  Dates leave as text, which every client shows alike."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(Tables(spark, sf_dir))
+        days = {n: F.col(n).cast("string") for n, kind in df.dtypes if kind == "date"}
+        return df.withColumns(days) if days else df
+
+    QUERIES[f.__name__] = run
     return f
 
 

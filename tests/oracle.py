@@ -19,7 +19,7 @@ def connect(sf):
 
 
 def _cell(x):
-    if x is None or (isinstance(x, float) and math.isnan(x)) or x is pd.NaT:
+    if x is None or (isinstance(x, float) and math.isnan(x)) or x is pd.NaT or x is pd.NA:
         return "∅"
     if isinstance(x, bool) or type(x).__name__ == "bool_":
         return str(bool(x))

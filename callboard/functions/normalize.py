@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Query parameters that only track.
 TRACKING = r"^(utm_[^=]*|fbclid|gclid|yclid|mc_cid|mc_eid)(=|$)"
@@ -41,7 +42,7 @@ def dedup_url(url: Column) -> Column:
     return F.when(base.isNotNull(), F.concat(head, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """NFKC and full case folding."""
     import unicodedata

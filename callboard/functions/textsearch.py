@@ -69,7 +69,7 @@ def fuzzy(text: Column, query: str) -> tuple[Column, Column]:
 #: Endings that a light Russian stemmer takes off, the longest first.
 ENDINGS = (
     "иями", "ями", "ами", "ого", "его", "ому", "ему", "ыми", "ими", "иях", "ией", "ать", "ять", "ить", "ешь", "ете", "ут", "ют", "ах", "ях", "ов", "ев", "ей", "ой", "ий", "ый", "ая",
-    "яя", "ое", "ее", "ые", "ие", "ую", "юю", "ам", "ям", "ом", "ем", "ия", "ию", "ии", "а", "я", "о", "е", "ы", "и", "у", "ю", "ь", "й",
+    "яя", "ое", "ее", "ые", "ие", "ую", "юю", "ых", "их", "ам", "ям", "ом", "ем", "ия", "ию", "ии", "а", "я", "о", "е", "ы", "и", "у", "ю", "ь", "й",
 )
 
 

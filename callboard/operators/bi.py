@@ -203,7 +203,7 @@ def forecast(years: DataFrame) -> DataFrame:
     grown = years.withColumn("money_growth", growth("total")).withColumn("program_growth", growth("active"))
 
     def smooth(c: str) -> Column:
-        return F.coalesce(F.avg(F.greatest(F.lit(-0.5), F.least(F.lit(0.75), F.col(c)))), F.lit(0.0))
+        return F.coalesce(F.avg(F.when(F.col(c).isNotNull(), F.greatest(F.lit(-0.5), F.least(F.lit(0.75), F.col(c))))), F.lit(0.0))  # greatest and least skip nulls
 
     got = grown.agg(F.max("year").alias("latest"), F.max_by("total", "year").alias("total"), F.max_by("active", "year").alias("active"), smooth("money_growth").alias("mg"), smooth("program_growth").alias("pg"), F.count(F.lit(1)).alias("years"))
     return got.select(

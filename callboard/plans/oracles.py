@@ -153,7 +153,7 @@ SELECT lang, count(*) AS records, round(avg(floor((4 - a::INT - b::INT - c::INT
     + "SELECT month, n, n > 0 AND row_number() OVER (ORDER BY n DESC, month) <= 3 AS is_peak FROM m",
     "bi_year_roll": using(PROGRAMS, YEARS) + "SELECT * FROM years",
     "bi_forecast": using(PROGRAMS, YEARS, """g AS (SELECT *, CASE WHEN lag(total) OVER w > 0 THEN (total - lag(total) OVER w) / lag(total) OVER w END AS mg, CASE WHEN lag(active) OVER w > 0 THEN (active - lag(active) OVER w) / CAST(lag(active) OVER w AS DOUBLE) END AS pg
-  FROM years WINDOW w AS (ORDER BY year))""", """a AS (SELECT max(year) AS latest, arg_max(total, year) AS total, arg_max(active, year) AS active, coalesce(avg(greatest(-0.5, least(0.75, mg))), 0) AS mg, coalesce(avg(greatest(-0.5, least(0.75, pg))), 0) AS pg, count(*) AS years FROM g)""")
+  FROM years WINDOW w AS (ORDER BY year))""", """a AS (SELECT max(year) AS latest, arg_max(total, year) AS total, arg_max(active, year) AS active, coalesce(avg(CASE WHEN mg IS NOT NULL THEN greatest(-0.5, least(0.75, mg)) END), 0) AS mg, coalesce(avg(CASE WHEN pg IS NOT NULL THEN greatest(-0.5, least(0.75, pg)) END), 0) AS pg, count(*) AS years FROM g)""")
     + "SELECT CAST(latest + 1 AS INTEGER) AS year, round(mg, 9) AS money_growth, round(pg, 9) AS program_growth, CAST(greatest(0, floor(total * (1 + mg) + 0.5)) AS BIGINT) AS total, CAST(greatest(0, floor(active * (1 + pg) + 0.5)) AS BIGINT) AS active, years FROM a",
     "bi_growing_topics": using(PROGRAMS, THEMES) + """SELECT *, now - before AS gain FROM (SELECT slug AS topic, count(*) FILTER (launch_year = 2000) AS now, count(*) FILTER (launch_year = 1999) AS before FROM programs JOIN themes USING (program_id) GROUP BY 1)
   WHERE now > before ORDER BY gain DESC, topic LIMIT 5""",

@@ -15,8 +15,7 @@ from callboard.sources import pages
 from callboard.streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-TODAY = F.lit(date(1998, 6, 1))
-AS_OF = F.lit(datetime(2024, 1, 25))
+TODAY, AS_OF = date(1998, 6, 1), datetime(2024, 1, 25)
 
 
 def query(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -74,7 +73,7 @@ def source_counts(t: Tables) -> DataFrame:
 
 @query
 def nearest_deadlines(t: Tables) -> DataFrame:
-    return catalog.nearest_deadlines(t.programs(), TODAY, 5).select("program_id", "deadline_on")
+    return catalog.nearest_deadlines(t.programs(), F.lit(TODAY), 5).select("program_id", "deadline_on")
 
 
 @query
@@ -108,7 +107,7 @@ def baseline_funding_quantiles(t: Tables) -> DataFrame:
 
 @query
 def baseline_deadline_days(t: Tables) -> DataFrame:
-    return baseline.deadline_metrics(t.programs(), TODAY).withColumn("presence_share", F.round("presence_share", 12)).withColumn("upcoming_share", F.round("upcoming_share", 12))
+    return baseline.deadline_metrics(t.programs(), F.lit(TODAY)).withColumn("presence_share", F.round("presence_share", 12)).withColumn("upcoming_share", F.round("upcoming_share", 12))
 
 
 @query
@@ -254,7 +253,7 @@ def bi_filter(t: Tables) -> DataFrame:
         }
     )
     f = bi.BiFilter(region="ASIA", topic="ECONOMY", year=1998, amount_from=50_000, amount_to=400_000, period="activeNow")
-    return bi.filtered(rows, f, TODAY).select("program_id", "launch_year", "deadline_on")
+    return bi.filtered(rows, f, F.lit(TODAY)).select("program_id", "launch_year", "deadline_on")
 
 
 @query
@@ -336,7 +335,7 @@ def bi_growing_topics(t: Tables) -> DataFrame:
 def display_status(t: Tables) -> DataFrame:
     window = t.lineitem.groupBy(F.col("l_orderkey").alias("program_id")).agg(F.min("l_shipdate").cast("date").alias("open_from"), F.max("l_shipdate").cast("date").alias("open_to"), F.max("l_shipdate").cast("date").alias("latest_known"))
     rows = t.programs().select("program_id", F.when(F.col("source_status") == "P", "upcoming").alias("source_status")).join(window, "program_id", "left")
-    return rows.select("program_id", bi.display_status(TODAY).alias("status"))
+    return rows.select("program_id", bi.display_status(F.lit(TODAY)).alias("status"))
 
 
 @query
@@ -476,7 +475,7 @@ def unresolved_issues(t: Tables) -> DataFrame:
 
 @query
 def journal_prune(t: Tables) -> DataFrame:
-    return feed.unexpired(t.events, "ts", AS_OF, 14).select("event_id", "user_id")
+    return feed.unexpired(t.events, "ts", F.lit(AS_OF), 14).select("event_id", "user_id")
 
 
 @query

@@ -182,9 +182,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, f
     return df.select(*(f"`{c}`" for c in kept), "n_words", "hits", "items", "longest_match", n_hit.alias("n_hit"), ((n_hit > 0) & (fraction * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    return contamination(docs, benchmark, **options).where("not contaminated").select(*(f"`{c}`" for c in docs.columns))
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents that are not contaminated, with their own columns, whatever their names."""
+    bare = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    found = contamination(bare, benchmark, text=f"c{docs.columns.index(text)}", **options)
+    return found.where("not contaminated").select(*bare.columns).toDF(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

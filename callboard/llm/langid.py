@@ -135,7 +135,9 @@ def train(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, smoothing: fl
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The carried columns, ``lang_pred`` (``und`` for null and for texts without a letter) and
-    ``score``, the posterior probability (0 for ``und``).  Other columns are ignored."""
+    ``score``, the posterior probability (0 for ``und``).  Columns of these names give way; other columns are
+    ignored."""
+    carry = tuple(c for c in carry if c not in ("lang_pred", "score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

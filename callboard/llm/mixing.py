@@ -112,17 +112,17 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     taken whole, and once cut after the words that its source's budget still holds."""
     seed = options.get("seed", SEED)
     occurrence = W.Window.partitionBy("key").orderBy("size")
-    plan = mixed(docs, **options).where("taken > 0").select("key", "size", "taken").withColumn("turn", F.row_number().over(occurrence)).drop("size")
+    plan = mixed(docs, **options).where("taken > 0").withColumn("turn", F.row_number().over(occurrence)).select(F.col("key").alias("__same"), F.col("turn").alias("__nth"), F.col("taken").alias("__taken"))
     full = docs.select("*", _key(seed).alias("__key"))
     full = full.withColumn("__turn", F.row_number().over(W.Window.partitionBy("__key").orderBy(F.lit(1))))
-    both = full.join(plan, (F.col("__key") == F.col("key")) & (F.col("__turn") == F.col("turn")))
+    both = full.join(plan, (F.col("__key") == F.col("__same")) & (F.col("__turn") == F.col("__nth")))
     both = both.withColumn("__size", _size())
     copies = both.select(
         *(F.col(f"`{c}`") for c in docs.columns),
         F.explode(
             F.concat(
-                F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken") / F.col("__size")).cast("int")),
-                F.when(F.col("taken") % F.col("__size") > 0, F.array(F.col("taken") % F.col("__size"))).otherwise(F.array().cast("array<bigint>")),
+                F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("__taken") / F.col("__size")).cast("int")),
+                F.when(F.col("__taken") % F.col("__size") > 0, F.array(F.col("__taken") % F.col("__size"))).otherwise(F.array().cast("array<bigint>")),
             )
         ).alias("__cut"),
     )

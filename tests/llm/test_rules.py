@@ -82,7 +82,7 @@ def test_mixing_budgets(spark):
 
 def test_mixture_documents(spark):
     texts = [f" a{k} b{k}\nc{k}  d{k}" for k in range(50)] + ["same same"] * 4
-    docs = table(spark, texts, [*range(50), 7, 7, 7, 7], sources=["x", "y"] * 27)
+    docs = table(spark, texts, [*range(50), 7, 7, 7, 7], sources=["x", "y"] * 27).withColumnRenamed("lang", "key")
     plan = mixing.mixed(docs).agg(F.sum("taken")).first()[0]
     out = mixing.mixture(docs)
     assert out.columns == docs.columns

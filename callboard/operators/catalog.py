@@ -151,3 +151,23 @@ def program_details(programs: DataFrame, **children: DataFrame) -> DataFrame:
         nested = child.groupBy("program_id").agg(F.array_sort(F.collect_list(value)).alias(name))
         out = out.join(nested, "program_id", "left").withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
     return out
+
+
+def deadline_rank(deadline: Column, today: Column) -> Column:
+    """Days to a deadline that is not past, 10,000 and its age if it is, infinity without one."""
+    days = F.date_diff(deadline, today)
+    return F.when(deadline.isNull(), F.lit(float("inf"))).when(days >= 0, days.cast("double")).otherwise(F.lit(10_000.0) - days)
+
+
+def client_sorted(programs: DataFrame, sort: str, today: Column, relevance: Column | None = None) -> DataFrame:
+    """Programs by deadline rank, funding, newest, source or relevance; ids break ties."""
+    orders = {
+        "deadline": [deadline_rank(F.col("deadline_on"), today).asc()], "funding": [F.col("funding").desc_nulls_last()], "newest": [F.col("published_at").desc_nulls_last()],
+        "source": [F.col("source_key").asc()], "relevance": [(F.lit(0) if relevance is None else relevance).desc()],
+    }
+    return programs.orderBy(*orders[sort], "program_id")
+
+
+def options(programs: DataFrame, column: str, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct values of an array column for a choice list, without the hidden ones."""
+    return programs.select(F.explode(column).alias("option")).where(~F.col("option").isin(*hidden)).distinct() if hidden else programs.select(F.explode(column).alias("option")).distinct()

@@ -203,6 +203,25 @@ c AS (SELECT * FROM d WHERE id % 20 = 0), m AS (SELECT c.id AS c, d.id AS t, 0 A
   UNION ALL SELECT c.id, d.id, 1 FROM c JOIN d ON c.source = d.source AND c.url = d.url AND c.id <> d.id UNION ALL SELECT c.id, d.id, 2 FROM c JOIN d ON c.source <> d.source AND c.url = d.url
   UNION ALL SELECT c.id, d.id, 3 FROM c JOIN d ON c.title = d.title AND c.lang = d.lang AND c.deadline = d.deadline AND c.id <> d.id)
 SELECT c AS candidate_id, t AS target_id, CAST(min(r) AS INTEGER) AS level_rank, ['exact_external_id', 'exact_url', 'exact_origin_url', 'normalized_fields'][min(r) + 1] AS level FROM m GROUP BY ALL""",
+    "client_sort": using(PROGRAMS, "r AS (SELECT program_id, CAST(CASE WHEN deadline_on >= DATE '1998-06-01' THEN date_diff('day', DATE '1998-06-01', deadline_on) ELSE 10000 + date_diff('day', deadline_on, DATE '1998-06-01') END AS DOUBLE) AS rank FROM programs)")
+    + "SELECT * FROM r ORDER BY rank, program_id LIMIT 200",
+    "region_options": using(GEOGRAPHIES) + "SELECT DISTINCT slug AS option FROM geographies WHERE slug <> 'AFRICA'",
+    "publication_groups": "SELECT doc_id AS publication_id, min(doc_id) OVER (PARTITION BY md5(text)) AS group_id FROM documents",
+    "publication_folding": """WITH u AS (SELECT o_custkey AS g, 'u' || o_orderkey % 4 AS u, min((o_orderdate, o_orderkey)) AS seen FROM orders GROUP BY ALL)
+SELECT o_custkey AS group_id, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS title, arg_max(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_orderstatus <> 'P' AND o_orderkey % 3 > 0) AS funding,
+  (SELECT string_agg(u, ',' ORDER BY seen) FROM u WHERE g = o_custkey) AS urls, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS end_on, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'completed' ELSE 'open' END AS evidence, count(*) AS publications
+FROM orders GROUP BY o_custkey""",
+    "link_inventory": """WITH l AS (SELECT o_custkey AS key, CASE WHEN o_orderstatus = 'F' THEN 'https://a/' ELSE 'http://a/' END || o_orderkey % 10 AS url, o_orderpriority AS context FROM orders)
+SELECT key, arg_max(url, (starts_with(url, 'https'), -length(url), url)) AS url, array_to_string(list_sort(list(DISTINCT context)), '|') AS contexts, count(*) AS mentions FROM l GROUP BY 1""",
+    "resource_propagation": """WITH r AS (SELECT l_returnflag, bool_or(l_quantity > 45) OVER (PARTITION BY l_orderkey, l_returnflag) AS x FROM lineitem) SELECT l_returnflag AS group_key, x AS is_result, count(*) AS resources FROM r GROUP BY ALL""",
+    "application_windows": """WITH r AS (SELECT DISTINCT l_orderkey AS id, CAST(l_shipdate AS DATE) AS a, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) AS b FROM lineitem),
+m AS (SELECT *, coalesce(a <= lag(b) OVER (PARTITION BY id ORDER BY b, a), false) AS o FROM r), g AS (SELECT id, arg_max(a, b) AS a, max(b) AS b, count(*) AS n, bool_or(o) AND count(*) > 1 AS clash FROM m GROUP BY 1)
+SELECT id AS record_id, CAST(CASE WHEN NOT clash THEN a END AS VARCHAR) AS start_on, CAST(CASE WHEN NOT clash THEN b END AS VARCHAR) AS end_on, CASE WHEN n = 1 THEN 'single' WHEN clash THEN 'conflict' ELSE 'multiple_cycles' END AS outcome FROM g""",
+    "artifact_status": """WITH r AS (SELECT l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY 'part-' || l_partkey) AS n FROM lineitem)
+SELECT CASE WHEN p_size < 10 THEN 'captured' WHEN n <= 2 THEN 'deferred' ELSE 'reference_only' END AS status, count(*) AS links FROM r JOIN part ON p_partkey = l_partkey GROUP BY 1""",
+    "schedule_due": "SELECT event_id, event_type FROM events WHERE minute(ts) % 10 = 0 AND hour(ts) BETWEEN 6 AND 18 AND (day(ts) IN (1, 15) OR dayofweek(ts) BETWEEN 1 AND 5)",
+    "funding_labels": using(PROGRAMS) + r"""SELECT program_id, CASE value_kind WHEN 'unknown' THEN 'unknown' WHEN 'not_stated' THEN 'not stated' ELSE CASE value_kind WHEN 'minimum' THEN 'from ' WHEN 'maximum' THEN 'up to ' ELSE '' END
+  || regexp_replace(replace(format('{:,.2f}', CAST(funding AS DOUBLE)), ',', ' '), '\.00$', '') || ' USD' END AS label FROM programs""",
 }
 
 #: Dates are given as text, as the queries give them.

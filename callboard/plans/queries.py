@@ -8,8 +8,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callboard.functions import normalize, parse, textsearch
-from callboard.operators import baseline, bi, catalog, network, regional, resolve, review, snapshots, temporal
+from callboard.functions import labels, normalize, parse, schedule, textsearch
+from callboard.operators import baseline, bi, catalog, network, publications, regional, resolve, review, snapshots, temporal
 from callboard.plans.bindings import Tables
 from callboard.sources import pages
 from callboard.streaming import feed
@@ -499,3 +499,71 @@ def weekly_windows(t: Tables) -> DataFrame:
 def retry_backoff(t: Tables) -> DataFrame:
     attempts = t.events.where("event_type = 'error'").withColumn("attempt", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     return attempts.select("event_id", review.backoff_seconds(F.col("attempt").cast("double"), retry_after=F.col("value")).alias("wait"))
+
+
+@query
+def client_sort(t: Tables) -> DataFrame:
+    rows = catalog.client_sorted(t.programs(), "deadline", F.lit(TODAY)).limit(200)
+    return rows.select("program_id", catalog.deadline_rank(F.col("deadline_on"), F.lit(TODAY)).alias("rank"))
+
+
+@query
+def region_options(t: Tables) -> DataFrame:
+    return catalog.options(t.bi_programs(), "regions", ("AFRICA",))
+
+
+@query
+def publication_groups(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.col("doc_id").alias("publication_id"), F.md5("text").alias("key"))
+    links = rows.withColumn("src", F.lag("publication_id").over(Window.partitionBy("key").orderBy("publication_id"))).where("src is not null").select("src", F.col("publication_id").alias("dst"))
+    return publications.groups(rows, links)
+
+
+@query
+def publication_folding(t: Tables) -> DataFrame:
+    rows = t.orders.select(
+        F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("publication_id"), F.col("o_orderdate").alias("published_at"), F.when(F.col("o_orderstatus") == "P", "result").otherwise("launch").alias("kind"), F.col("o_orderpriority").alias("title"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")).alias("funding"), F.array(F.concat(F.lit("u"), F.col("o_orderkey") % 4)).alias("urls"), F.col("o_orderdate").cast("date").alias("end_on"),
+    )
+    return publications.folded(rows).withColumn("urls", F.array_join("urls", ","))
+
+
+@query
+def link_inventory(t: Tables) -> DataFrame:
+    rows = t.orders.select(F.col("o_custkey").alias("key"), F.concat(F.when(F.col("o_orderstatus") == "F", "https://a/").otherwise("http://a/"), F.col("o_orderkey") % 10).alias("url"), F.col("o_orderpriority").alias("context"))
+    return publications.link_inventory(rows).withColumn("contexts", F.array_join("contexts", "|"))
+
+
+@query
+def resource_propagation(t: Tables) -> DataFrame:
+    rows = t.lineitem.select(F.col("l_orderkey").alias("program_id"), F.col("l_returnflag").alias("group_key"), "l_linenumber", (F.col("l_quantity") > 45).alias("leads_to_winners"))
+    return publications.propagated(rows).groupBy("group_key", "is_result").agg(F.count(F.lit(1)).alias("resources"))
+
+
+@query
+def application_windows(t: Tables) -> DataFrame:
+    rows = t.lineitem.select(F.col("l_orderkey").alias("record_id"), F.lit("application").alias("kind"), F.col("l_shipdate").cast("date").alias("start_on"), F.date_add(F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int")).alias("end_on"))
+    return publications.application_window(rows)
+
+
+@query
+def artifact_status(t: Tables) -> DataFrame:
+    parents = t.lineitem.groupBy(F.col("l_orderkey").alias("record_id")).agg(F.array_sort(F.collect_list(F.concat(F.lit("part-"), "l_partkey"))).alias("artifact_urls"))
+    files = t.part.where("p_size < 10").select(F.concat(F.lit("part-"), "p_partkey").alias("url"), F.md5("p_name").alias("sha256"))
+    return publications.attached(parents, files, 2).groupBy("status").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query
+def schedule_due(t: Tables) -> DataFrame:
+    return t.events.where(schedule.due("*/10 6-18 1,15 * 1-5", F.col("ts"))).select("event_id", "event_type")
+
+
+@query
+def public_content(t: Tables) -> DataFrame:
+    got = t.documents.select(labels.has_contact(F.col("text")).alias("has_contact"), labels.resource_kind(F.col("source"), F.col("source")).alias("kind"), "lang")
+    return got.groupBy("lang", "has_contact", "kind").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query
+def funding_labels(t: Tables) -> DataFrame:
+    return t.programs().select("program_id", labels.funding_label().alias("label"))

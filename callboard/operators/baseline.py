@@ -33,6 +33,24 @@ def source_shares(sources: DataFrame, programs: DataFrame) -> DataFrame:
     return rows.withColumn("total", F.sum("n").over(whole)).withColumn("share", ratio(F.col("n"), F.col("total")))
 
 
+def repeated_programs(programs: DataFrame) -> DataFrame:
+    """(program_id, n) of ids that occur more than once; a roster must give none."""
+    return programs.groupBy("program_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def source_summary(sources: DataFrame, programs: DataFrame, value: str = "funding", digits: int = 2) -> DataFrame:
+    """``source_shares`` and the quartiles of a value in one pass over a roster of distinct ids."""
+    got = programs.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("n_numeric"), F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, QUARTILES))).alias("q"))
+    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = sources.select("source_key").join(got, "source_key", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("total", F.sum("n").over(whole))
+    return rows.select("source_key", "n", ratio(F.col("n"), F.col("total")).alias("share"), "n_numeric", *(_half_even(F.col("q")[k], digits).alias(name) for k, name in enumerate(("q25", "median", "q75"))))
+
+
+def _half_even(x: Column, digits: int) -> Column:
+    """Rounded half-even, after binary noise is rounded away, so that a tie in decimals is one."""
+    return F.bround(F.round(x, 6).cast("decimal(24,6)"), digits).cast("double")
+
+
 def funding_states(programs: DataFrame) -> DataFrame:
     """Programs in each funding state, its share, and whether the state has a number or a record."""
     state = F.coalesce("value_kind", F.lit(MISSING))
@@ -50,10 +68,9 @@ def funding_measures(programs: DataFrame) -> DataFrame:
 
 
 def quartiles(df: DataFrame, keys: list[str], value: str, digits: int = 2) -> DataFrame:
-    """Linear-interpolation quartiles per group, rounded half-even; binary noise is rounded away
-    first, so that a tie in decimals is one."""
+    """Linear-interpolation quartiles per group, rounded half-even."""
     got = df.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, QUARTILES))).alias("q"))
-    return got.select(*keys, "n", *(F.bround(F.round(F.col("q")[k], 6).cast("decimal(24,6)"), digits).cast("double").alias(name) for k, name in enumerate(("q25", "median", "q75"))))
+    return got.select(*keys, "n", *(_half_even(F.col("q")[k], digits).alias(name) for k, name in enumerate(("q25", "median", "q75"))))
 
 
 def deadline_metrics(programs: DataFrame, as_of: Column) -> DataFrame:

@@ -6,7 +6,7 @@ denominator: all programs, labelled programs, or either without one source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callboard.operators.baseline import ratio
@@ -45,12 +45,11 @@ def leave_one_out(programs: DataFrame, links: DataFrame) -> DataFrame:
 
     One row per category and source; programs belong to one source, so counts subtract.
     """
-    per = by_source(programs, links)
-    categories = per.groupBy("slug").agg(F.sum("n").alias("n_all"))
-    sizes = programs.groupBy("source_key").agg(F.count_distinct("program_id").alias("size"))
-    total = programs.agg(F.count_distinct("program_id").alias("total"))
+    pair = F.struct("source_key", "n")
+    categories = by_source(programs, links).groupBy("slug").agg(F.sum("n").alias("n_all"), F.map_from_entries(F.collect_list(pair)).alias("by_source"))
+    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = programs.groupBy("source_key").agg(F.count_distinct("program_id").alias("size")).withColumn("total", F.sum("size").over(whole))
     # Categories and sources are dictionaries, and the result itself has a row for each pair.
-    grid = categories.join(sizes).join(total)
-    rows = grid.join(per.withColumnRenamed("n", "n_source"), ["slug", "source_key"], "left")
-    left, rest = F.col("n_all") - F.coalesce("n_source", F.lit(0)), F.col("total") - F.col("size")
+    rows = categories.join(sizes)
+    left, rest = F.col("n_all") - F.coalesce(F.col("by_source")[F.col("source_key")], F.lit(0)), F.col("total") - F.col("size")
     return rows.select("slug", "source_key", left.alias("n_without"), rest.alias("total_without"), F.bround(ratio(left, rest), 12).alias("share_without"))

@@ -222,6 +222,24 @@ SELECT CASE WHEN p_size < 10 THEN 'captured' WHEN n <= 2 THEN 'deferred' ELSE 'r
     "schedule_due": "SELECT event_id, event_type FROM events WHERE minute(ts) % 10 = 0 AND hour(ts) BETWEEN 6 AND 18 AND (day(ts) IN (1, 15) OR dayofweek(ts) BETWEEN 1 AND 5)",
     "funding_labels": using(PROGRAMS) + r"""SELECT program_id, CASE value_kind WHEN 'unknown' THEN 'unknown' WHEN 'not_stated' THEN 'not stated' ELSE CASE value_kind WHEN 'minimum' THEN 'from ' WHEN 'maximum' THEN 'up to ' ELSE '' END
   || regexp_replace(replace(format('{:,.2f}', CAST(funding AS DOUBLE)), ',', ' '), '\.00$', '') || ' USD' END AS label FROM programs""",
+    "baseline_metrics": using(PROGRAMS, "t AS (SELECT count(*) AS n, count(value_kind) AS records, count(funding) AS numeric FROM programs)", """
+  s AS (SELECT n_name AS k, count(program_id) AS n FROM nation LEFT JOIN programs ON source_key = n_name GROUP BY 1)""", f"""
+  f AS (SELECT 'funding.quantile.USD.' || value_kind || '.' || CASE value_kind WHEN 'exact' THEN 'exact' WHEN 'minimum' THEN 'min' ELSE 'max' END AS k, count(*) AS n,
+    {quartile('funding', 0.25)} AS a, {quartile('funding', 0.5)} AS b, {quartile('funding', 0.75)} AS c FROM programs WHERE funding IS NOT NULL GROUP BY value_kind)""", f"""
+  d AS (SELECT count(*) AS total, count(*) FILTER (deadline_on >= DATE '1998-06-01') AS up, count(*) FILTER (deadline_on < DATE '1998-06-01') AS late, count(deadline_on) AS present,
+    {quartile("CASE WHEN deadline_on >= DATE '1998-06-01' THEN date_diff('day', DATE '1998-06-01', deadline_on) END", 0.25, None)} AS a, {quartile("CASE WHEN deadline_on >= DATE '1998-06-01' THEN date_diff('day', DATE '1998-06-01', deadline_on) END", 0.5, None)} AS b,
+    {quartile("CASE WHEN deadline_on >= DATE '1998-06-01' THEN date_diff('day', DATE '1998-06-01', deadline_on) END", 0.75, None)} AS c FROM programs)""", """
+  x AS (SELECT n_name AS k, count(event_id) AS n, coalesce(max(CASE WHEN event_type NOT IN ('error', 'view') THEN 1 ELSE 0 END), 0) AS ok FROM nation LEFT JOIN events ON n_name = 'NATION_' || user_id % 20 GROUP BY 1)""", """
+  m AS (SELECT 'opportunities.count' AS metric_key, CAST(n AS DOUBLE) AS v, NULL AS numerator, NULL AS denominator, n AS sample_size FROM t
+  UNION ALL SELECT 'funding.record_share', records / CAST(n AS DOUBLE), records, n, n FROM t UNION ALL SELECT 'funding.numeric_share', numeric / CAST(n AS DOUBLE), numeric, n, n FROM t
+  UNION ALL SELECT 'opportunities.source.' || k || '.count', s.n, NULL, NULL, t.n FROM s, t UNION ALL SELECT 'opportunities.source.' || k || '.share', s.n / CAST(t.n AS DOUBLE), s.n, t.n, t.n FROM s, t
+  UNION ALL SELECT k || '.Q25', a, NULL, NULL, n FROM f UNION ALL SELECT k || '.median', b, NULL, NULL, n FROM f UNION ALL SELECT k || '.Q75', c, NULL, NULL, n FROM f
+  UNION ALL SELECT 'deadlines.presence_share', present / CAST(total AS DOUBLE), present, total, total FROM d UNION ALL SELECT 'deadlines.upcoming_share', up / CAST(total AS DOUBLE), up, total, total FROM d
+  UNION ALL SELECT 'deadlines.overdue_count', late, NULL, NULL, total FROM d
+  UNION ALL SELECT 'deadlines.days.Q25', a, NULL, NULL, up FROM d UNION ALL SELECT 'deadlines.days.median', b, NULL, NULL, up FROM d UNION ALL SELECT 'deadlines.days.Q75', c, NULL, NULL, up FROM d
+  UNION ALL SELECT 'source.execution_coverage.' || k, ok, NULL, NULL, n FROM x)""")
+    + "SELECT metric_key, round(v, 9) AS value_num, CAST(numerator AS BIGINT) AS numerator, CAST(denominator AS BIGINT) AS denominator, CAST(sample_size AS BIGINT) AS sample_size, CASE WHEN v IS NULL THEN 'not_computed' ELSE 'computed' END AS status FROM m",
+    "chart_series": using(PROGRAMS) + "SELECT n_name AS label, CAST(count(program_id) AS DOUBLE) AS value FROM nation LEFT JOIN programs ON source_key = n_name GROUP BY 1",
 }
 
 #: Dates are given as text, as the queries give them.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callboard.functions import labels, normalize, parse, schedule, textsearch
-from callboard.operators import baseline, bi, catalog, network, publications, regional, resolve, review, snapshots, temporal
+from callboard.operators import baseline, bi, catalog, metrics, network, publications, regional, resolve, review, snapshots, temporal
 from callboard.plans.bindings import Tables
 from callboard.sources import pages
 from callboard.streaming import feed
@@ -33,9 +33,7 @@ def query(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
 @query
 def baseline_source_share(t: Tables) -> DataFrame:
     """The flagship: programs of every source, their share, and quartiles of their money."""
-    shares = baseline.source_shares(t.sources(), t.programs())
-    money = baseline.quartiles(t.programs(), ["source_key"], "funding").withColumnRenamed("n", "n_numeric")
-    return shares.join(money, "source_key", "left").select("source_key", "n", F.round("share", 12).alias("share"), "n_numeric", "q25", "median", "q75").orderBy("source_key")
+    return baseline.source_summary(t.sources(), t.programs()).withColumn("share", F.round("share", 12)).orderBy("source_key")
 
 
 @query
@@ -567,3 +565,26 @@ def public_content(t: Tables) -> DataFrame:
 @query
 def funding_labels(t: Tables) -> DataFrame:
     return t.programs().select("program_id", labels.funding_label().alias("label"))
+
+
+def _metrics(t: Tables) -> DataFrame:
+    runs = t.events.select(F.concat(F.lit("NATION_"), F.col("user_id") % 20).alias("source_key"), F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"), (F.col("event_type") == "view").alias("dry_run"))
+    return metrics.baseline_metrics(t.programs(), t.sources(), runs, F.lit(TODAY))
+
+
+@query
+def baseline_metrics(t: Tables) -> DataFrame:
+    return _metrics(t).withColumn("value_num", F.round("value_num", 9))
+
+
+@query
+def chart_series(t: Tables) -> DataFrame:
+    return metrics.chart_series(_metrics(t), "opportunities.source.", ".count")
+
+
+@query
+def insights(t: Tables) -> DataFrame:
+    rows = t.bi_programs()
+    regions = bi.region_scores(rows).select(F.col("region").alias("name"), F.col("programs").alias("value"))
+    topics = bi.topic_strength(rows).select(F.col("topic").alias("name"), F.col("programs").alias("value"))
+    return metrics.insights(regions, topics, catalog.source_counts(t.sources(), rows).select(F.col("source_key").alias("name"), F.col("programs").alias("value")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callboard import schemas
-from callboard.operators import baseline, bi, catalog, network, regional, snapshots, temporal
+from callboard.operators import baseline, bi, catalog, metrics, network, regional, snapshots, temporal
 
 AS_OF = datetime(2026, 9, 1, 12)
 
@@ -175,3 +175,20 @@ def test_snapshot_writes_once(spark, roster, tmp_path):
     assert snapshots.append_once(again, path).count() == 0
     assert spark.read.parquet(path).count() == 1
     assert snapshots.snapshot_uuid("a") == snapshots.snapshot_uuid("a") != snapshots.snapshot_uuid("b")
+
+
+def test_metrics(spark, roster):
+    sources = spark.createDataFrame([("A",), ("B",)], "source_key string")
+    runs = spark.createDataFrame([("A", "succeeded", False), ("B", "failed", False)], "source_key string, status string, dry_run boolean")
+    got = metrics.baseline_metrics(roster, sources, runs, F.lit(date(2026, 9, 1))).checkpoint()
+    values = {r.metric_key: r.value_num for r in got.collect()}
+    assert values["funding.record_share"] == 6 / 7 and values["opportunities.count"] == 7 and values["deadlines.days.median"] == 15
+    assert values["source.execution_coverage.A"] == 1 and values["source.execution_coverage.B"] == 0 and values["funding.quantile.USD.range.max.Q25"] == 300
+    assert metrics.inconsistent(got, got).count() == 0
+    changed = got.withColumn("value_num", F.when(F.col("metric_key") == "opportunities.count", 8.0).otherwise(F.col("value_num"))).where("metric_key <> 'funding.numeric_share'")
+    assert {r.metric_key for r in metrics.inconsistent(got, changed).collect()} == {"opportunities.count", "funding.numeric_share"}
+    empty = {r.metric_key: (r.value_num, r.status) for r in metrics.baseline_metrics(roster.limit(0), sources, runs, F.lit(date(2026, 9, 1))).collect()}
+    assert empty["funding.record_share"] == (None, "not_computed") and empty["opportunities.source.A.count"] == (0.0, "computed")
+    snaps = spark.createDataFrame([("s1", "v3", "all"), ("s2", "v2", None)], "snapshot_id string, calculation_version string, source_scope string")
+    rows = {r.snapshot_id: (r.reasons, r.has_network) for r in metrics.compatibility(snaps, {"calculation_version": "v3", "source_scope": "all"}).collect()}
+    assert rows == {"s1": ([], True), "s2": (["calculation_version_differs", "source_scope_differs"], False)}

@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from callboard.llm.arrays import LEAD, LOWER, WORD, Rolling, chained, mixed, owners, pieces, raw, spans
 
-BITS = 20
+BITS = 19
 BUCKETS = 1 << BITS
 CHAIN = 32
 THRESHOLD = 0.3
 #: Labelled documents of each class that the model is fitted on, chosen by hash, and the longest.
-SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 10000
+SAMPLE_ROWS = 1000
+SAMPLE_CHARS = 6000
 #: Clean documents for each toxic one in the sample.
 CLEAN = 3
 #: A word or its beginning counts as toxic from so many toxic documents at least, this share of
@@ -121,7 +121,7 @@ class Field:
         self.weights, self.moves, self.curve = weights, moves, curve
 
     def emission(self, hashed: np.ndarray) -> np.ndarray:
-        score = np.full(hashed.shape[1], self.weights[0, -1])
+        score = np.full(hashed.shape[1], self.weights[0, -1], np.float64)
         for k in range(TABLES):
             score += self.weights[k][hashed[k] >> (31 - BITS)]
         return score
@@ -201,7 +201,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS) -> Field:
     doc, chain, place = (np.concatenate(p) for p in parts[1:4])
     del parts
     label = _seeds(hashed, doc, toxic)
-    field = Field(np.zeros((TABLES, BUCKETS + 1)), np.zeros((2, 2)), CURVE.copy())
+    field = Field(np.zeros((TABLES, BUCKETS + 1), np.float32), np.zeros((2, 2)), CURVE.copy())
     field.weights[0, -1] = -4.0
     # Chains without a toxic word are many and alike: one in PLAIN is fitted on, weighted up.
     has = np.zeros(int(chain.max(initial=-1)) + 1, bool)
@@ -216,7 +216,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS) -> Field:
     moved = np.zeros((2, 2))
     inner = np.flatnonzero(spot > 0)
     np.add.at(moved, (truth[inner - 1].astype(int), truth[inner].astype(int)), 1)
-    squares, move_squares, bias_square = np.zeros((TABLES, BUCKETS)), np.zeros((2, 2)), 0.0
+    squares, move_squares, bias_square = np.zeros((TABLES, BUCKETS), np.float32), np.zeros((2, 2)), 0.0
     for _ in range(epochs):
         p, expected = forward_backward(field.emission(near), mine, spot, count, field.moves, pairs=True)
         slope = (p - truth) * importance
@@ -260,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_
     got = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in sample(docs, labels, learn, rows, chars).limit(2 * (1 + CLEAN) * rows).collect()), key=lambda r: r[:2])
     toxic = np.array([r[2] for r in got], bool)
     if not toxic.any() or toxic.all():
-        return Field(np.zeros((TABLES, BUCKETS + 1)), np.zeros((2, 2)), np.array([-10.0, 0.0, 0.0]))
+        return Field(np.zeros((TABLES, BUCKETS + 1), np.float32), np.zeros((2, 2)), np.array([-10.0, 0.0, 0.0]))
     return fit([r[1] for r in got], toxic)
 
 
@@ -273,8 +273,7 @@ def score(docs: DataFrame, field: Field, carry: tuple[str, ...] = ("doc_id",), t
     a fixed size.
     """
     carry = tuple(c for c in carry if c not in ("score", "predicted", "spans"))
-    small = Field(field.weights.astype(np.float32), field.moves, field.curve)
-    shared = docs.sparkSession.sparkContext.broadcast(small)
+    shared = docs.sparkSession.sparkContext.broadcast(field)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,3 +301,10 @@ def score(docs: DataFrame, field: Field, carry: tuple[str, ...] = ("doc_id",), t
 
     schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in carry) + ", score double, predicted int, spans array<struct<start:int,end:int,p:double>>"
     return docs.select(*(f"`{c}`" for c in dict.fromkeys([*carry, text]))).mapInArrow(of, schema)
+
+
+def clean(docs: DataFrame, field: Field, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are not predicted as toxic, with their own columns, whatever their names."""
+    bare = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    found = score(bare, field, tuple(bare.columns), f"c{docs.columns.index(text)}", threshold)
+    return found.where("predicted = 0").select(*bare.columns).toDF(*docs.columns)

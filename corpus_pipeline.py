@@ -9,19 +9,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from callboard.llm import decontaminate, langid, mixing, sharding, simhash, toxicity
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity field, fitted on labelled rows, does not predict as toxic."""
     field = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~langid.held_out(4, 2))
-    return toxicity.score(docs, field, tuple(docs.columns)).where("predicted = 0").select(*_columns(docs))
+    return toxicity.clean(docs, field)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

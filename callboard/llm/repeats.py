@@ -11,8 +11,8 @@ suffix buckets, and one bucket at a time is sorted, which settles who agrees on
 
 Ranks and suffix keys are fingerprints of the bytes, since only equality matters here, not the
 order of unequal suffixes.  A sampled place with a false twin costs a candidate, nothing more.  A
-suffix key has 28 bits more than the size of the corpus in bytes, so a window that has no twin is
-taken for a repeat with a chance under 2**-28.
+suffix key has 26 bits more than the size of the corpus in bytes, so a window that has no twin is
+taken for a repeat with a chance under 2**-26.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ PERIOD = 133
 #: Residues modulo 133 whose differences are all residues.
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 DEPTH = LENGTH - PERIOD + 1
-RANK_BITS = 56
+RANK_BITS = 48
 IN_COVER = np.zeros(PERIOD, bool)
 IN_COVER[list(COVER)] = True
 
@@ -116,7 +116,7 @@ def repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "
     """
     carry = tuple(c for c in carry if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "block"))
     n, size = B.count(docs, text)
-    bits = min(64, max(RANK_BITS, size.bit_length() + 28))
+    bits = min(64, max(RANK_BITS, size.bit_length() + 26))
     keyed = B.dealt(docs.select(*(f"`{c}`" for c in dict.fromkeys([*carry, text]))), n, text)
 
     def rank(table: pa.Table) -> pa.Table:

@@ -36,6 +36,8 @@ GATHERED = 1 << 15
 HELD = 1 << 21
 DIRECT = 64
 SEED = 42
+#: Fingerprints that are joined by a broadcast at most: those of over a HOT-th of all rows each.
+HOT = 2000
 
 
 #: The primes of XXH64.
@@ -268,13 +270,18 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, leaves: int = LEAVES,
     the table are ignored.
     """
     rows = fingerprints(docs, carry).checkpoint()
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low")).checkpoint()
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).checkpoint()
     classes = connected_components(links(distinct.select("fp"), budget, leaves))
     # Only fingerprints with a link need their class's smallest id worked out and joined back.
     linked = distinct.join(classes, distinct.fp == classes.node).select("fp", "component", "low")
     lows = linked.groupBy("component").agg(F.min("low").alias("class_low"))
-    named = distinct.join(linked.join(lows, "component").select("fp", "class_low"), "fp", "left").select("fp", F.coalesce("class_low", "low").alias("component_id"))
-    return rows.join(named, "fp").select(*carry, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = distinct.join(linked.join(lows, "component").select("fp", "class_low"), "fp", "left").select("fp", "copies", F.coalesce("class_low", "low").alias("component_id")).checkpoint()
+    # A fingerprint that many rows share would gather them in one task of a join.  Fewer
+    # than HOT fingerprints have over a HOT-th of all rows, so those are named by a broadcast.
+    often = named.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(named.where(F.col("copies") > often / HOT).select("fp", "component_id"))
+    met = rows.join(hot, "fp", "left_anti").join(named.select("fp", "component_id"), "fp").unionByName(rows.join(hot, "fp"))
+    return met.select(*carry, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:

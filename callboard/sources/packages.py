@@ -16,8 +16,12 @@ ENVELOPE = (
     f"adapter struct<name:string,version:string>, records array<{RECORD}>, _corrupt_record string"
 )
 #: The columns of a CSV package; the first nine describe the package.
-PACKAGE_COLUMNS = ("contract_version", "source_name", "source_canonical_url", "capture_source_url", "capture_received_at", "capture_content_uri", "capture_content_format", "adapter_name", "adapter_version")
-ROW_COLUMNS = ("record_key", "title", "record_url", "deadline_on", "funding_kind", "funding_currency", "funding_exact", "funding_min", "funding_max", "payload_json", "warnings_json")
+PACKAGE_COLUMNS = (
+    "contract_version", "source_name", "source_canonical_url", "capture_source_url", "received_at", "external_content_uri", "content_format", "adapter_name", "adapter_version",
+)
+ROW_COLUMNS = (
+    "record_key", "title", "record_url", "deadline_on", "funding_value_kind", "currency_code", "exact_amount", "min_amount", "max_amount", "payload_json", "warnings_json",
+)
 LIMITS = {"record_key": 512, "title": 500, "record_url": 2048}
 
 
@@ -31,6 +35,10 @@ def row_errors() -> Column:
         ("funding_kind_unknown", F.col("funding.value_kind").isNotNull() & ~F.col("funding.value_kind").isin("exact", "minimum", "maximum", "range", "unknown", "not_stated")),
         ("funding_currency", F.col("funding.value_kind").isin("exact", "minimum", "maximum", "range") & ~F.coalesce(F.col("funding.currency_code").rlike("^[A-Z]{3}$"), F.lit(False))),
     ]
+    tests += [
+        ("payload_invalid", F.col("payload").isNotNull() & ~F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))),
+        ("warnings_invalid", F.exists(F.coalesce("warnings", F.array(F.lit("-"))), lambda w: F.coalesce(F.trim(w), F.lit("")) == "")),
+    ]
     for c in ("exact_amount", "min_amount", "max_amount"):
         tests.append((f"{c}_invalid", F.col(f"funding.{c}").isNotNull() & F.coalesce(F.col(f"funding.{c}").try_cast("decimal(14,2)") <= 0, F.lit(True))))
     return F.array_compact(F.array(*(F.when(test, F.lit(code)) for code, test in tests)))
@@ -59,10 +67,12 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     wrong = F.array_compact(F.array(*(F.when(F.col(c) > 1, F.lit(c)) for c in PACKAGE_COLUMNS)))
     rejected = agreed.where(F.size(wrong) > 0).select("package", F.concat(F.lit("disagree: "), F.array_join(wrong, ",")).alias("reason"))
     rows = raw.join(rejected.select("package"), "package", "left_anti")
-    funding = F.when(F.col("funding_kind").isNotNull(), F.struct(F.col("funding_kind").alias("value_kind"), F.col("funding_currency").alias("currency_code"), F.col("funding_exact").alias("exact_amount"), F.col("funding_min").alias("min_amount"), F.col("funding_max").alias("max_amount")))
+    funding = F.when(F.col("funding_value_kind").isNotNull(), F.struct(F.col("funding_value_kind").alias("value_kind"), F.upper("currency_code").alias("currency_code"), "exact_amount", "min_amount", "max_amount"))
     rows = rows.select(
         "package", F.col("source_canonical_url").alias("source_url"), F.struct(F.col("adapter_name").alias("name"), F.col("adapter_version").alias("version")).alias("adapter"), "row_number",
-        "record_key", "title", "record_url", "deadline_on", funding.alias("funding"), F.col("payload_json").alias("payload"), F.from_json("warnings_json", "array<string>").alias("warnings"),
+        "record_key", "title", "record_url", "deadline_on", funding.alias("funding"), F.col("payload_json").alias("payload"),
+        # Text that is no JSON list becomes a list of one blank, which the checks reject.
+        F.when(F.col("warnings_json").isNotNull(), F.coalesce(F.when(F.col("warnings_json").startswith("["), F.from_json("warnings_json", "array<string>")), F.array(F.lit("")))).alias("warnings"),
     )
     return _finished(rows), rejected
 

@@ -40,12 +40,13 @@ def test_csv_packages(spark, tmp_path):
     head = list(packages.PACKAGE_COLUMNS + packages.ROW_COLUMNS)
     row = dict.fromkeys(head, "") | {"contract_version": "1", "source_canonical_url": "https://s.example/", "record_key": "k", "title": 'A ""quoted"" title', "record_url": "https://s.example/1", "payload_json": '{""a"": 1}', "warnings_json": '[""w""]'}
     line = lambda r: ",".join(f'"{r[c]}"' for c in head)
-    (tmp_path / "a.csv").write_text("\n".join([",".join(head), line(row), line(row | {"record_key": "k2"})]) + "\n")
+    (tmp_path / "a.csv").write_text("\n".join([",".join(head), line(row), line(row | {"record_key": "k2", "payload_json": "[1]", "warnings_json": "oops"})]) + "\n")
     (tmp_path / "b.csv").write_text("\n".join([",".join(head), line(row), line(row | {"contract_version": "2"})]) + "\n")
     rows, rejected = packages.read_csv(spark, str(tmp_path))
     assert [os.path.basename(r.package) for r in rejected.collect()] == ["b.csv"]
     got = rows.orderBy("row_number").collect()
-    assert [r.record_key for r in got] == ["k", "k2"] and got[0].title == 'A "quoted" title' and got[0].warnings == ["w"] and all(r.is_valid for r in got)
+    assert [r.record_key for r in got] == ["k", "k2"] and got[0].title == 'A "quoted" title' and got[0].warnings == ["w"] and got[0].is_valid
+    assert got[1].errors == ["payload_invalid", "warnings_invalid"]
 
 
 def test_registry(spark):

@@ -1,5 +1,9 @@
 """DuckDB SQL for the operators that SQL can express over whole tables."""
 
+from __future__ import annotations
+
+from callboard.llm.quality import BOILERPLATE, LEAST_WORDS, LOSS, REPEATED_PERCENT, SENTENCE_WORDS, SEPARATOR_EVERY, SEPARATOR_WORDS, SEPARATORS, SYMBOL_SHARE, SYMBOLS
+
 OP9 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -63,4 +67,33 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN longest USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8, "op9_mixing": OP9}
+_PHRASES = "|".join(BOILERPLATE)
+_SIGNS = ", ".join(f"'{w.decode()}'" for w in SEPARATOR_WORDS)
+OP4 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lines AS (
+  SELECT rid, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d)
+), measured AS (
+  SELECT rid, l, len(lw) AS n, coalesce(list_sum(list_transform(lw, lambda x: length(x))), 0) AS chars, len(list_filter(lw, lambda x: x IN ({_SIGNS}))) AS signs,
+    len(regexp_extract_all(l, '[#*$%&|<>]')) AS symbols, regexp_matches(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_PHRASES}') AS phrase,
+    regexp_matches(lw[-1], '[.!?"'':;)\]}}…”’»。！？]$') OR len(list_filter(lw, lambda x: regexp_matches(x, '[.!?]$'))) * {SENTENCE_WORDS} >= len(lw) AS closed
+  FROM lines WHERE len(lw) > 0
+), judged AS (
+  SELECT rid, count(*) - count(DISTINCT l) AS n_dup_lines, count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(chars) FILTER (failed), 0) AS lost_chars
+  FROM (SELECT *, (signs >= {SEPARATORS} AND signs * {SEPARATOR_EVERY} >= n) OR (symbols >= {SYMBOLS} AND symbols >= CAST({SYMBOL_SHARE} AS DOUBLE) * chars) OR phrase OR NOT closed AS failed FROM measured) GROUP BY rid
+), windows AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), repeated AS (
+  SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, win) AS c FROM windows) WHERE c > 1) GROUP BY rid
+), counted AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(lost_chars, 0) AS BIGINT) AS lost_chars, coalesce(n_failed_lines, 0) AS n_failed_lines
+  FROM d LEFT JOIN judged USING (rid) LEFT JOIN repeated USING (rid)
+)
+SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEATED_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEATED_PERCENT} * n_words) AND lost_chars <= CAST({LOSS} AS DOUBLE) * word_chars AS kept
+FROM counted
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4, "op8_decontamination": OP8, "op9_mixing": OP9}

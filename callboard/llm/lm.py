@@ -10,8 +10,9 @@ context's range.
 
 Smoothing is Witten-Bell: P(w|v) = c(v,w) / (c(v) + T(v)) + T(v) / (c(v) + T(v)) * P(w), with T(v)
 the distinct successors of v and P(w) the add-one unigram of the base.  A context with over
-``FAN`` occurrences is split by its successors' hash into nodes of about that size, each with its
-own T, so that no shard holds a whole frequent context.
+``FAN`` occurrences is stored in nodes of about that size, by its successors' hash, so that no
+shard holds a whole frequent context.  Its statistics are not split: a block asks every node of its
+frequent contexts for the node's count and distinct successors, and scores by their sums.
 
 Words and pairs are hashed; at a pair's key size, which grows with the corpus, a wrong match is
 rarer than one in ten thousand lookups.  Token counts use 63-bit hashes.
@@ -29,6 +30,7 @@ from callboard.llm.eliasfano import EliasFano
 
 FAN = 1 << 16
 SUCCESSOR_BITS = 23
+LOW = np.uint64((1 << SUCCESSOR_BITS) - 1)
 TOKEN_BITS = 63
 BLOCK_BYTES = 8 << 20
 #: One byte for a log10 probability: 1 is 0, each step is less by this; 0 says not found.
@@ -117,6 +119,13 @@ class Unigrams:
         return np.where(at >= 0, self.counts[np.maximum(at, 0)], 0) if len(self.counts) else np.zeros(len(keys), np.int64)
 
 
+def node_answers(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences and distinct successors of the nodes that a block asked a shard for."""
+    at = 4 + 2 * int.from_bytes(body[:4], "little")
+    n, middle = (int.from_bytes(body[at + k : at + k + 4], "little") for k in (0, 4))
+    return _numbers(body[at + 8 : at + 8 + middle], n), _numbers(body[at + 8 + middle :], n)
+
+
 class Bigrams:
     """A shard of the second level: contexts, pointers, successors, and a byte for each value."""
 
@@ -186,8 +195,29 @@ def pair_keys(token: np.ndarray, before: np.ndarray, hot: np.ndarray, fan: np.nd
         nodes = np.where(hot[near] == before, fan[near], 1)
     successor = mixed(token ^ np.uint64(0x5851F42D4C957F2D))
     turn = (successor >> np.uint64(32)).astype(np.int64) % nodes
-    node = mixed(before + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (bits - SUCCESSOR_BITS))
-    return (node << np.uint64(SUCCESSOR_BITS)) | (successor & np.uint64((1 << SUCCESSOR_BITS) - 1)), nodes
+    low = np.maximum(successor & LOW, np.uint64(1))  # 0 is the node itself
+    return node_keys(before, turn, bits) | low, nodes
+
+
+def node_keys(context: np.ndarray, turn: np.ndarray, bits: int) -> np.ndarray:
+    """The key that asks for the statistics of a context's node, below those of its successors."""
+    node = mixed(context + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (bits - SUCCESSOR_BITS))
+    return node << np.uint64(SUCCESSOR_BITS)
+
+
+def hot_nodes(hot: np.ndarray, fan: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all nodes of the contexts with several, and each one's place among them."""
+    fan = np.where(hot == END, 0, fan)  # an end has no successor
+    place = np.repeat(np.arange(len(hot)), fan)
+    turn = np.arange(len(place)) - np.repeat(np.cumsum(fan) - fan, fan)
+    return node_keys(hot[place], turn, bits), place
+
+
+def node_statistics(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences and distinct successors of the asked nodes, of a shard's sorted pairs."""
+    before = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    begin, end = np.searchsorted(keys, asked), np.searchsorted(keys, asked | LOW, side="right")
+    return before[end] - before[begin], end - begin
 
 
 def scored(docs: DataFrame, held_out: Column, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -250,13 +280,21 @@ def scored(docs: DataFrame, held_out: Column, carry: tuple[str, ...] = ("doc_id"
         token, before = together(parts)
         known = np.unique(token >> np.uint64(1))
         hot, fan = hot_contexts(token, known, learned(right)[0])
-        keys, counts = counted(pair_keys(token, before, hot, fan, bits)[0], learn)
+        nodes = hot_nodes(hot, fan, bits)[0]
+        keys, counts = counted(np.concatenate([pair_keys(token, before, hot, fan, bits)[0], nodes]), np.concatenate([learn, np.zeros(len(nodes), bool)]))
         return _sent(left.column("block")[0].as_py(), keys, counts, n, bits)
 
     def merge_pairs(table: pa.Table) -> pa.Table:
         parts = _received(table)
-        shard = Bigrams.from_buffer(Bigrams.build(*summed(parts), bits).to_bytes())
-        return _answered(table, [len(k).to_bytes(4, "little") + b"".join(x.tobytes() for x in shard(k)) for k, _ in parts])
+        keys, counts = summed(parts)
+        shard = Bigrams.from_buffer(Bigrams.build(keys, counts, bits).to_bytes())
+
+        def answer(k: np.ndarray) -> bytes:
+            asked = k[(k & LOW) == 0]
+            of_nodes = [_planes(x) for x in node_statistics(keys, counts, asked)]
+            return len(k).to_bytes(4, "little") + b"".join(x.tobytes() for x in shard(k)) + len(asked).to_bytes(4, "little") + len(of_nodes[0]).to_bytes(4, "little") + b"".join(of_nodes)
+
+        return _answered(table, [answer(k) for k, _ in parts])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         stage = right.column("stage").to_numpy() if right.num_rows else np.zeros(0, np.int32)
@@ -269,16 +307,26 @@ def scored(docs: DataFrame, held_out: Column, carry: tuple[str, ...] = ("doc_id"
         sizes = [int.from_bytes(x[:4], "little") for x in answers]
         code = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8, k, 4) for x, k in zip(answers, sizes, strict=True))])
         weight = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8, k, 4 + k) for x, k in zip(answers, sizes, strict=True))])
-        pairs = np.unique(pair_keys(token, before, hot, fan, bits)[0])
+        nodes, place = hot_nodes(hot, fan, bits)
+        pairs = np.unique(np.concatenate([pair_keys(token, before, hot, fan, bits)[0], nodes]))
+        asked = pairs[(pairs & LOW) == 0]
+        total_of, kinds_of = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*(node_answers(x) for x in answers), strict=True)) if answers else (np.zeros(0, np.int64),) * 2
+        size, each = total_of + kinds_of, np.searchsorted(asked, nodes)
+        mass, spread = (np.bincount(place, x[each], len(hot)) for x in (size, kinds_of))
         held = left.column("held_out").to_numpy()
         out: dict[str, list[np.ndarray]] = {c: [] for c in results[1:]}
         for t, b, begins in parts:
             c = counts[np.searchsorted(known, t >> np.uint64(1))]
             low = (c + 1) / (total + kinds + 1)
-            key, nodes = pair_keys(t, b, hot, fan, bits)
+            key, fans = pair_keys(t, b, hot, fan, bits)
             at = np.searchsorted(pairs, key)
             lower = np.where(weight[at] > 0, VALUES[weight[at]], 1.0)
-            p = VALUES[code[at]] / nodes + lower * low
+            own = np.ones(len(t))  # of a context with several nodes: the node's part of the denominator
+            split = np.flatnonzero(fans > 1)
+            v = np.searchsorted(hot, b[split])
+            own[split] = size[np.searchsorted(asked, key[split] & ~LOW)] / mass[v]
+            lower[split] = spread[v] / mass[v]
+            p = VALUES[code[at]] * own + lower * low
             for name, value in (("n_tokens", np.ones(len(t), np.int64)), ("n_known", (c > 0).astype(np.int64)), ("base_score", np.log10(low)), ("score", np.log10(p))):
                 out[name].append(np.add.reduceat(value, begins[:-1]) if len(begins) > 1 else value[:0])
             out["train_tokens"].append(np.full(len(begins) - 1, total))

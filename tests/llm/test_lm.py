@@ -62,6 +62,12 @@ def test_split_contexts(spark, monkeypatch):
     assert all(r.score > r.base_score for r in rows)
 
 
+def test_split_contexts_keep_their_statistics(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FAN", 4)
+    texts = ["the cat sat on the mat the dog ran"] * 20 + ["the end of the day"] * 9 + [f"the w{k} of w{k % 3}" for k in range(30)] + [None, "unseen"]
+    same(lm.scored(table(spark, texts), langid.held_out(7, 2)).collect(), brute(list(enumerate(texts))))
+
+
 def test_driver_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

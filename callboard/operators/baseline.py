@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,9 @@ from callboard.schemas import MISSING, NUMERIC_KINDS
 QUARTILES = (0.25, 0.5, 0.75)
 RESAMPLES = 2000
 LEAST_FOR_INTERVAL = 10
+#: Numbers that one block of resamples draws, and the resamples that it has at least.
+BLOCK_DRAWS = 1 << 26
+LEAST_OF_BLOCK = 32
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -91,57 +95,120 @@ def deadline_metrics(programs: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def mersenne_draws(seed: int, n: int, count: int):
-    """``count`` numbers below n, in the order in which ``random.Random(seed).randrange(n)`` gives
-    them: the top bits of 32-bit outputs, those out of range skipped."""
+def twister(seed: int):
+    """The generator of ``random.Random(seed)``."""
     import numpy as np
 
     *key, place = random.Random(seed).getstate()[1]
-    twister = np.random.MT19937()
-    twister.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": place}}
+    out = np.random.MT19937()
+    out.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": place}}
+    return out
+
+
+def draws(generator, n: int, count: int):
+    """``count`` numbers below n: the top bits of 32-bit outputs, those out of range skipped."""
+    import numpy as np
+
     shift, rest, left = 32 - n.bit_length(), np.zeros(0, np.int64), count
     while left > 0:
-        drawn = (twister.random_raw(max(1024, min(left, 1 << 22))) >> shift).astype(np.int64)
+        drawn = (generator.random_raw(max(1024, min(left, 1 << 22))) >> shift).astype(np.int64)
         rest = drawn[drawn < n][:left]
         left -= len(rest)
         yield rest
 
 
-def bootstrap_intervals(df: DataFrame, metric: str, value: str, order: str, seed: str, resamples: int = RESAMPLES, bound: int = 20_000) -> DataFrame:
+def mersenne_draws(seed: int, n: int, count: int):
+    """``count`` numbers below n, in the order in which ``random.Random(seed).randrange(n)`` gives
+    them."""
+    return draws(twister(seed), n, count)
+
+
+def generator_states(seed: int, n: int, step: int, blocks: int):
+    """Where each block of ``step`` numbers below n begins in the order of ``mersenne_draws``:
+    (key, place, outputs to skip).  Only counts the numbers, which is the cheap part of drawing."""
+    import numpy as np
+
+    generator, shift, seen, block = twister(seed), 32 - n.bit_length(), 0, 0
+    while True:
+        state = generator.state["state"]
+        begin = (state["key"].astype("<u4").tobytes(), int(state["pos"]))
+        if not block:
+            yield (*begin, 0)
+            block = 1
+        if block >= blocks:
+            return
+        fits = (generator.random_raw(1 << 20) >> shift) < n
+        whole = int(np.count_nonzero(fits))
+        if block * step < seen + whole:
+            at = np.flatnonzero(fits)
+            while block < blocks and block * step < seen + whole:
+                yield (*begin, int(at[block * step - seen]))
+                block += 1
+        seen += whole
+
+
+def bootstrap_intervals(df: DataFrame, metric: str, value: str, order: str, seed: str, resamples: int = RESAMPLES) -> DataFrame:
     """A percentile-bootstrap interval (0.025, 0.975) of each quartile of every metric.
 
     ``metric`` names the column of metric keys.  Each quartile has its own generator, seeded by
     the SHA-256 of ``seed`` and its full key, over values in the order of ``order``; reruns agree.
-    A metric is resampled in one task, so its size is checked against ``bound`` first: a larger
-    one gets the status ``too_large`` and no interval (its quartiles stay exact in ``quartiles``),
-    and one under ten values gets ``too_few``.
+    The resamples of a large metric are dealt out in blocks of about ``BLOCK_DRAWS`` numbers, each
+    with the generator's state at its begin, so the numbers are those of one generator.  A task
+    holds a metric's values as one array.  A metric under ten values gets ``too_few``.
     """
     sized = df.groupBy(metric).agg(F.count(value).alias("n"))
-    fit = sized.where((F.col("n") >= LEAST_FOR_INTERVAL) & (F.col("n") <= bound))
-    held = df.where(F.col(value).isNotNull()).join(fit.select(metric), metric, "left_semi").select(metric, F.col(order).alias("_order"), F.col(value).cast("double").alias("_value"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ("Q25", "median", "Q75")
+
+    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.sort_values(["_order", "_value"])["_value"].to_numpy("<f8")
+        return pd.DataFrame([(key[0], values.tobytes())], columns=["_metric", "_values"])
+
+    def begun(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for key, n, quartile in pdf.itertuples(index=False):
+                number = int(hashlib.sha256(f"{seed}|{key}.{names[quartile]}".encode()).hexdigest(), 16)
+                each = min(resamples, max(LEAST_OF_BLOCK, BLOCK_DRAWS // n))
+                states = generator_states(number, n, each * n, -(-resamples // each))
+                rows = [(key, n, quartile, k, min(each, resamples - k * each), *state) for k, state in enumerate(states)]
+                yield pd.DataFrame(rows, columns=["_metric", "n", "quartile", "block", "times", "key", "place", "skip"])
+
+    def resample(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
 
-    def resample(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                values, n, p = np.frombuffer(r.values_of, "<f8"), int(r.n), QUARTILES[r.quartile]
+                generator = np.random.MT19937()
+                generator.state = {"bit_generator": "MT19937", "state": {"key": np.frombuffer(r.key, "<u4").astype(np.uint32), "pos": int(r.place)}}
+                generator.random_raw(int(r.skip), output=False)
+                got, rest = [], np.zeros(0, np.int64)
+                for drawn in draws(generator, n, n * int(r.times)):
+                    rest = np.concatenate([rest, drawn])
+                    whole = len(rest) // n * n
+                    if whole:
+                        got.append(np.quantile(values[rest[:whole].reshape(-1, n)], p, axis=1))
+                    rest = rest[whole:]
+                exact = float(np.quantile(values, p)) if r.block == 0 else None
+                yield pd.DataFrame([(r.metric, n, r.quartile, exact, np.concatenate(got))], columns=["metric", "n", "quartile", "estimate", "estimates"])
+
+    def interval(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        values = pdf.sort_values(["_order", "_value"])["_value"].to_numpy()
-        n, rows = len(values), []
-        for p, name in zip(QUARTILES, ("Q25", "median", "Q75"), strict=True):
-            number = int(hashlib.sha256(f"{seed}|{key[0]}.{name}".encode()).hexdigest(), 16)
-            got, rest = [], np.zeros(0, np.int64)
-            for drawn in mersenne_draws(number, n, n * resamples):
-                rest = np.concatenate([rest, drawn])
-                whole = len(rest) // n * n
-                if whole:
-                    got.append(np.quantile(values[rest[:whole].reshape(-1, n)], p, axis=1))
-                rest = rest[whole:]
-            low, high = np.quantile(np.concatenate(got), [0.025, 0.975])
-            rows.append((f"{key[0]}.{name}", n, float(np.quantile(values, p)), low, high))
-        return pd.DataFrame(rows, columns=["metric_key", "n", "estimate", "low", "high"])
-
-    got = held.groupBy(metric).applyInPandas(resample, "metric_key string, n long, estimate double, low double, high double").withColumn("status", F.lit("computed"))
-    rest = sized.where((F.col("n") < LEAST_FOR_INTERVAL) | (F.col("n") > bound))
+        low, high = np.quantile(np.concatenate(pdf["estimates"].tolist()), [0.025, 0.975])
+        return pd.DataFrame([(f"{key[0]}.{names[key[1]]}", pdf["n"].iloc[0], pdf["estimate"].max(), low, high)], columns=["metric_key", "n", "estimate", "low", "high"])
+
+    fit = sized.where(F.col("n") >= LEAST_FOR_INTERVAL)
+    asked = fit.select(F.col(metric).alias("_metric"), "n", F.explode(F.array(*map(F.lit, range(len(QUARTILES))))).alias("quartile")).repartition(tasks, "_metric", "quartile")
+    blocks = asked.mapInPandas(begun, "_metric string, n long, quartile int, block int, times int, key binary, place int, skip int")
+    held = df.where(F.col(value).isNotNull()).select(F.col(metric).alias("_metric"), F.col(order).alias("_order"), F.col(value).cast("double").alias("_value"))
+    arrays = held.groupBy("_metric").applyInPandas(packed, "_metric string, _values binary")
+    # Few bytes of blocks stand for much work, so their number of partitions is fixed.
+    dealt = blocks.join(arrays, "_metric").withColumnsRenamed({"_metric": "metric", "_values": "values_of"}).repartition(tasks, "metric", "quartile", "block")
+    parts = dealt.mapInPandas(resample, "metric string, n long, quartile int, estimate double, estimates array<double>")
+    got = parts.groupBy("metric", "quartile").applyInPandas(interval, "metric_key string, n long, estimate double, low double, high double").withColumn("status", F.lit("computed"))
     none = F.lit(None).cast("double")
-    rest = rest.select(F.col(metric).alias("metric_key"), "n", none.alias("estimate"), none.alias("low"), none.alias("high"), F.when(F.col("n") < LEAST_FOR_INTERVAL, "too_few").otherwise("too_large").alias("status"))
+    rest = sized.where(F.col("n") < LEAST_FOR_INTERVAL).select(F.col(metric).alias("metric_key"), "n", none.alias("estimate"), none.alias("low"), none.alias("high"), F.lit("too_few").alias("status"))
     return got.unionByName(rest)
 
 

@@ -70,6 +70,25 @@ def test_amount_quartiles_and_interval(spark):
     assert got["few"][5] == "too_few" and got["m.median"][3] < 650 < got["m.median"][4]
 
 
+def test_large_metrics_have_intervals(spark, monkeypatch):
+    import hashlib
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(baseline, "LEAST_OF_BLOCK", 3)
+    monkeypatch.setattr(baseline, "BLOCK_DRAWS", 100_000)
+    n, times = 20_010, 17
+    rows = spark.range(n).selectExpr("'m' AS metric", "id AS program_id", "CAST(id * id % 9973 AS decimal(14,2)) AS amount")
+    got = {r.metric_key: r for r in baseline.bootstrap_intervals(rows, "metric", "amount", "program_id", "f|v", resamples=times).collect()}
+    values = np.array([float(k * k % 9973) for k in range(n)])
+    for p, name in ((0.25, "Q25"), (0.5, "median"), (0.75, "Q75")):
+        rng = random.Random(int(hashlib.sha256(f"f|v|m.{name}".encode()).hexdigest(), 16))
+        estimates = [np.quantile(values[[rng.randrange(n) for _ in range(n)]], p) for _ in range(times)]
+        r = got[f"m.{name}"]
+        assert (r.n, r.estimate, r.low, r.high, r.status) == (n, np.quantile(values, p), *np.quantile(estimates, [0.025, 0.975]), "computed")
+
+
 def test_draws_follow_the_generator():
     import random
 

@@ -1,10 +1,12 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
 A byte-pair vocabulary packs ordinary text into few tokens, but a random string has few merges
-and so few characters per token.  Candidates are long runs of key characters with both digits
-and letters; known digests (hex of a digest's length) and identifiers (UUIDs, dates, numbers,
-dotted or dashed runs of plain words) are excluded, and what falls under ``RATIO`` characters per
-token is reported, unless a fixed pattern has the place already.
+and so few characters per token.  Candidates are long runs of key characters with letters; known
+digests (hex of a digest's length) and identifiers (UUIDs, dates, numbers, runs of plain words
+joined by signs) are excluded, and what falls under ``RATIO`` characters per token is reported,
+unless a fixed pattern has the place already.  Words in a run would hide a key beside them, so a
+run that does not fall under it is tested again without the words at its ends, and then part by
+part between its signs.
 """
 
 from __future__ import annotations
@@ -27,10 +29,16 @@ KINDS = ("assign", "access", "hex", "random")
 #: Runs of 24 or more hex digits; a shorter run is dropped, so the scan may skip it.
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[A-Za-z0-9]+")
+PLAIN = re.compile(r"[0-9]+|[A-Z]?[a-z]*|[A-Z]+")
+LEAST = 20
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Characters per token below which a run counts as random.
 RATIO = 2.0
+STRETCH = 1 << 12
 DIGEST_DIGITS = (32, 40, 48, 56, 64, 96, 128)
+#: What ``excluded`` knows by itself, where it is a part of a longer run.
+KNOWN = re.compile("(?<![A-Za-z0-9])(?:" + UUID.pattern + "".join(f"|[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in DIGEST_DIGITS) + ")(?![A-Za-z0-9])")
 
 _encodings: dict[str, object] = {}
 
@@ -55,13 +63,11 @@ def excluded(run: str) -> bool:
     """Known digests and identifiers, which are not secrets however random they look."""
     if UUID.fullmatch(run) or (len(run) in DIGEST_DIGITS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run)):
         return True
-    digits = sum(c.isdigit() for c in run)
-    letters = sum(c.isalpha() for c in run)
-    if not digits or not letters:
+    if not any(c.isalpha() for c in run):
         return True
     # Words, numbers or dates joined by signs: each part is of one kind.
     parts = re.split(r"[+/_=-]+", run)
-    return len(parts) > 1 and all(p.isdigit() or re.fullmatch(r"[A-Z]?[a-z]*|[A-Z]+", p) for p in parts)
+    return len(parts) > 1 and all(PLAIN.fullmatch(p) for p in parts)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -73,14 +79,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], encode, ratio: float = RATIO) -> list[tuple[int, int, int]]:
+    def found(a: int, b: int) -> bool:
+        if b - a < LEAST or any(a < end and start < b for start, _, end in taken) or excluded(text[a:b]):
+            return False
+        # Long runs are packed in stretches, since packing takes more than linear time.
+        return b - a < ratio * sum(len(encode(text[k : min(k + STRETCH, b)])) for k in range(a, b, STRETCH))
+
+    def runs() -> Iterator[tuple[int, int]]:
+        """Candidates, cut at the digests and UUIDs in them."""
+        for m in CANDIDATE.finditer(text):
+            a = m.start()
+            for known in KNOWN.finditer(text, *m.span()):
+                yield a, known.start()
+                a = known.end()
+            yield a, m.end()
+
     out = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        run = m[0]
-        if run.isalpha() or any(a < end and start < b for start, _, end in taken) or excluded(run):
-            continue
-        if len(run) < ratio * len(encode(run)):
+    for a, b in runs():
+        if found(a, b):
             out.append((a, 3, b))
+            continue
+        parts = [p.span() for p in PART.finditer(text, a, b)]
+        rough = [k for k, (c, d) in enumerate(parts) if not PLAIN.fullmatch(text, c, d)]
+        if rough and found(c := parts[rough[0]][0], d := parts[rough[-1]][1]):
+            out.append((c, 3, d))
+        elif len(parts) > 1 or parts and parts[0] != (a, b):
+            out += [(c, 3, d) for c, d in parts if found(c, d)]
     return out
 
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 from collections import Counter
 
 from helpers import AWKWARD, AWKWARD_IDS, table
@@ -27,6 +29,19 @@ def test_secret_random_strings(spark):
     assert rows[0].spans == "random:4:28" and rows[2].spans.startswith("hex:4:36")
 
 
+def test_secret_random_strings_beside_words(spark):
+    rng = random.Random(5)
+    base62, letters = string.ascii_letters + string.digits, string.ascii_letters
+    keys = ["".join(rng.choice(base62) for _ in range(24)) for _ in range(200)]
+    alone = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(200)]
+    plain = ["Donaudampfschifffahrtsgesellschaft", "/documents/reference/settings/configuration", "internationalizationConfigurationManager", "files/123e4567-e89b-12d3-a456-426614174000", "=" * 40, "2024-01-02-12-30-45-2024-01-02"]
+    paths = [f"/documents/reference/settings/{k}" for k in keys]
+    rows = {r.doc_id: r for r in secrets.digest(secrets.scan(table(spark, [*paths, *alone, *plain]))).collect()}
+    assert sum(rows[k].n_random for k in range(200)) >= 198
+    assert sum(rows[k].n_random for k in range(200, 400)) >= 198
+    assert [rows[400 + k].n_random for k in range(len(plain))] == [0] * len(plain)
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

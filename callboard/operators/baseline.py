@@ -237,7 +237,7 @@ def quality_ratios(programs: DataFrame, cases: DataFrame, executions: DataFrame,
         F.count_if(pending & (F.col("case_type") == "canonical") & F.col("has_explicit_conflict")).alias("conflicts"),
     )
     ok = (F.col("status") == "succeeded") & ~F.col("dry_run") & (F.col("finished_at") >= since) & (F.col("finished_at") <= as_of.cast("timestamp"))
-    e = executions.join(F.broadcast(sources.select("source_key")), "source_key", "left_semi").agg(F.count_distinct(F.when(ok, F.col("source_key"))).alias("covered"))
+    e = executions.join(sources.select("source_key"), "source_key", "left_semi").agg(F.count_distinct(F.when(ok, F.col("source_key"))).alias("covered"))
     s = sources.agg(F.count_distinct("source_key").alias("sources"))
     one = p.crossJoin(c).crossJoin(e).crossJoin(s)  # one row each
     rows = (("freshness", "fresh", "all"), ("completeness", "complete", "all"), ("conflict", "conflicts", "pending_canonical"), ("source_coverage", "covered", "sources"), ("review_status", "pending", "cases"))

@@ -60,6 +60,14 @@ def test_quality_control(spark, roster):
     assert set(empty.values()) == {None}
 
 
+def test_coverage_leaves_the_join_to_spark(spark):
+    roster = spark.createDataFrame([], "title_present boolean, source_url_present boolean, observed_at timestamp, deadline_on date, value_kind string")
+    cases = spark.createDataFrame([], "status string, case_type string, has_explicit_conflict boolean")
+    runs = spark.createDataFrame([("A", "succeeded", False, AS_OF)], "source_key string, status string, dry_run boolean, finished_at timestamp")
+    got = baseline.quality_ratios(roster, cases, runs, runs.select("source_key"), F.lit(AS_OF), 30)
+    assert "strategy=broadcast" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_amount_quartiles_and_interval(spark):
     rows = spark.createDataFrame([("m", k, Decimal(100 * k)) for k in range(1, 13)] + [("few", k, Decimal(5)) for k in range(9)], "metric string, program_id int, amount decimal(14,2)")
     q = baseline.quartiles(rows.where("metric = 'm'"), ["metric"], "amount").first()

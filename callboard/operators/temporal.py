@@ -30,8 +30,11 @@ def weekly_latest(snapshots: DataFrame, cohort: list[str]) -> DataFrame:
 
 
 def calendar(edges: DataFrame) -> DataFrame:
-    """(week_start) for every week from ``first`` to ``last`` of a one-row frame."""
-    return edges.select(F.explode(F.sequence(week_start(F.col("first")), week_start(F.col("last")), F.expr("interval 7 days"))).alias("week_start")).limit(MAX_WEEKS)
+    """(week_start) for every week from ``first`` to ``last`` of a one-row frame; over
+    ``MAX_WEEKS`` weeks are an error."""
+    weeks = F.sequence(week_start(F.col("first")), week_start(F.col("last")), F.expr("interval 7 days"))
+    checked = F.when(F.size(weeks) > MAX_WEEKS, F.raise_error(F.lit(f"time-series range cannot exceed {MAX_WEEKS} weeks")).cast("array<date>")).otherwise(weeks)
+    return edges.select(F.explode(checked).alias("week_start"))
 
 
 def series(weeks: DataFrame, latest: DataFrame, cohort: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """The control cases with results worked out by hand."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -105,6 +105,14 @@ def test_draws_follow_the_generator():
     assert [x for part in baseline.mersenne_draws(12345678901234567890, 13, 5000) for x in part.tolist()] == expected
 
 
+def test_calendar_refuses_longer_series(spark):
+    first = date(2010, 1, 4)
+    edges = lambda weeks: spark.createDataFrame([(first, first + timedelta(weeks=weeks - 1))], "first date, last date")
+    assert temporal.calendar(edges(520)).distinct().count() == 520
+    with pytest.raises(Exception, match="cannot exceed 520 weeks"):
+        temporal.calendar(edges(521)).collect()
+
+
 def test_regional_control(spark):
     programs = spark.createDataFrame([(f"p{k}", "A" if k <= 4 else "B") for k in range(1, 9)], "program_id string, source_key string")
     geo = {"siberia": "1235", "central": "46", "russia": "257", "wide": "13457"}

@@ -5,8 +5,9 @@ training counts to the shards of the first level, and get counts back; then thei
 pairs go to the shards of the second level.  A shard of that level merges the counts and keeps
 contexts, pointers to each context's successors, and successors (as context rank and hash, so that
 the sequence is monotone) in Elias-Fano form, with one byte for each smoothed probability and each
-context's weight of the lower order.  A lookup finds the context, then the successor inside the
-context's range.
+context's weight of the lower order.  Levels stay in the task's memory; none is mapped from a file.
+A lookup finds the context, then the successor in the whole sequence of the shard, and checks that
+it lies in the context's range.
 
 Smoothing is Witten-Bell: P(w|v) = c(v,w) / (c(v) + T(v)) + T(v) / (c(v) + T(v)) * P(w), with T(v)
 the distinct successors of v and P(w) the add-one unigram of the base.  A context with over
@@ -14,8 +15,9 @@ the distinct successors of v and P(w) the add-one unigram of the base.  A contex
 shard holds a whole frequent context.  Its statistics are not split: a block asks every node of its
 frequent contexts for the node's count and distinct successors, and scores by their sums.
 
-Words and pairs are hashed; at a pair's key size, which grows with the corpus, a wrong match is
-rarer than one in ten thousand lookups.  Token counts use 63-bit hashes.
+Words and pairs are hashed.  Successors have 23 bits at every corpus size, so an unseen successor
+matches wrongly with a chance of T / 2^23 in a node of T distinct successors: up to 0.8 % in the
+largest nodes, of 65,536.  The bits of nodes grow with the corpus.  Token counts use 63-bit hashes.
 """
 
 from __future__ import annotations

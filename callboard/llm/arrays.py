@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 PIECE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
@@ -114,8 +115,37 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Slices over so many bytes are hashed one by one.
+LONG = 64
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice by its content and length: eight bytes at a time, each step a
+    bijection, and XXH3 for long slices.  No pattern of bytes makes different slices meet, as the
+    polynomial of ``Rolling`` does for some of a thousand bytes, so equal hashes mean equal slices
+    but for chance (n slices: n * n / 2**65)."""
+    size = ends - starts
+    words = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mixed((size.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+    out = mixed(out ^ (words[starts] & _KEPT[np.minimum(size, 8)]))
+    rows = np.flatnonzero((size > 8) & (size <= LONG))
+    at, left = starts[rows] + 8, size[rows] - 8
+    while len(rows):
+        out[rows] = mixed(out[rows] ^ (words[at] & _KEPT[np.minimum(left, 8)]))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
+
+
 class Rolling:
-    """Polynomial hashes modulo 2**64 of any slices of the bytes, after one prefix pass."""
+    """Polynomial hashes modulo 2**64 of any slices of the bytes, after one prefix pass.
+
+    Fit for slices of a few hundred bytes; beyond a thousand some patterns collide by construction
+    (``hashes`` has no such pattern).
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)

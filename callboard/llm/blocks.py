@@ -29,9 +29,14 @@ def count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -
 
 
 def dealt(docs: DataFrame, blocks: int, text: str = "text") -> DataFrame:
-    """The rows with ``block``, each block in one partition.  Rows without an id go by their text."""
-    key = F.coalesce(F.xxhash64(F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))), F.lit(0)) if "doc_id" in docs.columns else F.lit(0)
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(key) if "doc_id" in docs.columns else F.xxhash64(text)
+    """The rows with ``block``, each block in one partition.
+
+    A row goes by its id, its text and the part of the file that it was read from, so that neither
+    one id nor one row repeated over and over lands in one block.  All of them are the same when a
+    lost task reads again.
+    """
+    known = ["doc_id"] if "doc_id" in docs.columns else []
+    key = F.xxhash64(*known, f"`{text}`", F.input_file_name(), F.input_file_block_start())
     return docs.withColumn("block", F.pmod(key, F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
 
@@ -71,6 +76,18 @@ def unpack(body: bytes) -> tuple[np.ndarray, bytes]:
     return keys, body[13 + width * (n - 1) :]
 
 
+def sections(parts: list[bytes]) -> bytes:
+    """Several bodies as one."""
+    return b"".join(len(p).to_bytes(4, "little") for p in parts) + b"".join(parts)
+
+
+def section(body: bytes, k: int, of: int) -> bytes:
+    """The k-th of so many bodies."""
+    sizes = np.frombuffer(body, "<u4", of)
+    at = 4 * of + int(sizes[:k].sum())
+    return body[at : at + int(sizes[k])]
+
+
 def rows(block: int, bodies: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table(
         {"block": pa.array([block] * len(bodies), pa.int32()), "bucket": pa.array([b for b, _ in bodies], pa.int32()), "body": pa.array([x for _, x in bodies], pa.binary())}

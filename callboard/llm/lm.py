@@ -1,59 +1,109 @@
 """Language-model scores from an n-gram trie in Elias-Fano levels.
 
-The trie is built and asked in shards.  Blocks of documents send their distinct tokens with
-training counts to the shards of the first level, and get counts back; then their distinct word
-pairs go to the shards of the second level.  A shard of that level merges the counts and keeps
-contexts, pointers to each context's successors, and successors (as context rank and hash, so that
-the sequence is monotone) in Elias-Fano form, with one byte for each smoothed probability and each
-context's weight of the lower order.  Levels stay in the task's memory; none is mapped from a file.
-A lookup finds the context, then the successor in the whole sequence of the shard, and checks that
-it lies in the context's range.
-
-Smoothing is Witten-Bell: P(w|v) = c(v,w) / (c(v) + T(v)) + T(v) / (c(v) + T(v)) * P(w), with T(v)
-the distinct successors of v and P(w) the add-one unigram of the base.  A context with over
-``FAN`` occurrences is stored in nodes of about that size, by its successors' hash, so that no
-shard holds a whole frequent context.  Its statistics are not split: a block asks every node of its
-frequent contexts for the node's count and distinct successors, and scores by their sums.
-
-Words and pairs are hashed.  Successors have 23 bits at every corpus size, so an unseen successor
-matches wrongly with a chance of T / 2^23 in a node of T distinct successors: up to 0.8 % in the
-largest nodes, of 65,536.  The bits of nodes grow with the corpus.  Token counts use 63-bit hashes.
+The trie has three orders: words, pairs and triples.  It is built and asked in shards, in one
+exchange.  A block of documents sends each shard its distinct n-grams with their training counts;
+a shard adds up the counts of all blocks, writes each level to a file in the shared folder, maps
+it, and answers every block in the order of its keys.
+
+A level holds contexts, pointers from each context to its successors, and the successors, as
+monotone Elias-Fano sequences: a successor is stored relative to its context's rank and searched
+between that context's two pointers only.  One byte a successor holds its quantised probability
+of occurring with its context, in units of one occurrence in training: exact up to ``EXACT``, in
+steps of ``STEP`` of log10 beyond.  The first order keeps exact counts, as running sums.
+
+Smoothing is the hierarchical Dirichlet form: P(w|v) = (c(v,w) + K * P(w)) / (c(v) + K), then
+P(w|u,v) = (c(u,v,w) + K * P(w|v)) / (c(u,v) + K), with P(w) the add-one unigram of the base.  The
+count of a context is the count of the n-gram before, so a context's successors need not lie in
+one shard: each is dealt by its hash to one of ``fan`` nodes of its context, and the number of nodes
+grows with the corpus, which spreads "of the" and its like.  Scores do not depend on it.
+
+Words and n-grams are hashed.  A triple or pair that training lacks is taken for another of its
+context with a chance of T / 2**SUCCESSOR_BITS for T successors in its node (27 bits for a corpus
+of a gigabyte, 30 from 32 GB on): 2e-8 for a pair of the usual three, 0.4 % in a context with half
+a million successors.  Then it gets that one's count, mostly one.
 """
 
 from __future__ import annotations
 
+import mmap
+import os
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from callboard.llm import blocks as B
-from callboard.llm.arrays import LOWER, WORD, Rolling, mixed, raw, spans
+from callboard.llm.arrays import LOWER, WORD, hashes, mixed, spans
 from callboard.llm.eliasfano import EliasFano
 
-FAN = 1 << 16
-SUCCESSOR_BITS = 23
-LOW = np.uint64((1 << SUCCESSOR_BITS) - 1)
+ORDERS = 3
+#: Occurrences that the lower order's estimate counts for, by order.
+WEIGHTS = (0.0, 20.0, 4.0)
 TOKEN_BITS = 63
 BLOCK_BYTES = 8 << 20
-#: One byte for a log10 probability: 1 is 0, each step is less by this; 0 says not found.
-STEP = 0.036
+#: Text bytes whose n-grams one shard holds, and shards for each node of a context.
+SHARD_BYTES = 10 << 20
+SHARDS_A_NODE = 128
+#: A byte's values: 0 is none, then counts up to EXACT, then steps of STEP in log10.
+EXACT = 64
+STEP = 0.06
+VALUES = np.concatenate([np.arange(EXACT + 1.0), EXACT * 10 ** (STEP * np.arange(1, 256 - EXACT))])
 END, START = np.uint64(0x1234567890ABCDEF), np.uint64(0x0FEDCBA987654321)
+_TURN, _WORD, _EARLIER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD93)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each text's words and its end, of the token before each, and each text's first."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's words and its end, and each text's first (one more than texts)."""
     data = LOWER[data]
     starts, ends, firsts = spans(data, offsets, WORD)
-    texts = len(offsets) - 1
-    begins = firsts + np.arange(texts + 1)
+    begins = firsts + np.arange(len(offsets))
     out = np.full(int(begins[-1]), END)
     word = np.ones(len(out), bool)
     word[begins[1:] - 1] = False
-    out[word] = Rolling(data)(starts, ends)
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[begins[:-1]] = START
-    return out, before, begins
+    out[word] = hashes(data, starts, ends)
+    return out, begins
+
+
+def shifted(values: np.ndarray, begins: np.ndarray, first) -> np.ndarray:
+    """The value before each one of its text; ``first`` before a text's first."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[begins[:-1]] = first
+    return out
+
+
+@dataclass(frozen=True)
+class Keys:
+    """How n-grams become keys: a node of the context above, the successor's hash below."""
+
+    bits: int
+    fan: int
+
+    @property
+    def low_bits(self) -> np.uint64:
+        return np.uint64(self.bits // 2 - 1)
+
+    @classmethod
+    def of(cls, size: int, shards: int) -> Keys:
+        return cls(min(62, max(56, size.bit_length() + 26)), max(1, shards // SHARDS_A_NODE))
+
+    def __call__(self, token: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+        """Keys of the n-gram that ends at each token, by order."""
+        out = [token >> np.uint64(64 - TOKEN_BITS)]
+        successor = mixed(token ^ _WORD)
+        turn = (successor >> np.uint64(32)) % np.uint64(self.fan)
+        low = successor & np.uint64((1 << int(self.low_bits)) - 1)
+        one = shifted(token, begins, START)
+        two = shifted(one, begins, START)
+        for context in (one, mixed(one ^ mixed(two + _EARLIER))):
+            node = mixed(context + turn * _TURN) >> (np.uint64(64 - self.bits) + self.low_bits)
+            out.append((node << self.low_bits) | low)
+        return out
+
+    def width(self, order: int) -> int:
+        return self.bits if order else TOKEN_BITS
 
 
 def counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,22 +111,19 @@ def counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray
     both = np.sort((keys << np.uint64(1)) | learn.astype(np.uint64))
     if not len(both):
         return both, np.zeros(0, np.int64)
-    new = np.ones(len(both), bool)
-    new[1:] = (both[1:] >> np.uint64(1)) != (both[:-1] >> np.uint64(1))
-    heads = np.flatnonzero(new)
+    heads = np.flatnonzero(np.concatenate([[True], (both[1:] >> np.uint64(1)) != (both[:-1] >> np.uint64(1))]))
     return both[heads] >> np.uint64(1), np.add.reduceat((both & np.uint64(1)).astype(np.int64), heads)
 
 
-def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all parts with their counts added; keys without a count are left out."""
-    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    keys, counts = keys[counts > 0], counts[counts > 0]
-    if not len(keys):
-        return keys, counts
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, each key's place among them, and the order that sorts the keys."""
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[heads], np.add.reduceat(counts, heads)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place, order
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -93,253 +140,201 @@ def _numbers(body: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
-def _sent(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int, bits: int) -> pa.Table:
-    edges = B.bucket_edges(keys, buckets, bits)
-    return B.rows(block, [(k, B.pack(keys[a:b], _planes(counts[a:b]))) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
-
-
-def _received(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for x in table.column("body"):
-        keys, extra = B.unpack(x.as_py())
-        out.append((keys, _numbers(extra, len(keys))))
-    return out
+def quantised(counts: np.ndarray) -> np.ndarray:
+    """The byte of each count."""
+    steps = np.rint(np.log10(np.maximum(counts, 1) / EXACT) / STEP)
+    return np.where(counts <= EXACT, counts, np.clip(EXACT + steps, EXACT, 255)).astype(np.uint8)
 
 
-def _answered(table: pa.Table, bodies: list[bytes]) -> pa.Table:
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "body": pa.array(bodies, pa.binary())})
+class Unigrams:
+    """A shard of the first level: words, and running sums of their counts."""
 
+    def __init__(self, words: EliasFano, sums: EliasFano):
+        self.words, self.sums = words, sums
 
-class Unigrams:
-    """A shard of the trie's first level."""
+    @classmethod
+    def build(cls, keys: np.ndarray, counts: np.ndarray) -> bytes:
+        sums = np.concatenate([[0], np.cumsum(counts)]).astype(np.uint64)
+        return EliasFano.build(keys, 1 << TOKEN_BITS).to_bytes() + EliasFano.build(sums, int(sums[-1]) + 1).to_bytes()
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.level, self.counts = EliasFano.build(keys, 1 << TOKEN_BITS), counts
+    @classmethod
+    def mapped(cls, buffer) -> Unigrams:
+        words, at = EliasFano.from_buffer(buffer)
+        return cls(words, EliasFano.from_buffer(buffer, at)[0])
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self.level.find(keys)
-        return np.where(at >= 0, self.counts[np.maximum(at, 0)], 0) if len(self.counts) else np.zeros(len(keys), np.int64)
+        """The counts of sorted distinct words; 0 where unknown."""
+        at = self.words.find(keys)
+        known = np.flatnonzero(at >= 0)
+        out = np.zeros(len(keys), np.int64)
+        out[known] = (self.sums.get(at[known] + 1) - self.sums.get(at[known])).astype(np.int64)
+        return out
 
 
-def node_answers(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences and distinct successors of the nodes that a block asked a shard for."""
-    at = 4 + 2 * int.from_bytes(body[:4], "little")
-    n, middle = (int.from_bytes(body[at + k : at + k + 4], "little") for k in (0, 4))
-    return _numbers(body[at + 8 : at + 8 + middle], n), _numbers(body[at + 8 + middle :], n)
+class Successors:
+    """A shard of a further level: contexts, pointers, successors, and a byte for each."""
 
+    def __init__(self, low_bits: np.uint64, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
+        self.low_bits, self.contexts, self.pointers, self.successors, self.codes = low_bits, contexts, pointers, successors, codes
 
-class Bigrams:
-    """A shard of the second level: contexts, pointers, successors, and a byte for each value."""
+    @staticmethod
+    def _nodes(keys: np.ndarray, low_bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct nodes of sorted keys, and where each one's keys begin (and the last end)."""
+        node = keys >> low_bits
+        heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        return node[heads], np.append(heads, len(keys))
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray, lower: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.codes, self.lower = contexts, pointers, successors, codes, lower
+    def _relative(self, rank: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return (rank.astype(np.uint64) << self.low_bits) | (keys & np.uint64((1 << int(self.low_bits)) - 1))
 
     @classmethod
-    def build(cls, keys: np.ndarray, counts: np.ndarray, bits: int) -> Bigrams:
-        node = keys >> np.uint64(SUCCESSOR_BITS)
-        heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        edges = np.append(heads, len(keys))
-        kinds = np.diff(edges)
-        total = np.add.reduceat(counts, heads) if len(heads) else np.zeros(0, np.int64)
-        rank = np.repeat(np.arange(len(heads)), kinds).astype(np.uint64)
-        value = (rank << np.uint64(SUCCESSOR_BITS)) | (keys & np.uint64((1 << SUCCESSOR_BITS) - 1))
-        codes = quantised(np.log10(counts / np.repeat(total + kinds, kinds))) if len(keys) else np.zeros(0, np.uint8)
-        return cls(
-            EliasFano.build(node[heads], 1 << (bits - SUCCESSOR_BITS)), EliasFano.build(edges.astype(np.uint64), len(keys) + 1),
-            EliasFano.build(value, max(len(heads), 1) << SUCCESSOR_BITS), codes, quantised(np.log10(kinds / (total + kinds))) if len(heads) else np.zeros(0, np.uint8),
-        )
-
-    def to_bytes(self) -> bytes:
-        return b"".join(x.to_bytes() for x in (self.contexts, self.pointers, self.successors)) + self.codes.tobytes() + self.lower.tobytes()
+    def build(cls, keys: np.ndarray, counts: np.ndarray, shape: Keys) -> bytes:
+        node, edges = cls._nodes(keys, shape.low_bits)
+        rank = np.repeat(np.arange(len(node)), np.diff(edges))
+        value = cls(shape.low_bits, None, None, None, None)._relative(rank, keys)
+        low = int(shape.low_bits)
+        levels = EliasFano.build(node, 1 << (shape.bits - low)), EliasFano.build(edges.astype(np.uint64), len(keys) + 1), EliasFano.build(value, max(len(node), 1) << low)
+        return b"".join(x.to_bytes() for x in levels) + quantised(counts).tobytes()
 
     @classmethod
-    def from_buffer(cls, buffer) -> Bigrams:
+    def mapped(cls, buffer, shape: Keys) -> Successors:
         at, levels = 0, []
         for _ in range(3):
             level, at = EliasFano.from_buffer(buffer, at)
             levels.append(level)
-        n, m = levels[2].n, levels[0].n
-        return cls(*levels, np.frombuffer(buffer, np.uint8, n, at), np.frombuffer(buffer, np.uint8, m, at + n))
-
-    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of sorted pairs, and of their contexts' lower-order weights; 0 where unknown."""
-        if not len(keys) or not self.contexts.n:
-            return np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.uint8)
-        node = keys >> np.uint64(SUCCESSOR_BITS)
-        heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        rank = self.contexts.find(node[heads])
-        begin, end = (self.pointers.get(np.maximum(rank, 0) + k).astype(np.int64) for k in (0, 1))
-        each = np.diff(np.append(heads, len(keys)))
-        rank, begin, end = (np.repeat(x, each) for x in (rank, begin, end))
-        codes = np.zeros(len(keys), np.uint8)
-        known = np.flatnonzero(rank >= 0)
-        value = (rank[known].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | (keys[known] & np.uint64((1 << SUCCESSOR_BITS) - 1))
-        at = self.successors.find(value)
-        codes[known] = np.where((at >= begin[known]) & (at < end[known]), self.codes[np.maximum(at, 0)], 0)
-        return codes, np.where(rank >= 0, self.lower[np.maximum(rank, 0)], 0).astype(np.uint8)
-
-
-def quantised(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 / STEP), 0, 254).astype(np.uint8) + np.uint8(1)
-
-
-VALUES = np.concatenate([[0.0], 10 ** (-STEP * np.arange(255))])
-
-
-def pair_keys(token: np.ndarray, before: np.ndarray, hot: np.ndarray, fan: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The key of each pair (context node and successor), and its context's number of nodes.
+        return cls(shape.low_bits, *levels, np.frombuffer(buffer, np.uint8, levels[2].n, at))
 
-    hot: sorted hashes of contexts with several nodes; fan: their nodes.
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The bytes of sorted distinct n-grams; 0 where unknown."""
+        node, edges = self._nodes(keys, self.low_bits)
+        rank = self.contexts.find(node)
+        held = np.flatnonzero(rank >= 0)
+        each = np.diff(edges)[held]
+        begin, end = (np.repeat(self.pointers.get(rank[held] + k).astype(np.int64), each) for k in (0, 1))
+        asked = np.flatnonzero(np.repeat(rank >= 0, np.diff(edges)))
+        at = self.successors.find(self._relative(np.repeat(rank[held], each), keys[asked]), begin, end)
+        out = np.zeros(len(keys), np.uint8)
+        out[asked[at >= 0]] = self.codes[at[at >= 0]]
+        return out
+
+
+def on_file(folder: str | None, level: bytes):
+    """The level as a memory map of a file in the shared folder; the file goes when it is unmapped.
+
+    Without a folder that can be mapped (an object store), the level stays as it is.
     """
-    nodes = np.ones(len(token), np.int64)
-    if len(hot):
-        near = np.minimum(np.searchsorted(hot, before), len(hot) - 1)
-        nodes = np.where(hot[near] == before, fan[near], 1)
-    successor = mixed(token ^ np.uint64(0x5851F42D4C957F2D))
-    turn = (successor >> np.uint64(32)).astype(np.int64) % nodes
-    low = np.maximum(successor & LOW, np.uint64(1))  # 0 is the node itself
-    return node_keys(before, turn, bits) | low, nodes
-
-
-def node_keys(context: np.ndarray, turn: np.ndarray, bits: int) -> np.ndarray:
-    """The key that asks for the statistics of a context's node, below those of its successors."""
-    node = mixed(context + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (bits - SUCCESSOR_BITS))
-    return node << np.uint64(SUCCESSOR_BITS)
-
-
-def hot_nodes(hot: np.ndarray, fan: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all nodes of the contexts with several, and each one's place among them."""
-    fan = np.where(hot == END, 0, fan)  # an end has no successor
-    place = np.repeat(np.arange(len(hot)), fan)
-    turn = np.arange(len(place)) - np.repeat(np.cumsum(fan) - fan, fan)
-    return node_keys(hot[place], turn, bits), place
-
-
-def node_statistics(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences and distinct successors of the asked nodes, of a shard's sorted pairs."""
-    before = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    begin, end = np.searchsorted(keys, asked), np.searchsorted(keys, asked | LOW, side="right")
-    return before[end] - before[begin], end - begin
+    if folder is None:
+        return level
+    path = os.path.join(folder, f"level-{uuid.uuid4().hex}")
+    try:
+        with open(path, "xb") as f:
+            f.write(level)
+        with open(path, "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    finally:
+        if os.path.exists(path):
+            os.unlink(path)
+
+
+def shared_folder(docs: DataFrame) -> str | None:
+    """The session's shared folder, if it is one that files can be mapped from."""
+    path = docs.sparkSession.conf.get("spark.checkpoint.dir", None) or ""
+    path = path.removeprefix("file://").removeprefix("file:")
+    return path if path.startswith("/") else None
+
+
+def answered(bodies: list[bytes], shape: Keys, folder: str | None) -> list[bytes]:
+    """One shard: what blocks sent (``Keys`` by order, with counts), merged into its levels, which
+    answer each block.  The first section of an answer has the shard's words and distinct words."""
+    answers: list[list[bytes]] = [[] for _ in bodies]
+    totals = b""
+    for order in range(ORDERS):
+        sent = []
+        for body in bodies:
+            keys, extra = B.unpack(B.section(body, order, ORDERS))
+            sent.append((keys, _numbers(extra, len(keys))))
+        edges = np.cumsum([0, *(len(k) for k, _ in sent)])
+        distinct, place, _ = ranked(np.concatenate([k for k, _ in sent]))
+        counts = np.bincount(place, np.concatenate([c for _, c in sent]), len(distinct)).astype(np.int64)
+        del sent
+        known = counts > 0
+        if order == 0:
+            totals = int(counts.sum()).to_bytes(8, "little") + int(known.sum()).to_bytes(8, "little")
+            found = Unigrams.mapped(on_file(folder, Unigrams.build(distinct[known], counts[known])))(distinct)
+        else:
+            found = Successors.mapped(on_file(folder, Successors.build(distinct[known], counts[known], shape)), shape)(distinct)
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            mine = found[place[a:b]]
+            answers[k].append(mine.tobytes() if order else len(mine).to_bytes(4, "little") + _planes(mine))
+    return [B.sections([totals, *a]) for a in answers]
 
 
 def scored(docs: DataFrame, held_out: Column, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The carried columns, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` and ``score`` of every text; the model learns from rows that are not held out.
 
-    A null text is empty and so has its end as the only token.  Without a training row every token
-    is unknown and the score is that of the base.  Repeated rows count as often as they occur.
+    A null text is empty and so has its end as the only token; an empty table gives no rows.
+    Without a training row every token is unknown and the score is that of the base.  Repeated rows
+    count as often as they occur, and rows with equal texts get equal scores.  A long text is one
+    row of one block.  Columns of ``docs`` with the names of results, or ``block``, give way.
     """
     results = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     carry = tuple(c for c in carry if c not in (*results, "block"))
     n, size = B.count(docs, text, BLOCK_BYTES)
-    bits = min(62, max(56, size.bit_length() + 26))
-    keyed = B.dealt(docs.select(*(f"`{c}`" for c in dict.fromkeys([*carry, text, "doc_id"])), held_out.alias("held_out")), n, text)
+    shards = max(8, -(-size // SHARD_BYTES))
+    shape, folder = Keys.of(size, shards), shared_folder(docs)
+    own = [c for c in dict.fromkeys([*carry, text, "doc_id"]) if c in docs.columns]
+    keyed = B.dealt(docs.select(*(f"`{c}`" for c in own), held_out.alias("held_out")), n, text)
 
-    def read(table: pa.Table) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
-        learn = ~table.column("held_out").to_numpy().astype(bool)
+    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of the block, and each text's first."""
         parts = [tokens(d, o) for d, o in B.texts(table, text)]
-        sizes = np.concatenate([np.diff(b) for *_, b in parts]) if parts else np.zeros(0, np.int64)
-        return parts, np.repeat(learn, sizes)
-
-    def together(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        none = np.zeros(0, np.uint64)
-        return np.concatenate([none, *(t for t, *_ in parts)]), np.concatenate([none, *(b for _, b, _ in parts)])
-
-    def send_tokens(table: pa.Table) -> pa.Table:
-        parts, learn = read(table)
-        keys, counts = counted(together(parts)[0] >> np.uint64(1), learn)
-        return _sent(table.column("block")[0].as_py(), keys, counts, n, TOKEN_BITS)
-
-    def merge_tokens(table: pa.Table) -> pa.Table:
-        parts = _received(table)
-        shard = Unigrams(*summed(parts))
-        totals = int(shard.counts.sum()).to_bytes(8, "little") + len(shard.counts).to_bytes(8, "little")
-        return _answered(table, [totals + len(k).to_bytes(4, "little") + _planes(shard(k)) for k, _ in parts])
-
-    def learned(table: pa.Table) -> tuple[np.ndarray, int, int]:
-        """A block's counts in the order of its sorted tokens, and N and V."""
-        bodies = B.answers(table)
-        counts = [_numbers(x[20:], int.from_bytes(x[16:20], "little")) for x in bodies]
-        total, kinds = (sum(int.from_bytes(x[a : a + 8], "little") for x in bodies) for a in (0, 8))
-        return np.concatenate([np.zeros(0, np.int64), *counts]), total, kinds
-
-    def hot_contexts(token: np.ndarray, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts of the block with several nodes; the start occurs as often as the end."""
-        some = np.flatnonzero(counts > FAN)
-        near = np.minimum(np.searchsorted(known[some], token >> np.uint64(1)), max(len(some) - 1, 0))
-        full = np.unique(token[known[some][near] == (token >> np.uint64(1))]) if len(some) else np.zeros(0, np.uint64)
-        fans = -(-counts[np.searchsorted(known, full >> np.uint64(1))] // FAN)
-        if END in full:
-            full, fans = np.append(full, START), np.append(fans, fans[full == END])
-            order = np.argsort(full)
-            full, fans = full[order], fans[order]
-        return full, fans
-
-    def send_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return B.rows(0, [])
-        parts, learn = read(left)
-        token, before = together(parts)
-        known = np.unique(token >> np.uint64(1))
-        hot, fan = hot_contexts(token, known, learned(right)[0])
-        nodes = hot_nodes(hot, fan, bits)[0]
-        keys, counts = counted(np.concatenate([pair_keys(token, before, hot, fan, bits)[0], nodes]), np.concatenate([learn, np.zeros(len(nodes), bool)]))
-        return _sent(left.column("block")[0].as_py(), keys, counts, n, bits)
-
-    def merge_pairs(table: pa.Table) -> pa.Table:
-        parts = _received(table)
-        keys, counts = summed(parts)
-        shard = Bigrams.from_buffer(Bigrams.build(keys, counts, bits).to_bytes())
-
-        def answer(k: np.ndarray) -> bytes:
-            asked = k[(k & LOW) == 0]
-            of_nodes = [_planes(x) for x in node_statistics(keys, counts, asked)]
-            return len(k).to_bytes(4, "little") + b"".join(x.tobytes() for x in shard(k)) + len(asked).to_bytes(4, "little") + len(of_nodes[0]).to_bytes(4, "little") + b"".join(of_nodes)
-
-        return _answered(table, [answer(k) for k, _ in parts])
+        token = np.concatenate([np.zeros(0, np.uint64), *(t for t, _ in parts)])
+        sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(b) for _, b in parts)])
+        return token, np.concatenate([[0], np.cumsum(sizes)])
+
+    def send(table: pa.Table) -> pa.Table:
+        token, begins = read(table)
+        learn = np.repeat(~table.column("held_out").to_numpy().astype(bool), np.diff(begins))
+        bodies: list[list[bytes]] = [[] for _ in range(shards)]
+        for order, keys in enumerate(shape(token, begins)):
+            keys, counts = counted(keys, learn)
+            edges = B.bucket_edges(keys, shards, shape.width(order))
+            for k in range(shards):
+                a, b = edges[k], edges[k + 1]
+                bodies[k].append(B.pack(keys[a:b], _planes(counts[a:b])))
+        return B.rows(table.column("block")[0].as_py(), [(k, B.sections(b)) for k, b in enumerate(bodies)])
+
+    def merge(table: pa.Table) -> pa.Table:
+        bodies = answered([x.as_py() for x in table.column("body")], shape, folder)
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "body": pa.array(bodies, pa.binary())})
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        stage = right.column("stage").to_numpy() if right.num_rows else np.zeros(0, np.int32)
-        parts, _ = read(left)
-        token, before = together(parts)
-        known = np.unique(token >> np.uint64(1))
-        counts, total, kinds = learned(right.filter(pa.array(stage == 1)))
-        hot, fan = hot_contexts(token, known, counts)
-        answers = B.answers(right.filter(pa.array(stage == 2)))
-        sizes = [int.from_bytes(x[:4], "little") for x in answers]
-        code = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8, k, 4) for x, k in zip(answers, sizes, strict=True))])
-        weight = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8, k, 4 + k) for x, k in zip(answers, sizes, strict=True))])
-        nodes, place = hot_nodes(hot, fan, bits)
-        pairs = np.unique(np.concatenate([pair_keys(token, before, hot, fan, bits)[0], nodes]))
-        asked = pairs[(pairs & LOW) == 0]
-        total_of, kinds_of = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*(node_answers(x) for x in answers), strict=True)) if answers else (np.zeros(0, np.int64),) * 2
-        size, each = total_of + kinds_of, np.searchsorted(asked, nodes)
-        mass, spread = (np.bincount(place, x[each], len(hot)) for x in (size, kinds_of))
-        held = left.column("held_out").to_numpy()
-        out: dict[str, list[np.ndarray]] = {c: [] for c in results[1:]}
-        for t, b, begins in parts:
-            c = counts[np.searchsorted(known, t >> np.uint64(1))]
-            low = (c + 1) / (total + kinds + 1)
-            key, fans = pair_keys(t, b, hot, fan, bits)
-            at = np.searchsorted(pairs, key)
-            lower = np.where(weight[at] > 0, VALUES[weight[at]], 1.0)
-            own = np.ones(len(t))  # of a context with several nodes: the node's part of the denominator
-            split = np.flatnonzero(fans > 1)
-            v = np.searchsorted(hot, b[split])
-            own[split] = size[np.searchsorted(asked, key[split] & ~LOW)] / mass[v]
-            lower[split] = spread[v] / mass[v]
-            p = VALUES[code[at]] * own + lower * low
-            for name, value in (("n_tokens", np.ones(len(t), np.int64)), ("n_known", (c > 0).astype(np.int64)), ("base_score", np.log10(low)), ("score", np.log10(p))):
-                out[name].append(np.add.reduceat(value, begins[:-1]) if len(begins) > 1 else value[:0])
-            out["train_tokens"].append(np.full(len(begins) - 1, total))
-        columns = {c: left.column(c) for c in carry} | {"held_out": pa.array(held)}
+        token, begins = read(left)
+        answers = B.answers(right)
+        totals = [B.section(x, 0, ORDERS + 1) for x in answers]  # of every shard, as each answers each block
+        total, kinds = (sum(int.from_bytes(x[a : a + 8], "little") for x in totals) for a in (0, 8))
+        out = {}
+        for order, keys in enumerate(shape(token, begins)):
+            _, place, _ = ranked(keys)
+            parts = [B.section(x, order + 1, ORDERS + 1) for x in answers]
+            if order == 0:
+                found = np.concatenate([_numbers(p[4:], int.from_bytes(p[:4], "little")) for p in parts])[place]
+                probability = (found + 1) / (total + kinds + 1)
+                out["n_known"], out["base_score"] = found > 0, np.log10(probability)
+                starts = found[begins[1:] - 1][:1]  # as often as an end
+                context = shifted(found.astype(np.float64), begins, starts)
+            else:
+                found = np.minimum(VALUES[np.concatenate([np.frombuffer(p, np.uint8) for p in parts])][place], context)
+                probability = (found + WEIGHTS[order] * probability) / (context + WEIGHTS[order])
+                context = shifted(found, begins, starts)
+        out["score"] = np.log10(probability)
+        columns = {c: left.column(c) for c in (*carry, "held_out")} | {"n_tokens": pa.array(np.diff(begins)), "train_tokens": pa.array(np.full(left.num_rows, total))}
         for name, values in out.items():
-            kind = np.float64 if "score" in name else np.int64
-            columns[name] = pa.array(np.concatenate([np.zeros(0, kind), *values]).astype(kind))
-        return pa.table(columns)
-
-    schema = ", ".join([*(f"`{c}` {dict(docs.dtypes)[c]}" for c in carry), "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"])
-    first = keyed.groupBy("block").applyInArrow(send_tokens, B.SENT).groupBy("bucket").applyInArrow(merge_tokens, B.SENT)
-    second = keyed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_pairs, B.SENT).groupBy("bucket").applyInArrow(merge_pairs, B.SENT)
-    told = first.selectExpr("*", "1 AS stage").unionByName(second.selectExpr("*", "2 AS stage"))
+            columns[name] = pa.array(np.add.reduceat(values.astype(np.float64 if "score" in name else np.int64), begins[:-1]))
+        return pa.table(columns).select([*carry, *results])
+
+    types = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carry), "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"])
+    told = keyed.groupBy("block").applyInArrow(send, B.SENT).groupBy("bucket").applyInArrow(merge, B.SENT)
     return keyed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)

@@ -1,10 +1,13 @@
 """Looking up what many documents hold in common, without a row per occurrence.
 
-Documents are dealt to blocks of bounded text by a hash of their id.  A block sends every bucket
-its distinct keys of that bucket, sorted and packed into one row; a bucket merges what all blocks
-sent and answers each block in the order of its keys.  A key that a third of all documents hold is
-so sent once a block, never once a document.  Buckets are ranges of the key, so a block's answers,
-in bucket order, follow its sorted keys and need no keys of their own.
+Documents are dealt to blocks of bounded text by a hash.  A block sends every bucket its distinct
+keys of that bucket, sorted and packed into one row; a bucket merges what all blocks sent and
+answers each block in the order of its keys.  A key that a third of all documents hold is so sent
+once a block, never once a document.  Buckets are ranges of the key, so a block's answers, in
+bucket order, follow its sorted keys and need no keys of their own.
+
+Blocks and buckets have sizes of their own.  There is at most one row for a block and a bucket, and
+never more rows than keys; executors with more memory may take larger ones, which makes fewer.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callboard.llm.arrays import pieces, raw
+from callboard.llm.eliasfano import EliasFano
 
 BLOCK_BYTES = 16 << 20
 SENT = "block int, bucket int, body binary"
@@ -53,27 +57,19 @@ def bucket_edges(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
 
 
 def pack(keys: np.ndarray, extra: bytes = b"") -> bytes:
-    """Sorted distinct keys as differences, byte plane by byte plane, and what belongs to them."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    width = (int(steps[1:].max(initial=0)).bit_length() + 7) // 8
-    first = int(keys[0]) if len(keys) else 0
-    planes = steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T if len(keys) > 1 else np.zeros((0, 0), np.uint8)
-    return len(keys).to_bytes(4, "little") + width.to_bytes(1, "little") + first.to_bytes(8, "little") + planes.tobytes() + extra
+    """Sorted keys as an Elias-Fano sequence from the first one on, and what belongs to them."""
+    if not len(keys):
+        return bytes(16) + extra
+    steps = keys - keys[0]
+    return len(keys).to_bytes(8, "little") + int(keys[0]).to_bytes(8, "little") + EliasFano.build(steps, int(steps[-1]) + 1).to_bytes() + extra
 
 
 def unpack(body: bytes) -> tuple[np.ndarray, bytes]:
-    n, width, first = int.from_bytes(body[:4], "little"), body[4], int.from_bytes(body[5:13], "little")
+    n, first = (int.from_bytes(body[a : a + 8], "little") for a in (0, 8))
     if not n:
-        return np.zeros(0, np.uint64), body[13:]
-    planes = np.zeros((n - 1, 8), np.uint8)
-    if n > 1 and width:
-        planes[:, :width] = np.frombuffer(body, np.uint8, width * (n - 1), 13).reshape(width, n - 1).T
-    keys = np.empty(n, np.uint64)
-    keys[0] = first
-    if n > 1:
-        keys[1:] = planes.view("<u8").ravel()
-        np.cumsum(keys, out=keys)
-    return keys, body[13 + width * (n - 1) :]
+        return np.zeros(0, np.uint64), body[16:]
+    steps, at = EliasFano.from_buffer(body, 16)
+    return steps.get(np.arange(n)) + np.uint64(first), body[at:]
 
 
 def sections(parts: list[bytes]) -> bytes:

@@ -54,3 +54,31 @@ def test_driver_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert got(repeats.repeats(docs)) == brute(rows)
+
+
+def test_fragments_of_resolved_copies(spark):
+    """Copies resolve one another by long ranks, yet count as twins for shorter passages of theirs."""
+    rng = np.random.default_rng(11)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    whole = [noise(int(n)) for n in rng.integers(250, 1500, 12)]
+    texts = [t for t in whole for _ in range(2)]
+    for t in whole:
+        for size in (199, 200, 201, 260, 330, 340):
+            at = int(rng.integers(0, max(len(t) - size, 1)))
+            texts.append(noise(int(rng.integers(0, 150))) + t[at : at + size] + noise(int(rng.integers(0, 150))))
+    texts += [t[-230:] for t in whole[:4]] + [t[:215] for t in whole[:4]] + ["ab" * 400, "ab" * 101, "c" * 5000]
+    assert got(repeats.repeats(table(spark, texts, partitions=7))) == brute(list(enumerate(texts)))
+
+
+def test_one_id_and_none(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdef"), 300)) for _ in range(40)] + ["same text " * 30] * 5 + [None] * 5
+    for ids in ([7] * 50, [None] * 50):
+        assert got(repeats.repeats(table(spark, texts, ids))) == brute(list(zip(ids, texts)))
+
+
+def test_clashing_columns_are_not_carried(spark):
+    docs = table(spark, ["x" * 300, "y"]).withColumnRenamed("lang", "n_spans").withColumnRenamed("source", "block")
+    out = repeats.repeats(docs, ("doc_id", "n_spans", "block", "n_chars"), kept_text=True)
+    assert out.columns == ["doc_id", "n_chars", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    assert {(r.doc_id, bytes(r.kept)) for r in out.collect()} == {(0, b""), (1, b"y")}

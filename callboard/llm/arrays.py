@@ -135,8 +135,10 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         out[rows] = mixed(out[rows] ^ (words[at] & _KEPT[np.minimum(left, 8)]))
         more = left > 8
         rows, at, left = rows[more], at[more] + 8, left[more] - 8
-    for k in np.flatnonzero(size > LONG).tolist():
-        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    rows = np.flatnonzero(size > LONG)
+    view = memoryview(np.ascontiguousarray(data))
+    for k, a, b in zip(rows.tolist(), starts[rows].tolist(), ends[rows].tolist(), strict=True):
+        out[k] = xxhash.xxh3_64_intdigest(view[a:b])
     return out
 
 

@@ -109,11 +109,12 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``: a document as often as it is
-    taken whole, and once cut after the words that its source's budget still holds."""
+    taken whole, and once cut after the words that its source's budget still holds.  Texts without
+    a word are never taken."""
     seed = options.get("seed", SEED)
     occurrence = W.Window.partitionBy("key").orderBy("size")
     plan = mixed(docs, **options).where("taken > 0").withColumn("turn", F.row_number().over(occurrence)).select(F.col("key").alias("__same"), F.col("turn").alias("__nth"), F.col("taken").alias("__taken"))
-    full = docs.select("*", _key(seed).alias("__key"))
+    full = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("*", _key(seed).alias("__key"))
     full = full.withColumn("__turn", F.row_number().over(W.Window.partitionBy("__key").orderBy(F.lit(1))))
     both = full.join(plan, (F.col("__key") == F.col("__same")) & (F.col("__turn") == F.col("__nth")))
     both = both.withColumn("__size", _size())

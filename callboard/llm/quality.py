@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from callboard.llm.arrays import LEAD, LOWER, WORD, Rolling, chained, mixed, owners, pieces, raw, spans, sums
+from callboard.llm.arrays import LEAD, LOWER, WORD, chained, hashes, mixed, owners, pieces, raw, spans, sums
 
 LEAST_WORDS = 50
 #: A document is rejected when 100 times its repeated words are over this many times its words.
@@ -51,12 +51,12 @@ CLOSING_WIDE = tuple(c.encode() for c in "…”’»。！？")
 SEPARATOR_WORDS = tuple(c.encode() for c in ("|", "||", ">", ">>", "»", "·", "•", "/", "::", "*", "-", "–"))
 
 
-def _repeated(hashes: np.ndarray, doc: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+def _repeated(words: np.ndarray, doc: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Per text, the words in three-word windows that it has twice or more."""
-    n = len(hashes)
+    n = len(words)
     if n < 3:
         return np.zeros(len(firsts) - 1, np.int64)
-    window = chained(hashes, 3)
+    window = chained(words, 3)
     inside = doc[:-2] == doc[2:]
     window, owner, at = window[inside], doc[:-2][inside], np.flatnonzero(inside)
     key = mixed(window + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -83,7 +83,6 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The counts per text, the lines' spans and which of them fail."""
     starts, ends, firsts = spans(data, offsets, WORD)
     doc = owners(firsts)
-    rolling = Rolling(data)
     leads = np.concatenate([[0], np.cumsum(LEAD[data])])
     chars = leads[ends] - leads[starts]
     symbols = np.concatenate([[0], np.cumsum(SYMBOL[data])])
@@ -91,12 +90,10 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     l_doc = owners(l_firsts)
     low, high = np.searchsorted(starts, l_starts), np.searchsorted(starts, l_ends)
     worded = high > low
-    whole = rolling(l_starts, l_ends)
     dup = np.zeros(len(l_starts), bool)
-    dup[worded] = _earlier(whole[worded], l_doc[worded])
+    dup[worded] = _earlier(hashes(data, l_starts[worded], l_ends[worded]), l_doc[worded])
 
     # Separators: words that are one of a few signs.
-    hashes = rolling(starts, ends)
     sign = np.zeros(len(starts), bool)
     short = np.flatnonzero(ends - starts <= 3)
     for s in SEPARATOR_WORDS:
@@ -135,7 +132,7 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     failed = worded & (navigation | strewn | boilerplate | ~closed)
     return {
         "n_words": np.diff(firsts), "word_chars": sums(chars, firsts), "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]],
-        "n_dup_lines": sums(dup, l_firsts), "n_repeat_words": _repeated(hashes, doc, firsts), "lost_chars": sums(np.where(failed, line_chars, 0), l_firsts),
+        "n_dup_lines": sums(dup, l_firsts), "n_repeat_words": _repeated(hashes(data, starts, ends), doc, firsts), "lost_chars": sums(np.where(failed, line_chars, 0), l_firsts),
         "n_failed_lines": sums(failed, l_firsts), "_line_starts": l_starts, "_line_ends": l_ends, "_failed": failed, "_line_firsts": l_firsts,
     }
 
@@ -147,8 +144,10 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "te
     """The carried columns, the counts, ``base_failed``, ``kept`` and, on demand, ``cleaned``: the
     text without its failing lines.
 
-    A null text has no words, so it fails the base rule.  Columns of ``docs`` with the names of
-    results are not carried.  One pass over the rows, no shuffle.
+    A null text has no words, so it fails the base rule.  Every row is judged by its own text, whole
+    however long, so repeated rows and ids agree; of equal lines the first counts as the original;
+    an empty table gives no rows.  Columns of ``docs`` with the names of results are not carried.
+    One pass over the rows, no shuffle.
     """
     carry = tuple(c for c in carry if c not in (*COUNTS, "base_failed", "kept", "cleaned"))
 

@@ -28,10 +28,10 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 #: Runs of 24 or more hex digits; a shorter run is dropped, so the scan may skip it.
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 PART = re.compile(r"[A-Za-z0-9]+")
 PLAIN = re.compile(r"[0-9]+|[A-Z]?[a-z]*|[A-Z]+")
-LEAST = 20
+LEAST = 16
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Characters per token below which a run counts as random.
 RATIO = 2.0
@@ -111,10 +111,13 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], encode, ratio: fl
 def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:
     """The carried columns and ``found``, an array of (kind, start, end) sorted by start and kind.
 
-    Offsets are code points, ends exclusive.  Null and empty texts have no spans; other columns
-    are ignored.  One pass, no shuffle; the vocabulary file (under a megabyte) is read where the
-    job starts and broadcast.
+    Offsets are code points, ends exclusive.  Null and empty texts have no spans; an empty table
+    gives no rows.  Every row is scanned by its own text, whole however long, so repeated rows and
+    ids agree; spans that start together are listed by kind.  A column of ``docs`` named ``found``
+    gives way, others are ignored.  One pass, no shuffle; the vocabulary file (under a megabyte) is
+    read where the job starts and broadcast.
     """
+    carry = tuple(c for c in carry if c != "found")
     import public_tokenizers
 
     with open(vocabulary or vocabulary_path(), "rb") as f:
@@ -132,7 +135,7 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "tex
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in carry), pa.array(rows, kind)], [*carry, "found"])
 
     schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in carry) + ", found array<struct<kind:string,start:int,end:int>>"
-    return docs.select(*carry, text).mapInArrow(of, schema)
+    return docs.select(*(f"`{c}`" for c in dict.fromkeys([*carry, text]))).mapInArrow(of, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -6,8 +6,11 @@ are toxic; all other words are not.  The field has two states and one score per
 (the word, its first and last letters), so it tags words that training never saw.  It is fitted
 by gradients of its likelihood (expected counts from forward-backward) on a bounded sample.
 
-Scoring runs forward-backward over chains of at most ``CHAIN`` words of a line, all chains of a
-batch at once, and turns the marginals into a document's score and its offending offsets.
+Scoring runs forward-backward over chains that are whole lines, however long, and turns the
+marginals into a document's score and its offending offsets.  All lines of a batch are one
+sequence in which a line's first word forgets what came before; the sequence is cut into stretches
+of ``STRETCH`` words whose transfer products are taken first, all stretches at once, so that every
+stretch then starts from the exact weights on both of its sides.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from callboard.llm.arrays import LEAD, LOWER, WORD, Rolling, chained, mixed, own
 
 BITS = 19
 BUCKETS = 1 << BITS
-CHAIN = 32
+STRETCH = 64
 THRESHOLD = 0.3
 #: Labelled documents of each class that the model is fitted on, chosen by hash, and the longest.
 SAMPLE_ROWS = 1000
@@ -60,58 +63,75 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return out
 
 
-def chains(data: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Each word's chain and its place in it; a chain ends with its line, text or CHAIN words."""
-    n = len(starts)
-    breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])[starts] if n else np.zeros(0, np.int64)
-    new = np.ones(n, bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (breaks[1:] != breaks[:-1])
-    heads = np.flatnonzero(new)
-    place = np.arange(n) - np.repeat(heads, np.diff(np.concatenate([heads, [n]])))
-    new |= place % CHAIN == 0
-    return np.cumsum(new) - 1, place % CHAIN, int(new.sum())
+def line_heads(data: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which words begin a chain: the first of a line or of a text."""
+    breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])[starts] if len(starts) else np.zeros(0, np.int64)
+    head = np.ones(len(starts), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (breaks[1:] != breaks[:-1])
+    return head
 
 
-def forward_backward(score: np.ndarray, chain: np.ndarray, place: np.ndarray, count: int, moves: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+def forward_backward(score: np.ndarray, head: np.ndarray, moves: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of the toxic state for every word, and on demand the expected moves (2 x 2).
 
-    score: log weight of the toxic state of each word; moves: log weights of moves from, to.
+    score: log weight of the toxic state of each word; head: words that begin a chain; moves: log
+    weights of moves from, to.
     """
-    if not count:
-        return np.zeros(0), np.zeros((2, 2))
-    length = int(place.max()) + 1
-    at = place * count + chain
-    weight = np.ones(length * count)
-    weight[at] = np.exp(np.clip(score, -30, 30))
-    weight = weight.reshape(length, count)
-    there = np.zeros(length * count, bool)
-    there[at] = True
-    there = there.reshape(length, count)
-    (oo, ot), (to, tt) = np.exp(np.clip(moves, -20, 20))
-    forward = np.empty((length, count))
-    f = weight[0] / (1 + weight[0])
-    forward[0] = f
-    for k in range(1, length):
-        o, t = (1 - f) * oo + f * to, ((1 - f) * ot + f * tt) * weight[k]
-        f = np.where(there[k], t / (o + t), f)
-        forward[k] = f
-    marginal = np.empty((length, count))
-    b = np.full(count, 0.5)  # the toxic share of the backward weights
+    n = len(score)
     expected = np.zeros((2, 2))
-    for k in range(length - 1, -1, -1):
-        f = forward[k]
-        m = f * b / (f * b + (1 - f) * (1 - b))
-        marginal[k] = m
-        if k:
-            w = weight[k]
-            if pairs:
-                g = forward[k - 1]
-                x = np.stack([(1 - g) * oo * (1 - b), (1 - g) * ot * w * b, g * to * (1 - b), g * tt * w * b])
-                x *= there[k] / x.sum(0)
-                expected += x.sum(1).reshape(2, 2)
-            o, t = oo * (1 - b) + ot * w * b, to * (1 - b) + tt * w * b
-            b = np.where(there[k], t / (o + t), 0.5)
-    return marginal.ravel()[at], expected
+    if not n:
+        return np.zeros(0), expected
+    count = -(-n // STRETCH)
+
+    def dealt(values: np.ndarray, fill: float) -> np.ndarray:
+        out = np.full(count * STRETCH, fill)
+        out[:n] = values
+        return np.ascontiguousarray(out.reshape(count, STRETCH).T)
+
+    weight = dealt(np.exp(np.clip(score, -30, 30)), 1.0)
+    first = dealt(head, 1.0) > 0  # the filling forgets as well
+    moved = [np.where(first, 1.0, m) for m in np.exp(np.clip(moves, -20, 20)).ravel()]
+    # Transfer products: weights of leaving a stretch clean or toxic, from a clean or toxic word before.
+    oo, ot, to, tt = np.ones(count), np.zeros(count), np.zeros(count), np.ones(count)
+    for k in range(STRETCH):
+        a, b, c, d = (m[k] for m in moved)
+        w = weight[k]
+        oo, ot, to, tt = oo * a + ot * c, (oo * b + ot * d) * w, to * a + tt * c, (to * b + tt * d) * w
+        norm = 1 / (oo + ot + to + tt)
+        oo, ot, to, tt = oo * norm, ot * norm, to * norm, tt * norm
+    entry, leave = np.empty(count), np.empty(count)
+    products = list(zip(oo.tolist(), ot.tolist(), to.tolist(), tt.tolist(), strict=True))
+    f = b = 0.5
+    for k in range(count):
+        entry[k] = f
+        o1, t1, o2, t2 = products[k]
+        x, y = (1 - f) * o1 + f * o2, (1 - f) * t1 + f * t2
+        f = y / (x + y)
+    for k in range(count - 1, -1, -1):
+        leave[k] = b
+        o1, t1, o2, t2 = products[k]
+        x, y = o1 * (1 - b) + t1 * b, o2 * (1 - b) + t2 * b
+        b = y / (x + y)
+    forward = np.empty((STRETCH + 1, count))
+    forward[0] = f = entry
+    for k in range(STRETCH):
+        a, b, c, d = (m[k] for m in moved)
+        x, y = (1 - f) * a + f * c, ((1 - f) * b + f * d) * weight[k]
+        forward[k + 1] = f = y / (x + y)
+    marginal = np.empty((STRETCH, count))
+    back = leave  # the toxic share of the backward weights
+    for k in range(STRETCH - 1, -1, -1):
+        f, w = forward[k + 1], weight[k]
+        a, b, c, d = (m[k] for m in moved)
+        y = f * back
+        marginal[k] = y / (y + (1 - f) * (1 - back))
+        if pairs:
+            g = forward[k]
+            x = np.stack([(1 - g) * a * (1 - back), (1 - g) * b * w * back, g * c * (1 - back), g * d * w * back])
+            expected += ((x / x.sum(0)) * ~first[k]).sum(1).reshape(2, 2)
+        x, y = a * (1 - back) + b * w * back, c * (1 - back) + d * w * back
+        back = y / (x + y)
+    return marginal.T.ravel()[:n], expected
 
 
 class Field:
@@ -159,18 +179,17 @@ def _seeds(hashed: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray
     return out & toxic[doc]
 
 
-def _words(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]]:
-    """Features, text, chain and place of each word, piece by piece, and the counts of chains and
-    texts before the piece."""
-    chains_before = texts_before = 0
+def _words(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Features and text of each word, and whether it begins a line, piece by piece; and the count
+    of texts before the piece."""
+    before = 0
     for part in pieces(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])])):
         data, offsets = raw(part.column(0))
         data = LOWER[data]
         starts, ends, firsts = spans(data, offsets, WORD)
         doc = owners(firsts)
-        chain, place, count = chains(data, starts, doc)
-        yield features(data, starts, ends), (doc + texts_before).astype(np.int32), (chain + chains_before).astype(np.int32), place.astype(np.int8), chains_before, texts_before
-        chains_before, texts_before = chains_before + count, texts_before + len(offsets) - 1
+        yield features(data, starts, ends), (doc + before).astype(np.int32), line_heads(data, starts, doc), before
+        before += len(offsets) - 1
 
 
 def distinct(texts: list[str], words: int = 5, mins: int = 3) -> list[int]:
@@ -198,27 +217,27 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS) -> Field:
     texts, toxic = [texts[k] for k in kept], toxic[kept]
     parts = list(zip(*_words(texts), strict=True))
     hashed = np.concatenate(parts[0], axis=1)
-    doc, chain, place = (np.concatenate(p) for p in parts[1:4])
+    doc, head = (np.concatenate(p) for p in parts[1:3])
     del parts
     label = _seeds(hashed, doc, toxic)
     field = Field(np.zeros((TABLES, BUCKETS + 1), np.float32), np.zeros((2, 2)), CURVE.copy())
     field.weights[0, -1] = -4.0
-    # Chains without a toxic word are many and alike: one in PLAIN is fitted on, weighted up.
-    has = np.zeros(int(chain.max(initial=-1)) + 1, bool)
-    has[chain[label]] = True
-    part = has | (np.random.default_rng(0).random(len(has)) < 1 / PLAIN)
-    words = np.flatnonzero(part[chain])
-    importance = np.where(has, 1.0, float(PLAIN))[chain[words]]
-    mine, spot, truth, count = (np.cumsum(part) - 1)[chain[words]], place[words].astype(np.int64), label[words], int(part.sum())
+    # Lines without a toxic word are many and alike: one in PLAIN is fitted on, weighted up.
+    line = np.cumsum(head, dtype=np.int32) - 1
+    has = np.zeros(int(head.sum()), bool)
+    has[line[label]] = True
+    words = np.flatnonzero((has | (np.random.default_rng(0).random(len(has)) < 1 / PLAIN))[line])
+    importance = np.where(has, 1.0, float(PLAIN))[line[words]]
+    begins, truth = head[words], label[words]
     near = hashed[:, words]
     buckets = near >> (31 - BITS)
-    del hashed, doc, chain, place
+    del hashed, doc, line
     moved = np.zeros((2, 2))
-    inner = np.flatnonzero(spot > 0)
+    inner = np.flatnonzero(~begins)
     np.add.at(moved, (truth[inner - 1].astype(int), truth[inner].astype(int)), 1)
     squares, move_squares, bias_square = np.zeros((TABLES, BUCKETS), np.float32), np.zeros((2, 2)), 0.0
     for _ in range(epochs):
-        p, expected = forward_backward(field.emission(near), mine, spot, count, field.moves, pairs=True)
+        p, expected = forward_backward(field.emission(near), begins, field.moves, pairs=True)
         slope = (p - truth) * importance
         for k in range(TABLES):
             g = np.bincount(buckets[k], slope, BUCKETS) + DECAY * field.weights[k, :-1]
@@ -231,10 +250,8 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS) -> Field:
         move_squares += g * g
         field.moves -= 0.1 * g / np.sqrt(move_squares + 1e-8)
     x = []
-    for hashed, doc, chain, place, chains_before, texts_before in _words(texts):
-        chain, doc = chain - chains_before, doc - texts_before
-        p, _ = forward_backward(field.emission(hashed), chain, place.astype(np.int64), int(chain.max(initial=-1)) + 1, field.moves)
-        x.append((p, doc, texts_before))
+    for hashed, doc, head, before in _words(texts):
+        x.append((forward_backward(field.emission(hashed), head, field.moves)[0], doc - before, before))
     edges = [t for _, _, t in x][1:] + [len(texts)]
     x = np.concatenate([field.document(p, np.searchsorted(doc, np.arange(n - t + 1))) for (p, doc, t), n in zip(x, edges, strict=True)], axis=1)
     curve = CURVE.copy()
@@ -247,17 +264,23 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS) -> Field:
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """(text, toxic): up to ``rows`` toxic documents and CLEAN times as many clean ones with at most ``chars``
-    characters, chosen by hash of the id; only ids where ``learn`` holds."""
+    """(doc_id, toxic, text): up to ``rows`` toxic documents and CLEAN times as many clean ones with
+    at most ``chars`` characters, chosen by hash of the id; only ids where ``learn`` holds.
+
+    Null ids, labels and texts are left out.  An id that several documents have counts once, with
+    the least of their texts; an id with both labels counts for both.  So reruns agree.
+    """
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") == 1).alias("toxic")).join(docs.select("doc_id"), "doc_id", "left_semi")
     # At most (1 + CLEAN) * rows ids, so broadcasting them is safe.
+    known = known.distinct()  # an id may be listed twice, even with both labels
     picked = [known.where(F.col("toxic") == flag).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(rows * (1 if flag else CLEAN)) for flag in (True, False)]
-    return docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("text", "toxic", "doc_id").distinct()
+    found = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of one id, one text
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Field:
     """A field fitted on ``sample``.  Without both classes it scores everything near 0."""
-    got = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in sample(docs, labels, learn, rows, chars).limit(2 * (1 + CLEAN) * rows).collect()), key=lambda r: r[:2])
+    got = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in sample(docs, labels, learn, rows, chars).collect()), key=lambda r: (r[0], r[2]))
     toxic = np.array([r[2] for r in got], bool)
     if not toxic.any() or toxic.all():
         return Field(np.zeros((TABLES, BUCKETS + 1), np.float32), np.zeros((2, 2)), np.array([-10.0, 0.0, 0.0]))
@@ -268,9 +291,10 @@ def score(docs: DataFrame, field: Field, carry: tuple[str, ...] = ("doc_id",), t
     """The carried columns, ``score`` (0 to 1), ``predicted`` (1 from ``threshold`` on) and
     ``spans``, the offending places (start, end in code points, mean marginal).
 
-    Null texts are empty, and empty texts get the score of a text without toxic words.  Columns
-    of ``docs`` with the names of results give way.  One pass, no shuffle; the broadcast field has
-    a fixed size.
+    Null texts are empty, and empty texts get the score of a text without toxic words.  Every row
+    is scored by its own text, so repeated rows and ids get one row each; an empty table gives none.
+    A long text or line is scored whole.  Columns of ``docs`` with the names of results give way.
+    One pass, no shuffle; the broadcast field has a fixed size.
     """
     carry = tuple(c for c in carry if c not in ("score", "predicted", "spans"))
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -283,8 +307,7 @@ def score(docs: DataFrame, field: Field, carry: tuple[str, ...] = ("doc_id",), t
             data = LOWER[data]
             starts, ends, firsts = spans(data, offsets, WORD)
             doc = owners(firsts)
-            chain, place, count = chains(data, starts, doc)
-            p, _ = forward_backward(field.emission(features(data, starts, ends)), chain, place, count, field.moves)
+            p, _ = forward_backward(field.emission(features(data, starts, ends)), line_heads(data, starts, doc), field.moves)
             found: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
             hot = np.flatnonzero(p >= 0.5)
             if len(hot):

@@ -89,8 +89,9 @@ def conflicts(left: str, right: str, fields: list[str]) -> Column:
 
 
 def fingerprint(*columns: str) -> Column:
-    """SHA-256 over JSON of the columns in name order, nulls kept out by their names."""
-    return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns)))), 256)
+    """SHA-256 over canonical JSON of the columns: names in order, no blanks, letters as they are,
+    nulls as null."""
+    return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"}), 256)
 
 
 def prefixed_fingerprint(*parts: Column) -> Column:

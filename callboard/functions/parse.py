@@ -63,15 +63,75 @@ def period(text: Column, fallback_year: Column) -> Column:
     return F.struct(F.when(F.size(dates) > 1, F.array_min(dates)).alias("start_on"), F.array_max(dates).alias("end_on"))
 
 
-#: Kinds of timeline events, tried in this order.
-TIMELINE = (("application", r"заяв|прием|приём|application|submission"), ("review", r"экспертиз|оценк|review|evaluation"), ("results", r"итог|результат|победител|results|winners"), ("project", r"реализац|проект|implementation"))
-
-
 def timeline_kind(label: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for kind, pattern in TIMELINE:
-        out = out.when(F.lower(label).rlike(pattern), kind)
-    return out.otherwise("other")
+    """The kind of a timeline event by stems of its label: what is said of evaluation, contracts,
+    results and the work itself comes before what is said of applications."""
+    low = F.lower(label)
+    has = lambda *stems: F.coalesce(low.rlike("|".join(stems)), F.lit(False))
+    begins, ends, takes = has("начал", "открыти"), has("окончани", "завершени"), has("прием", "приём", "подач") & has("заяв")
+    return (
+        F.when(has("экспертиз", "оценк", "рассмотрен"), "evaluation").when(has("договор", "контракт"), "contracting").when(has("результат", "победител", "итог"), "results")
+        .when(has("реализац", "исполнен") | (has("начал") & has("проект", "выплат")), "implementation")
+        .when(begins & takes, "application_open").when(ends & takes, "application_close").when(has("заяв", "прием", "приём"), "application").otherwise("other")
+    )
+
+
+#: Words that open an entry of a schedule, and a cycle's number that may stand before one.
+STAGE = r"(?:начало|окончание|завершение|открытие|при[её]м|подача|экспертиза|оценка|рассмотрение|подведение|объявление|публикация|заключение|подписание|реализация|исполнение)"
+CYCLE = r"(?:[ivx]+|\d+(?:-й)?) (?:цикл|этап|очередь|волна)[:.—– -]*"
+
+
+def schedule_events(text: Column, fallback_year: Column) -> Column:
+    """array<struct<label, kind, start_on, end_on, evidence>>: the entries of a schedule in running
+    text, in order, each once by label and dates.
+
+    An entry runs from a word that opens one, with its cycle's number, to the next.  Its label is what
+    stands before a colon or its first date; an entry without dates drops out.
+    """
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    entries = F.split(flat, rf"(?iu)(?<![\p{{L}}\p{{N}}])(?={CYCLE}{STAGE}(?!\p{{L}}))|(?<![\p{{L}}\p{{N}}])(?<!(?:цикл|этап|очередь|волна)[:.—– -]{{0,4}})(?={STAGE}(?!\p{{L}}))")
+    opens = rf"(?iu)^(?:{CYCLE})?{STAGE}(?!\p{{L}})"
+
+    def event(entry: Column) -> Column:
+        evidence = F.regexp_replace(entry, r"[ ;]+$", "")
+        colon = F.instr(evidence, ":") > 0
+        before = F.when(colon, F.substring_index(evidence, ":", 1)).otherwise(F.split(evidence, WORD_DATE, 2)[0])
+        label = F.trim(F.regexp_replace(F.trim(before), r"(?iu)(?<!\p{L})(?:с|по|до|не позднее)$", ""))
+        detail = F.when(colon, F.substring(evidence, F.instr(evidence, ":") + 1, F.char_length(evidence))).otherwise(evidence)
+        dates = period(detail, fallback_year)
+        return F.struct(label.alias("label"), timeline_kind(label).alias("kind"), dates["start_on"].alias("start_on"), dates["end_on"].alias("end_on"), evidence.alias("evidence"))
+
+    found = F.filter(F.transform(F.filter(entries, lambda e: e.rlike(opens)), event), lambda e: e["end_on"].isNotNull())
+    same = lambda a, b: (F.lower(a["label"]) == F.lower(b["label"])) & a["start_on"].eqNullSafe(b["start_on"]) & (a["end_on"] == b["end_on"])
+    fresh = lambda e, k: ~F.exists(F.slice(found, F.lit(1), k), lambda other: same(e, other))
+    return F.filter(found, fresh)
+
+
+#: Headings of a contest's whole fund, and how a sentence names it.
+FUND_HEADINGS = r"грантовый фонд|общий фонд|фонд поддержки|бюджет конкурса"
+FUND = r"(?iu)грантовый\s+фонд"
+
+
+def total_fund(texts: Column) -> Column:
+    """struct<kind, amount, outcome, evidence> of a contest's whole fund, from array<struct<heading,
+    text>>.
+
+    Amounts count in sentences that name the fund, or stand under its heading.  One amount is exact;
+    several are a conflict where sentences name more than one, else a breakdown to be read; none
+    is not stated.
+    """
+    listed = lambda t: F.transform(
+        F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(t["text"], F.lit("")), r"\s+", " ")), r"(?<=[.!?;])\s+|\s+[—–-]\s+(?=[А-ЯЁ])"), lambda s: s != ""),
+        lambda s: F.struct(s.alias("sentence"), s.rlike(FUND).alias("named"), (s.rlike(FUND) | F.coalesce(F.lower(t["heading"]).rlike(FUND_HEADINGS), F.lit(False))).alias("counts")),
+    )
+    sentences = F.filter(F.flatten(F.transform(texts, listed)), lambda s: s["counts"])
+    every = F.array_distinct(F.flatten(F.transform(sentences, lambda s: amounts(s["sentence"]))))
+    named = F.array_distinct(F.flatten(F.transform(F.filter(sentences, lambda s: s["named"]), lambda s: amounts(s["sentence"]))))
+    n = F.size(every)
+    evidence = F.transform(F.filter(sentences, lambda s: F.size(amounts(s["sentence"])) > 0), lambda s: s["sentence"])
+    kind = F.when(n == 0, "not_stated").when(n == 1, "exact").otherwise("unknown")
+    outcome = F.when(n <= 1, "ok").when(F.size(named) > 1, "total_grant_fund_conflict").otherwise("total_grant_fund_breakdown_required")
+    return F.struct(kind.alias("kind"), F.when(n == 1, every[0]).alias("amount"), outcome.alias("outcome"), evidence.alias("evidence"))
 
 
 def tagged(texts: DataFrame, rules: dict[str, str], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,7 +141,7 @@ def tagged(texts: DataFrame, rules: dict[str, str], key: str = "doc_id", text: s
     return texts.select(key, F.explode(tags).alias("tag"))
 
 
-#: Publication classes, tried in this order.
+#: Publication classes, tried in this order.
 PUBLICATIONS = (
     ("result", r"победител|итоги|результат|winners|results"), ("extension", r"продл|extended"), ("amendment", r"изменен|amend"), ("milestone", r"этап|milestone"),
     ("launch", r"старт|объявл|начал|launch|opens"), ("opportunity", r"конкурс|грант|отбор|grant|contest|call for"),

@@ -78,6 +78,51 @@ def stem(token: Column) -> Column:
     return F.regexp_replace(token, r"^(.{3,}?)(" + "|".join(ENDINGS) + r")$", "$1")
 
 
+def words(text: Column) -> Column:
+    """All lower-case runs of letters and digits, in order."""
+    return F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", " ")), " "), lambda t: t != "")
+
+
 def morphology_match(text: Column, query: str) -> Column:
     """Every stem of the query is a stem of the text."""
     return F.size(F.array_except(F.transform(tokens(F.lit(query)), stem), F.transform(tokens(text), stem))) == 0
+
+
+def web_match(text: Column, query: str) -> Column:
+    """Whether a text meets a web-style query, by stems: all terms must be there, ``or`` parts
+    alternatives, a minus excludes, quotes keep words together.  A query without terms matches nothing."""
+    import re
+
+    stems = F.transform(words(text), stem)
+    line = F.concat(F.lit(" "), F.array_join(stems, " "), F.lit(" "))
+
+    def holds(term: str) -> Column:
+        wanted = F.transform(words(F.lit(term)), stem)
+        return line.contains(F.concat(F.lit(" "), F.array_join(wanted, " "), F.lit(" ")))
+
+    either: list[list[Column]] = [[]]
+    for term in re.findall(r'-?"[^"]*"|\S+', query):
+        bare = term.lstrip("-").strip('"')
+        if term.lower() == "or":
+            either.append([])
+        elif any(c.isalnum() for c in bare):
+            either[-1].append(~holds(bare) if term.startswith("-") else holds(bare))
+    found = F.lit(False)
+    for tests in either:
+        every = F.lit(bool(tests))
+        for test in tests:
+            every = every & test
+        found = found | every
+    return found
+
+
+def search(text: Column, query: str) -> tuple[Column, Column, Column, Column]:
+    """(matches, by_stems, rank, fuzzy score): a text matches by its stems or by similar words.  The
+    rank is the share of the text's words that the query's stems hit."""
+    by_stems = web_match(text, query)
+    score, alike = fuzzy(text, query)
+    stems = F.transform(words(text), stem)
+    wanted = F.transform(tokens(F.lit(query)), stem)
+    hits = F.size(F.filter(stems, lambda s: F.array_contains(wanted, s)))
+    rank = F.when(by_stems & (F.size(stems) > 0), hits / F.size(stems)).otherwise(F.lit(0.0))
+    return by_stems | alike, by_stems, rank, score

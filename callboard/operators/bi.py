@@ -106,11 +106,13 @@ def money_distribution(programs: DataFrame, by: Column) -> DataFrame:
     )
 
 
-def region_scores(programs: DataFrame, edge: int = 5) -> DataFrame:
-    """Per region: programs, active ones, money, the score 2 * programs + millions (halves up),
-    and its place among the top and bottom."""
-    rows = programs.select("program_id", F.explode("regions").alias("region"), "funding", "is_active")
-    got = rows.groupBy("region").agg(F.count_distinct("program_id").alias("programs"), F.count_if("is_active").alias("active"), F.coalesce(F.sum("funding").cast("double"), F.lit(0.0)).alias("total"))
+def region_scores(programs: DataFrame, edge: int = 5, levels: tuple[str, ...] = ()) -> DataFrame:
+    """Per region: programs, active ones, those of each given ``coverage_level`` (as
+    ``level_<name>``), money, the score 2 * programs + millions (halves up), and its place among
+    the top and bottom."""
+    rows = programs.select("program_id", F.explode("regions").alias("region"), "funding", "is_active", *(["coverage_level"] if levels else []))
+    by_level = [F.count_if(F.col("coverage_level") == level).alias(f"level_{level.lower()}") for level in levels]
+    got = rows.groupBy("region").agg(F.count_distinct("program_id").alias("programs"), F.count_if("is_active").alias("active"), *by_level, F.coalesce(F.sum("funding").cast("double"), F.lit(0.0)).alias("total"))
     got = got.withColumn("score", (2 * F.col("programs") + half_up(F.col("total") / MILLION)).cast("long"))
     top, low = Window.orderBy(F.desc("score"), "region"), Window.orderBy("score", "region")  # one row per region
     return got.withColumn("is_top", F.row_number().over(top) <= edge).withColumn("is_bottom", F.row_number().over(low) <= edge)
@@ -220,10 +222,11 @@ def confidence(programs: DataFrame, years: DataFrame) -> DataFrame:
     return got.select(score.alias("score"), F.when(score >= 75, "high").when(score >= 45, "medium").otherwise("low").alias("level"))
 
 
-def growing_topics(programs: DataFrame, count: int = 5) -> DataFrame:
-    """Topics with the largest gain of programs between the last two launch years."""
+def growing_topics(programs: DataFrame, count: int = 5, year: int | None = None) -> DataFrame:
+    """Topics with the largest gain of programs between the year before and ``year``, the last launch
+    year unless it is given (the last one may not be over)."""
     rows = programs.where("launch_year is not null").select("launch_year", F.explode("topics").alias("topic"))
-    last = rows.agg(F.max("launch_year").alias("last"))
+    last = rows.agg((F.max("launch_year") if year is None else F.lit(year)).alias("last"))
     got = rows.crossJoin(last).groupBy("topic").agg(F.count_if(F.col("launch_year") == F.col("last")).alias("now"), F.count_if(F.col("launch_year") == F.col("last") - 1).alias("before"))  # last is one row
     return got.withColumn("gain", F.col("now") - F.col("before")).where("gain > 0").orderBy(F.desc("gain"), "topic").limit(count)
 

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callboard.functions import textsearch
+
 SORTS = ("published_at", "updated_at", "deadline_on", "title")
 MAX_PAGE = 100
 
@@ -29,6 +31,7 @@ class CatalogQuery:
     value_kinds: tuple[str, ...] = ()
     deadline_from: date | None = None
     deadline_to: date | None = None
+    districts: tuple[tuple[str, tuple[str, ...]], ...] = ()
     sort: str = "published_at"
     descending: bool = True
     page: int = 1
@@ -68,11 +71,19 @@ class Catalog:
         if q.search is not None:
             tests.append(F.lower("title").contains(normalized_query(q.search).lower()))
         df = reduce(lambda d, t: d.where(t), tests, df)
-        for links, slugs in ((self.themes, q.themes), (self.geographies, q.geographies)):
-            if slugs:
-                df = df.join(links.where(F.col("slug").isin(*slugs)).select("program_id"), "program_id", "left_semi")
+        if q.themes:
+            df = df.join(self.themes.where(F.col("slug").isin(*q.themes)).select("program_id"), "program_id", "left_semi")
+        if q.geographies:
+            df = df.join(self.geographies.where(in_geographies(q.geographies, dict(q.districts))).select("program_id"), "program_id", "left_semi")
         return df
 
+    def searched(self, query: str, q: CatalogQuery | None = None) -> DataFrame:
+        """Programs whose titles meet a search, the closest first: those that meet it by stems, then by
+        rank, by similarity, the latest, the id.  Adds by_stems, rank and fuzzy."""
+        matches, by_stems, rank, score = textsearch.search(F.col("title"), normalized_query(query))
+        rows = self.filtered(q or CatalogQuery()).where(matches).select("*", by_stems.alias("by_stems"), rank.alias("rank"), score.alias("fuzzy"))
+        return rows.orderBy(F.desc("by_stems"), F.desc("rank"), F.desc("fuzzy"), F.col("published_at").desc_nulls_last(), "program_id")
+
     def page(self, q: CatalogQuery) -> DataFrame:
         """One page in total order: the sort column, nulls last either way, then the id."""
         key = F.lower("title") if q.sort == "title" else F.col(q.sort)
@@ -83,6 +94,37 @@ class Catalog:
         return self.filtered(q).agg(F.count(F.lit(1)).alias("total"))
 
 
+def in_geographies(slugs: tuple[str, ...], districts: dict[str, tuple[str, ...]]) -> Column:
+    """Whether a geography has one of the slugs, or a name that belongs to one of them as a district."""
+    names = sorted({n.lower() for s in slugs for n in districts.get(s, ())})
+    match = F.col("slug").isin(*slugs)
+    return match | F.lower("name").isin(*names) if names else match
+
+
+def sources_filtered(sources: DataFrame, kind: str | None = None, region: str | None = None, level: str | None = None, topic: str | None = None) -> DataFrame:
+    """Sources of a type, region and coverage level that cover a topic; None means any."""
+    tests = [F.col(c) == v for c, v in (("type", kind), ("region", region), ("coverage_level", level)) if v is not None]
+    tests += [F.array_contains("topics", topic)] if topic is not None else []
+    return reduce(lambda df, t: df.where(t), tests, sources)
+
+
+def sources_named(sources: DataFrame, query: str, column: str = "name") -> DataFrame:
+    """Sources whose name holds the query, whatever the case; its wildcards stand for themselves."""
+    return sources.where(F.col(column).ilike(like_pattern(query)))
+
+
+def without_deadline(programs: DataFrame) -> DataFrame:
+    return programs.where("deadline_on is null").orderBy("program_id")
+
+
+def with_scope(programs: DataFrame, links: DataFrame, country_wide: Column, country: str) -> DataFrame:
+    """Programs with ``geographies``, sorted names; one without any that speaks of the whole country
+    has the country."""
+    named = links.groupBy("program_id").agg(F.array_sort(F.collect_set("slug")).alias("geographies"))
+    none = F.array().cast("array<string>")
+    return programs.join(named, "program_id", "left").withColumn("geographies", F.when(F.col("geographies").isNotNull(), F.col("geographies")).when(country_wide, F.array(F.lit(country))).otherwise(none))
+
+
 def normalized_query(value: str) -> str:
     """Blanks collapsed; a blank query is an error."""
     text = " ".join(value.split())

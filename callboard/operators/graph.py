@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def numbered(rows: DataFrame, column: str, number: str = "number") -> DataFrame:
+    """The rows with their place, from 1, in the order of a column of distinct values.
+
+    Rows are range-partitioned and counted within their partition; only the partitions' counts, one
+    row each, are added up in one place.
+    """
+    order = Window.partitionBy("__part").orderBy(column)
+    ranged = rows.repartitionByRange(column).withColumn("__part", F.spark_partition_id()).withColumn("__place", F.row_number().over(order)).checkpoint()
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return ranged.join(F.broadcast(before), "__part").select(*(f"`{c}`" for c in rows.columns), (F.col("__place") + F.col("__before")).alias(number))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from every node of an edge.
 

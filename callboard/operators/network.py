@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callboard.operators.baseline import ratio
-from callboard.operators.graph import connected_components
+from callboard.operators.graph import connected_components, numbered
 
 LEAST_SOURCES, LEAST_RIGHT = 3, 5
 
@@ -43,5 +43,17 @@ def components(edge: DataFrame, sources: DataFrame) -> DataFrame:
     named = edge.select(F.concat(F.lit("s:"), F.col("src").cast("string")).alias("src"), F.concat(F.lit("t:"), F.col("dst").cast("string")).alias("dst"))
     alone = sources.select(F.concat(F.lit("s:"), F.col("src").cast("string")).alias("src")).join(named.select("src").distinct(), "src", "left_anti")
     got = connected_components(named).unionByName(alone.select(F.col("src").alias("node"), F.col("src").alias("component")))
-    heads = got.select("component").distinct().withColumn("number", F.row_number().over(Window.orderBy("component")))
-    return got.join(heads, "component").select("node", "component", "number")
+    return got.join(numbered(got.select("component").distinct(), "component"), "component").select("node", "component", "number")
+
+
+def summaries(links: DataFrame, key: str) -> DataFrame:
+    """(key, nodes, edges, density, components, small_graph) of the graph of every key (a snapshot or a
+    week), all graphs at once.  links: key, src, dst; repeated links count once."""
+    edge = links.select(key, "src", "dst").distinct()
+    sizes = edge.groupBy(key).agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+    name = lambda side, c: F.concat_ws("\x1f", F.lit(side), F.col(key).cast("string"), F.col(c).cast("string"))
+    heads = connected_components(edge.select(name("s", "src").alias("src"), name("t", "dst").alias("dst"))).select("component").distinct()
+    counts = heads.groupBy(F.split_part("component", F.lit("\x1f"), F.lit(2)).alias("__key")).agg(F.count(F.lit(1)).alias("components"))
+    got = sizes.join(counts, F.col(key).cast("string") == F.col("__key"))
+    small = (F.col("sources") < LEAST_SOURCES) | (F.col("targets") < LEAST_RIGHT)
+    return got.select(key, (F.col("sources") + F.col("targets")).alias("nodes"), "edges", ratio(F.col("edges"), F.col("sources") * F.col("targets")).alias("density"), "components", small.alias("small_graph"))

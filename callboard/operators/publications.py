@@ -24,11 +24,13 @@ def folded(publications: DataFrame) -> DataFrame:
     """
     order = F.struct("published_at", "publication_id")
     told = F.when((F.col("kind") != "result") & F.col("funding").isNotNull(), order)
-    urls = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("published_at", "publication_id", "urls"))), lambda x: x["urls"]))
-    return publications.groupBy("group_id").agg(
-        F.min_by("title", order).alias("title"), F.max_by("funding", told).alias("funding"), F.array_distinct(urls).alias("urls"), F.max("end_on").alias("end_on"),
+    seen = publications.select("group_id", "published_at", "publication_id", F.posexplode("urls").alias("place", "url")).groupBy("group_id", "url").agg(F.min(F.struct("published_at", "publication_id", "place")).alias("first"))
+    urls = seen.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "url"))), lambda x: x["url"]).alias("urls"))  # each url of a group once
+    rows = publications.groupBy("group_id").agg(
+        F.min_by("title", order).alias("title"), F.max_by("funding", told).alias("funding"), F.max("end_on").alias("end_on"),
         F.when(F.bool_or(F.col("kind") == "result"), "completed").when(F.bool_or(F.col("kind").isin("launch", "extension")), "open").otherwise("unknown").alias("evidence"), F.count(F.lit(1)).alias("publications"),
     )
+    return rows.join(urls, "group_id", "left").select("group_id", "title", "funding", F.coalesce("urls", F.array().cast("array<string>")).alias("urls"), "end_on", "evidence", "publications")
 
 
 def lifecycle(evidence: Column, start_on: Column, end_on: Column, as_of: Column) -> Column:

@@ -28,10 +28,13 @@ def matches(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     apart = F.col("c_id") != F.col("t_id")
     same, other = F.col("c_source_id") == F.col("t_source_id"), F.col("c_source_id") != F.col("t_source_id")
 
+    fields = ("title_key", "organizer_key", "deadline_on")
+    differ = F.array_compact(F.array(*(F.when(F.col(f"c_{f}") != F.col(f"t_{f}"), F.lit(f)) for f in fields)))
+
     def pairs(left: DataFrame, right: DataFrame, on: Column, rank: int) -> DataFrame:
-        return left.join(right, on & apart).select("c_id", "t_id", F.lit(rank).alias("level_rank"))
+        return left.join(right, on & apart).select("c_id", "t_id", F.lit(rank).alias("level_rank"), differ.alias("conflicts"))
 
-    origin = lambda df, n: df.select(f"{n}_id", f"{n}_source_id", F.explode(F.array_distinct(f"{n}_origin_urls")).alias(f"{n}_origin"))
+    origin = lambda df, n: df.select(f"{n}_id", f"{n}_source_id", *(f"{n}_{f}" for f in fields), F.explode(F.array_distinct(f"{n}_origin_urls")).alias(f"{n}_origin"))
     found = pairs(c, t, same & (F.col("c_external_id") == F.col("t_external_id")), 0)
     found = found.unionByName(pairs(c, t, same & (F.col("c_url") == F.col("t_url")), 1))
     found = found.unionByName(pairs(origin(c, "c"), t, other & (F.col("c_origin") == F.col("t_url")), 2))
@@ -40,7 +43,40 @@ def matches(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     keys = (F.col("c_title_key") == F.col("t_title_key")) & (F.col("c_organizer_key") == F.col("t_organizer_key")) & (F.col("c_deadline_on") == F.col("t_deadline_on"))
     found = found.unionByName(pairs(c, t, keys, 3))
     level = F.element_at(F.array(*map(F.lit, LEVELS)), F.col("level_rank") + 1)
-    return found.groupBy("c_id", "t_id").agg(F.min("level_rank").alias("level_rank")).select(F.col("c_id").alias("candidate_id"), F.col("t_id").alias("target_id"), "level_rank", level.alias("level"))
+    best = found.groupBy("c_id", "t_id").agg(F.min("level_rank").alias("level_rank"), F.min("conflicts").alias("conflicts"))
+    return best.select(F.col("c_id").alias("candidate_id"), F.col("t_id").alias("target_id"), "level_rank", level.alias("level"), "conflicts")
+
+
+def targets(staged: DataFrame, programs: DataFrame) -> DataFrame:
+    """Both kinds of records that a candidate may match, with ``target_kind``; columns that one side
+    lacks are null there."""
+    return staged.withColumn("target_kind", F.lit("staged")).unionByName(programs.withColumn("target_kind", F.lit("program")), allowMissingColumns=True)
+
+
+def match_classes(records: DataFrame) -> DataFrame:
+    """(id, level_rank, level, links, representative): for every record that others match, the
+    strongest level, how many records it meets there, and the smallest id among them and itself.
+
+    Columns as in ``matches``; a record of another source is met by an origin url of this one that is
+    its url or origin url.  Records are counted by key first, so a title or url that millions share
+    costs one row a key and source, never a row a pair.
+    """
+    r = records.select("id", "source_id", "external_id", "url", "origin_urls", "title_key", "organizer_key", "deadline_on")
+
+    def under(keys: list[str], rank: int) -> DataFrame:
+        known = r.select("id", *keys).dropna(subset=keys)
+        sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).where("n > 1")
+        return known.join(sizes, keys).select("id", F.lit(rank).alias("level_rank"), (F.col("n") - 1).alias("links"), F.col("low").alias("representative"))
+
+    origins = r.select("id", "source_id", F.explode(F.array_distinct("origin_urls")).alias("u"))
+    held = r.select("id", "source_id", F.explode(F.array_distinct(F.array_append(F.coalesce("origin_urls", F.array().cast("array<string>")), F.col("url")))).alias("u")).where("u is not null")
+    own = held.groupBy("u", "source_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
+    every = own.groupBy("u").agg(F.sum("n").alias("all"), F.min("low").alias("low"), F.count(F.lit(1)).alias("sources")).where("sources > 1")
+    cross = origins.join(every, "u").join(own.select("u", "source_id", "n"), ["u", "source_id"], "left").withColumn("links", F.col("all") - F.coalesce("n", F.lit(0)))
+    cross = cross.where("links > 0").groupBy("id").agg(F.sum("links").alias("links"), F.min("low").alias("representative")).select("id", F.lit(2).alias("level_rank"), "links", "representative")
+    found = under(["source_id", "external_id"], 0).unionByName(under(["source_id", "url"], 1)).unionByName(cross).unionByName(under(["title_key", "organizer_key", "deadline_on"], 3))
+    best = found.groupBy("id").agg(F.min(F.struct("level_rank", "links", "representative")).alias("b"))
+    return best.select("id", "b.level_rank", F.element_at(F.array(*map(F.lit, LEVELS)), F.col("b.level_rank") + 1).alias("level"), "b.links", "b.representative")
 
 
 def decisions(candidates: DataFrame, observed: DataFrame) -> DataFrame:
@@ -89,9 +125,11 @@ def route(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def duplicate_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Rows of a package with ``is_duplicate``: every valid row with a key that an earlier valid
-    row has; invalid rows and null keys are never duplicates."""
-    place = F.row_number().over(Window.partitionBy(key, "is_valid").orderBy(order))
-    return rows.withColumn("is_duplicate", F.col("is_valid") & F.col(key).isNotNull() & (place > 1))
+    row has; invalid rows and null keys are never duplicates.  ``order`` is distinct within a key.
+    A key that many rows share is reduced to its first row before it meets them."""
+    first = rows.where(F.col("is_valid") & F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("__first"))
+    got = rows.join(first, key, "left")
+    return got.withColumn("is_duplicate", F.coalesce(F.col("is_valid") & (F.col(order) > F.col("__first")), F.lit(False))).select(*rows.columns, "is_duplicate")
 
 
 def import_outcomes(rows: DataFrame, history: DataFrame) -> DataFrame:

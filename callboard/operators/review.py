@@ -60,17 +60,75 @@ def replayed(requests: DataFrame, known: DataFrame) -> DataFrame:
     return got.withColumn("outcome", F.when(F.col("known").isNull(), "run").when(F.col("known") == F.col("fingerprint"), "replay").otherwise("conflict")).drop("known")
 
 
-def flattened(record: Column) -> Column:
-    """A flat JSON object as a map."""
-    return F.from_json(record, "map<string,string>")
+DEPTH = 12
+
+
+def leaves(records: DataFrame, key: str, depth: int = DEPTH) -> DataFrame:
+    """(key, path, value) of JSON records: objects are walked, all else is a value as JSON text.
+    What lies deeper than ``depth`` objects is one value."""
+    rows = records.select(key, F.lit("").alias("path"), F.parse_json("record").alias("v"))
+    out = None
+    for level in range(depth + 1):
+        nested = F.schema_of_variant("v").startswith("OBJECT<") & (F.lit(level) < depth)
+        found = rows.where(~F.coalesce(nested, F.lit(False))).select(key, "path", F.to_json("v").alias("value"))
+        out = found if out is None else out.unionByName(found)
+        inner = rows.where(nested).lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        rows = inner.select(key, F.concat_ws(".", F.nullif("path", F.lit("")), F.col("key")).alias("path"), F.col("value").alias("v"))
+    return out
+
+
+def changed_paths(before: DataFrame, after: DataFrame, key: str, limit: int = 100, depth: int = DEPTH) -> DataFrame:
+    """(key, path): the first ``limit`` paths, in order, at which two JSON versions of a record differ.
+
+    Where only one side has a key, or only one side has an object, the path ends there; two records of
+    which one is no object differ as ``record``.
+    """
+
+    def heads(df: DataFrame) -> DataFrame:
+        """Every path and the paths above it, with whether it is a value here."""
+        parts = F.split("path", r"\.")
+        up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+        return df.select(key, "path", "value", F.explode(F.array_distinct(up)).alias("head")).groupBy(key, "head").agg(F.max(F.when(F.col("head") == F.col("path"), F.struct("value"))).alias("leaf"))
+
+    old, new = heads(leaves(before, key, depth)), heads(leaves(after, key, depth))
+    both = old.withColumnRenamed("leaf", "a").withColumn("in_a", F.lit(True)).join(new.withColumnRenamed("leaf", "b").withColumn("in_b", F.lit(True)), [key, "head"], "full_outer")
+    differs = both.where("(in_a is null or in_b is null or a is not null or b is not null) and not (a <=> b and in_a <=> in_b)")
+    marked = differs.select(key, F.col("head").alias("path"))
+    # A path below one that differs already says nothing more.
+    above = F.transform(F.sequence(F.lit(0), F.size(F.split("path", r"\.")) - 1), lambda k: F.array_join(F.slice(F.split("path", r"\."), F.lit(1), k), "."))
+    deeper = marked.where("path <> ''").select(key, "path", F.explode(above).alias("head"))
+    covered = deeper.join(marked.select(key, F.col("path").alias("head")), [key, "head"], "left_semi").select(key, "path").distinct()
+    top = marked.join(covered, [key, "path"], "left_anti").select(key, F.when(F.col("path") == "", "record").otherwise(F.col("path")).alias("path"))
+    return top.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("path"))).where(F.col("place") <= limit).select(key, "path")
+
 
+def numbered_revisions(log: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Revisions with ``revision_number`` from 1 in each case and whether it is the latest."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return log.withColumn("revision_number", F.row_number().over(w)).withColumn("is_latest", F.lead(F.lit(1)).over(w).isNull())
 
-def changed_paths(before: DataFrame, after: DataFrame, key: str, limit: int = 100) -> DataFrame:
-    """(key, path) of fields that differ between two JSON versions of a record, in path order."""
-    left = before.select(key, F.explode(flattened(F.col("record"))).alias("path", "old"))
-    right = after.select(key, F.explode(flattened(F.col("record"))).alias("path", "new"))
-    both = left.join(right, [key, "path"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
-    return both.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("path"))).where(F.col("place") <= limit).select(key, "path")
+
+#: What an operator may do to a program, and a reviewer to a discovery: (state, action) -> state.
+PROGRAM_ACTIONS = {("draft", "publish"): "published", ("published", "archive"): "archived", ("archived", "republish"): "published"}
+DISCOVERY_ACTIONS = {
+    ("open", "link"): "linked", ("open", "reject"): "rejected", ("open", "clarify"): "needs_clarification",
+    ("needs_clarification", "link"): "linked", ("needs_clarification", "reject"): "rejected",
+}
+
+
+def acted(log: DataFrame, key: str, order: list[str], action: str, table: dict[tuple[str, str], str], start: str) -> DataFrame:
+    """The log with ``state`` after each action and whether it was ``allowed``; an action that the
+    state before does not allow changes nothing.
+
+    Each action maps states to states, so an entry's state is the fold of its key's actions so far.
+    """
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moves_ = F.create_map(*(F.lit(x) for (state, act), new in sorted(table.items()) for x in (f"{state}\x1f{act}", new)))
+    step = lambda state, act: F.coalesce(moves_[F.concat_ws("\x1f", state, act)], state)
+    told = log.withColumn("__actions", F.collect_list(action).over(w))
+    before = F.aggregate(F.slice("__actions", F.lit(1), F.size("__actions") - 1), F.lit(start), step)
+    got = told.withColumn("__before", before).withColumn("allowed", moves_[F.concat_ws("\x1f", "__before", action)].isNotNull())
+    return got.withColumn("state", step(F.col("__before"), F.col(action))).drop("__actions", "__before")
 
 
 def case_details(cases: DataFrame, **children: DataFrame) -> DataFrame:
@@ -82,14 +140,29 @@ def case_details(cases: DataFrame, **children: DataFrame) -> DataFrame:
     return out
 
 
-#: What marks a failure as passing.
-TRANSIENT = r"(?i)timed? ?out|temporarily|connection (reset|refused)|database unavailable"
+#: Parts of messages that mark a failure as passing.
+TRANSIENT = (
+    "timed out", "timeout", "connection reset", "connection refused", "connection aborted", "temporary failure", "name or service not known",
+    "network is unreachable", "transport error", "database unavailable",
+)
+
+
+def transient(code: Column, message: Column) -> Column:
+    """Whether a failure may pass.  An unavailable database does.  A step that fetches, discovers or
+    persists does by the ``HTTP nnn`` in its message (408, 429, 500 and more), which decides alone,
+    or else by a known part of the message."""
+    status = F.regexp_extract(F.coalesce(message, F.lit("")), r"(?i)\bHTTP\s+(\d{3})\b", 1).try_cast("int")
+    known = F.lower(F.coalesce(message, F.lit(""))).rlike("|".join(TRANSIENT))
+    by_message = F.when(status.isNotNull(), status.isin(408, 429) | (status >= 500)).otherwise(known)
+    return F.when(code == "database_unavailable", True).when(code.isin("fetch_error", "discover_error", "persist_error"), by_message).otherwise(False)
 
 
-def transient(stage: Column, status: Column, message: Column) -> Column:
-    """Whether a failure may pass: fetching steps with status 408, 429 or 500 and more, or a known
-    message."""
-    return stage.isin("fetch", "discover", "persist") & (F.coalesce(status.isin(408, 429) | (status >= 500), F.lit(False)) | F.coalesce(message.rlike(TRANSIENT), F.lit(False)))
+def retry_class(issues: DataFrame, key: str) -> DataFrame:
+    """(key, retry_class): success without errors, transient when every error may pass, else permanent.
+    issues: severity, code, message."""
+    bad = F.col("severity") == "error"
+    errors, passing = F.count_if(bad), F.count_if(bad & transient(F.col("code"), F.col("message")))
+    return issues.groupBy(key).agg(F.when(errors == 0, "success").when(errors == passing, "transient").otherwise("permanent").alias("retry_class"))
 
 
 def backoff_seconds(attempt: Column, initial: float = 2, cap: float = 60, retry_after: Column | None = None) -> Column:

@@ -30,6 +30,19 @@ def exclusions(marked: DataFrame) -> DataFrame:
     return marked.where("exclusion_reason is not null").groupBy(F.col("exclusion_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def source_scope(sources: DataFrame, registry: DataFrame) -> DataFrame:
+    """(canonical_url, bucket, reason) of every source: its registry row's, or excluded as
+    ``unregistered`` without one."""
+    known = source_bucket(registry).select("canonical_url", "bucket", "reason")
+    got = sources.select("canonical_url").distinct().join(known, "canonical_url", "left")
+    return got.select("canonical_url", F.coalesce("bucket", F.lit("excluded")).alias("bucket"), F.when(F.col("bucket").isNull(), "unregistered").otherwise(F.col("reason")).alias("reason"))
+
+
+def class_counts(snapshots: DataFrame, known: tuple[str, ...], column: str = "data_class") -> DataFrame:
+    """(data_class, snapshots): counts of the known classes, all others as ``unknown``."""
+    return snapshots.groupBy(F.when(F.col(column).isin(*known), F.col(column)).otherwise("unknown").alias("data_class")).agg(F.count(F.lit(1)).alias("snapshots"))
+
+
 def source_bucket(registry: DataFrame) -> DataFrame:
     """Registry rows with ``bucket`` (active, program, excluded) and the reason of exclusion."""
     reason = F.when(F.col("access_method") == "fixture", "fixture").when(F.col("status") != "active", "inactive").when(F.col("protocol_excluded"), "protocol_excluded")
@@ -52,8 +65,9 @@ def snapshot_uuid(fingerprint: str, namespace: uuid.UUID = uuid.NAMESPACE_URL) -
     return str(uuid.uuid5(namespace, fingerprint))
 
 
-def append_once(new: DataFrame, path: str, key: str = "fingerprint") -> DataFrame:
-    """Appends rows whose fingerprint the table at ``path`` lacks; returns what was new."""
+def append_once(new: DataFrame, path: str, key: str = "fingerprint", folders: tuple[str, ...] = ()) -> DataFrame:
+    """Appends rows whose fingerprint the table at ``path`` lacks, each fingerprint once; returns what
+    was new.  One writer at a time: two that run together may both append a fingerprint."""
     spark = new.sparkSession
     try:
         known = spark.read.schema(new.schema).parquet(path).select(key)
@@ -62,6 +76,6 @@ def append_once(new: DataFrame, path: str, key: str = "fingerprint") -> DataFram
         if "PATH_NOT_FOUND" not in str(e):
             raise
         known = new.select(key).limit(0)
-    fresh = new.join(known, key, "left_anti").select(new.columns).checkpoint()
-    fresh.write.mode("append").parquet(path)
+    fresh = new.dropDuplicates([key]).join(known, key, "left_anti").select(new.columns).checkpoint()
+    fresh.write.mode("append").partitionBy(*folders).parquet(path)
     return fresh

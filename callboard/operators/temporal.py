@@ -46,6 +46,19 @@ def series(weeks: DataFrame, latest: DataFrame, cohort: list[str]) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("snapshot_id").isNull(), "no_snapshot").when(F.col("previous_week").isNull(), "no_prior_snapshot").otherwise("computed")).withColumn("gap_weeks", F.when(F.col("previous_week").isNotNull(), gap))
 
 
+def intervals(rows: DataFrame, requested: DataFrame) -> DataFrame:
+    """``series`` rows (one cohort) with what a point says of its interval: ``partial`` where the week
+    runs out of the requested days, ``interval_seconds`` since the snapshot before, and a warning
+    where weeks between them have none.  requested: one row (first, last)."""
+    edges = requested.select(F.col("first").cast("date").alias("__from"), F.col("last").cast("date").alias("__to"))
+    before = F.lag("as_of").over(Window.orderBy("week_start"))  # one row per snapshot of the series, 520 weeks at most
+    taken = rows.where("snapshot_id is not null").select("week_start", before.alias("__before"))
+    seconds = F.round((F.unix_micros(F.col("as_of").cast("timestamp")) - F.unix_micros(F.col("__before").cast("timestamp"))) / 1e6, 3)
+    partial = (F.col("week_start") < F.col("__from")) | (F.date_add("week_start", 6) > F.col("__to"))
+    got = rows.join(taken, "week_start", "left").crossJoin(F.broadcast(edges))  # one row
+    return got.withColumns({"partial": partial, "interval_seconds": seconds, "warning": F.when(F.col("gap_weeks") > 0, "snapshot_gap_no_interpolation")}).drop("__before", "__from", "__to")
+
+
 def paired(members: DataFrame, links: DataFrame, attributes: list[str]) -> DataFrame:
     """Members of each week next to those of the week before it: (week_start, entity, in_now,
     in_before, and each attribute as name, name_before).

@@ -52,14 +52,14 @@ class Tables:
         none = F.array().cast("array<string>")
         return rows.withColumn("topics", F.coalesce("topics", none)).withColumn("regions", F.coalesce("regions", none)).withColumn("is_active", F.col("source_status") == "O").withColumn("deadline", F.col("deadline_on")).withColumn("source_id", F.col("source_key"))
 
-    def sparse_links(self) -> DataFrame:
-        """Suppliers and brands that meet in few line items."""
-        rows = self.lineitem.where("l_quantity = 50 and l_discount = 0.1").join(self.part, F.col("l_partkey") == F.col("p_partkey"))
-        return rows.select(F.col("l_suppkey").alias("src"), F.col("p_brand").alias("dst"), F.col("l_orderkey").alias("program_id"), F.col("l_partkey").alias("part"))
+    def brand_links(self) -> DataFrame:
+        """Suppliers and the brands of their line items."""
+        rows = self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
+        return rows.select(F.col("l_suppkey").alias("src"), F.col("p_brand").alias("dst"), F.col("l_orderkey").alias("program_id"))
 
     def members(self) -> DataFrame:
-        """Users with errors in each week, with a level and a count."""
+        """Users with events in each week, with a level, a count and the kinds of their events."""
         from callboard.operators.temporal import week_start
 
-        rows = self.events.where("event_type = 'error'").select(week_start(F.col("ts")).alias("week_start"), F.col("user_id").alias("entity"), "value")
-        return rows.groupBy("week_start", "entity").agg(F.floor(F.max("value") / 50).cast("int").alias("level"), F.count(F.lit(1)).cast("int").alias("errors"))
+        rows = self.events.select(week_start(F.col("ts")).alias("week_start"), F.col("user_id").alias("entity"), "value", "event_type")
+        return rows.groupBy("week_start", "entity").agg(F.floor(F.max("value") / 50).cast("int").alias("level"), F.count(F.lit(1)).cast("int").alias("entries"), F.array_sort(F.collect_set("event_type")).alias("kinds"))

@@ -15,13 +15,13 @@ PROGRAMS = """programs AS (
 THEMES = "themes AS (SELECT DISTINCT l_orderkey AS program_id, p_type AS slug FROM lineitem JOIN part ON l_partkey = p_partkey)"
 GEOGRAPHIES = """geographies AS (SELECT DISTINCT l_orderkey AS program_id, r_name AS slug FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
-SPARSE = "sparse AS (SELECT l_suppkey AS src, p_brand AS dst, l_orderkey AS program_id, l_partkey AS part FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50 AND l_discount = 0.1)"
-MEMBERS = """members AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, user_id AS entity, CAST(floor(max(value) / 50) AS INTEGER) AS level, CAST(count(*) AS INTEGER) AS errors
-  FROM events WHERE event_type = 'error' GROUP BY ALL),
+LINKS = "links AS (SELECT l_suppkey AS src, p_brand AS dst, l_orderkey AS program_id FROM lineitem JOIN part ON l_partkey = p_partkey)"
+MEMBERS = """members AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, user_id AS entity, CAST(floor(max(value) / 50) AS INTEGER) AS level, CAST(count(*) AS INTEGER) AS entries, list_sort(list(DISTINCT event_type)) AS kinds
+  FROM events GROUP BY ALL),
 links AS (SELECT week_start, lag(week_start) OVER (ORDER BY week_start) AS previous_week FROM (SELECT DISTINCT week_start FROM members)),
 pairs AS (SELECT coalesce(n.week_start, b.week_start) AS week_start, coalesce(n.entity, b.entity) AS entity, n.entity IS NOT NULL AS in_now, b.entity IS NOT NULL AS in_before,
-    n.level, b.level AS level_before, n.errors, b.errors AS errors_before
-  FROM members n FULL JOIN (SELECT links.week_start, m.entity, m.level, m.errors FROM members m JOIN links ON links.previous_week = m.week_start) b ON n.week_start = b.week_start AND n.entity = b.entity)"""
+    n.level, b.level AS level_before, n.entries, b.entries AS entries_before, n.kinds, b.kinds AS kinds_before
+  FROM members n FULL JOIN (SELECT links.week_start, m.entity, m.level, m.entries, m.kinds FROM members m JOIN links ON links.previous_week = m.week_start) b ON n.week_start = b.week_start AND n.entity = b.entity)"""
 YEARS = """history AS (SELECT program_id, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(l_extendedprice AS DECIMAL(14,2)) AS funding FROM programs JOIN lineitem ON l_orderkey = program_id),
 points AS (SELECT year, count(DISTINCT program_id) AS active, CAST(sum(funding) AS DOUBLE) AS total FROM history GROUP BY year),
 years AS (SELECT coalesce(l.year, p.year) AS year, coalesce(launched, 0) AS launched, coalesce(active, 0) AS active, coalesce(total, 0) AS total
@@ -76,8 +76,8 @@ SELECT count(*) AS total, count(deadline_on) AS present, count(days) AS upcoming
   r AS (SELECT 'freshness' AS metric_key, count(*) FILTER (published_at >= TIMESTAMP '1998-06-01' - INTERVAL 365 DAY AND published_at <= TIMESTAMP '1998-06-01') AS numerator, count(*) AS denominator FROM programs
   UNION ALL SELECT 'completeness', count(*) FILTER (source_status <> 'P' AND value_kind IS NOT NULL), count(*) FROM programs
   UNION ALL SELECT 'conflict', count(*) FILTER (canonical AND pending AND conflict), count(*) FILTER (canonical AND pending) FROM c
-  UNION ALL SELECT 'source_coverage', (SELECT count(DISTINCT user_id) FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey < 200) AND event_type NOT IN ('error', 'view')
-    AND ts BETWEEN TIMESTAMP '1998-06-01' - INTERVAL 365 DAY AND TIMESTAMP '1998-06-01'), (SELECT count(*) FROM customer WHERE c_custkey < 200)
+  UNION ALL SELECT 'source_coverage', (SELECT count(DISTINCT user_id) FROM events WHERE user_id IN (SELECT c_custkey FROM customer) AND event_type NOT IN ('error', 'view')
+    AND ts BETWEEN TIMESTAMP '1998-06-01' - INTERVAL 365 DAY AND TIMESTAMP '1998-06-01'), (SELECT count(*) FROM customer)
   UNION ALL SELECT 'review_status', count(*) FILTER (pending), count(*) FROM c)""") + "SELECT *, round(CASE WHEN denominator <> 0 THEN numerator / CAST(denominator AS DOUBLE) END, 12) AS value FROM r",
     "execution_coverage": """SELECT c_custkey AS source_key, coalesce(n, 0) AS executions, coalesce(ok, 0) AS covered
 FROM customer LEFT JOIN (SELECT user_id, count(*) AS n, CAST(max(CASE WHEN event_type NOT IN ('error', 'view') THEN 1 ELSE 0 END) AS INTEGER) AS ok FROM events GROUP BY 1) ON user_id = c_custkey""",
@@ -92,30 +92,31 @@ FROM customer LEFT JOIN (SELECT user_id, count(*) AS n, CAST(max(CASE WHEN event
     "regional_leave_one_out": using(PROGRAMS, GEOGRAPHIES, "per AS (SELECT slug, source_key, count(DISTINCT program_id) AS n FROM geographies JOIN programs USING (program_id) GROUP BY ALL)") + """
 SELECT slug, source_key, n_all - coalesce(n, 0) AS n_without, total - size AS total_without, round((n_all - coalesce(n, 0)) / CAST(total - size AS DOUBLE), 12) AS share_without
 FROM (SELECT slug, CAST(sum(n) AS BIGINT) AS n_all FROM per GROUP BY 1) CROSS JOIN (SELECT source_key, count(*) AS size FROM programs GROUP BY 1) CROSS JOIN (SELECT count(*) AS total FROM programs) LEFT JOIN per USING (slug, source_key)""",
-    "network_edges": using(SPARSE) + "SELECT src, dst, count(DISTINCT program_id) AS weight FROM sparse GROUP BY ALL",
-    "network_node_metrics": using(SPARSE, "e AS (SELECT src, dst, count(DISTINCT program_id) AS w FROM sparse GROUP BY ALL)", """n AS (
+    "network_edges": using(LINKS) + "SELECT src, dst, count(DISTINCT program_id) AS weight FROM links GROUP BY ALL",
+    "network_node_metrics": using(LINKS, "e AS (SELECT src, dst, count(DISTINCT program_id) AS w FROM links GROUP BY ALL)", """n AS (
   SELECT 'source' AS side, CAST(s_suppkey AS VARCHAR) AS node, count(w) AS degree, CAST(coalesce(sum(w), 0) AS BIGINT) AS strength FROM supplier LEFT JOIN e ON src = s_suppkey GROUP BY s_suppkey
   UNION ALL SELECT 'target', dst, count(*), CAST(sum(w) AS BIGINT) FROM e GROUP BY dst)""") + """SELECT side, node, degree, strength, round(degree / CAST(nullif((SELECT count(*) FROM n m WHERE m.side <> n.side), 0) AS DOUBLE), 12) AS centrality FROM n""",
-    "network_density": using(SPARSE) + """SELECT edges, sources, targets, round(edges / CAST(sources * targets AS DOUBLE), 12) AS density, sources < 3 OR targets < 5 AS small_graph
-  FROM (SELECT count(DISTINCT (src, dst)) AS edges, count(DISTINCT dst) AS targets FROM sparse), (SELECT count(*) AS sources FROM supplier)""",
-    "network_components": using(SPARSE, "e AS (SELECT DISTINCT 's:' || src AS a, 't:' || part AS b FROM sparse)", "both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e)", """
-  walk(node, other) AS (SELECT a, a FROM both_ways UNION SELECT node, b FROM walk JOIN both_ways ON other = a)""", """
-  c AS (SELECT node, min(other) AS component FROM walk GROUP BY 1 UNION ALL SELECT 's:' || s_suppkey, 's:' || s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT src FROM sparse))""")
-    + "SELECT node, component, dense_rank() OVER (ORDER BY component) AS number FROM c",
+    "network_density": using(LINKS) + """SELECT edges, sources, targets, round(edges / CAST(sources * targets AS DOUBLE), 12) AS density, sources < 3 OR targets < 5 AS small_graph
+  FROM (SELECT count(DISTINCT (src, dst)) AS edges, count(DISTINCT dst) AS targets FROM links), (SELECT count(*) AS sources FROM supplier)""",
+    "network_components": """WITH n AS (SELECT 's:' || c_custkey AS node, 's:' || c_custkey AS component FROM customer UNION ALL SELECT 't:' || o_orderkey, 's:' || o_custkey FROM orders)
+SELECT node, component, dense_rank() OVER (ORDER BY component) AS number FROM n""",
     "weekly_latest": """WITH w AS (SELECT event_type, user_id, CAST(date_trunc('week', ts) AS DATE) AS week_start, event_id, ts FROM events)
 SELECT event_type, user_id, week_start, arg_max(event_id, (ts, event_id)) AS snapshot_id, count(*) - 1 AS omitted FROM w GROUP BY ALL""",
     "weekly_calendar": """WITH weeks AS (SELECT CAST(unnest(generate_series(date_trunc('week', min(ts)), date_trunc('week', max(ts)), INTERVAL 7 DAY)) AS DATE) AS week_start FROM events),
-s AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, arg_max(event_id, (ts, event_id)) AS snapshot_id FROM events WHERE value > 99.5 AND event_type = 'error' GROUP BY 1),
-l AS (SELECT *, lag(week_start) OVER (ORDER BY week_start) AS previous_week FROM s)
+s AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, arg_max(event_id, (ts, event_id)) AS snapshot_id FROM events GROUP BY 1),
+e AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, max(ts) AS as_of FROM events GROUP BY 1), f AS (SELECT min(ts) AS a, max(ts) AS b FROM events),
+l AS (SELECT s.*, as_of, lag(week_start) OVER (ORDER BY week_start) AS previous_week, lag(as_of) OVER (ORDER BY week_start) AS previous_as_of FROM s JOIN e USING (week_start))
 SELECT week_start, snapshot_id, previous_week, CASE WHEN snapshot_id IS NULL THEN 'no_snapshot' WHEN previous_week IS NULL THEN 'no_prior_snapshot' ELSE 'computed' END AS status,
-  CASE WHEN previous_week IS NOT NULL THEN greatest(0, date_diff('day', previous_week, week_start) // 7 - 1) END AS gap_weeks FROM weeks LEFT JOIN l USING (week_start)""",
+  CASE WHEN previous_week IS NOT NULL THEN greatest(0, date_diff('day', previous_week, week_start) // 7 - 1) END AS gap_weeks,
+  week_start < CAST(a AS DATE) OR week_start + 6 > CAST(b AS DATE) AS partial, round(epoch(as_of) - epoch(previous_as_of), 3) AS interval_seconds, CASE WHEN previous_week IS NOT NULL AND date_diff('day', previous_week, week_start) > 7 THEN 'snapshot_gap_no_interpolation' END AS warning
+FROM weeks LEFT JOIN l USING (week_start) CROSS JOIN f""",
     "weekly_intake_removed": using(MEMBERS) + """SELECT l.week_start, l.previous_week, count(*) FILTER (in_now) AS stock, CASE WHEN l.previous_week IS NOT NULL THEN count(*) FILTER (in_now AND NOT in_before) END AS newly_observed,
   CASE WHEN l.previous_week IS NOT NULL THEN count(*) FILTER (NOT in_now AND in_before) END AS removed, CASE WHEN l.previous_week IS NOT NULL THEN count(*) END AS sample_size
   FROM links l JOIN pairs p ON p.week_start = l.week_start GROUP BY 1, 2""",
-    "weekly_membership_changes": using(MEMBERS) + """SELECT week_start, count(*) AS compared, count(*) FILTER (level IS DISTINCT FROM level_before) AS level_changes, count(*) FILTER (errors IS DISTINCT FROM errors_before) AS errors_changes,
-  count(*) FILTER (level IS DISTINCT FROM level_before OR errors IS DISTINCT FROM errors_before) AS any_change FROM pairs WHERE in_now AND in_before GROUP BY 1""",
+    "weekly_membership_changes": using(MEMBERS) + """SELECT week_start, count(*) AS compared, count(*) FILTER (level IS DISTINCT FROM level_before) AS level_changes, count(*) FILTER (entries IS DISTINCT FROM entries_before) AS entries_changes, count(*) FILTER (kinds IS DISTINCT FROM kinds_before) AS kinds_changes,
+  count(*) FILTER (level IS DISTINCT FROM level_before OR entries IS DISTINCT FROM entries_before OR kinds IS DISTINCT FROM kinds_before) AS any_change FROM pairs WHERE in_now AND in_before GROUP BY 1""",
     "weekly_transitions": using(MEMBERS) + "SELECT week_start, level_before AS before, level AS now, count(*) AS n FROM pairs WHERE in_now AND in_before AND level IS DISTINCT FROM level_before GROUP BY ALL",
-    "weekly_category_points": using(MEMBERS, "m AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, user_id AS entity, event_type AS category FROM events WHERE value > 95)") + """
+    "weekly_category_points": using(MEMBERS, "m AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, user_id AS entity, event_type AS category FROM events)") + """
 SELECT week_start, category, coalesce(n, 0) AS n, round(coalesce(n, 0) / CAST(stock AS DOUBLE), 12) AS share FROM (SELECT week_start FROM links) CROSS JOIN (SELECT DISTINCT category FROM m)
 LEFT JOIN (SELECT week_start, category, count(DISTINCT entity) AS n FROM m GROUP BY ALL) USING (week_start, category) LEFT JOIN (SELECT week_start, count(DISTINCT entity) AS stock FROM m GROUP BY 1) USING (week_start)""",
     "snapshot_compare": """WITH s AS (SELECT event_type AS series, CAST(date_trunc('week', ts) AS DATE) AS week, count(DISTINCT user_id) AS programs FROM events GROUP BY ALL),
@@ -131,7 +132,7 @@ SELECT series, series || '/' || week AS snapshot_id, series || '/' || previous A
   round(CAST(coalesce(sum(funding), 0) AS DOUBLE) / CAST((SELECT sum(funding) FROM programs) AS DOUBLE), 9) AS share FROM programs JOIN geographies USING (program_id) GROUP BY 1""",
     "bi_finance_by_type": using(PROGRAMS) + """SELECT support_type AS value, count(*) AS programs, count(funding) AS known, CAST(coalesce(sum(funding), 0) AS DOUBLE) AS total,
   round(CAST(coalesce(sum(funding), 0) AS DOUBLE) / CAST((SELECT sum(funding) FROM programs) AS DOUBLE), 9) AS share FROM programs GROUP BY 1""",
-    "bi_region_score": using(PROGRAMS, GEOGRAPHIES, """s AS (SELECT slug AS region, count(DISTINCT program_id) AS programs, count(*) FILTER (source_status = 'O') AS active, CAST(coalesce(sum(funding), 0) AS DOUBLE) AS total,
+    "bi_region_score": using(PROGRAMS, GEOGRAPHIES, """s AS (SELECT slug AS region, count(DISTINCT program_id) AS programs, count(*) FILTER (source_status = 'O') AS active, count(*) FILTER (support_type = 'AUTOMOBILE') AS level_automobile, count(*) FILTER (support_type = 'MACHINERY') AS level_machinery, CAST(coalesce(sum(funding), 0) AS DOUBLE) AS total,
   CAST(2 * count(DISTINCT program_id) + floor(CAST(coalesce(sum(funding), 0) AS DOUBLE) / 1000000 + 0.5) AS BIGINT) AS score FROM programs JOIN geographies USING (program_id) GROUP BY 1)""")
     + "SELECT *, row_number() OVER (ORDER BY score DESC, region) <= 2 AS is_top, row_number() OVER (ORDER BY score, region) <= 2 AS is_bottom FROM s",
     "bi_topic_strength": using(PROGRAMS, THEMES, GEOGRAPHIES) + """SELECT topic, programs, coalesce(regions, 0) AS regions, total, CASE WHEN programs >= 5 OR total >= 10000000 THEN 'strong' WHEN programs >= 3 OR total >= 2000000 THEN 'moderate' ELSE 'weak' END AS strength
@@ -149,7 +150,7 @@ SELECT *, row_number() OVER (ORDER BY programs DESC NULLS LAST, source_id) AS by
     "bi_data_quality": """WITH d AS (SELECT lang, quality IS NULL AS a, n_chars < 400 AS b, coalesce(quality = 0, false) AS c, coalesce(toxic = 1, false) AS e FROM documents LEFT JOIN labels USING (doc_id))
 SELECT lang, count(*) AS records, round(avg(floor((4 - a::INT - b::INT - c::INT - e::INT) / 4 * 100 + 0.5)), 6) AS completeness, round(avg(a::INT), 9) AS without_label, round(avg(b::INT), 9) AS without_long_text,
   round(avg(c::INT), 9) AS without_good, round(avg(e::INT), 9) AS without_clean FROM d GROUP BY 1""",
-    "bi_month_seasonality": using(PROGRAMS, "m AS (SELECT CAST(month AS INTEGER) AS month, (SELECT count(*) FROM programs WHERE source_status = 'O' AND month(deadline_on) = month) AS n FROM range(1, 13) t(month))")
+    "bi_month_seasonality": using(PROGRAMS, "m AS (SELECT CAST(month AS INTEGER) AS month, (SELECT count(*) FROM programs WHERE month(deadline_on) = month) AS n FROM range(1, 13) t(month))")
     + "SELECT month, n, n > 0 AND row_number() OVER (ORDER BY n DESC, month) <= 3 AS is_peak FROM m",
     "bi_year_roll": using(PROGRAMS, YEARS) + "SELECT * FROM years",
     "bi_forecast": using(PROGRAMS, YEARS, """g AS (SELECT *, CASE WHEN lag(total) OVER w > 0 THEN (total - lag(total) OVER w) / lag(total) OVER w END AS mg, CASE WHEN lag(active) OVER w > 0 THEN (active - lag(active) OVER w) / CAST(lag(active) OVER w AS DOUBLE) END AS pg
@@ -184,7 +185,7 @@ SELECT p_partkey, p_name, round(min(s), 9) AS score FROM s GROUP BY ALL HAVING m
     "theme_tag": r"""SELECT doc_id, tag FROM documents, (VALUES ('and', '\band\b'), ('license', 'licen[cs]e|copyright'), ('mail', '[a-z0-9._]+@[a-z0-9.]+'), ('numbers', '[0-9]{4}')) r(tag, pattern) WHERE regexp_matches(lower(text), pattern)""",
     "money_parse": "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS DOUBLE) AS amount, 'maximum' AS kind FROM orders",
     "json_props": "SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1",
-    "fingerprint": "SELECT o_orderkey, sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) AS fingerprint FROM orders",
+    "fingerprint": "SELECT o_orderkey, sha256(to_json({'o_custkey': o_custkey, 'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority, 'o_orderstatus': o_orderstatus})::VARCHAR) AS fingerprint FROM orders",
     "state_transitions": "WITH l AS (SELECT lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, role AS state FROM conversations) SELECT before, state, count(*) AS n FROM l WHERE before IS NOT NULL GROUP BY ALL",
     "state_violations": """WITH l AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
 SELECT * FROM l WHERE before IS NOT NULL AND before <> role AND (before, role) NOT IN (('system', 'user'), ('user', 'assistant'))""",
@@ -201,12 +202,15 @@ SELECT event_id, greatest(least(2 * pow(5.0, n - 1), 60), least(value, 60)) AS w
   nullif(trim(regexp_replace(lower(string_split(text, '.')[1]), '[^\p{L}\p{N}_]+', ' ', 'g')), '') AS title, lang, n_chars % 365 AS deadline FROM documents),
 c AS (SELECT * FROM d WHERE id % 20 = 0), m AS (SELECT c.id AS c, d.id AS t, 0 AS r FROM c JOIN d ON c.source = d.source AND c.ext = d.ext AND c.id <> d.id
   UNION ALL SELECT c.id, d.id, 1 FROM c JOIN d ON c.source = d.source AND c.url = d.url AND c.id <> d.id UNION ALL SELECT c.id, d.id, 2 FROM c JOIN d ON c.source <> d.source AND c.url = d.url
-  UNION ALL SELECT c.id, d.id, 3 FROM c JOIN d ON c.title = d.title AND c.lang = d.lang AND c.deadline = d.deadline AND c.id <> d.id)
-SELECT c AS candidate_id, t AS target_id, CAST(min(r) AS INTEGER) AS level_rank, ['exact_external_id', 'exact_url', 'exact_origin_url', 'normalized_fields'][min(r) + 1] AS level FROM m GROUP BY ALL""",
+  UNION ALL SELECT c.id, d.id, 3 FROM c JOIN d ON c.title = d.title AND c.lang = d.lang AND c.deadline = d.deadline AND c.id <> d.id),
+b AS (SELECT c, t, min(r) AS r FROM m GROUP BY ALL)
+SELECT b.c AS candidate_id, b.t AS target_id, CAST(r AS INTEGER) AS level_rank, ['exact_external_id', 'exact_url', 'exact_origin_url', 'normalized_fields'][r + 1] AS level,
+  concat_ws(',', CASE WHEN x.title <> y.title THEN 'title_key' END, CASE WHEN x.lang <> y.lang THEN 'organizer_key' END, CASE WHEN x.deadline <> y.deadline THEN 'deadline_on' END) AS conflicts
+FROM b JOIN d x ON x.id = b.c JOIN d y ON y.id = b.t""",
     "client_sort": using(PROGRAMS, "r AS (SELECT program_id, CAST(CASE WHEN deadline_on >= DATE '1998-06-01' THEN date_diff('day', DATE '1998-06-01', deadline_on) ELSE 10000 + date_diff('day', deadline_on, DATE '1998-06-01') END AS DOUBLE) AS rank FROM programs)")
-    + "SELECT * FROM r ORDER BY rank, program_id LIMIT 200",
+    + "SELECT * FROM r",
     "region_options": using(GEOGRAPHIES) + "SELECT DISTINCT slug AS option FROM geographies WHERE slug <> 'AFRICA'",
-    "publication_groups": "SELECT doc_id AS publication_id, min(doc_id) OVER (PARTITION BY md5(text)) AS group_id FROM documents",
+    "publication_groups": "SELECT doc_id AS publication_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY md5(text)) END AS group_id FROM documents",
     "publication_folding": """WITH u AS (SELECT o_custkey AS g, 'u' || o_orderkey % 4 AS u, min((o_orderdate, o_orderkey)) AS seen FROM orders GROUP BY ALL)
 SELECT o_custkey AS group_id, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS title, arg_max(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_orderstatus <> 'P' AND o_orderkey % 3 > 0) AS funding,
   (SELECT string_agg(u, ',' ORDER BY seen) FROM u WHERE g = o_custkey) AS urls, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS end_on, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'completed' ELSE 'open' END AS evidence, count(*) AS publications
@@ -217,9 +221,9 @@ SELECT key, arg_max(url, (starts_with(url, 'https'), -length(url), url)) AS url,
     "application_windows": """WITH r AS (SELECT DISTINCT l_orderkey AS id, CAST(l_shipdate AS DATE) AS a, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) AS b FROM lineitem),
 m AS (SELECT *, coalesce(a <= lag(b) OVER (PARTITION BY id ORDER BY b, a), false) AS o FROM r), g AS (SELECT id, arg_max(a, b) AS a, max(b) AS b, count(*) AS n, bool_or(o) AND count(*) > 1 AS clash FROM m GROUP BY 1)
 SELECT id AS record_id, CAST(CASE WHEN NOT clash THEN a END AS VARCHAR) AS start_on, CAST(CASE WHEN NOT clash THEN b END AS VARCHAR) AS end_on, CASE WHEN n = 1 THEN 'single' WHEN clash THEN 'conflict' ELSE 'multiple_cycles' END AS outcome FROM g""",
-    "artifact_status": """WITH r AS (SELECT l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY 'part-' || l_partkey) AS n FROM lineitem)
-SELECT CASE WHEN p_size < 10 THEN 'captured' WHEN n <= 2 THEN 'deferred' ELSE 'reference_only' END AS status, count(*) AS links FROM r JOIN part ON p_partkey = l_partkey GROUP BY 1""",
-    "schedule_due": "SELECT event_id, event_type FROM events WHERE minute(ts) % 10 = 0 AND hour(ts) BETWEEN 6 AND 18 AND (day(ts) IN (1, 15) OR dayofweek(ts) BETWEEN 1 AND 5)",
+    "artifact_status": """WITH r AS (SELECT l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_linestatus = 'O' THEN 'part-' ELSE 'missing-' END || l_partkey) AS n FROM lineitem)
+SELECT CASE WHEN l_linestatus = 'O' THEN 'captured' WHEN n <= 2 THEN 'deferred' ELSE 'reference_only' END AS status, count(*) AS links FROM r GROUP BY 1""",
+    "schedule_due": "SELECT event_id, event_type FROM events WHERE (minute(ts) % 10 = 0 OR minute(ts) = 7) AND hour(ts) BETWEEN 6 AND 18 AND dayofweek(ts) BETWEEN 1 AND 5",
     "funding_labels": using(PROGRAMS) + r"""SELECT program_id, CASE value_kind WHEN 'unknown' THEN 'unknown' WHEN 'not_stated' THEN 'not stated' ELSE CASE value_kind WHEN 'minimum' THEN 'from ' WHEN 'maximum' THEN 'up to ' ELSE '' END
   || regexp_replace(replace(format('{:,.2f}', CAST(funding AS DOUBLE)), ',', ' '), '\.00$', '') || ' USD' END AS label FROM programs""",
     "baseline_metrics": using(PROGRAMS, "t AS (SELECT count(*) AS n, count(value_kind) AS records, count(funding) AS numeric FROM programs)", """

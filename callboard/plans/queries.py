@@ -122,7 +122,7 @@ def quality_ratios(t: Tables) -> DataFrame:
         F.when(F.col("event_type") == "signup", "canonical").otherwise("discovery").alias("case_type"), F.when(F.col("value") < 10, "open").when(F.col("value") < 40, "needs_clarification").otherwise("resolved").alias("status"), (F.col("user_id") % 7 == 0).alias("has_explicit_conflict")
     )
     runs = t.events.select(F.col("user_id").cast("string").alias("source_key"), F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"), (F.col("event_type") == "view").alias("dry_run"), F.col("ts").alias("finished_at"))
-    sources = t.customer.where("c_custkey < 200").select(F.col("c_custkey").cast("string").alias("source_key"))
+    sources = t.customer.select(F.col("c_custkey").cast("string").alias("source_key"))
     return baseline.quality_ratios(programs, cases, runs, sources, F.lit(datetime(1998, 6, 1)), 365).withColumn("value", F.round("value", 12))
 
 
@@ -165,7 +165,7 @@ def regional_leave_one_out(t: Tables) -> DataFrame:
 
 
 def _network(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return network.edges(t.sparse_links()), t.supplier.select(F.col("s_suppkey").alias("src"))
+    return network.edges(t.brand_links()), t.supplier.select(F.col("s_suppkey").alias("src"))
 
 
 @query
@@ -185,8 +185,9 @@ def network_density(t: Tables) -> DataFrame:
 
 @query
 def network_components(t: Tables) -> DataFrame:
-    links = t.sparse_links().select("src", F.col("part").alias("dst"), "program_id")
-    return network.components(network.edges(links), t.supplier.select(F.col("s_suppkey").alias("src")))
+    """The program graph: customers as sources, linked to each of their orders."""
+    links = t.orders.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.col("o_orderkey").alias("program_id"))
+    return network.components(network.edges(links), t.customer.select(F.col("c_custkey").alias("src")))
 
 
 def _weeks(t: Tables) -> DataFrame:
@@ -205,8 +206,10 @@ def weekly_latest(t: Tables) -> DataFrame:
 
 @query
 def weekly_calendar(t: Tables) -> DataFrame:
-    snaps = t.events.where("value > 99.5 and event_type = 'error'").select(F.col("event_id").alias("snapshot_id"), F.col("ts").alias("as_of"))
-    return temporal.series(_weeks(t), temporal.weekly_latest(snaps, []), []).select("week_start", "snapshot_id", "previous_week", "status", "gap_weeks")
+    snaps = t.events.select(F.col("event_id").alias("snapshot_id"), F.col("ts").alias("as_of"))
+    edges = t.events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    got = temporal.intervals(temporal.series(_weeks(t), temporal.weekly_latest(snaps, []), []), edges)
+    return got.select("week_start", "snapshot_id", "previous_week", "status", "gap_weeks", "partial", "interval_seconds", "warning")
 
 
 @query
@@ -216,7 +219,7 @@ def weekly_intake_removed(t: Tables) -> DataFrame:
 
 @query
 def weekly_membership_changes(t: Tables) -> DataFrame:
-    return temporal.attribute_changes(temporal.paired(t.members(), _links(t), ["level", "errors"]), ["level", "errors"])
+    return temporal.attribute_changes(temporal.paired(t.members(), _links(t), ["level", "entries", "kinds"]), ["level", "entries", "kinds"])
 
 
 @query
@@ -226,7 +229,7 @@ def weekly_transitions(t: Tables) -> DataFrame:
 
 @query
 def weekly_category_points(t: Tables) -> DataFrame:
-    rows = t.events.where("value > 95").select(temporal.week_start(F.col("ts")).alias("week_start"), F.col("user_id").alias("entity"), F.col("event_type").alias("category"))
+    rows = t.events.select(temporal.week_start(F.col("ts")).alias("week_start"), F.col("user_id").alias("entity"), F.col("event_type").alias("category"))
     return temporal.category_points(rows, _links(t))
 
 
@@ -271,7 +274,7 @@ def bi_finance_by_type(t: Tables) -> DataFrame:
 
 @query
 def bi_region_score(t: Tables) -> DataFrame:
-    return bi.region_scores(t.bi_programs(), 2)
+    return bi.region_scores(t.bi_programs().withColumn("coverage_level", F.col("support_type")), 2, ("AUTOMOBILE", "MACHINERY"))
 
 
 @query
@@ -306,7 +309,7 @@ def bi_data_quality(t: Tables) -> DataFrame:
 
 @query
 def bi_month_seasonality(t: Tables) -> DataFrame:
-    return bi.month_seasonality(t.bi_programs().where("source_status = 'O'"))
+    return bi.month_seasonality(t.programs().withColumn("deadline", F.col("deadline_on")))
 
 
 def _years(t: Tables) -> DataFrame:
@@ -326,7 +329,7 @@ def bi_forecast(t: Tables) -> DataFrame:
 
 @query
 def bi_growing_topics(t: Tables) -> DataFrame:
-    return bi.growing_topics(t.bi_programs().where("launch_year <= 2000"))
+    return bi.growing_topics(t.bi_programs(), year=2000)
 
 
 @query
@@ -356,7 +359,7 @@ def entity_matches(t: Tables) -> DataFrame:
         F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.substring_index("text", " ", 3).alias("external_id"), F.md5("text").alias("url"), F.array(F.md5("text")).alias("origin_urls"),
         normalize.normalized_ascii(F.substring_index("text", ".", 1)).alias("title_key"), F.col("lang").alias("organizer_key"), F.date_add(F.lit(date(2020, 1, 1)), (F.col("n_chars") % 365).cast("int")).alias("deadline_on"),
     )
-    return resolve.matches(rows.where("id % 20 = 0"), rows)
+    return resolve.matches(rows.where("id % 20 = 0"), rows).withColumn("conflicts", F.array_join("conflicts", ","))
 
 
 @query
@@ -436,7 +439,7 @@ def json_props(t: Tables) -> DataFrame:
 
 @query
 def fingerprint(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), 256).alias("fingerprint"))
+    return t.orders.select("o_orderkey", normalize.fingerprint("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").alias("fingerprint"))
 
 
 @query
@@ -501,7 +504,7 @@ def retry_backoff(t: Tables) -> DataFrame:
 
 @query
 def client_sort(t: Tables) -> DataFrame:
-    rows = catalog.client_sorted(t.programs(), "deadline", F.lit(TODAY)).limit(200)
+    rows = catalog.client_sorted(t.programs(), "deadline", F.lit(TODAY))
     return rows.select("program_id", catalog.deadline_rank(F.col("deadline_on"), F.lit(TODAY)).alias("rank"))
 
 
@@ -513,7 +516,8 @@ def region_options(t: Tables) -> DataFrame:
 @query
 def publication_groups(t: Tables) -> DataFrame:
     rows = t.documents.select(F.col("doc_id").alias("publication_id"), F.md5("text").alias("key"))
-    links = rows.withColumn("src", F.lag("publication_id").over(Window.partitionBy("key").orderBy("publication_id"))).where("src is not null").select("src", F.col("publication_id").alias("dst"))
+    heads = rows.where("key is not null").groupBy("key").agg(F.min("publication_id").alias("src"))
+    links = rows.join(heads, "key").where("src <> publication_id").select("src", F.col("publication_id").alias("dst"))
     return publications.groups(rows, links)
 
 
@@ -546,14 +550,15 @@ def application_windows(t: Tables) -> DataFrame:
 
 @query
 def artifact_status(t: Tables) -> DataFrame:
-    parents = t.lineitem.groupBy(F.col("l_orderkey").alias("record_id")).agg(F.array_sort(F.collect_list(F.concat(F.lit("part-"), "l_partkey"))).alias("artifact_urls"))
-    files = t.part.where("p_size < 10").select(F.concat(F.lit("part-"), "p_partkey").alias("url"), F.md5("p_name").alias("sha256"))
+    url = F.concat(F.when(F.col("l_linestatus") == "O", "part-").otherwise("missing-"), "l_partkey")
+    parents = t.lineitem.groupBy(F.col("l_orderkey").alias("record_id")).agg(F.array_sort(F.collect_list(url)).alias("artifact_urls"))
+    files = t.part.select(F.concat(F.lit("part-"), "p_partkey").alias("url"), F.md5("p_name").alias("sha256"))
     return publications.attached(parents, files, 2).groupBy("status").agg(F.count(F.lit(1)).alias("links"))
 
 
 @query
 def schedule_due(t: Tables) -> DataFrame:
-    return t.events.where(schedule.due("*/10 6-18 1,15 * 1-5", F.col("ts"))).select("event_id", "event_type")
+    return t.events.where(schedule.due("*/10,7/5 6-18 1-31 * 1-5", F.col("ts"))).select("event_id", "event_type")
 
 
 @query

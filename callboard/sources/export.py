@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-METRIC_COLUMNS = (
-    "snapshot_id", "metric_key", "value_num", "value_str", "numerator", "denominator", "sample_size", "status", "unit", "formula", "period_from", "period_to", "filter", "missing_rule",
-    "source_scope", "data_class", "calculation_version", "limitation", "input_fingerprint",
+#: The columns of an export as CSV, in order.
+CSV_COLUMNS = (
+    "metric_key", "value", "unit", "period", "formula", "filter", "missing", "uncertainty", "numerator", "denominator", "sample_size", "limitation", "status",
+    "snapshot_ids", "calculation_code_version", "parameters", "exported_at", "input_fingerprints", "data_sha256",
 )
 REQUIRED = ("snapshot_id", "metric_key", "formula", "unit", "missing_rule", "limitation")
 
@@ -44,6 +45,13 @@ def write_csv(df: DataFrame, path: str) -> str:
     return data_hash(df)
 
 
+def metric_rows(metrics: DataFrame, export: dict[str, str]) -> DataFrame:
+    """Metrics under the export's columns: those that metrics have, the rest from ``export`` (one value
+    for all rows), others null; by metric_key."""
+    given = {c: F.col(c).cast("string") if c in metrics.columns else F.lit(export.get(c)).cast("string") for c in CSV_COLUMNS}
+    return metrics.select(*(v.alias(c) for c, v in given.items())).orderBy("metric_key")
+
+
 def write_json(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     return data_hash(df)

@@ -107,7 +107,24 @@ def registry(spark: SparkSession, text: str) -> DataFrame:
 
 
 def archive(captures: DataFrame, path: str) -> DataFrame:
-    """Writes raw captures once per SHA-256, in folders of its first two digits."""
-    keyed = captures.withColumn("sha256", F.sha2("content", 256)).withColumn("head", F.substring("sha256", 1, 2)).dropDuplicates(["sha256"])
-    keyed.write.mode("append").partitionBy("head").parquet(path)
-    return keyed.select("sha256", F.octet_length("content").alias("n_bytes"))
+    """Writes raw captures that the archive lacks, once per SHA-256, in folders of its first two
+    digits; returns what was new.  One writer at a time."""
+    from callboard.operators.snapshots import append_once
+
+    keyed = captures.withColumn("sha256", F.sha2("content", 256)).withColumn("head", F.substring("sha256", 1, 2))
+    return append_once(keyed, path, "sha256", ("head",)).select("sha256", F.octet_length("content").alias("n_bytes"))
+
+
+COMPETITIONS = "array<struct<id: string, title: string, status: string, url: string, end_on: string>>"
+
+
+def competitions(responses: DataFrame, base_url: str, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(records, errors) of a public list as JSON: one record per entry with an id and a title, urls
+    made absolute; bodies that are no list, and entries without either, are errors."""
+    rows = responses.select("source_url", F.from_json(body, COMPETITIONS).alias("items"))
+    entries = rows.where("items is not null").select("source_url", F.posexplode("items").alias("position", "x")).select("source_url", "position", "x.*")
+    good = (F.coalesce(F.trim("id"), F.lit("")) != "") & (F.coalesce(F.trim("title"), F.lit("")) != "")
+    url = F.when(F.col("url").rlike("^https?://"), F.col("url")).when(F.col("url").startswith("/"), F.concat(F.lit(base_url.rstrip("/")), F.col("url")))
+    records = entries.where(good).select("source_url", "position", F.trim("id").alias("record_key"), F.trim("title").alias("title"), "status", url.alias("record_url"), F.col("end_on").try_cast("date").alias("deadline_on"))
+    errors = rows.where("items is null").select("source_url", F.lit(None).cast("int").alias("position"), F.lit("not_a_list").alias("reason"))
+    return records, errors.unionByName(entries.where(~good).select("source_url", "position", F.lit("no_id_or_title").alias("reason")))

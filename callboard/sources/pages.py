@@ -109,8 +109,8 @@ def sitemap(files: DataFrame, prefix: str) -> DataFrame:
 def feed_messages(pages: DataFrame) -> DataFrame:
     """(channel, message_id, published_at, text, links) of a channel's public pages."""
     # One block per message: it opens with its address, and holds a time and a text.
-    block = F.explode(F.slice(F.split("html", r'data-post="'), 2, 100_000))
-    rows = pages.select("url", block.alias("b"))
+    blocks = F.split("html", r'data-post="')
+    rows = pages.where("html is not null").select("url", F.explode(F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0)))).alias("b"))
     post = F.regexp_extract("b", r'^([^"/]+/\d+)"', 1)
     body = F.regexp_extract("b", r'(?s)<div class="[^"]*message_text[^"]*"[^>]*>(.*?)</div>', 1)
     text = F.trim(F.regexp_replace(F.regexp_replace(body, r"<br\s*/?>", "\n"), r"<[^>]+>", ""))

@@ -98,7 +98,7 @@ def test_money_and_dates(spark):
     got = dates.select(parse.word_dates(F.col("t"), F.lit(2025)), parse.period(F.col("t"), F.lit(2025))).collect()
     assert got[0][0] == [date(2025, 3, 1), date(2026, 4, 15)] and got[1][0] == [] and got[2][1].end_on is None
     labels = spark.createDataFrame([("Прием заявок",), ("Экспертиза",), ("Объявление победителей",), ("Прочее",)], "t string")
-    assert [r[0] for r in labels.select(parse.timeline_kind(F.col("t"))).collect()] == ["application", "review", "results", "other"]
+    assert [r[0] for r in labels.select(parse.timeline_kind(F.col("t"))).collect()] == ["application", "evaluation", "results", "other"]
 
 
 def test_search(spark):
@@ -136,8 +136,15 @@ def test_review_log(spark):
     assert sorted(r.outcome for r in review.replayed(requests, known).collect()) == ["conflict", "replay", "run"]
     before, after = (spark.createDataFrame([(1, x)], "id int, record string") for x in ('{"a":"1","b":"2"}', '{"a":"1","b":"3","c":"4"}'))
     assert [r.path for r in review.changed_paths(before, after, "id").orderBy("path").collect()] == ["b", "c"]
-    failures = spark.createDataFrame([("fetch", 503, None), ("fetch", 404, None), ("validate", 503, None), ("fetch", None, "Connection reset")], "stage string, status int, message string")
-    assert [r[0] for r in failures.select(review.transient(F.col("stage"), F.col("status"), F.col("message"))).collect()] == [True, False, False, True]
+    before, after = (spark.createDataFrame([(1, x)], "id int, record string") for x in ('{"a":{"x":1,"y":{"z":2}},"n":null,"l":[1],"d":5}', '{"a":{"x":1,"y":{"z":3},"w":{"v":1}},"n":null,"l":[1,2],"d":{"e":1}}'))
+    assert [r.path for r in review.changed_paths(before, after, "id").orderBy("path").collect()] == ["a.w", "a.y.z", "d", "l"]
+    assert [r.path for r in review.changed_paths(before, after, "id", limit=2).orderBy("path").collect()] == ["a.w", "a.y.z"]
+    scalar = spark.createDataFrame([(1, "7")], "id int, record string")
+    assert [r.path for r in review.changed_paths(before, scalar, "id").collect()] == ["record"] and review.changed_paths(after, after, "id").count() == 0
+    log = spark.createDataFrame([(1, 1, "publish"), (1, 2, "republish"), (1, 3, "archive"), (1, 4, "republish")], "id int, at int, action string")
+    assert [(r.state, r.allowed) for r in review.acted(log, "id", ["at"], "action", review.PROGRAM_ACTIONS, "draft").orderBy("at").collect()] == [("published", True), ("published", False), ("archived", True), ("published", True)]
+    failures = spark.createDataFrame([("fetch_error", "HTTP 503"), ("fetch_error", "HTTP 404: connection reset"), ("validate_error", "timeout"), ("persist_error", "Connection reset by peer"), ("database_unavailable", None), ("fetch_error", None)], "code string, message string")
+    assert [r[0] for r in failures.select(review.transient(F.col("code"), F.col("message"))).collect()] == [True, False, False, True, True, False]
 
 
 def test_two_batches_as_one(spark, tmp_path):

@@ -1,6 +1,7 @@
 import oracle
 import pytest
 
+from callboard.plans import records  # noqa: F401
 from callboard.plans.oracles import ORACLE_SQL
 from callboard.plans.queries import QUERIES
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callboard.operators.quantiles import quantiles
 from callboard.schemas import MISSING, NUMERIC_KINDS
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -73,7 +74,7 @@ def funding_measures(programs: DataFrame) -> DataFrame:
 
 def quartiles(df: DataFrame, keys: list[str], value: str, digits: int = 2) -> DataFrame:
     """Linear-interpolation quartiles per group, rounded half-even."""
-    got = df.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, QUARTILES))).alias("q"))
+    got = quantiles(df, keys, value, QUARTILES)
     return got.select(*keys, "n", *(_half_even(F.col("q")[k], digits).alias(name) for k, name in enumerate(("q25", "median", "q75"))))
 
 

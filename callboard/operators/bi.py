@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callboard.operators.quantiles import quantiles
+
 MILLION = 1_000_000
 
 
@@ -90,10 +92,13 @@ def half_up(x: Column) -> Column:
 
 
 def money_summary(programs: DataFrame) -> DataFrame:
-    return programs.agg(
-        F.sum("funding").cast("double").alias("total"), F.round(F.avg("funding").cast("double"), 6).alias("mean"), F.median(F.col("funding").cast("double")).alias("median"),
-        F.max("funding").cast("double").alias("largest"), F.count("funding").alias("known"), F.count_if(F.col("funding").isNull()).alias("unknown"),
+    """One row: total, mean, median and largest money, and how many programs have some or none."""
+    got = programs.agg(
+        F.sum("funding").cast("double").alias("total"), F.round(F.avg("funding").cast("double"), 6).alias("mean"), F.max("funding").cast("double").alias("largest"),
+        F.count("funding").alias("known"), F.count_if(F.col("funding").isNull()).alias("unknown"),
     )
+    middle = quantiles(programs, [], "funding", (0.5,)).select(F.col("q")[0].alias("median"))  # one row, or none without money
+    return got.join(middle, how="left").select("total", "mean", "median", "largest", "known", "unknown")
 
 
 def money_distribution(programs: DataFrame, by: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 import test_decontaminate as d
 import test_simhash as s
 from helpers import AWKWARD, AWKWARD_IDS, table
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from callboard.llm import sharding, simhash
@@ -49,3 +50,24 @@ def test_one_of_each(spark):
     classes = {low for _, _, low in s.brute(list(zip(AWKWARD_IDS, AWKWARD)))}
     assert len(got.collect()) == len(classes)
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_run_on_awkward_tables(spark, sf, tmp_path):
+    """Null ids, null and empty texts, repeated rows and extra columns go through; so does nothing at all."""
+    import os
+
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = table(spark, [*AWKWARD, *AWKWARD], [*AWKWARD_IDS, *AWKWARD_IDS]).withColumn("source", F.when(F.col("doc_id") > 4, F.col("source")))
+    for name, docs in (("odd", source.unionByName(odd)), ("none", source.limit(0))):
+        folder = tmp_path / name
+        docs.withColumn("score", F.lit("extra")).withColumn("block", F.lit(1)).withColumn("slot", F.lit("x")).write.parquet(str(folder / "documents.parquet"))
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{other}.parquet").write.parquet(str(folder / f"{other}.parquet"))
+        shared = spark.conf.get("spark.checkpoint.dir")
+        seen = set(os.listdir(shared))
+        out = corpus_pipeline.run(spark, str(folder))
+        assert set(docs.columns) | {"score", "block", "slot", "shard"} == set(out.columns)
+        assert (out.count() == 0) == (name == "none")
+        assert out.where("text is null or trim(text) = ''").count() == 0
+        (at,) = (f for f in set(os.listdir(shared)) - seen if f.startswith("corpus-"))
+        assert os.listdir(f"{shared}/{at}") == ["4-sharding"]

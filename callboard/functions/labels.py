@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from callboard.functions.parse import MONTHS
+
 #: Pairs of quotes that a whole title may stand in.
 QUOTES = (("«", "»"), ("“", "”"), ('"', '"'))
 CONTACT = r"(?iu)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}|(\+7|8)[\s(-]*\d{3}[\s)-]*\d{3}[\s-]*\d{2}[\s-]*\d{2}"
@@ -23,6 +25,27 @@ def clean_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"(?iu)[\s(–-]+(\d{4}([/-]\d{2,4})?\s*(год|г\.?)?|\d+[- ]?(й|я)? (сезон|очередь|волна))\)?$", ""))
 
 
+#: How a publication's title leads in to the name of what it is about.
+LEADS = r"(?iu)^(?:запуск|продление|продолжается|открыт[\p{L}\p{N}_]*|подведен[\p{L}\p{N}_]*)\s+"
+WHAT = r"(?iu)^(?:конкурс|преми|рейтинг|акселератор|программ)[\p{L}\p{N}_]*\s+"
+
+
+def bare_title(title: Column) -> Column:
+    """A publication's title without the words that lead in to it and the signs around it."""
+    flat = F.trim(F.regexp_replace(title, r"\s+", " "))
+    led = flat.rlike(LEADS)
+    out = F.regexp_replace(flat, LEADS, "")
+    out = F.when(led, F.regexp_replace(out, WHAT, "")).otherwise(out)
+    out = F.regexp_replace(out, LEADS, "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?iu)^при[её]м\s+заявок\s+", ""), r"(?iu)^на\s+", "")
+    return F.regexp_replace(out, r"^[ \-–—:;,.]+|[ \-–—:;,.]+$", "")
+
+
+def date_label(day: Column) -> Column:
+    """``5 марта 2026``, or null."""
+    return F.when(day.isNotNull(), F.concat_ws(" ", F.dayofmonth(day), F.element_at(F.array(*map(F.lit, MONTHS)), F.month(day)), F.year(day)))
+
+
 def has_contact(text: Column) -> Column:
     """Whether a text holds a mail address or a phone number, and so is never public."""
     return F.coalesce(text.rlike(CONTACT), F.lit(False))

@@ -5,6 +5,8 @@ Only Unicode compatibility folding has no built-in; it runs as one Arrow-batched
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,6 +96,19 @@ def fingerprint(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"}), 256)
 
 
+def uuid5(name: Column, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Column:
+    """The name-based UUID, version 5, of a text."""
+    h = F.sha1(F.concat(F.lit(namespace.bytes), name.cast("binary")))
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    parts = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return F.when(name.isNotNull(), parts)
+
+
+def manual_slug(namespace: str, name: Column) -> Column:
+    """The slug of a term that a person made: from its namespace and its name, whatever the case."""
+    return F.concat(F.lit("manual-"), F.substring(F.sha2(F.concat(F.lit(namespace), F.lit("\x00"), F.lower(name)).cast("binary"), 256), 1, 16))
+
+
 def prefixed_fingerprint(*parts: Column) -> Column:
     """SHA-256 over all parts, each after its length in 8 big-endian bytes."""
     pieces = []

@@ -52,14 +52,18 @@ def word_dates(text: Column, fallback_year: Column) -> Column:
 
     def one(x: Column) -> Column:
         y = F.coalesce(F.when(x["y"] != "", x["y"]).cast("int"), fallback_year)
-        return F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, F.element_at(number, x["m"]), x["d"].cast("int")), F.lit("yyyy-MM-dd")))
+        return F.try_make_timestamp_ntz(y, F.element_at(number, x["m"]), x["d"].cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
     return F.filter(F.transform(F.arrays_zip(day.alias("d"), month.alias("m"), year.alias("y")), one), lambda d: d.isNotNull())
 
 
 def period(text: Column, fallback_year: Column) -> Column:
-    """(start, end) of a window in text: its first and last date; one date is the end."""
-    dates = word_dates(text, fallback_year)
+    """(start, end) of a window in text: its first and last date; one date is the end.  A day that shares
+    its month with the next one has it too, and a date without a year takes the last year named."""
+    shared = r"(?iu)(\d{1,2})\s*(по|[-–—])\s*(\d{1,2}\s+(" + "|".join(MONTHS) + r")(\s+\d{4})?)"
+    whole = F.regexp_replace(text, shared, "$1 $4$5 $2 $3")
+    years = F.filter(F.regexp_extract_all(F.lower(whole), F.lit(WORD_DATE), F.lit(3)), lambda y: y != "")
+    dates = word_dates(whole, F.coalesce(F.try_element_at(years, F.lit(-1)).cast("int"), fallback_year))
     return F.struct(F.when(F.size(dates) > 1, F.array_min(dates)).alias("start_on"), F.array_max(dates).alias("end_on"))
 
 
@@ -86,25 +90,29 @@ def schedule_events(text: Column, fallback_year: Column) -> Column:
     text, in order, each once by label and dates.
 
     An entry runs from a word that opens one, with its cycle's number, to the next.  Its label is what
-    stands before a colon or its first date; an entry without dates drops out.
+    stands before a colon or its first date, after its cycle; an entry without dates drops out.
     """
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     entries = F.split(flat, rf"(?iu)(?<![\p{{L}}\p{{N}}])(?={CYCLE}{STAGE}(?!\p{{L}}))|(?<![\p{{L}}\p{{N}}])(?<!(?:цикл|этап|очередь|волна)[:.—– -]{{0,4}})(?={STAGE}(?!\p{{L}}))")
     opens = rf"(?iu)^(?:{CYCLE})?{STAGE}(?!\p{{L}})"
 
-    def event(entry: Column) -> Column:
-        evidence = F.regexp_replace(entry, r"[ ;]+$", "")
-        colon = F.instr(evidence, ":") > 0
-        before = F.when(colon, F.substring_index(evidence, ":", 1)).otherwise(F.split(evidence, WORD_DATE, 2)[0])
-        label = F.trim(F.regexp_replace(F.trim(before), r"(?iu)(?<!\p{L})(?:с|по|до|не позднее)$", ""))
-        detail = F.when(colon, F.substring(evidence, F.instr(evidence, ":") + 1, F.char_length(evidence))).otherwise(evidence)
-        dates = period(detail, fallback_year)
-        return F.struct(label.alias("label"), timeline_kind(label).alias("kind"), dates["start_on"].alias("start_on"), dates["end_on"].alias("end_on"), evidence.alias("evidence"))
-
-    found = F.filter(F.transform(F.filter(entries, lambda e: e.rlike(opens)), event), lambda e: e["end_on"].isNotNull())
+    # One step at a time, so that no expression is worked out twice.
+    found = F.transform(F.filter(entries, lambda e: e.rlike(opens)), lambda e: F.regexp_replace(e, r"[ ;]+$", ""))
+    found = F.transform(found, lambda e: F.struct(e.alias("evidence"), F.regexp_extract(e, rf"(?iu)^{CYCLE}", 0).alias("cycle"), F.regexp_replace(e, rf"(?iu)^{CYCLE}", "").alias("body")))
+    found = F.transform(found, lambda e: e.withField("at", F.instr(e["body"], ":")))
+    found = F.transform(
+        found,
+        lambda e: F.struct(
+            e["evidence"].alias("evidence"), F.nullif(F.regexp_replace(e["cycle"], r"[:.—– -]+$", ""), F.lit("")).alias("cycle"),
+            F.trim(F.when(e["at"] > 0, F.substring(e["body"], F.lit(1), e["at"] - 1)).otherwise(F.split(e["body"], WORD_DATE, 2)[0])).alias("before"),
+            F.when(e["at"] > 0, F.substring(e["body"], e["at"] + 1, F.char_length(e["body"]))).otherwise(e["body"]).alias("detail"),
+        ),
+    )
+    found = F.transform(found, lambda e: F.struct(F.concat_ws(" — ", e["cycle"], F.trim(F.regexp_replace(e["before"], r"(?iu)(?<!\p{L})(?:с|по|до|не позднее)$", ""))).alias("label"), period(e["detail"], fallback_year).alias("dates"), e["evidence"].alias("evidence")))
+    found = F.transform(found, lambda e: F.struct(e["label"].alias("label"), timeline_kind(e["label"]).alias("kind"), e["dates"]["start_on"].alias("start_on"), e["dates"]["end_on"].alias("end_on"), e["evidence"].alias("evidence")))
     same = lambda a, b: (F.lower(a["label"]) == F.lower(b["label"])) & a["start_on"].eqNullSafe(b["start_on"]) & (a["end_on"] == b["end_on"])
-    fresh = lambda e, k: ~F.exists(F.slice(found, F.lit(1), k), lambda other: same(e, other))
-    return F.filter(found, fresh)
+    none = F.array().cast("array<struct<label:string,kind:string,start_on:date,end_on:date,evidence:string>>")
+    return F.aggregate(F.filter(found, lambda e: e["end_on"].isNotNull()), none, lambda kept, e: F.when(F.exists(kept, lambda k: same(k, e)), kept).otherwise(F.array_append(kept, e)))
 
 
 #: Headings of a contest's whole fund, and how a sentence names it.

@@ -143,17 +143,22 @@ def gap_severity(n: Column, total: Column) -> Column:
     return F.when((n <= 1) & (total < MILLION), "high").when((n <= 2) & (total < 3 * MILLION), "medium").otherwise("low")
 
 
-def support_gaps(programs: DataFrame, regions: int = 5, topics: int = 5, pairs: int = 8) -> DataFrame:
-    """The least served regions, topics and pairs: (kind, name, programs, total, severity)."""
+def coverage(programs: DataFrame) -> DataFrame:
+    """(kind, name, programs, total): programs and money of every region, topic and pair of both, in one
+    pass over the programs, each of which counts once under a name."""
+    regions, topics = F.array_distinct("regions"), F.array_distinct("topics")
+    named = lambda kind, names: F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+    pairs = F.flatten(F.transform(topics, lambda t: F.transform(regions, lambda r: F.concat_ws(" / ", t, r))))
+    rows = programs.select("funding", F.explode(F.concat(named("region", regions), named("topic", topics), named("pair", pairs))).alias("x"))
+    return rows.groupBy("x.kind", "x.name").agg(F.count(F.lit(1)).alias("programs"), F.coalesce(F.sum("funding").cast("double"), F.lit(0.0)).alias("total"))
 
-    def least(df: DataFrame, kind: str, name: Column, count: int) -> DataFrame:
-        rows = df.select(F.lit(kind).alias("kind"), name.alias("name"), "programs", "total")
-        return rows.orderBy("programs", "total", "name").limit(count)
 
-    found = least(region_scores(programs), "region", F.col("region"), regions)
-    found = found.unionByName(least(topic_strength(programs), "topic", F.col("topic"), topics))
-    found = found.unionByName(least(topic_regions(programs), "pair", F.concat_ws(" / ", "topic", "region"), pairs))
-    return found.withColumn("severity", gap_severity(F.col("programs"), F.col("total")))
+def support_gaps(programs: DataFrame, regions: int = 5, topics: int = 5, pairs: int = 8) -> DataFrame:
+    """The least served regions, topics and pairs: (kind, name, programs, total, severity)."""
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("programs", "total", "name"))  # a short list of each kind
+    most = F.when(F.col("kind") == "region", regions).when(F.col("kind") == "topic", topics).otherwise(pairs)
+    found = coverage(programs).withColumn("place", place).where((F.col("place") <= max(regions, topics, pairs)) & (F.col("place") <= most))
+    return found.select("kind", "name", "programs", "total", gap_severity(F.col("programs"), F.col("total")).alias("severity"))
 
 
 def source_rankings(sources: DataFrame, programs: DataFrame) -> DataFrame:

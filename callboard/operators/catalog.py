@@ -94,6 +94,35 @@ class Catalog:
         return self.filtered(q).agg(F.count(F.lit(1)).alias("total"))
 
 
+def summary(programs: DataFrame, program_sources: DataFrame, sources: DataFrame, **satellites: DataFrame) -> DataFrame:
+    """Programs with their primary source's page and name, and the columns of satellites that have a
+    row a program at most, null without one.
+
+    programs: program_id, primary_source_id; program_sources: program_id, source_id, source_url, by
+    both ids; sources: source_id, name.  A program whose primary source is not listed has no row.
+    """
+    primary = program_sources.select("program_id", F.col("source_id").alias("primary_source_id"), "source_url")
+    out = programs.join(primary, ["program_id", "primary_source_id"]).join(sources.select(F.col("source_id").alias("primary_source_id"), F.col("name").alias("source_name")), "primary_source_id")
+    for table in satellites.values():
+        out = out.join(table, "program_id", "left")
+    return out
+
+
+def canonical_geographies(links: DataFrame, districts: DataFrame, suffixes: tuple[str, ...] = ("-federal-district", "-federalny-okrug", "-federalnyi-okrug", "-federalnyy-okrug")) -> DataFrame:
+    """Links (program_id, slug, name) under the canonical slug and name where either is an alias.
+
+    districts: alias, slug, name; an alias is a name, or a slug with or without a suffix.  A name's case,
+    ``ё`` and signs between words do not matter; a name counts before a slug; others stay as they are.
+    """
+    key = lambda c: F.trim(F.regexp_replace(F.translate(F.lower(c), "ё", "е"), r"[\s_\-–—]+", " "))
+    bare = F.regexp_replace(F.lower(F.trim("slug")), "(" + "|".join(suffixes) + ")$", "")
+    known = districts.select(key(F.col("alias")).alias("__key"), F.struct(F.col("slug"), F.col("name")).alias("__to")).dropDuplicates(["__key"])
+    rows = links.withColumn("__name", key(F.col("name"))).withColumn("__slug", key(bare))
+    by_name, by_slug = known.select(F.col("__key").alias("__name"), F.col("__to").alias("__a")), known.select(F.col("__key").alias("__slug"), F.col("__to").alias("__b"))
+    got = rows.join(by_name, "__name", "left").join(by_slug, "__slug", "left").withColumn("__to", F.coalesce("__a", "__b", F.struct("slug", "name")))
+    return got.select("program_id", F.col("__to.slug").alias("slug"), F.col("__to.name").alias("name")).distinct()
+
+
 def in_geographies(slugs: tuple[str, ...], districts: dict[str, tuple[str, ...]]) -> Column:
     """Whether a geography has one of the slugs, or a name that belongs to one of them as a district."""
     names = sorted({n.lower() for s in slugs for n in districts.get(s, ())})
@@ -202,10 +231,13 @@ def deadline_rank(deadline: Column, today: Column) -> Column:
 
 
 def client_sorted(programs: DataFrame, sort: str, today: Column, relevance: Column | None = None) -> DataFrame:
-    """Programs by deadline rank, funding, newest, source or relevance; ids break ties."""
+    """Programs by deadline rank, funding, newest, source or relevance; ids break ties.  Equal relevance
+    goes by the newest; without a relevance the deadline counts."""
+    if sort == "relevance" and relevance is None:
+        sort = "deadline"
     orders = {
         "deadline": [deadline_rank(F.col("deadline_on"), today).asc()], "funding": [F.col("funding").desc_nulls_last()], "newest": [F.col("published_at").desc_nulls_last()],
-        "source": [F.col("source_key").asc()], "relevance": [(F.lit(0) if relevance is None else relevance).desc()],
+        "source": [F.col("source_key").asc()], "relevance": [(F.lit(0) if relevance is None else relevance).desc(), F.col("published_at").desc_nulls_last()],
     }
     return programs.orderBy(*orders[sort], "program_id")
 

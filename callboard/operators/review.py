@@ -116,6 +116,28 @@ DISCOVERY_ACTIONS = {
 }
 
 
+CASE_ACTIONS = {
+    (state, action): new for state in ("open", "needs_clarification") for action, new in (("accept", "accepted"), ("reject", "rejected"), ("merge", "merged"), ("clarify", "needs_clarification"))
+    if state != new
+}
+
+
+def effective(cases: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Cases (case_id, record) with the record that counts: the latest revision's, or their own; and the
+    number of revisions.  revisions: case_id, revision_number, record."""
+    latest = revisions.groupBy("case_id").agg(F.max_by("record", "revision_number").alias("__record"), F.max("revision_number").alias("__n"))
+    got = cases.join(latest, "case_id", "left")
+    return got.select(*(c for c in cases.columns if c != "record"), F.coalesce("__record", "record").alias("record"), F.coalesce("__n", F.lit(0)).alias("revisions"))
+
+
+def overwritten(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, problem): rows of an append-only table that a later version of it lost or changed."""
+    body = [c for c in before.columns if c != key]
+    old, new = (df.select(key, F.struct(*body).alias(name)) for df, name in ((before, "a"), (after, "b")))
+    both = old.join(new, key, "left").where(F.col("b").isNull() | (F.col("a") != F.col("b")))
+    return both.select(key, F.when(F.col("b").isNull(), "removed").otherwise("changed").alias("problem"))
+
+
 def acted(log: DataFrame, key: str, order: list[str], action: str, table: dict[tuple[str, str], str], start: str) -> DataFrame:
     """The log with ``state`` after each action and whether it was ``allowed``; an action that the
     state before does not allow changes nothing.

@@ -589,7 +589,6 @@ def chart_series(t: Tables) -> DataFrame:
 
 @query
 def insights(t: Tables) -> DataFrame:
-    rows = t.bi_programs()
-    regions = bi.region_scores(rows).select(F.col("region").alias("name"), F.col("programs").alias("value"))
-    topics = bi.topic_strength(rows).select(F.col("topic").alias("name"), F.col("programs").alias("value"))
-    return metrics.insights(regions, topics, catalog.source_counts(t.sources(), rows).select(F.col("source_key").alias("name"), F.col("programs").alias("value")))
+    facts = bi.coverage(t.bi_programs()).select("kind", "name", F.col("programs").alias("value"))
+    regions, topics = (facts.where(F.col("kind") == kind).drop("kind") for kind in ("region", "topic"))
+    return metrics.insights(regions, topics, catalog.source_counts(t.sources(), t.programs()).select(F.col("source_key").alias("name"), F.col("programs").alias("value")))

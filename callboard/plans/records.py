@@ -14,6 +14,7 @@ from callboard.plans.bindings import Tables
 from callboard.plans.oracles import GEOGRAPHIES, ORACLE_SQL, PROGRAMS, using
 from callboard.plans.queries import TODAY, query
 from callboard.sources import export, packages
+from callboard.streaming import feed
 
 
 def asked(sql: str) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
@@ -370,7 +371,7 @@ DAY = "CAST(CAST(o_orderdate AS DATE) {} AS VARCHAR)"
 
 
 @asked(f"""SELECT o_orderkey, 'Приём заявок' AS label, 'application' AS kind, {DAY.format('')} AS start_on, {DAY.format('+ 30')} AS end_on FROM orders
-UNION ALL SELECT o_orderkey, 'Экспертиза', 'evaluation', NULL, {DAY.format('+ 40')} FROM orders UNION ALL SELECT o_orderkey, '2 этап: Подведение итогов', 'results', NULL, {DAY.format('+ 50')} FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey, 'Экспертиза', 'evaluation', NULL, {DAY.format('+ 40')} FROM orders UNION ALL SELECT o_orderkey, '2 этап — Подведение итогов', 'results', NULL, {DAY.format('+ 50')} FROM orders WHERE o_orderkey % 2 = 0
 UNION ALL SELECT o_orderkey, 'Подведение итогов', 'results', NULL, {DAY.format('+ 50')} FROM orders WHERE o_orderkey % 2 = 1""")
 def schedule_events(t: Tables) -> DataFrame:
     months = F.array(*map(F.lit, parse.MONTHS))
@@ -381,8 +382,7 @@ def schedule_events(t: Tables) -> DataFrame:
 
     last = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("2 этап Подведение итогов "), told(50))).otherwise(F.concat(F.lit("Подведение итогов: "), told(50), F.lit(" года")))
     text = F.concat(F.lit("График.  Приём заявок: с "), told(0), F.lit(" по "), told(30), F.lit("; Экспертиза до "), told(40), F.lit(" приём заявок: с "), told(0), F.lit(" по "), told(30), F.lit("; Оценка без даты; "), last)
-    rows = t.orders.select("o_orderkey", F.explode(parse.schedule_events(text, F.lit(1990))).alias("e")).select("o_orderkey", "e.label", "e.kind", "e.start_on", "e.end_on")
-    return rows.withColumn("label", F.regexp_replace("label", "^2 этап Подведение", "2 этап: Подведение"))
+    return t.orders.select("o_orderkey", F.explode(parse.schedule_events(text, F.lit(1990))).alias("e")).select("o_orderkey", "e.label", "e.kind", "e.start_on", "e.end_on")
 
 
 @asked("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'result' WHEN 1 THEN 'extension' WHEN 2 THEN 'opportunity' ELSE 'ignore' END AS kind, CASE WHEN o_orderkey % 4 = 0 THEN 'completed' WHEN CAST(o_orderdate AS DATE) + 60 < DATE '1998-06-01' THEN 'completed' WHEN CAST(o_orderdate AS DATE) > DATE '1998-06-01' THEN 'upcoming' ELSE 'open' END AS status FROM orders")
@@ -496,3 +496,84 @@ ORACLE_SQL["public_content"] = r"""SELECT lang, coalesce(regexp_matches(text, '(
 ORACLE_SQL["insights"] = using(PROGRAMS, GEOGRAPHIES, "themes AS (SELECT DISTINCT l_orderkey AS program_id, p_type AS slug FROM lineitem JOIN part ON l_partkey = p_partkey)") + """SELECT * FROM (SELECT slug || ' leads the regions with ' || count(*) || ' programs.' AS sentence FROM programs JOIN geographies USING (program_id) GROUP BY slug ORDER BY count(*) DESC, slug LIMIT 1)
 UNION ALL SELECT * FROM (SELECT slug || ' is the widest topic with ' || count(*) || ' programs.' FROM programs JOIN themes USING (program_id) GROUP BY slug ORDER BY count(*) DESC, slug LIMIT 1)
 UNION ALL SELECT * FROM (SELECT n_name || ' publishes most: ' || count(program_id) || ' programs.' FROM nation LEFT JOIN programs ON source_key = n_name GROUP BY n_name ORDER BY count(program_id) DESC, n_name LIMIT 1)"""
+
+
+@asked(using(PROGRAMS) + """SELECT o_orderkey AS program_id, CAST(l_suppkey AS VARCHAR) || '/' || o_orderkey AS source_url, s_name AS source_name, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS deadline_on, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS amount
+FROM orders JOIN (SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey""")
+def program_summary(t: Tables) -> DataFrame:
+    links = t.lineitem.select(F.col("l_orderkey").alias("program_id"), F.col("l_suppkey").alias("source_id")).distinct().withColumn("source_url", F.concat_ws("/", "source_id", "program_id"))
+    primary = links.groupBy("program_id").agg(F.min("source_id").alias("primary_source_id"))
+    orders = t.orders.select(F.col("o_orderkey").alias("program_id"), F.col("o_orderdate").cast("date").alias("deadline_on"), F.col("o_totalprice").alias("amount"))
+    got = catalog.summary(
+        orders.select("program_id").join(primary, "program_id"), links, t.supplier.select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("name")),
+        deadlines=orders.where("program_id % 2 = 0").select("program_id", "deadline_on"), funding=orders.where("program_id % 3 = 0").select("program_id", "amount"),
+    )
+    return got.select("program_id", "source_url", "source_name", "deadline_on", "amount")
+
+
+@asked("""SELECT l_orderkey AS program_id, CASE l_suppkey % 5 WHEN 0 THEN 'volga' WHEN 1 THEN 'volga' WHEN 2 THEN 'far-eastern' ELSE 'city-' || l_suppkey END AS slug,
+  CASE l_suppkey % 5 WHEN 0 THEN 'Приволжский' WHEN 1 THEN 'Приволжский' WHEN 2 THEN 'Дальневосточный' ELSE 'City' END AS name FROM lineitem GROUP BY ALL""")
+def geography_aliases(t: Tables) -> DataFrame:
+    k = F.col("l_suppkey") % 5
+    slug = F.when(k == 0, "x").when(k == 1, "Privolzhsky-federal-district").when(k == 2, "dfo").otherwise(F.concat(F.lit("city-"), "l_suppkey"))
+    name = F.when(k == 0, "приволжский  федеральный округ").when(k == 1, "Округ").when(k == 2, "Дальне-восточный").otherwise("City")
+    aliases = t.spark.createDataFrame(
+        [("Приволжский федеральный округ", "volga", "Приволжский"), ("privolzhsky", "volga", "Приволжский"), ("дальне восточный", "far-eastern", "Дальневосточный")], "alias string, slug string, name string"
+    )
+    return catalog.canonical_geographies(t.lineitem.select(F.col("l_orderkey").alias("program_id"), slug.alias("slug"), name.alias("name")), aliases)
+
+
+@asked("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Call ' || o_orderkey WHEN 1 THEN 'грант ' || o_orderkey WHEN 2 THEN '«Call ' || o_orderkey || '»' ELSE 'Call' END AS title, day(o_orderdate) || ' ' || ['января', 'февраля', 'марта', 'апреля', 'мая', 'июня', 'июля', 'августа', 'сентября', 'октября', 'ноября', 'декабря'][month(o_orderdate)] || ' ' || year(o_orderdate) AS day FROM orders")
+def publication_titles(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    title = F.when(k % 4 == 0, F.concat(F.lit("Запуск  конкурса Call "), k, F.lit("."))).when(k % 4 == 1, F.concat(F.lit("Открыт приём заявок на грант "), k)).when(k % 4 == 2, F.concat(F.lit("Продление программы «Call "), k, F.lit("»"))).otherwise(" - Call")
+    return t.orders.select("o_orderkey", labels.bare_title(title).alias("title"), labels.date_label(F.col("o_orderdate").cast("date")).alias("day"))
+
+
+@asked("SELECT event_id, row_number() OVER w AS sight, row_number() OVER w = 1 AS is_first FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")
+def message_sights(t: Tables) -> DataFrame:
+    rows = t.events.select(F.col("user_id").alias("source_id"), F.col("event_type").alias("message_id"), F.col("ts").alias("observed_at"), "event_id")
+    return feed.observations(rows).select("event_id", "sight", "is_first")
+
+
+@asked("""WITH d AS (SELECT event_id, user_id, event_type AS f, CAST(floor(value) AS INTEGER) % 4 AS m FROM events), x AS (SELECT *, min(event_id) FILTER (m > 0) OVER (PARTITION BY user_id, f) AS first FROM d)
+SELECT event_id, CASE WHEN m = 0 THEN 'empty' WHEN (f = 'view' AND c_custkey IS NOT NULL) OR event_id > first THEN 'skipped' ELSE 'run' END AS outcome FROM x LEFT JOIN customer ON c_custkey = user_id""")
+def deliveries(t: Tables) -> DataFrame:
+    batch = t.events.select("event_id", F.col("user_id").alias("source_id"), F.col("event_type").alias("fingerprint"), (F.floor("value").cast("int") % 4).alias("messages"), F.col("event_id").alias("at"))
+    known = t.customer.select(F.col("c_custkey").alias("source_id"), F.lit("view").alias("fingerprint"))
+    return feed.delivered(batch, known).select("event_id", "outcome")
+
+
+@asked("""WITH c AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'click' THEN 'clarify' WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'merge' ELSE 'view' END AS a FROM events),
+f AS (SELECT user_id, min((ts, event_id)) FILTER (a IN ('accept', 'reject', 'merge')) AS ended, arg_min(a, (ts, event_id)) FILTER (a IN ('accept', 'reject', 'merge')) AS how, min((ts, event_id)) FILTER (a = 'clarify') AS asked FROM c GROUP BY 1)
+SELECT user_id, event_id, CASE WHEN ended <= (ts, event_id) THEN CASE how WHEN 'merge' THEN 'merged' ELSE how || 'ed' END WHEN asked <= (ts, event_id) THEN 'needs_clarification' ELSE 'open' END AS state FROM c JOIN f USING (user_id)""")
+def case_actions(t: Tables) -> DataFrame:
+    e = F.col("event_type")
+    log = t.events.select("user_id", "event_id", "ts", F.when(e == "click", "clarify").when(e == "purchase", "accept").when(e == "error", "reject").when(e == "signup", "merge").otherwise("view").alias("action"))
+    return review.acted(log, "user_id", ["ts", "event_id"], "action", review.CASE_ACTIONS, "open").select("user_id", "event_id", "state")
+
+
+@asked("SELECT o_orderkey AS case_id, coalesce(r, o_orderstatus) AS record, coalesce(n, 0) AS revisions FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(f, l_linenumber) AS r, max(l_linenumber) AS n FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS f FROM lineitem GROUP BY ALL) GROUP BY 1) ON l_orderkey = o_orderkey")
+def effective_records(t: Tables) -> DataFrame:
+    revisions_ = t.lineitem.groupBy(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("revision_number")).agg(F.min("l_returnflag").alias("record"))
+    return review.effective(t.orders.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("record")), revisions_)
+
+
+@asked("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'removed' ELSE 'changed' END AS problem FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 10 = 0")
+def overwritten_rows(t: Tables) -> DataFrame:
+    before = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    after = t.orders.where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 10 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    return review.overwritten(before, after, "o_orderkey")
+
+
+@asked("""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'manual-' ELSE 'part-' END || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS slug, lower(trim(p_name)) AS k FROM part),
+c AS (SELECT p_partkey, first_value(slug) OVER (PARTITION BY k ORDER BY starts_with(slug, 'manual-'), slug) AS canonical FROM t) SELECT DISTINCT l_orderkey AS program_id, canonical AS slug FROM lineitem JOIN c ON p_partkey = l_partkey""")
+def taxonomy_relinked(t: Tables) -> DataFrame:
+    slug = lambda c: F.concat(F.when(F.col(c) % 3 == 0, "manual-").otherwise("part-"), F.lpad(F.col(c).cast("string"), 9, "0"))
+    canonical = catalog.canonical_taxonomy(t.part.select(slug("p_partkey").alias("slug"), F.col("p_name").alias("name")))
+    return catalog.relinked(t.lineitem.select(F.col("l_orderkey").alias("program_id"), slug("l_partkey").alias("slug")), canonical)
+
+
+@asked("SELECT p_partkey, 'manual-' || substr(sha256('theme' || chr(0) || lower(p_name)), 1, 16) AS slug FROM part")
+def manual_slugs(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", normalize.manual_slug("theme", F.upper("p_name")).alias("slug"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -36,6 +36,28 @@ def once(feed: DataFrame, delay: str = "7 days") -> DataFrame:
     return feed.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["source_id", "message_id"])
 
 
+def observations(feed: DataFrame, key: tuple[str, ...] = ("source_id", "message_id"), at: str = "observed_at") -> DataFrame:
+    """Every sight of every message with ``sight`` from 1, and whether it is the first, whose provenance
+    is kept; later ones are only noted.  A batch; ties go by the smallest row."""
+    rest = [c for c in feed.columns if c not in (*key, at)]
+    order = Window.partitionBy(*key).orderBy(at, *rest)
+    return feed.withColumn("sight", F.row_number().over(order)).withColumn("is_first", F.col("sight") == 1)
+
+
+def delivered(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """Deliveries with ``outcome``: run, skipped where their source had the fingerprint before (in
+    ``known`` or earlier in the batch), or empty for a poll without messages, which is never a repeat.
+
+    batch: source_id, fingerprint, messages, at (distinct within a source and fingerprint); known: source_id,
+    fingerprint.
+    """
+    first = batch.where("messages > 0").groupBy("source_id", "fingerprint").agg(F.min("at").alias("__first"))
+    seen = known.select("source_id", "fingerprint", F.lit(True).alias("__known")).distinct()
+    got = batch.join(first, ["source_id", "fingerprint"], "left").join(seen, ["source_id", "fingerprint"], "left")
+    outcome = F.when(F.col("messages") == 0, "empty").when(F.col("__known") | (F.col("at") > F.col("__first")), "skipped").otherwise("run")
+    return got.withColumn("outcome", outcome).select(*batch.columns, "outcome")
+
+
 def weekly(feed: DataFrame, delay: str = "7 days") -> DataFrame:
     """Messages, and the last of them, in weeks that begin on Monday; batch or stream."""
     frame = F.window("published_at", "7 days", startTime="4 days")

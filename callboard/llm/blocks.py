@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callboard.llm.arrays import pieces, raw
-from callboard.llm.eliasfano import EliasFano
 
 BLOCK_BYTES = 8 << 20
 SENT = "block int, bucket int, body binary"
@@ -56,20 +55,50 @@ def bucket_edges(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as byte planes, which shuffles compress better than whole numbers; the last byte says
+    how many."""
+    width = (int(values.max(initial=0)).bit_length() + 7) // 8
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() + bytes([width])
+
+
+def from_planes(body: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """n numbers, and where what follows them begins; the width stands in the byte at ``at``."""
+    out = np.zeros((n, 8), np.uint8)
+    width = body[at]
+    if n and width:
+        out[:, :width] = np.frombuffer(body, np.uint8, width * n, at + 1).reshape(width, n).T
+    return out.view("<u8").ravel(), at + 1 + width * n
+
+
 def pack(keys: np.ndarray, extra: bytes = b"") -> bytes:
-    """Sorted keys as an Elias-Fano sequence from the first one on, and what belongs to them."""
-    if not len(keys):
-        return bytes(16) + extra
-    steps = keys - keys[0]
-    return len(keys).to_bytes(8, "little") + int(keys[0]).to_bytes(8, "little") + EliasFano.build(steps, int(steps[-1]) + 1).to_bytes() + extra
+    """Sorted keys as the first one and the steps from each to the next, and what belongs to them."""
+    first = int(keys[0]) if len(keys) else 0
+    steps = planes(np.diff(keys)) if len(keys) else b"\0"
+    return len(keys).to_bytes(8, "little") + first.to_bytes(8, "little") + steps[-1:] + steps[:-1] + extra
 
 
 def unpack(body: bytes) -> tuple[np.ndarray, bytes]:
     n, first = (int.from_bytes(body[a : a + 8], "little") for a in (0, 8))
-    if not n:
-        return np.zeros(0, np.uint64), body[16:]
-    steps, at = EliasFano.from_buffer(body, 16)
-    return steps.get(np.arange(n)) + np.uint64(first), body[at:]
+    steps, at = from_planes(body, max(n - 1, 0), 16)
+    keys = np.full(n, first, np.uint64)
+    if n:
+        keys[1:] += np.cumsum(steps, dtype=np.uint64)
+    return keys, body[at:]
+
+
+def mostly_ones(values: np.ndarray) -> bytes:
+    """Small numbers that are mostly 1: a bit for each, and byte planes of the others."""
+    one = values == 1
+    rest = planes(values[~one])
+    return np.packbits(one).tobytes() + rest[-1:] + rest[:-1]
+
+
+def from_mostly_ones(body: bytes, n: int) -> np.ndarray:
+    out = np.unpackbits(np.frombuffer(body, np.uint8, -(-n // 8)), count=n).astype(np.uint64)
+    rest = np.flatnonzero(out == 0)
+    out[rest] = from_planes(body, len(rest), -(-n // 8))[0]
+    return out
 
 
 def sections(parts: list[bytes]) -> bytes:

@@ -126,20 +126,6 @@ def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], place, order
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers as byte planes, the last byte says how many."""
-    width = (int(values.max(initial=0)).bit_length() + 7) // 8
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() + bytes([width])
-
-
-def _numbers(body: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    width = body[-1]
-    if n and width:
-        out[:, :width] = np.frombuffer(body, np.uint8, width * n).reshape(width, n).T
-    return out.view("<u8").ravel().astype(np.int64)
-
-
 def quantised(counts: np.ndarray) -> np.ndarray:
     """The byte of each count."""
     steps = np.rint(np.log10(np.maximum(counts, 1) / EXACT) / STEP)
@@ -252,7 +238,7 @@ def answered(bodies: list[bytes], shape: Keys, folder: str | None) -> list[bytes
         sent = []
         for body in bodies:
             keys, extra = B.unpack(B.section(body, order, ORDERS))
-            sent.append((keys, _numbers(extra, len(keys))))
+            sent.append((keys, B.from_mostly_ones(extra, len(keys))))
         edges = np.cumsum([0, *(len(k) for k, _ in sent)])
         distinct, place, _ = ranked(np.concatenate([k for k, _ in sent]))
         counts = np.bincount(place, np.concatenate([c for _, c in sent]), len(distinct)).astype(np.int64)
@@ -265,7 +251,7 @@ def answered(bodies: list[bytes], shape: Keys, folder: str | None) -> list[bytes
             found = Successors.mapped(on_file(folder, Successors.build(distinct[known], counts[known], shape)), shape)(distinct)
         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             mine = found[place[a:b]]
-            answers[k].append(mine.tobytes() if order else len(mine).to_bytes(4, "little") + _planes(mine))
+            answers[k].append(len(mine).to_bytes(4, "little") + B.mostly_ones(mine))
     return [B.sections([totals, *a]) for a in answers]
 
 
@@ -302,7 +288,7 @@ def scored(docs: DataFrame, held_out: Column, carry: tuple[str, ...] = ("doc_id"
             edges = B.bucket_edges(keys, shards, shape.width(order))
             for k in range(shards):
                 a, b = edges[k], edges[k + 1]
-                bodies[k].append(B.pack(keys[a:b], _planes(counts[a:b])))
+                bodies[k].append(B.pack(keys[a:b], B.mostly_ones(counts[a:b])))
         return B.rows(table.column("block")[0].as_py(), [(k, B.sections(b)) for k, b in enumerate(bodies)])
 
     def merge(table: pa.Table) -> pa.Table:
@@ -318,14 +304,14 @@ def scored(docs: DataFrame, held_out: Column, carry: tuple[str, ...] = ("doc_id"
         for order, keys in enumerate(shape(token, begins)):
             _, place, _ = ranked(keys)
             parts = [B.section(x, order + 1, ORDERS + 1) for x in answers]
+            found = np.concatenate([B.from_mostly_ones(p[4:], int.from_bytes(p[:4], "little")) for p in parts])[place].astype(np.int64)
             if order == 0:
-                found = np.concatenate([_numbers(p[4:], int.from_bytes(p[:4], "little")) for p in parts])[place]
                 probability = (found + 1) / (total + kinds + 1)
                 out["n_known"], out["base_score"] = found > 0, np.log10(probability)
                 starts = found[begins[1:] - 1][:1]  # as often as an end
                 context = shifted(found.astype(np.float64), begins, starts)
             else:
-                found = np.minimum(VALUES[np.concatenate([np.frombuffer(p, np.uint8) for p in parts])][place], context)
+                found = np.minimum(VALUES[found], context)
                 probability = (found + WEIGHTS[order] * probability) / (context + WEIGHTS[order])
                 context = shifted(found, begins, starts)
         out["score"] = np.log10(probability)

@@ -60,6 +60,39 @@ def resource_kind(title: Column, url: Column) -> Column:
     return F.when(title.rlike(WINNERS), "winners").when(F.lower(url).rlike(r"\.(pdf|docx?|xlsx?|zip)(\?|$)"), "document").when(F.lower(title).rlike("заявк|apply|registration|регистрац"), "application").otherwise("page")
 
 
+#: Words of service links, of page furniture and of social networks.
+SERVICE = r"(?iu)^(подробнее|читать далее|скачать|назад|далее|поделиться|личный кабинет|подписаться|read more|back|share|log ?in)\b"
+SOCIAL = r"(?iu)^https?://([^/]*\.)?(vk\.com|t\.me|ok\.ru|youtube\.com|facebook\.com|instagram\.com)(/|$)"
+
+
+def is_winners(title: Column, section: Column, url: Column) -> Column:
+    """Whether a resource leads to winners or results, by its title, its section or its path."""
+    return F.coalesce(F.concat_ws(" ", title, section).rlike(WINNERS), F.lit(False)) | F.coalesce(F.regexp_extract(url, r"^https?://[^/]*(.*)$", 1).rlike(r"(?i)(pobedit|winner|itogi|results)"), F.lit(False))
+
+
+def public_kind(kind: Column, title: Column, section: Column, url: Column, in_result_group: Column) -> Column:
+    """The kind to show: social links are references, and what leads to winners, or stands in a group
+    that does, is a result, unless it is the application itself."""
+    result = (kind != "application") & (F.coalesce(in_result_group, F.lit(False)) | is_winners(title, section, url))
+    return F.when(F.coalesce(url.rlike(SOCIAL), F.lit(False)), "reference").when(result, "result").otherwise(kind)
+
+
+def is_public_resource(kind: Column, title: Column, section: Column, category: Column, url: Column, in_result_group: Column) -> Column:
+    """Whether a resource stands on a public card: named, not service or furniture, and of a kind and
+    category that cards show.  Results need evidence of winners; links inside a text only show
+    among documents; a record without categories shows what stands in a named section."""
+    named = F.coalesce(F.trim(title), F.lit("")) != ""
+    c = F.lower(F.trim(category))
+    won = F.coalesce(in_result_group, F.lit(False)) | is_winners(title, section, url)
+    return F.coalesce(
+        F.when(~named | title.rlike(SERVICE) | is_chrome(title), False)
+        .when(F.coalesce(url.rlike(SOCIAL), F.lit(False)), c.isNull() | c.isin("results", "official_channels"))
+        .when(kind == "detail", False).when(kind == "application", c.isNull()).when(kind == "result", won)
+        .when(c.isNotNull(), (c == "documents") & kind.isin("competition_document", "program_document", "reference"))
+        .otherwise((F.coalesce(F.trim(section), F.lit("")) != "") & ~is_chrome(section)), F.lit(False)
+    )
+
+
 def country_scope(*texts: Column) -> Column:
     return F.coalesce(F.concat_ws(" ", *texts).rlike(RUSSIA), F.lit(False))
 

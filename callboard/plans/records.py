@@ -577,3 +577,15 @@ def taxonomy_relinked(t: Tables) -> DataFrame:
 @asked("SELECT p_partkey, 'manual-' || substr(sha256('theme' || chr(0) || lower(p_name)), 1, 16) AS slug FROM part")
 def manual_slugs(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", normalize.manual_slug("theme", F.upper("p_name")).alias("slug"))
+
+
+@asked("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 1 THEN 'reference' WHEN o_orderkey % 3 = 0 OR (o_orderkey % 5 = 2 AND o_orderkey % 3 <> 1) THEN 'result' WHEN o_orderkey % 3 = 1 THEN 'application' ELSE 'program_document' END AS kind,
+  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 7 = 1 THEN false WHEN o_orderkey % 5 = 1 THEN o_orderkey % 4 < 2 WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 = 2 OR o_orderkey % 3 = 0 WHEN o_orderkey % 3 = 1 THEN o_orderkey % 4 = 0 WHEN o_orderkey % 4 = 0 THEN o_orderkey % 2 = 0 ELSE o_orderkey % 4 = 2 END AS is_public FROM orders""")
+def public_resources(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    kind = F.when(k % 3 == 0, "result").when(k % 3 == 1, "application").otherwise("program_document")
+    title = F.when(k % 7 == 0, "  ").when(k % 7 == 1, "Подробнее о конкурсе").when(k % 3 == 0, "Список победителей").otherwise("Положение")
+    url = F.when(k % 5 == 1, "https://vk.com/x").when(k % 5 == 2, "https://a.example/itogi/1").otherwise("https://a.example/1")
+    category = F.when(k % 4 == 1, "results").when(k % 4 == 2, "documents").when(k % 4 == 3, "text")
+    section, none = F.lit("Материалы"), F.lit(False)
+    return t.orders.select("o_orderkey", labels.public_kind(kind, title, section, url, (k % 3 == 0)).alias("kind"), labels.is_public_resource(kind, title, section, category, url, none).alias("is_public"))

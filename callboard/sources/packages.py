@@ -84,6 +84,48 @@ def read_package(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame,
     return readers[kind](spark, path)
 
 
+#: The fields of a foreign parser's records that may go into a payload; contacts and full text are not among them.
+FOREIGN_PAYLOAD = (
+    "status", "publication_date", "application_start_date", "application_end_date", "organizer", "summary", "goals", "tasks", "target_audience", "requirements",
+    "nominations", "project_directions", "procedure", "grant_fund_rub", "max_support_rub", "funding_text", "application_url", "result_urls", "document_urls", "sections",
+)
+
+
+def read_foreign(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected files) of a foreign parser's output, one JSON array a file, as package rows.
+
+    The first record that is an object names the source and when it was collected.  A record's url is
+    its key; its largest support is a maximum in roubles, while a total fund stays in the payload
+    with a warning.  A record that is no object is a bad row.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("package"), F.try_parse_json("value").alias("v"))
+    listed = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False)) & (F.coalesce(F.schema_of_variant("v"), F.lit("")) != "ARRAY<VOID>")
+    items = files.where(listed).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("package", F.col("pos").alias("row_number"), F.col("value").alias("x"))
+    items = items.withColumn("is_object", F.schema_of_variant("x").startswith("OBJECT"))
+    text = lambda field: F.nullif(F.trim(F.try_variant_get("x", f"$.{field}", "string")), F.lit(""))
+    head = items.where("is_object").groupBy("package").agg(F.min_by(F.struct(text("source").alias("host"), text("collected_at").alias("at")), "row_number").alias("head"))
+    told = files.select("package", F.when(F.col("v").isNull(), "invalid_json").when(~listed, "no_records").alias("reason")).join(head, "package", "left")
+    reason = F.coalesce("reason", F.when(F.col("head").isNull(), "no_records").when(F.col("head.host").isNull() | F.col("head.at").isNull(), "missing_metadata"))
+    good = items.join(told.where(reason.isNull()).select("package", F.concat(F.lit("https://"), "head.host").alias("source_url")), "package")
+
+    def kept(field: str) -> Column:
+        value = F.try_variant_get("x", f"$.{field}", "variant")
+        plain = F.to_json(value)
+        return F.when(value.isNotNull() & ~plain.isin("null", '""', "[]", "{}"), value)
+
+    most, fund = (F.try_variant_get("x", f"$.{f}", "decimal(18,2)") for f in ("max_support_rub", "grant_fund_rub"))
+    none = F.lit(None).cast("string")
+    funding = F.when(most > 0, F.struct(F.lit("maximum").alias("value_kind"), F.lit("RUB").alias("currency_code"), none.alias("exact_amount"), none.alias("min_amount"), most.cast("string").alias("max_amount")))
+    warned = F.filter(F.transform(F.coalesce(F.try_variant_get("x", "$.parse_warnings", "array<string>"), F.array().cast("array<string>")), lambda w: F.trim(w)), lambda w: w != "")
+    warnings = F.concat(warned, F.when(fund > 0, F.array(F.lit("grant_fund_rub is the whole fund, not a program's funding"))).otherwise(F.array().cast("array<string>")))
+    rows = good.select(
+        "package", "source_url", F.struct(F.lit("foreign-json").alias("name"), F.lit("1").alias("version")).alias("adapter"), "row_number", F.coalesce(text("source_url"), F.lit("missing-source-url")).alias("record_key"),
+        F.try_variant_get("x", "$.title", "string").alias("title"), text("source_url").alias("record_url"), text("application_end_date").alias("deadline_on"), funding.alias("funding"),
+        F.when(F.col("is_object"), F.to_json(F.struct(*(kept(f).alias(f) for f in FOREIGN_PAYLOAD)))).otherwise(F.to_json("x")).alias("payload"), warnings.alias("warnings"),
+    )
+    return _finished(rows), told.select("package", reason.alias("reason")).where("reason is not null")
+
+
 def allowed_fields(raw: DataFrame, fields: dict[str, str]) -> DataFrame:
     """A projection to an allow-list (name -> expression); all else, contacts included, is dropped."""
     return raw.select(*(F.expr(e).alias(n) for n, e in fields.items()))

@@ -84,3 +84,23 @@ def test_append_only(spark):
     before = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id int, x string")
     after = spark.createDataFrame([(1, "a"), (3, "d"), (4, "e")], before.schema)
     assert {(r.id, r.problem) for r in review.overwritten(before, after, "id").collect()} == {(2, "removed"), (3, "changed")}
+
+
+def test_foreign_packages(spark, tmp_path):
+    import json
+
+    records = [
+        {"source": "fund.example", "collected_at": "2026-01-02", "title": "A", "source_url": " https://fund.example/a ", "application_end_date": "2026-02-01", "max_support_rub": 500000.5, "grant_fund_rub": 9, "summary": "", "status": "open", "contacts": "me@x.y", "full_text": "t", "goals": [], "parse_warnings": [" w ", "", 5]},
+        {"title": "B", "source_url": "https://fund.example/a"}, "no object", {"title": "C"},
+    ]
+    (tmp_path / "a.json").write_text(json.dumps(records))
+    (tmp_path / "b.json").write_text("{")
+    (tmp_path / "c.json").write_text("[]")
+    (tmp_path / "d.json").write_text(json.dumps([{"title": "x"}]))
+    rows, rejected = packages.read_foreign(spark, str(tmp_path))
+    got = {r.row_number: r for r in rows.collect()}
+    assert set(got) == {0, 1, 2, 3} and got[0].is_valid and got[0].source_url == "https://fund.example"
+    assert json.loads(got[0].payload) == {"status": "open", "application_end_date": "2026-02-01", "grant_fund_rub": 9, "max_support_rub": 500000.5}
+    assert got[0].funding.max_amount == "500000.50" and got[0].funding.value_kind == "maximum" and got[0].warnings[0] == "w" and len(got[0].warnings) >= 2
+    assert got[1].is_duplicate and not got[2].is_valid and "record_url_missing" in got[3].errors
+    assert {r.package.rsplit("/")[-1]: r.reason for r in rejected.collect()} == {"b.json": "invalid_json", "c.json": "no_records", "d.json": "missing_metadata"}

@@ -20,8 +20,7 @@ def clean_title(title: Column) -> Column:
     """Without outer quotes, an edition label at the end and doubled blanks."""
     out = F.trim(F.regexp_replace(title, r"\s+", " "))
     for a, b in QUOTES:
-        inner = F.substring(out, F.lit(2), F.char_length(out) - 2)
-        out = F.when((F.char_length(out) > 2) & out.startswith(a) & out.endswith(b) & ~inner.contains(a) & ~inner.contains(b), inner).otherwise(out)
+        out = F.regexp_replace(out, f"^{a}([^{a}{b}]+){b}$", "$1")
     return F.trim(F.regexp_replace(out, r"(?iu)[\s(–-]+(\d{4}([/-]\d{2,4})?\s*(год|г\.?)?|\d+[- ]?(й|я)? (сезон|очередь|волна))\)?$", ""))
 
 

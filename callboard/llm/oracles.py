@@ -96,4 +96,78 @@ SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEATED_PERCENT} *
 FROM counted
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4, "op8_decontamination": OP8, "op9_mixing": OP9}
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), lines AS (
+  SELECT rid, doc_id, i, lines[i] AS line, translate(trim(lines[i], E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT rid, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT rid, doc_id, string_split(t, chr(10)) AS lines FROM d))
+), often AS (
+  SELECT key, max(doc_id) AS top FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT coalesce(doc_id, -rid)) >= 5
+), judged AS (
+  SELECT rid, i, line, o.top IS NOT NULL AND l.doc_id IS DISTINCT FROM o.top AS goes FROM lines l LEFT JOIN often o ON l.key = o.key
+)
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM d JOIN (
+  SELECT rid, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256 FROM judged GROUP BY rid
+) USING (rid)
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT row_number() OVER () AS bid, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark
+), asked AS (
+  SELECT bid, term, count(*) AS times FROM (SELECT bid, unnest(w) AS term FROM b) GROUP BY bid, term
+), n AS (
+  SELECT count(*) FILTER (len(w) > 0) AS n_all, CAST(sum(len(w)) AS BIGINT) AS l_all FROM d
+), posting AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY rid, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS wt FROM posting, n GROUP BY term, n_all
+), scored AS (
+  SELECT bid, rid, CAST(sum(times * wt * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(d.w) * n_all) // l_all)))) AS BIGINT) AS score
+  FROM asked JOIN posting USING (term) JOIN weight USING (term) JOIN d USING (rid), n GROUP BY bid, rid
+), ranked AS (
+  SELECT bid, doc_id, score, row_number() OVER (PARTITION BY bid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored JOIN d USING (rid) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN b USING (bid) WHERE rank <= 10
+"""
+
+
+def _op11(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain k-means, round after round, with every part against every entry."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT rid, p, min(struct_pack(d := d, e := e)) AS got FROM (
+    SELECT x.rid, x.p, c.e, CAST(list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))) AS BIGINT) AS d FROM parts x JOIN c{k} c ON x.p = c.p
+  ) GROUP BY rid, p
+)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (
+    SELECT p, e, list(mean ORDER BY i) AS v FROM (
+      SELECT p, e, i, CAST(floor(sum(y)::DOUBLE / count(*)) AS BIGINT) AS mean FROM (SELECT x.p, a.got.e AS e, unnest(range(1, len(x.v) + 1)) AS i, unnest(x.v) AS y FROM parts x JOIN a{k} a ON x.rid = a.rid AND x.p = a.p) GROUP BY p, e, i
+    ) GROUP BY p, e
+  ) m ON c.p = m.p AND c.e = m.e
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS rid, vec_id, label, v FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), parts AS MATERIALIZED (
+  SELECT rid, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS v FROM kept, (SELECT unnest(range({parts})) AS p)
+), c0 AS (
+  SELECT p, rid - 1 AS e, v FROM parts WHERE rid <= {entries}
+), {", ".join(steps)}, book AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}
+), coded AS (
+  SELECT rid, string_agg(printf('%02x', got.e), '' ORDER BY p) AS code, CAST(sum(got.d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (rid), book
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4, "op8_decontamination": OP8, "op9_mixing": OP9, "op11_vector_codes": _op11(), "op12_lexical_search": OP12, "op13_line_dedup": OP13}

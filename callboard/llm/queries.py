@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callboard.llm import decontaminate, langid, lm, mixing, quality, repeats, secrets, sharding, simhash, toxicity
+from callboard.llm import decontaminate, langid, lexical, linededup, lm, mixing, quality, repeats, secrets, sharding, simhash, toxicity, vectorcodes
 from callboard.llm.oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -60,4 +60,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_sharding, op4_quality_rules, op5_toxicity, op6_language_id, op7_lm_scoring, op8_decontamination, op9_mixing, op10_suffix_dedup)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.digest(*vectorcodes.compressed(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return linededup.digest(docs, linededup.bitmaps(docs))
+
+
+_ALL = (
+    op1_simhash_near_dedup, op2_secret_scan, op3_sharding, op4_quality_rules, op5_toxicity, op6_language_id, op7_lm_scoring, op8_decontamination, op9_mixing, op10_suffix_dedup, op11_vector_codes,
+    op12_lexical_search, op13_line_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}

@@ -1,10 +1,16 @@
-"""Token and trigram search over short texts."""
+"""Token, stem and trigram search over short texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callboard.functions import covers, snowball
+
 THRESHOLD = 0.55
 
 
@@ -42,23 +48,29 @@ def trigrams(word: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(padded) - 2, F.lit(1))), lambda k: F.substring(padded, k, F.lit(3))))
 
 
-def word_similarity(term: str, text: Column) -> Column:
-    """The best trigram similarity (shared over all pieces) of the term to any word of the text."""
+def word_similarity_of(term: str, word: Column) -> Column:
+    """The trigrams that a term and a word share over all that they have."""
     padded = f"  {term} "
     wanted = F.array(*map(F.lit, dict.fromkeys(padded[k : k + 3] for k in range(len(padded) - 2))))
+    pieces = trigrams(word)
+    shared = F.size(F.array_intersect(wanted, pieces))
+    return shared / (F.size(wanted) + F.size(pieces) - shared)
+
+
+def word_similarity(term: str, text: Column) -> Column:
+    """The best trigram similarity of the term to any word of the text."""
+    return F.coalesce(F.array_max(F.transform(tokens(text), lambda w: word_similarity_of(term, w))), F.lit(0.0))
 
-    def alike(word: Column) -> Column:
-        pieces = trigrams(word)
-        shared = F.size(F.array_intersect(wanted, pieces))
-        return shared / (F.size(wanted) + F.size(pieces) - shared)
 
-    return F.coalesce(F.array_max(F.transform(tokens(text), alike)), F.lit(0.0))
+def long_terms(query: str) -> list[str]:
+    """The distinct terms of a query that have four letters and more."""
+    return [t for t in dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split()) if len(t) >= 4]
 
 
 def fuzzy(text: Column, query: str) -> tuple[Column, Column]:
     """(score, matches): each term of four letters and more must reach THRESHOLD; the score is the
     least among them.  A query without such terms matches nothing."""
-    terms = [t for t in dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split()) if len(t) >= 4]
+    terms = long_terms(query)
     if not terms:
         return F.lit(0.0), F.lit(False)
     scores = [word_similarity(t, text) for t in terms]
@@ -66,63 +78,66 @@ def fuzzy(text: Column, query: str) -> tuple[Column, Column]:
     return score, score >= THRESHOLD
 
 
-#: Endings that a light Russian stemmer takes off, the longest first.
-ENDINGS = (
-    "иями", "ями", "ами", "ого", "его", "ому", "ему", "ыми", "ими", "иях", "ией", "ать", "ять", "ить", "ешь", "ете", "ут", "ют", "ах", "ях", "ов", "ев", "ей", "ой", "ий", "ый", "ая",
-    "яя", "ое", "ее", "ые", "ие", "ую", "юю", "ых", "их", "ам", "ям", "ом", "ем", "ия", "ию", "ии", "а", "я", "о", "е", "ы", "и", "у", "ю", "ь", "й",
-)
-
-
-def stem(token: Column) -> Column:
-    """The token without its longest inflection, if three letters remain."""
-    return F.regexp_replace(token, r"^(.{3,}?)(" + "|".join(ENDINGS) + r")$", "$1")
-
-
-def words(text: Column) -> Column:
+def words(text: Column | str) -> Column:
     """All lower-case runs of letters and digits, in order."""
     return F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", " ")), " "), lambda t: t != "")
 
 
 def morphology_match(text: Column, query: str) -> Column:
     """Every stem of the query is a stem of the text."""
-    return F.size(F.array_except(F.transform(tokens(F.lit(query)), stem), F.transform(tokens(text), stem))) == 0
+    return F.size(F.array_except(snowball.stems(tokens(F.lit(query))), snowball.stems(tokens(text)))) == 0
 
 
-def web_match(text: Column, query: str) -> Column:
-    """Whether a text meets a web-style query, by stems: all terms must be there, ``or`` parts
-    alternatives, a minus excludes, quotes keep words together.  A query without terms matches nothing."""
-    import re
+@dataclass(frozen=True)
+class Term:
+    """Words that must follow one another, or must not, by their stems."""
 
-    stems = F.transform(words(text), stem)
-    line = F.concat(F.lit(" "), F.array_join(stems, " "), F.lit(" "))
+    stems: tuple[str, ...]
+    excluded: bool = False
 
-    def holds(term: str) -> Column:
-        wanted = F.transform(words(F.lit(term)), stem)
-        return line.contains(F.concat(F.lit(" "), F.array_join(wanted, " "), F.lit(" ")))
+    def wanted(self) -> Column:
+        return F.array(*map(F.lit, self.stems))
 
-    either: list[list[Column]] = [[]]
+
+def parsed(spark: SparkSession, query: str) -> list[list[Term]]:
+    """The alternatives of a web-style query: ``or`` parts them, a minus excludes, quotes keep words together;
+    a term of several words by itself is a phrase.  The stems come from a query of one row."""
+    either: list[list[tuple[str, bool]]] = [[]]
     for term in re.findall(r'-?"[^"]*"|\S+', query):
         bare = term.lstrip("-").strip('"')
         if term.lower() == "or":
             either.append([])
         elif any(c.isalnum() for c in bare):
-            either[-1].append(~holds(bare) if term.startswith("-") else holds(bare))
-    found = F.lit(False)
-    for tests in either:
-        every = F.lit(bool(tests))
-        for test in tests:
-            every = every & test
-        found = found | every
-    return found
-
-
-def search(text: Column, query: str) -> tuple[Column, Column, Column, Column]:
-    """(matches, by_stems, rank, fuzzy score): a text matches by its stems or by similar words.  The
-    rank is the share of the text's words that the query's stems hit."""
-    by_stems = web_match(text, query)
-    score, alike = fuzzy(text, query)
-    stems = F.transform(words(text), stem)
-    wanted = F.transform(tokens(F.lit(query)), stem)
-    hits = F.size(F.filter(stems, lambda s: F.array_contains(wanted, s)))
-    rank = F.when(by_stems & (F.size(stems) > 0), hits / F.size(stems)).otherwise(F.lit(0.0))
-    return by_stems | alike, by_stems, rank, score
+            either[-1].append((bare, term.startswith("-")))
+    flat = [t for g in either for t, _ in g]
+    stems = iter(spark.range(1).select(*(snowball.stems(words(F.lit(t))).alias(f"t{k}") for k, t in enumerate(flat))).first() if flat else ())
+    return [[Term(tuple(next(stems)), excluded) for _, excluded in g] for g in either if g]
+
+
+def web_match(stems: Column, groups: list[list[Term]]) -> Column:
+    """Whether a text, by its stems, meets a parsed query: all terms of one of its alternatives must be
+    there.  A query without terms matches nothing."""
+    line = F.concat(F.lit(" "), F.array_join(stems, " "), F.lit(" "))
+
+    def holds(term: Term) -> Column:
+        there = line.contains(f" {' '.join(term.stems)} ")
+        return ~there if term.excluded else there
+
+    return reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, map(holds, g)) for g in groups), F.lit(False))
+
+
+def searched(rows: DataFrame, text: str, query: str) -> DataFrame:
+    """The rows whose text meets a query by its stems or by similar words, with by_stems, rank and fuzzy.
+
+    The rank is the cover density of the query's terms (``covers``), 0 for a text that matches by similar words
+    alone; words that the query excludes are among those it names.  Each step is a column of its
+    own, which the next one reads.
+    """
+    groups = parsed(rows.sparkSession, query)
+    score, alike = fuzzy(F.col(text), query)
+    out = rows.withColumn("__stems", snowball.stems(words(F.col(text)))).withColumn("by_stems", web_match(F.col("__stems"), groups)).withColumn("fuzzy", score)
+    out = out.where(F.col("by_stems") | alike)
+    named = sorted({s for g in groups for t in g for s in t.stems})
+    out = out.withColumn("__found", covers.entries(F.col("__stems"), F.array(*map(F.lit, named)).cast("array<string>")))
+    dense = covers.density(F.col("__found"), [[t.wanted() for t in g if not t.excluded] for g in groups])
+    return out.withColumn("rank", F.when(F.col("by_stems"), dense).otherwise(F.lit(0.0))).drop("__stems", "__found")

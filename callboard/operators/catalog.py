@@ -80,8 +80,7 @@ class Catalog:
     def searched(self, query: str, q: CatalogQuery | None = None) -> DataFrame:
         """Programs whose titles meet a search, the closest first: those that meet it by stems, then by
         rank, by similarity, the latest, the id.  Adds by_stems, rank and fuzzy."""
-        matches, by_stems, rank, score = textsearch.search(F.col("title"), normalized_query(query))
-        rows = self.filtered(q or CatalogQuery()).where(matches).select("*", by_stems.alias("by_stems"), rank.alias("rank"), score.alias("fuzzy"))
+        rows = textsearch.searched(self.filtered(q or CatalogQuery()), "title", normalized_query(query))
         return rows.orderBy(F.desc("by_stems"), F.desc("rank"), F.desc("fuzzy"), F.col("published_at").desc_nulls_last(), "program_id")
 
     def page(self, q: CatalogQuery) -> DataFrame:

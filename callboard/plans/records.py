@@ -42,7 +42,7 @@ def _searched(t: Tables, text: str) -> DataFrame:
     return catalog.Catalog(_titles(t)).searched(text).select("program_id", "by_stems", F.round("rank", 9).alias("rank"), F.round("fuzzy", 9).alias("fuzzy"))
 
 
-@asked(f"WITH {fuzzy_sql('ring', 'small', 'gear', 'blue')} SELECT p_partkey AS program_id, true AS by_stems, 1.0::DOUBLE AS rank, fuzzy FROM part JOIN fz ON id = p_partkey WHERE p_name IN ('small ring', 'hot gear')")
+@asked(f"WITH {fuzzy_sql('ring', 'small', 'gear', 'blue')} SELECT p_partkey AS program_id, true AS by_stems, round(0.1 / 1.1::DOUBLE, 9) AS rank, fuzzy FROM part JOIN fz ON id = p_partkey WHERE p_name IN ('small ring', 'hot gear')")
 def catalog_search(t: Tables) -> DataFrame:
     return _searched(t, 'ring  small or "hot gear" -blue')
 

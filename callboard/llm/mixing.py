@@ -9,14 +9,17 @@ A budget beyond one pass takes every document once for each whole epoch and cuts
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from callboard.sources.folders import shared_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -33,10 +36,15 @@ def _size():
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def keyed(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, key): the words of each document and its hash-random key.  A null
-    text has size 0.  Equal keys mean equal id and text, so their order does not matter."""
-    return docs.select("doc_id", "source", _size().alias("size"), _key(seed).alias("key"))
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns that have one: rows that differ in any are told apart, however they come."""
+    return F.xxhash64(*(f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+
+
+def keyed(docs: DataFrame, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, key, same): the words of each document, its hash-random key and the hash of
+    the whole row.  A null text has size 0.  Equal keys mean equal id and text."""
+    return docs.select("doc_id", "source", _size().alias("size"), _key(seed).alias("key"), row_hash(docs.drop(*carry)).alias("same"), *carry)
 
 
 def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
@@ -63,8 +71,11 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def prefixed(rows: DataFrame) -> DataFrame:
-    """``keyed`` rows and ``before``: the words of the same source that sort before the row."""
-    ordered = rows.repartitionByRange("source", "key").sortWithinPartitions("source", "key", "size").withColumn("part", F.spark_partition_id())
+    """``keyed`` rows, written before, and ``before``: the words of the same source that sort before the row.
+
+    Ranges run over the rows' numbers too, so that one row repeated over and over spans partitions."""
+    order = ("source", "key", "same", "nth")
+    ordered = rows.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, carried = object(), 0
@@ -82,41 +93,46 @@ def prefixed(rows: DataFrame) -> DataFrame:
                 carried = int(before[b - 1] + sizes[b - 1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], [*batch.schema.names, "inside"])
 
-    kinds = dict(rows.dtypes)
-    inner = ordered.select("source", "size", "doc_id", "key", "part").mapInArrow(summed, f"source string, size long, doc_id {kinds['doc_id']}, key string, part int, inside long").checkpoint()
+    names = ["source", "size", *(c for c in rows.columns if c not in ("source", "size")), "part"]
+    ordered = ordered.select(*names)
+    inner = ordered.mapInArrow(summed, ", ".join(f"`{c}` {kind}" for c, kind in ordered.dtypes) + ", inside long").checkpoint()
     runs = inner.groupBy("source", "part").agg(F.sum("size").alias("words"))
     order = W.Window.partitionBy("source").orderBy("part").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
     offsets = runs.select(F.col("source").alias("o_source"), F.col("part").alias("o_part"), (F.sum("words").over(order) - F.col("words")).alias("offset"))
-    return inner.join(offsets, (F.col("part") == F.col("o_part")) & F.col("source").eqNullSafe(F.col("o_source"))).select("doc_id", "source", "size", "key", (F.col("inside") + F.col("offset")).alias("before"))
+    return inner.join(offsets, (F.col("part") == F.col("o_part")) & F.col("source").eqNullSafe(F.col("o_source"))).select(*rows.columns, (F.col("inside") + F.col("offset")).alias("before"))
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (its source's), taken (words the
-    mix takes, repeats counted), key.
+    mix takes, repeats counted), key, and the carried columns.
 
     Null ids and sources are values like any other; repeated rows are mixed one by one; an empty
     table gives no rows; other columns are ignored.
     """
-    rows = keyed(docs, seed).checkpoint()
+    rows = keyed(docs, seed, carry).checkpoint()
     plan = targets(rows, weights, share, epochs)
     # One row per source: the targets are small next to the documents, and Spark may broadcast them.
     cut = prefixed(rows).join(plan.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor("target") - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return cut.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "key")
+    return cut.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "key", *carry)
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``: a document as often as it is
     taken whole, and once cut after the words that its source's budget still holds.  Texts without
-    a word are never taken."""
-    seed = options.get("seed", SEED)
-    occurrence = W.Window.partitionBy("key").orderBy("size")
-    plan = mixed(docs, **options).where("taken > 0").withColumn("turn", F.row_number().over(occurrence)).select(F.col("key").alias("__same"), F.col("turn").alias("__nth"), F.col("taken").alias("__taken"))
-    full = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("*", _key(seed).alias("__key"))
-    full = full.withColumn("__turn", F.row_number().over(W.Window.partitionBy("__key").orderBy(F.lit(1))))
-    both = full.join(plan, (F.col("__key") == F.col("__same")) & (F.col("__turn") == F.col("__nth")))
+    a word are never taken.
+
+    Among rows of one source, id and text a hash of all columns says which is cut, so the result does
+    not depend on the order that rows come in.  The numbered rows stay in the session's shared folder.
+    """
+    path = f"{shared_folder(docs.sparkSession)}/mixture-{uuid.uuid4().hex}"
+    # Rows get numbers that last: the plan meets them by number, whatever columns they share.
+    docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    full = docs.sparkSession.read.parquet(path)
+    plan = mixed(full, carry=("__row",), **options).where("taken > 0").select("__row", F.col("taken").alias("__taken"))
+    both = full.join(plan, "__row")
     both = both.withColumn("__size", _size())
     copies = both.select(
         *(F.col(f"`{c}`") for c in docs.columns),

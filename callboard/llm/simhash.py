@@ -20,10 +20,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callboard.llm.arrays import LOWER, WORD, joined, pieces, raw, spans
+from callboard.llm.mixing import row_hash
 from callboard.operators.graph import connected_components
 
 SHINGLE_WORDS = 3
@@ -286,7 +287,8 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, leaves: int = LEAVES,
 
 def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The document with the smallest id of every class, with its own columns; among rows of one
-    id (or none) and class the one with the least text hash, and of equal rows just one.
+    id (or none) and class the one with the least text hash, then with the least hash of all columns, and
+    of equal rows just one.  Texts of any length count whole; an empty table gives no rows.
 
     Only ids, text hashes and classes are grouped.  The texts move once, to meet the kept keys.
     """
@@ -297,4 +299,6 @@ def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     kept = kept.select(F.col("low.__key").alias("__kept")).distinct()
     keyed = docs.withColumn("__key", F.struct(*key))
     alone = keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi")
-    return alone.withColumn("__row", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(1)))).where("__row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # Of rows of one id and text the one with the least hash of all columns, found before the shuffle too.
+    one = alone.groupBy("__key").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), row_hash(docs)).alias("__one"))
+    return one.select(*(F.col(f"__one.`{c}`") for c in docs.columns))

@@ -7,7 +7,7 @@ from helpers import AWKWARD, AWKWARD_IDS, table
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from callboard.llm import sharding, simhash
+from callboard.llm import mixing, sharding, simhash
 
 
 def rows(df):
@@ -52,6 +52,31 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def _words(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text))
+
+
+def test_mixture_of_equal_rows_by_source(spark):
+    """Rows of one id and text in several sources: each source gets its own words, however rows come."""
+    texts = [f"text {k} " + "w " * (k % 40) for k in range(200)]
+    rows = [(k, t, s) for k, t in enumerate(texts) for s in ("a", "b", None)] + [(7, texts[7], "a")] * 50
+    seen = set()
+    for n in (1, 3, 7):
+        docs = table(spark, [t for _, t, _ in rows], [k for k, *_ in rows], langs=[f"l{k % 5}" for k in range(len(rows))], sources=[s for *_, s in rows], partitions=n)
+        plan = {r.source: r.target for r in mixing.targets(mixing.keyed(docs)).collect()}
+        out = mixing.mixture(docs).collect()
+        for source, target in plan.items():
+            assert abs(sum(_words(r.text) for r in out if r.source == source) - target) <= 1, (n, source)
+        seen.add(tuple(sorted(map(str, out))))
+    assert len(seen) == 1
+
+
+def test_one_of_each_does_not_depend_on_order(spark):
+    rows = [(k, f"some words of text {k}", lang) for k in range(100) for lang in ("de", "en")]
+    kept = {tuple(sorted(map(str, simhash.one_of_each(table(spark, [t for _, t, _ in rows], [k for k, *_ in rows], langs=[x for *_, x in rows], partitions=n)).collect()))) for n in (1, 3, 7)}
+    assert len(kept) == 1
+
+
 def test_run_on_awkward_tables(spark, sf, tmp_path):
     """Null ids, null and empty texts, repeated rows and extra columns go through; so does nothing at all."""
     import os

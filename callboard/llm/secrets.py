@@ -14,7 +14,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,8 +81,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], encode, ratio: float = RATIO) -> list[tuple[int, int, int]]:
+    # Base spans by their starts, each with the furthest end so far: whether a run meets one is a search.
+    starts = [start for start, _, _ in taken]
+    reach = list(accumulate((end for *_, end in taken), max))
+
     def found(a: int, b: int) -> bool:
-        if b - a < LEAST or any(a < end and start < b for start, _, end in taken) or excluded(text[a:b]):
+        before = bisect_left(starts, b)
+        if b - a < LEAST or (before and reach[before - 1] > a) or excluded(text[a:b]):
             return False
         # Long runs are packed in stretches, since packing takes more than linear time.
         return b - a < ratio * sum(len(encode(text[k : min(k + STRETCH, b)])) for k in range(a, b, STRETCH))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from callboard.llm.arrays import LEAD, pieces, raw
 
 BUCKETS = 1 << 16
+#: Languages that a counting task holds before it tells what it has.
+HELD = 64
 ORDERS = 3
 #: Rows per language, about, that the classifier is fitted on; they are chosen by hash.
 SAMPLE_ROWS = 4000
@@ -98,36 +100,48 @@ def held_out(folds: int, fold: int, key: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, smoothing: float = SMOOTHING) -> Model:
     """Fits on rows where ``learn`` holds and lang and text are not null: about ``rows`` of each
-    language, chosen by hash of the id.  Without such rows every text is ``und``."""
+    language, chosen by a hash of id, text and position, so that neither one id nor one repeated row is in or out
+    as a whole.  Without such rows every text is ``und``.
+
+    Of more languages than the matrix has room for, those with the most rows are learned, of equal ones the first by name.
+    Texts of any length count whole, texts without a letter count for their language's share only; an empty table
+    learns nothing.
+    """
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    counted = {r["lang"]: r["n"] for r in sizes.limit(MATRIX_BYTES // (4 * BUCKETS) + 1).collect()}
-    if len(counted) * BUCKETS * 4 > MATRIX_BYTES:
-        raise ValueError(f"{len(counted)} languages or more: the matrix would pass {MATRIX_BYTES} bytes")
+    counted = {r["lang"]: r["n"] for r in sizes.orderBy(F.desc("n"), "lang").limit(MATRIX_BYTES // (4 * BUCKETS)).collect()}
     languages = sorted(counted)
     if not languages:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, rows / counted[lang]))))
-    sample = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
+    chance = F.pmod(F.xxhash64("doc_id", "text", "row", F.lit("lang")), F.lit(1 << 30))
+    sample = usable.withColumn("row", F.monotonically_increasing_id()).where(chance < share[F.col("lang")] * float(1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, total in totals.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
+            totals.clear()
+
         for part in pieces(batches):
+            if len(totals) > HELD:  # half a megabyte each
+                yield from told()
             names = np.array(part.column(0).to_pylist(), object)
             for lang in set(names):
                 data, offsets = raw(part.column(1).filter(pa.array(names == lang)))
                 total = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for bucket, _ in ngrams(data, offsets)[0]:
                     total += np.bincount(bucket, minlength=BUCKETS)
-        for lang, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
+        yield from told()
 
     summed = sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.full((len(languages), BUCKETS), smoothing)
-    for lang, rows_of in summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).toPandas().itertuples(index=False):
-        at = np.array([(r["bucket"], r["n"]) for r in rows_of])
-        counts[languages.index(lang), at[:, 0]] += at[:, 1]
+    place = F.create_map(*(F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)))[F.col("lang")]
+    at = summed.select(place.alias("place"), "bucket", "n").toArrow()
+    counts[at.column(0).to_numpy(), at.column(1).to_numpy()] += at.column(2).to_numpy()
     log_probability = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
     weights = np.array([counted[x] for x in languages], float)
     return Model(languages, log_probability, np.log(weights / weights.sum()))
@@ -136,7 +150,11 @@ def train(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, smoothing: fl
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The carried columns, ``lang_pred`` (``und`` for null and for texts without a letter) and
     ``score``, the posterior probability (0 for ``und``).  Columns of these names give way; other columns are
-    ignored."""
+    ignored.
+
+    Every row is judged by its own text, whole however long, so repeated rows and ids agree; of equally likely
+    languages the first by name counts; an empty table gives no rows.
+    """
     carry = tuple(c for c in carry if c not in ("lang_pred", "score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

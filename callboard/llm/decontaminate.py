@@ -213,6 +213,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, f
     for k in range(blocks):
         block = (tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)).toArrow()
         df = _pass(df, Tests(block.column(0).combine_chunks(), block.column(1), window), text)
+        if blocks > 1:  # written, so that one pass's tables are held at a time
+            df = df.checkpoint()
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h["end"] - h["start"])
     return df.select(*(f"`{c}`" for c in kept), "n_words", "hits", "items", "longest_match", n_hit.alias("n_hit"), ((n_hit > 0) & (fraction * n_hit >= F.col("n_words"))).alias("contaminated"))
 

@@ -212,6 +212,8 @@ def on_file(folder: str | None, level: bytes):
     if folder is None:
         return level
     path = os.path.join(folder, f"level-{uuid.uuid4().hex}")
+    if not os.path.isdir(folder):  # an executor that cannot see it
+        return level
     try:
         with open(path, "xb") as f:
             f.write(level)
@@ -224,9 +226,13 @@ def on_file(folder: str | None, level: bytes):
 
 def shared_folder(docs: DataFrame) -> str | None:
     """The session's shared folder, if it is one that files can be mapped from."""
-    path = docs.sparkSession.conf.get("spark.checkpoint.dir", None) or ""
-    path = path.removeprefix("file://").removeprefix("file:")
-    return path if path.startswith("/") else None
+    path = docs.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        return None
+    at = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(docs.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    # A path without a scheme is one of the cluster's own file system.
+    return at.toUri().getPath() if system.getUri().getScheme() == "file" else None
 
 
 def answered(bodies: list[bytes], shape: Keys, folder: str | None) -> list[bytes]:

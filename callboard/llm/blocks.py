@@ -34,13 +34,14 @@ def count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -
 def dealt(docs: DataFrame, blocks: int, text: str = "text") -> DataFrame:
     """The rows with ``block``, each block in one partition.
 
-    A row goes by its id, its text and the part of the file that it was read from, so that neither
-    one id nor one row repeated over and over lands in one block.  All of them are the same when a
-    lost task reads again.
+    A row goes by its id, its text and its place in its partition, so that neither one id nor one row
+    repeated over and over lands in one block.  All of them are the same when a lost task reads a
+    table again; rows that come out of a shuffle should be written first.
     """
     known = ["doc_id"] if "doc_id" in docs.columns else []
-    key = F.xxhash64(*known, f"`{text}`", F.input_file_name(), F.input_file_block_start())
-    return docs.withColumn("block", F.pmod(key, F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    placed = docs.withColumn("__place", F.monotonically_increasing_id())
+    key = F.xxhash64(*known, f"`{text}`", "__place")
+    return placed.withColumn("block", F.pmod(key, F.lit(blocks)).cast("int")).drop("__place").repartition(blocks, "block")
 
 
 def texts(table: pa.Table, text: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -109,6 +109,17 @@ def test_one_id_is_spread(spark, tmp_path):
     assert len(sizes) == 8 and max(sizes) < 700
 
 
+def test_one_repeated_row_is_spread(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(20_000).selectExpr("7L AS doc_id", "'the same text' AS text").coalesce(1).write.parquet(path)
+    sizes = [r["count"] for r in blocks.dealt(spark.read.parquet(path), 8).groupBy("block").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 3000
+
+
+def test_folder_that_cannot_be_seen(spark, tmp_path):
+    assert lm.on_file(str(tmp_path / "absent"), b"abc") == b"abc"
+
+
 def test_map_outlives_its_file(tmp_path):
     level = lm.on_file(str(tmp_path), b"abc" * 1000)
     assert level[:6] == b"abcabc" and len(level) == 3000 and not os.listdir(tmp_path)

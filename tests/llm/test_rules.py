@@ -298,3 +298,40 @@ def test_mixing_long_texts(spark):
     rows = mixing.mixed(docs).collect()
     assert len(rows) == 4 and all(0 <= r.taken <= 2 * r["size"] for r in rows) and max(r["size"] for r in rows) == 200_000
     assert mixing.mixture(docs).count() >= 1
+
+
+def test_language_sample_of_one_id(spark):
+    """One id per language, and one repeated row: each language is still sampled by its rows."""
+    texts = [f"der hund und die katze {k}" if k % 2 else f"the dog and the cat {k}" for k in range(4000)]
+    docs = table(spark, texts, [k % 2 for k in range(4000)], langs=["de" if k % 2 else "en" for k in range(4000)])
+    model = langid.train(docs, F.lit(True), rows=200)
+    got = {r.text: r.lang_pred for r in langid.identify(table(spark, ["die hunde und der", "the dogs and a", None, "12"]), model, ("text",)).collect()}
+    assert got == {"die hunde und der": "de", "the dogs and a": "en", None: "und", "12": "und"}
+    same = table(spark, ["der hund"] * 3000 + ["the dog"] * 3000, [5] * 6000, langs=["de"] * 3000 + ["en"] * 3000)
+    model = langid.train(same, F.lit(True), rows=100)
+    assert np.allclose(model.prior, np.log(0.5)) and len({tuple(np.round(x, 6)) for x in model.log_probability}) == 2
+
+
+def test_many_languages_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 40 * 4 * langid.BUCKETS)
+    texts, langs = [], []
+    for k in range(200):
+        texts += [f"word{k} text{k}"] * (3 if k < 30 else 1)
+        langs += [f"l{k:03}"] * (3 if k < 30 else 1)
+    docs = table(spark, texts, langs=langs)
+    model = langid.train(docs, F.lit(True))
+    assert model.languages == sorted([f"l{k:03}" for k in range(30)] + [f"l{k:03}" for k in range(30, 40)])
+    twins = table(spark, ["same words"] * 4, langs=["b", "a", "b", "a"])
+    assert {r.lang_pred for r in langid.identify(twins, langid.train(twins, F.lit(True))).collect()} == {"a"}
+    clash = langid.identify(twins.withColumnRenamed("lang", "score"), model, ("doc_id", "text", "score"))
+    assert clash.columns == ["doc_id", "text", "lang_pred", "score"]
+    assert langid.identify(twins.limit(0), model).count() == 0
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    text = " ".join(f"token=abc{k}defgh and kX9vQ2mZ7tR4wL8pN3sB{k}" for k in range(20_000))
+    began = time.time()
+    (row,) = secrets.digest(secrets.scan(table(spark, [text]))).collect()
+    assert row.n_assign == 20_000 and row.n_random > 19_000 and time.time() - began < 30

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callboard.functions import jsontree
+
 #: The columns of an export as CSV, in order.
 CSV_COLUMNS = (
     "metric_key", "value", "unit", "period", "formula", "filter", "missing", "uncertainty", "numerator", "denominator", "sample_size", "limitation", "status",
@@ -18,18 +20,12 @@ def documented(metrics: DataFrame) -> DataFrame:
     return metrics.where(" and ".join(f"{c} is not null" for c in REQUIRED))
 
 
-def flattened(documents: DataFrame, depth: int = 12) -> DataFrame:
-    """(snapshot_id, path, value) of every leaf of nested metric documents (JSON text)."""
-    rows = documents.select("snapshot_id", F.lit("").alias("path"), F.parse_json("metrics").alias("v"))
-    leaves = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        found = rows.where(~nested).select("snapshot_id", "path", F.col("v").cast("string").alias("value"))
-        leaves = found if leaves is None else leaves.unionByName(found)
-        inner = rows.where(nested).lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        rows = inner.select("snapshot_id", F.concat_ws(".", F.nullif("path", F.lit("")), F.coalesce("key", F.col("pos").cast("string"))).alias("path"), F.col("value").alias("v"))
-    return leaves
+def flattened(documents: DataFrame) -> DataFrame:
+    """(snapshot_id, path, value) of every leaf of nested metric documents (JSON text), however deep, in one
+    pass; a document that cannot be read is an error."""
+    got = jsontree.leaves(documents, "snapshot_id", "metrics").where("problem is null or problem <> 'missing'")
+    wrong = F.raise_error(F.concat(F.lit("metrics of snapshot "), F.col("snapshot_id").cast("string"), F.lit(": "), F.col("problem"))).cast("string")
+    return got.select("snapshot_id", "path", F.when(F.col("problem").isNotNull(), wrong).otherwise(F.col("value")).alias("value"))
 
 
 def data_hash(df: DataFrame) -> str:

@@ -86,11 +86,12 @@ CYCLE = r"(?:[ivx]+|\d+(?:-й)?) (?:цикл|этап|очередь|волна)
 
 
 def schedule_events(text: Column, fallback_year: Column) -> Column:
-    """array<struct<label, kind, start_on, end_on, evidence>>: the entries of a schedule in running
-    text, in order, each once by label and dates.
+    """array<struct<label, kind, start_on, end_on, evidence, date_error>>: the entries of a schedule in
+    running text, in order, each once by label and dates.
 
     An entry runs from a word that opens one, with its cycle's number, to the next.  Its label is what
-    stands before a colon or its first date, after its cycle; an entry without dates drops out.
+    stands before a colon or its first date, after its cycle, which holds for the entries after it until
+    another is named.  An entry without dates drops out; one whose dates cannot be read stays, and says so.
     """
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     entries = F.split(flat, rf"(?iu)(?<![\p{{L}}\p{{N}}])(?={CYCLE}{STAGE}(?!\p{{L}}))|(?<![\p{{L}}\p{{N}}])(?<!(?:цикл|этап|очередь|волна)[:.—– -]{{0,4}})(?={STAGE}(?!\p{{L}}))")
@@ -108,11 +109,27 @@ def schedule_events(text: Column, fallback_year: Column) -> Column:
             F.when(e["at"] > 0, F.substring(e["body"], e["at"] + 1, F.char_length(e["body"]))).otherwise(e["body"]).alias("detail"),
         ),
     )
-    found = F.transform(found, lambda e: F.struct(F.concat_ws(" — ", e["cycle"], F.trim(F.regexp_replace(e["before"], r"(?iu)(?<!\p{L})(?:с|по|до|не позднее)$", ""))).alias("label"), period(e["detail"], fallback_year).alias("dates"), e["evidence"].alias("evidence")))
-    found = F.transform(found, lambda e: F.struct(e["label"].alias("label"), timeline_kind(e["label"]).alias("kind"), e["dates"]["start_on"].alias("start_on"), e["dates"]["end_on"].alias("end_on"), e["evidence"].alias("evidence")))
-    same = lambda a, b: (F.lower(a["label"]) == F.lower(b["label"])) & a["start_on"].eqNullSafe(b["start_on"]) & (a["end_on"] == b["end_on"])
-    none = F.array().cast("array<struct<label:string,kind:string,start_on:date,end_on:date,evidence:string>>")
-    return F.aggregate(F.filter(found, lambda e: e["end_on"].isNotNull()), none, lambda kept, e: F.when(F.exists(kept, lambda k: same(k, e)), kept).otherwise(F.array_append(kept, e)))
+    part = "struct<evidence:string,cycle:string,before:string,detail:string>"
+    start = F.struct(F.lit(None).cast("string").alias("cycle"), F.array().cast(f"array<{part}>").alias("all"))
+    found = F.aggregate(found, start, lambda s, e: F.struct(F.coalesce(e["cycle"], s["cycle"]).alias("cycle"), F.array_append(s["all"], e.withField("cycle", F.coalesce(e["cycle"], s["cycle"])).cast(part)).alias("all")), lambda s: s["all"])
+    found = F.transform(
+        found,
+        lambda e: F.struct(
+            F.concat_ws(" — ", e["cycle"], F.trim(F.regexp_replace(e["before"], r"(?iu)(?<!\p{L})(?:с|по|до|не позднее)$", ""))).alias("label"),
+            period(e["detail"], fallback_year).alias("dates"), e["evidence"].alias("evidence"), e["detail"].rlike(WORD_DATE).alias("dated"),
+        ),
+    )
+    found = F.transform(
+        found,
+        lambda e: F.struct(
+            e["label"].alias("label"), timeline_kind(e["label"]).alias("kind"), e["dates"]["start_on"].alias("start_on"), e["dates"]["end_on"].alias("end_on"), e["evidence"].alias("evidence"),
+            (e["dates"]["end_on"].isNull() & e["dated"]).alias("date_error"),
+        ),
+    )
+    same = lambda a, b: (F.lower(a["label"]) == F.lower(b["label"])) & a["start_on"].eqNullSafe(b["start_on"]) & a["end_on"].eqNullSafe(b["end_on"])
+    event = "struct<label:string,kind:string,start_on:date,end_on:date,evidence:string,date_error:boolean>"
+    none = F.array().cast(f"array<{event}>")
+    return F.aggregate(F.filter(found, lambda e: e["end_on"].isNotNull() | e["date_error"]), none, lambda kept, e: F.when(F.exists(kept, lambda k: same(k, e)), kept).otherwise(F.array_append(kept, e.cast(event))))
 
 
 #: Headings of a contest's whole fund, and how a sentence names it.
@@ -149,16 +166,27 @@ def tagged(texts: DataFrame, rules: dict[str, str], key: str = "doc_id", text: s
     return texts.select(key, F.explode(tags).alias("tag"))
 
 
-#: Publication classes, tried in this order.
+# Publication classes in the order they are tried, with what the title must say and what title and text
+# together must say.
 PUBLICATIONS = (
-    ("result", r"победител|итоги|результат|winners|results"), ("extension", r"продл|extended"), ("amendment", r"изменен|amend"), ("milestone", r"этап|milestone"),
-    ("launch", r"старт|объявл|начал|launch|opens"), ("opportunity", r"конкурс|грант|отбор|grant|contest|call for"),
-)
+    ("result", r"подведен\w*\s+итог|итог\w*\s+по\s+конкурс|результат\w*\s+конкурс|список\s+победител\w*\s+конкурс", ""),
+    ("milestone", r"завершил\w*\s+формальн\w*\s+этап|этап\s+экспертиз|рассмотрени\w*\s+заяв", r"конкурс|заяв"),
+    ("extension", r"продлен\w*|продлени\w*\s+при[её]м|продолжен\w*\s+при[её]м", ""),
+    ("amendment", r"изменен\w*|изменени\w*|дополнен\w*|уточнен\w*", r"конкурс|положен|услов|лот"),
+    ("launch", r"запуск\w*[^.!?]{0,80}конкурс|начал\w*\s+отбор|открыт\w*\s+при[её]м|объявля\w*\s+о\s+начал", ""),
+    ("ignore", "", r"вебинар|конференц|форум|грантополучател\w*\s+фонда|создан\w*\s+при\s+поддержк|бесплатн\w*\s+оформ\w*\s+патент|льгот\w*\s+для\s+победител"),
+)
+#: An opportunity takes applications and has a subject.
+APPLICATIONS = r"при[её]м\s+заяв|подать\s+заяв|заявк\w*\s+можно|открыт\w*\s+при[её]м|набор\w*\s+в\s+акселератор"
+SUBJECTS = r"конкурс|преми|рейтинг|акселератор|программ\w*"
 
 
 def publication_class(title: Column, body: Column) -> Column:
-    low = F.lower(F.concat_ws(" ", title, body))
+    """result, milestone, extension, amendment, launch, opportunity or ignore."""
+    head = F.lower(F.coalesce(title, F.lit("")))
+    both = F.concat_ws(" ", head, F.lower(F.coalesce(body, F.lit(""))))
+    says = lambda text, pattern: text.rlike("(?U)" + pattern) if pattern else F.lit(True)
     out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for kind, pattern in PUBLICATIONS:
-        out = out.when(low.rlike(pattern), kind)
-    return out.otherwise("ignore")
+    for kind, by_title, by_both in PUBLICATIONS:
+        out = out.when(says(head, by_title) & says(both, by_both), kind)
+    return out.when(says(both, APPLICATIONS) & says(both, SUBJECTS), "opportunity").otherwise("ignore")

@@ -161,15 +161,20 @@ def support_gaps(programs: DataFrame, regions: int = 5, topics: int = 5, pairs:
     return found.select("kind", "name", "programs", "total", gap_severity(F.col("programs"), F.col("total")).alias("severity"))
 
 
+def by_name(column: str, locale: str = "ru") -> list[Column]:
+    """The order of names in a language, as readers of that language sort them; equal ones by code point."""
+    return [F.collate(column, locale), F.col(column)]
+
+
 def source_rankings(sources: DataFrame, programs: DataFrame) -> DataFrame:
     """Every source with counts, money and averages (null without programs) and its places; sources
-    that were measured come before those that were not."""
+    that were measured come before those that were not, equal ones go by their names."""
     got = programs.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("programs"), F.count_if("is_active").alias("active"), F.sum("funding").cast("double").alias("sum"), F.round(F.avg("funding").cast("double"), 6).alias("average"), F.round(F.avg("quality_score"), 6).alias("quality")
     )
     rows = sources.select("source_id").join(got, "source_id", "left").select("source_id", F.coalesce("programs", F.lit(0)).alias("programs"), F.coalesce("active", F.lit(0)).alias("active"), F.coalesce("sum", F.lit(0.0)).alias("total"), "average", "quality")
     for place, column in (("by_programs", "programs"), ("by_total", "total"), ("by_average", "average"), ("by_quality", "quality")):
-        rows = rows.withColumn(place, F.row_number().over(Window.orderBy(F.col(column).desc_nulls_last(), "source_id")))
+        rows = rows.withColumn(place, F.row_number().over(Window.orderBy(F.col(column).desc_nulls_last(), *by_name("source_id"))))
     return rows
 
 

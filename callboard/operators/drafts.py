@@ -41,7 +41,7 @@ def _programs(rows: DataFrame) -> DataFrame:
     return rows.select(
         "candidate_id", "source_id", "source_url", labels.clean_title(F.col("r.title")).alias("title"), _deadline().alias("deadline_on"), F.coalesce("r.payload.source_status", F.lit("unknown")).alias("source_status"),
         F.col("r.funding.value_kind").alias("value_kind"), F.col("r.funding.currency_code").alias("currency_code"), *(F.col(f"r.funding.{m}_amount").try_cast("decimal(14,2)").alias(f"{m}_amount") for m in ("exact", "min", "max")),
-        payload["application"]["url"].alias("application_url"), F.coalesce(payload["eligibility"]["access_mode"], labels.access_mode(F.concat_ws(" ", *notes))).alias("access_mode"), labels.country_scope(*notes).alias("country_wide"),
+        payload["application"]["url"].alias("application_url"), F.coalesce(payload["eligibility"]["access_mode"], labels.access_mode(*notes)).alias("access_mode"), labels.country_scope(*notes).alias("country_wide"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callboard.functions.normalize import normalized_ascii
 from callboard.operators.graph import connected_components
 
 
@@ -15,6 +16,80 @@ def groups(publications: DataFrame, links: DataFrame) -> DataFrame:
     return got.select("publication_id", F.coalesce("component", "publication_id").alias("group_id"))
 
 
+def identity_groups(publications: DataFrame, links: DataFrame) -> DataFrame:
+    """(publication_id, group_id, warnings): publications grouped by what they are about.
+
+    publications: publication_id, identity (null where none can be told), kind; links: publication_id, target_id, explicit
+    links between publications.  A link to publications of one other identity says that both identities are one; a
+    publication that links to several would join groups that are otherwise apart, so it joins none and says so.  A
+    group's id is its least identity.  A publication without an identity goes with the one it links to; without that,
+    or of kind ``ignore``, it has no group.
+    """
+    named = publications.select(F.col("publication_id").alias("target_id"), F.col("identity").alias("claimed")).where("claimed is not null")
+    claims = links.join(named, "target_id").groupBy("publication_id").agg(F.count_distinct("claimed").alias("claims"), F.min("claimed").alias("claimed"))
+    rows = publications.join(claims, "publication_id", "left").withColumn("one", F.when(F.col("claims") == 1, F.col("claimed")))
+    joined = rows.where("identity is not null and one is not null and identity <> one").select(F.col("identity").alias("src"), F.col("one").alias("dst")).distinct()
+    classes = connected_components(joined).select(F.col("node").alias("about"), "component")
+    counted = F.col("kind") != "ignore"
+    warnings = F.array_compact(F.array(
+        F.when(F.col("claims") > 1, "related_publication_ambiguous"), F.when(F.col("one") != F.col("identity"), "related_publication_identity_override"),
+        F.when(counted & F.coalesce("identity", "one").isNull(), "publication_identity_missing"),
+    ))
+    got = rows.withColumn("about", F.when(counted, F.coalesce("identity", "one"))).join(classes, "about", "left")
+    return got.select("publication_id", F.coalesce("component", "about").alias("group_id"), warnings.alias("warnings"))
+
+
+#: What a portal's short names leave out or shorten.
+YEAR, QUEUE, SHORT_MEDICAL = r"(?U)\b20\d{2}\b", r"(?iuU)\bочеред(?:ь|и)\s*(?:№\s*)?(\d+)\b", r"(?U)\bмед (?=\d|$)"
+
+
+def name_key(name: Column) -> Column:
+    """A contest's name as both sides write it: no year, no queue, signs as blanks; null if nothing is left."""
+    plain = normalized_ascii(F.regexp_replace(F.regexp_replace(name, QUEUE, " "), YEAR, " "))
+    return F.regexp_replace(plain, SHORT_MEDICAL, "медизделия ")
+
+
+def matched_names(portal: DataFrame, groups: DataFrame, least: float = 1.0) -> DataFrame:
+    """(portal_id, group_id, similarity, outcome): portal rows and groups whose names are each other's best.
+
+    portal: portal_id, name; groups: group_id, name (several rows for several names).  Names are compared by the words of
+    their keys, shared ones over all; at least ``least`` of them, and queues, where both have one, must agree.  Only names
+    that share one of their rarest words are compared, since names that share enough do.  ``matched`` pairs are the one
+    best of both; a best that is tied on either side is ``ambiguous`` and lists all that tie, and others are left out.
+
+    Equal names count as one name until the end, so a name that many rows share costs a row for each.
+    """
+    sides = {}
+    for side, rows, key in (("p", portal, "portal_id"), ("g", groups, "group_id")):
+        held = rows.select(key, name_key(F.col("name")).alias("key"), F.regexp_extract("name", QUEUE, 1).alias("queue")).where("key is not null").distinct()
+        sides[side] = held.checkpoint()
+    names = {s: rows.select("key", "queue").distinct().withColumn("words", F.array_distinct(F.split("key", " "))) for s, rows in sides.items()}
+    every = names["p"].select("words").unionByName(names["g"].select("words"))
+    often = every.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+
+    def rare(rows: DataFrame, side: str) -> DataFrame:
+        """(word, key, queue, words) for the words of a name that a similar name must share one of."""
+        told = rows.select("key", "queue", "words", F.explode("words").alias("word")).join(often, "word")
+        order = Window.partitionBy("key", "queue").orderBy("often", "word")
+        first = F.size("words") - F.ceil(F.size("words") * F.lit(least) - 1e-9) + 1
+        return told.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= first).select("word", *(F.col(c).alias(f"{side}_{c}") for c in ("key", "queue", "words")))
+
+    pairs = rare(names["p"], "p").join(rare(names["g"], "g"), "word").select("p_key", "p_queue", "g_key", "g_queue", "p_words", "g_words").distinct()
+    shared = F.size(F.array_intersect("p_words", "g_words"))
+    near = pairs.withColumn("similarity", shared / (F.size("p_words") + F.size("g_words") - shared)).where(F.col("similarity") >= least)
+    near = near.where((F.col("p_queue") == "") | (F.col("g_queue") == "") | (F.col("p_queue") == F.col("g_queue"))).select("p_key", "p_queue", "g_key", "g_queue", "similarity")
+    ids = near
+    for side, key in (("p", "portal_id"), ("g", "group_id")):
+        ids = ids.join(sides[side].select(key, F.col("key").alias(f"{side}_key"), F.col("queue").alias(f"{side}_queue")), [f"{side}_key", f"{side}_queue"])
+    ids = ids.groupBy("portal_id", "group_id").agg(F.max("similarity").alias("similarity"))
+    for key, best, ties in (("portal_id", "p_best", "p_ties"), ("group_id", "g_best", "g_ties")):
+        top = ids.groupBy(key).agg(F.max("similarity").alias(best))
+        tied = ids.join(top, key).where(F.col("similarity") == F.col(best)).groupBy(key, best).agg(F.count(F.lit(1)).alias(ties))
+        ids = ids.join(tied, key)
+    mutual = ids.where((F.col("similarity") == F.col("p_best")) & (F.col("similarity") == F.col("g_best")))
+    return mutual.select("portal_id", "group_id", "similarity", F.when((F.col("p_ties") == 1) & (F.col("g_ties") == 1), "matched").otherwise("ambiguous").alias("outcome"))
+
+
 def folded(publications: DataFrame) -> DataFrame:
     """One record per group_id from its publications in order of time: first title, latest funding
     outside results, urls in order of first sight, status by the strongest evidence.

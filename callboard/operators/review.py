@@ -130,6 +130,17 @@ def effective(cases: DataFrame, revisions: DataFrame) -> DataFrame:
     return got.select(*(c for c in cases.columns if c != "record"), F.coalesce("__record", "record").alias("record"), F.coalesce("__n", F.lit(0)).alias("revisions"))
 
 
+def guarded_append(rows: DataFrame, path: str, key: str) -> None:
+    """Adds rows to an append-only table; a row that is there already is not added again, and one that
+    would change it is refused, with nothing written.  The table must exist."""
+    known = rows.sparkSession.read.parquet(path)
+    met = rows.join(known.select(key), key, "left_semi")
+    changed = overwritten(known.join(rows.select(key), key, "left_semi"), met.select(*known.columns), key).limit(3).collect()
+    if changed:
+        raise ValueError(f"rows of an append-only table would change: {sorted(str(r[key]) for r in changed)}")
+    rows.select(*known.columns).join(known.select(key), key, "left_anti").dropDuplicates([key]).write.mode("append").parquet(path)
+
+
 def overwritten(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(key, problem): rows of an append-only table that a later version of it lost or changed."""
     body = [c for c in before.columns if c != key]
@@ -138,19 +149,32 @@ def overwritten(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.when(F.col("b").isNull(), "removed").otherwise("changed").alias("problem"))
 
 
+#: Actions that are folded together.
+STRETCH = 256
+
+
 def acted(log: DataFrame, key: str, order: list[str], action: str, table: dict[tuple[str, str], str], start: str) -> DataFrame:
     """The log with ``state`` after each action and whether it was ``allowed``; an action that the
     state before does not allow changes nothing.
 
     Each action maps states to states, so an entry's state is the fold of its key's actions so far.
     """
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = sorted({start, *(s for s, _ in table), *table.values()})
     moves_ = F.create_map(*(F.lit(x) for (state, act), new in sorted(table.items()) for x in (f"{state}\x1f{act}", new)))
     step = lambda state, act: F.coalesce(moves_[F.concat_ws("\x1f", state, act)], state)
-    told = log.withColumn("__actions", F.collect_list(action).over(w))
-    before = F.aggregate(F.slice("__actions", F.lit(1), F.size("__actions") - 1), F.lit(start), step)
-    got = told.withColumn("__before", before).withColumn("allowed", moves_[F.concat_ws("\x1f", "__before", action)].isNotNull())
-    return got.withColumn("state", step(F.col("__before"), F.col(action))).drop("__actions", "__before")
+    # A stretch of actions maps every state to one, so whole stretches are folded first, each into such a map, and
+    # then the maps before each stretch; no row holds more than a stretch's actions.
+    numbered = log.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).withColumn("__part", F.floor(F.col("__n") / STRETCH))
+    parts = numbered.groupBy(key, "__part").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.col(action).alias("a")))), lambda x: x["a"]).alias("acts"))
+    maps = parts.select(key, "__part", F.array(*(F.struct(F.lit(s).alias("from"), F.aggregate("acts", F.lit(s), step).alias("to")) for s in names)).alias("map"))
+    earlier = F.collect_list("map").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    into = F.aggregate(F.col("maps"), F.lit(start), lambda s, m: F.filter(m, lambda x: x["from"] == s)[0]["to"])
+    begins = maps.select(key, "__part", earlier.alias("maps")).select(F.col(key).alias("__key"), F.col("__part").alias("__at"), into.alias("__begin"))
+    told = numbered.join(begins, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__at")))
+    w = Window.partitionBy(key, "__part").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
+    got = told.withColumn("__acts", F.collect_list(action).over(w)).withColumn("__before", F.aggregate("__acts", F.col("__begin"), step))
+    got = got.withColumn("allowed", moves_[F.concat_ws("\x1f", "__before", action)].isNotNull()).withColumn("state", step(F.col("__before"), F.col(action)))
+    return got.select(*log.columns, "allowed", "state")
 
 
 def case_details(cases: DataFrame, **children: DataFrame) -> DataFrame:

@@ -107,13 +107,16 @@ class SearchIndex:
         met = reduce(lambda a, b: a | b, (F.size(F.array_intersect("held", F.array(*map(F.lit, g)))) == len(g) for g in groups), F.lit(False))
         return held.where(met).select("key")
 
-    def candidates(self, query: str) -> DataFrame:
+    def candidates(self, query: str) -> DataFrame | None:
+        """(key) of the titles to look at; None for all of them, where an alternative only excludes."""
+        if any(all(t.excluded for t in g) for g in textsearch.parsed(self.spark, query)):
+            return None
         return self.stemmed(query).union(self.similar(query).select("key")).distinct()
 
     def search(self, rows: DataFrame, query: str, key: str, text: str, order: tuple[Column, ...] = ()) -> DataFrame:
         """The rows that a scan with ``textsearch.searched`` finds, with its by_stems, rank and fuzzy; the closest
         first, then by ``order`` and key."""
-        near = self.candidates(query).withColumnRenamed("key", "__key")
-        met = rows.join(near, F.col(key) == F.col("__key"), "left_semi")
+        near = self.candidates(query)
+        met = rows if near is None else rows.join(near.withColumnRenamed("key", "__key"), F.col(key) == F.col("__key"), "left_semi")
         judged = textsearch.searched(met, text, query)
         return judged.orderBy(F.desc("by_stems"), F.desc("rank"), F.desc("fuzzy"), *order, key)

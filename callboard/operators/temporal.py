@@ -24,9 +24,8 @@ def week_start(ts: Column) -> Column:
 def weekly_latest(snapshots: DataFrame, cohort: list[str]) -> DataFrame:
     """The latest snapshot of every cohort and week (ties by id), and how many it stands for."""
     weekly = snapshots.withColumn("week_start", week_start(F.col("as_of")))
-    by = Window.partitionBy(*cohort, "week_start")
-    ranked = weekly.withColumn("turn", F.row_number().over(by.orderBy(F.desc("as_of"), F.desc("snapshot_id")))).withColumn("omitted", F.count(F.lit(1)).over(by) - 1)
-    return ranked.where("turn = 1").drop("turn")
+    latest = F.max_by(F.struct(*weekly.columns), F.struct("as_of", "snapshot_id")).alias("__latest")
+    return weekly.groupBy(*cohort, "week_start").agg(latest, (F.count(F.lit(1)) - 1).alias("omitted")).select("__latest.*", "omitted")
 
 
 def calendar(edges: DataFrame) -> DataFrame:
@@ -99,6 +98,15 @@ def deadline_state(deadline: Column, on: Column) -> Column:
     return F.when(deadline.isNull(), "missing").when(deadline < on, "overdue").otherwise("upcoming_or_today")
 
 
+def deadline_states(members: DataFrame) -> DataFrame:
+    """(week_start, state, n) of the members' deadlines, each state a row in every week that has members.
+
+    members: week_start, entity, deadline_state."""
+    states = F.explode(F.array(*map(F.lit, ("missing", "overdue", "upcoming_or_today"))))
+    counts = members.groupBy("week_start", F.col("deadline_state").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return members.select("week_start").distinct().select("week_start", states.alias("state")).join(counts, ["week_start", "state"], "left").select("week_start", "state", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def state_transitions(pairs: DataFrame, state: str) -> DataFrame:
     """(week_start, before, now, n) of entities of both snapshots whose state moved."""
     moved = pairs.where("in_now and in_before").where(~F.col(state).eqNullSafe(F.col(f"{state}_before")))

@@ -385,12 +385,24 @@ def schedule_events(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.explode(parse.schedule_events(text, F.lit(1990))).alias("e")).select("o_orderkey", "e.label", "e.kind", "e.start_on", "e.end_on")
 
 
-@asked("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'result' WHEN 1 THEN 'extension' WHEN 2 THEN 'opportunity' ELSE 'ignore' END AS kind, CASE WHEN o_orderkey % 4 = 0 THEN 'completed' WHEN CAST(o_orderdate AS DATE) + 60 < DATE '1998-06-01' THEN 'completed' WHEN CAST(o_orderdate AS DATE) > DATE '1998-06-01' THEN 'upcoming' ELSE 'open' END AS status FROM orders")
+#: A title, a text and the class they make, each branch and its near misses.
+PUBLICATION_CASES = (
+    ("Подведены итоги конкурса", "текст", "result"), ("Итоги по конкурсу «Старт»", "", "result"), ("Итоги недели", "список победителей конкурса", "ignore"),
+    ("Завершился формальный этап", "заявки конкурса", "milestone"), ("Рассмотрение заявлений граждан", "заявления", "milestone"), ("Этап экспертизы", "новости", "ignore"),
+    ("Продлён приём: срок продлен", "", "extension"), ("Конкурс продолжается", "итоги недели", "ignore"), ("Внесены изменения", "в положение", "amendment"), ("Изменения в расписании", "автобус", "ignore"),
+    ("Запуск нового большого конкурса", "", "launch"), ("Открыт приём", "", "launch"), ("Запуск. Новый конкурс", "прием заявок", "opportunity"), ("Конкурс", "подать заявку; вебинар", "ignore"),
+    ("Премия года", "Можно прислать письмо", "ignore"), ("Премия года", "Заявки можно подать", "opportunity"), ("Новости", "приём заявок", "ignore"), ("Конференция победителей", "", "ignore"),
+)
+
+
+@asked(f"""WITH c AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{kind}')" for k, (*_, kind) in enumerate(PUBLICATION_CASES))}) AS v(n, kind)) SELECT o_orderkey, kind,
+  CASE WHEN kind = 'result' THEN 'completed' WHEN CAST(o_orderdate AS DATE) + 60 < DATE '1998-06-01' THEN 'completed' WHEN CAST(o_orderdate AS DATE) > DATE '1998-06-01' THEN 'upcoming' ELSE 'open' END AS status
+  FROM orders JOIN c ON n = o_orderkey % {len(PUBLICATION_CASES)}""")
 def publication_classes(t: Tables) -> DataFrame:
-    k, day = F.col("o_orderkey") % 4, F.col("o_orderdate").cast("date")
-    title = F.when(k == 0, "Итоги конкурса").when(k == 1, "Приём продлён: срок продлен").when(k == 2, "Конкурс грантов").otherwise("Новости")
-    kind = parse.publication_class(title, F.lit("текст"))
-    return t.orders.select("o_orderkey", kind.alias("kind"), publications.lifecycle(F.when(k == 0, "completed").otherwise("open"), day, F.date_add(day, 60), F.lit(TODAY)).alias("status"))
+    n, day = (F.col("o_orderkey") % len(PUBLICATION_CASES) + 1).cast("int"), F.col("o_orderdate").cast("date")
+    title, text = (F.element_at(F.array(*(F.lit(c[k]) for c in PUBLICATION_CASES)), n) for k in (0, 1))
+    rows = t.orders.select("o_orderkey", day.alias("day"), parse.publication_class(title, text).alias("kind"))
+    return rows.select("o_orderkey", "kind", publications.lifecycle(F.when(F.col("kind") == "result", "completed").otherwise("open"), F.col("day"), F.date_add("day", 60), F.lit(TODAY)).alias("status"))
 
 
 @asked("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) || '.5' ELSE CAST(p_partkey AS VARCHAR) END AS plain, CASE WHEN p_partkey % 3 = 0 THEN 'https://a.example/x' WHEN p_partkey % 3 = 1 THEN 'ID ' || p_partkey END AS external_id FROM part")
@@ -478,10 +490,10 @@ def metric_gate(t: Tables) -> DataFrame:
     return kept.unionByName(metrics.inconsistent(stored, again).select("metric_key"))
 
 
-@asked(using(PROGRAMS) + "SELECT program_id, CASE WHEN program_id % 3 = 0 THEN 'invitation' WHEN program_id % 3 = 1 THEN 'online' ELSE 'unknown' END AS access_mode, program_id % 2 = 0 AS country_wide, 'Name ' || CASE WHEN program_id % 2 = 0 THEN 'A' ELSE 'B' END AS title FROM programs")
+@asked(using(PROGRAMS) + "SELECT program_id, CASE WHEN program_id % 3 = 0 THEN 'invitation_only' WHEN program_id % 3 = 1 THEN 'open' ELSE 'unknown' END AS access_mode, program_id % 2 = 0 AS country_wide, 'Name ' || CASE WHEN program_id % 2 = 0 THEN 'A' ELSE 'B' END AS title FROM programs")
 def text_labels(t: Tables) -> DataFrame:
     k = F.col("program_id")
-    text = F.concat_ws(" ", F.when(k % 3 == 0, "Участие по приглашению").when(k % 3 == 1, "Заявки онлайн").otherwise("Заявки"), F.when(k % 2 == 0, "по всей России").otherwise("в области"))
+    text = F.concat_ws(" ", F.when(k % 3 == 0, "Участие по приглашению").when(k % 3 == 1, "Открыт для всех").otherwise("Заявки"), F.when(k % 2 == 0, "по всей России").otherwise("в области"))
     title = F.concat(F.lit("«Name "), F.when(k % 2 == 0, "A 2024 год").otherwise("B"), F.lit("»"))
     return t.programs().select("program_id", labels.access_mode(text).alias("access_mode"), labels.country_scope(text).alias("country_wide"), labels.clean_title(title).alias("title"))
 
@@ -579,13 +591,41 @@ def manual_slugs(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", normalize.manual_slug("theme", F.upper("p_name")).alias("slug"))
 
 
-@asked("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 1 THEN 'reference' WHEN o_orderkey % 3 = 0 OR (o_orderkey % 5 = 2 AND o_orderkey % 3 <> 1) THEN 'result' WHEN o_orderkey % 3 = 1 THEN 'application' ELSE 'program_document' END AS kind,
-  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 7 = 1 THEN false WHEN o_orderkey % 5 = 1 THEN o_orderkey % 4 < 2 WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 = 2 OR o_orderkey % 3 = 0 WHEN o_orderkey % 3 = 1 THEN o_orderkey % 4 = 0 WHEN o_orderkey % 4 = 0 THEN o_orderkey % 2 = 0 ELSE o_orderkey % 4 = 2 END AS is_public FROM orders""")
+#: kind, title, section, category, url, whether its group has winners; the kind to show and whether it is public.
+RESOURCE_CASES = (
+    ("result", "  ", "Материалы", None, "https://a.example/1", False, "result", False),
+    ("reference", "Подробнее", "Материалы", None, "https://a.example/1", False, "reference", False),
+    ("reference", "Подробнее о конкурсе", "Материалы", None, "https://a.example/1", False, "reference", True),
+    ("program_document", "Политика конфиденциальности", "Материалы", None, "https://a.example/1", False, "program_document", False),
+    ("program_document", "Канал фонда", "Материалы", None, "https://www.vk.com/x", False, "reference", True),
+    ("program_document", "Канал фонда", "Материалы", "documents", "https://m.vk.com/x", True, "reference", False),
+    ("detail", "Канал фонда", None, "official_channels", "https://t.me/x", False, "reference", True),
+    ("detail", "Страница", "Материалы", None, "https://notvk.com/x", False, "detail", False),
+    ("application", "Подать заявку", None, None, "https://a.example/1", True, "application", True),
+    ("application", "Подать заявку", "Материалы", "application", "https://a.example/1", False, "application", False),
+    ("reference", "Список лауреатов", "Материалы", "documents", "https://a.example/1", False, "result", True),
+    ("result", "Итоги года", "Материалы", None, "https://a.example/1", False, "result", False),
+    ("result", "Итоги  отбора", None, "text", "https://a.example/1", False, "result", True),
+    ("reference", "Файл", "Результаты конкурса", None, "https://a.example/1", False, "result", True),
+    ("reference", "Файл", "Материалы", None, "https://a.example/itogi/2025", False, "reference", True),
+    ("result", "Файл", "Материалы", None, "https://a.example/konkursy/itogi-2025?x=laureat", False, "result", True),
+    ("result", "Файл", "Материалы", None, "https://a.example/%D0%BF%D0%BE%D0%B1%D0%B5%D0%B4%D0%B8%D1%82%D0%B5%D0%BB%D0%B8", False, "result", True),
+    ("program_document", "Положение", "Материалы", "Documents", "https://a.example/1", False, "program_document", True),
+    ("program_document", "Положение", "Материалы", "text", "https://a.example/1", False, "program_document", False),
+    ("video", "Ролик", "Материалы", "documents", "https://a.example/1", False, "video", False),
+    ("program_document", "Положение", "Похожие материалы", None, "https://a.example/1", False, "program_document", False),
+    ("program_document", "Положение", " ", None, None, False, "program_document", False),
+)
+
+
+def _value(x: object) -> str:
+    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'"
+
+
+@asked(f"""SELECT o_orderkey, kind, is_public FROM orders JOIN (VALUES {", ".join(f"({k}, {_value(c[6])}, {_value(c[7])})" for k, c in enumerate(RESOURCE_CASES))}) AS v(n, kind, is_public) ON n = o_orderkey % {len(RESOURCE_CASES)}""")
 def public_resources(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey")
-    kind = F.when(k % 3 == 0, "result").when(k % 3 == 1, "application").otherwise("program_document")
-    title = F.when(k % 7 == 0, "  ").when(k % 7 == 1, "Подробнее о конкурсе").when(k % 3 == 0, "Список победителей").otherwise("Положение")
-    url = F.when(k % 5 == 1, "https://vk.com/x").when(k % 5 == 2, "https://a.example/itogi/1").otherwise("https://a.example/1")
-    category = F.when(k % 4 == 1, "results").when(k % 4 == 2, "documents").when(k % 4 == 3, "text")
-    section, none = F.lit("Материалы"), F.lit(False)
-    return t.orders.select("o_orderkey", labels.public_kind(kind, title, section, url, (k % 3 == 0)).alias("kind"), labels.is_public_resource(kind, title, section, category, url, none).alias("is_public"))
+    n = (F.col("o_orderkey") % len(RESOURCE_CASES) + 1).cast("int")
+    kind, title, section, category, url, won = (F.element_at(F.array(*(F.lit(c[k]).cast("boolean" if k == 5 else "string") for c in RESOURCE_CASES)), n).alias(name) for k, name in enumerate(("kind", "title", "section", "category", "url", "won")))
+    rows = t.orders.select("o_orderkey", kind, title, section, category, url, won)
+    given = {c: F.col(c) for c in ("kind", "title", "section", "url", "won")}
+    return rows.select("o_orderkey", labels.public_kind(*given.values()).alias("kind"), labels.is_public_resource(given["kind"], given["title"], given["section"], F.col("category"), given["url"], given["won"]).alias("is_public"))

@@ -178,7 +178,7 @@ def test_exports(spark, tmp_path):
     body = b"".join(sorted(p.read_bytes() for p in (tmp_path / "c").glob("part*.csv")))
     assert b'"a ""b"""\r\n' in body and b'"snapshot_id"' in body
     nested = spark.createDataFrame([("s", '{"a": {"b": 1, "c": [2, "x"]}, "d": null}')], "snapshot_id string, metrics string")
-    assert {(r.path, r.value) for r in export.flattened(nested, 4).collect()} == {("a.b", "1"), ("a.c.0", "2"), ("a.c.1", "x"), ("d", None)}
+    assert {(r.path, r.value) for r in export.flattened(nested).collect()} == {("a.b", "1"), ("a.c.0", "2"), ("a.c.1", "x"), ("d", None)}
     assert export.svg_bars([("a<b", 2), ("c", 1)], "T", "h").count("<rect") == 2
     snaps = spark.createDataFrame([("a", "real", True, "f", "f"), ("b", "test", True, "f", "f"), ("c", "real", True, "f", "g")], "snapshot_id string, data_class string, is_compatible boolean, stored_fingerprint string, input_fingerprint string")
     assert {r.snapshot_id: r.reason for r in export.reproducible(snaps).collect()} == {"b": "not_real", "c": "fingerprint_differs"}

@@ -68,3 +68,40 @@ def test_labels(spark):
     assert [r[0] for r in texts.select(labels.resource_kind(F.col("t"), F.lit("https://x/a.pdf?v=1"))).collect()] == ["document", "document", "winners"]
     money = spark.createDataFrame([("range", "RUB", None, Decimal("1000"), Decimal("2500000.50")), ("not_stated", None, None, None, None), (None, None, None, None, None)], "value_kind string, currency_code string, exact_amount decimal(14,2), min_amount decimal(14,2), max_amount decimal(14,2)")
     assert [r[0] for r in money.select(labels.funding_label()).collect()] == ["1 000 RUB – 2 500 000.50 RUB", "not stated", "no record"]
+
+
+def test_identities_kept_apart(spark):
+    """A publication that links to two identities joins neither; one that links to another identity joins both."""
+    rows = [(1, "a", "launch"), (2, "b", "launch"), (3, "c", "launch"), (4, None, "result"), (5, None, "result"), (6, "a", "launch"), (7, "d", "launch"), (8, None, "launch"), (9, "e", "ignore")]
+    links = [(4, 1), (5, 1), (5, 2), (6, 3), (7, 1), (7, 2), (8, 99), (9, 2)]
+    df = spark.createDataFrame(rows, "publication_id long, identity string, kind string")
+    got = {r.publication_id: (r.group_id, tuple(r.warnings)) for r in publications.identity_groups(df, spark.createDataFrame(links, "publication_id long, target_id long")).collect()}
+    ambiguous, override, missing = "related_publication_ambiguous", "related_publication_identity_override", "publication_identity_missing"
+    assert got == {
+        1: ("a", ()), 2: ("b", ()), 3: ("a", ()), 4: ("a", ()), 5: (None, (ambiguous, missing)), 6: ("a", (override,)), 7: ("d", (ambiguous,)), 8: (None, (missing,)), 9: (None, (override,)),
+    }
+
+
+def test_names_matched(spark):
+    portal = spark.createDataFrame([(1, "Старт-1 2026"), (2, "Старт-Мед-1"), (3, "УМНИК (очередь 2)"), (4, "Развитие"), (5, "Развитие 2025"), (6, "Никто"), (7, None), (8, "2026")], "portal_id int, name string")
+    groups = spark.createDataFrame([(10, "«Старт 1»"), (10, "Start one"), (20, "Старт-Медизделия-1"), (30, "УМНИК, очередь № 1"), (31, "УМНИК очередь 2"), (40, "развитие"), (50, "2026")], "group_id int, name string")
+    got = {(r.portal_id, r.group_id): r.outcome for r in publications.matched_names(portal, groups).collect()}
+    assert got == {(1, 10): "matched", (2, 20): "matched", (3, 31): "matched", (4, 40): "ambiguous", (5, 40): "ambiguous"}
+
+
+def test_names_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(14)]
+    sides = [[(k, " ".join(rng.sample(words, rng.randrange(1, 6)))) for k in range(60)] for _ in range(2)]
+    portal, groups = (spark.createDataFrame(s, f"{key} int, name string") for s, key in zip(sides, ("portal_id", "group_id"), strict=True))
+    for least in (0.5, 0.75):
+        alike = {(p, g): len(a & b) / len(a | b) for p, x in sides[0] for g, y in sides[1] for a, b in [(set(x.split()), set(y.split()))] if len(a & b) / len(a | b) >= least}
+        p_best, g_best = ({k: max(s for pair, s in alike.items() if pair[side] == k) for k in {pair[side] for pair in alike}} for side in (0, 1))
+        expected = {}
+        for (p, g), s in alike.items():
+            if s == p_best[p] == g_best[g]:
+                ties = sum(x == s and a == p for (a, _), x in alike.items()), sum(x == s and b == g for (_, b), x in alike.items())
+                expected[p, g] = "matched" if ties == (1, 1) else "ambiguous"
+        assert {(r.portal_id, r.group_id): r.outcome for r in publications.matched_names(portal, groups, least).collect()} == expected

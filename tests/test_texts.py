@@ -104,3 +104,73 @@ def test_foreign_packages(spark, tmp_path):
     assert got[0].funding.max_amount == "500000.50" and got[0].funding.value_kind == "maximum" and got[0].warnings[0] == "w" and len(got[0].warnings) >= 2
     assert got[1].is_duplicate and not got[2].is_valid and "record_url_missing" in got[3].errors
     assert {r.package.rsplit("/")[-1]: r.reason for r in rejected.collect()} == {"b.json": "invalid_json", "c.json": "no_records", "d.json": "missing_metadata"}
+
+
+def test_cycles_and_bad_dates(spark):
+    text = "2 цикл: Приём заявок до 5 мая 2024; Экспертиза с 1 июня по 10 июня 2024; Подведение итогов 45 мая 2024; III цикл Приём заявок до 7 июля 2024; Реализация"
+    (row,) = spark.createDataFrame([(text,)], "t string").select(parse.schedule_events(F.col("t"), F.lit(2020)).alias("e")).collect()
+    assert [(e.label, str(e.end_on), e.date_error) for e in row.e] == [
+        ("2 цикл — Приём заявок", "2024-05-05", False), ("2 цикл — Экспертиза", "2024-06-10", False), ("2 цикл — Подведение итогов", "None", True), ("III цикл — Приём заявок", "2024-07-07", False),
+    ]
+
+
+def test_public_sections_and_results(spark):
+    cases = [
+        ("results", "Победители конкурса", "текст", True), ("results", "Объявление победителей", "текст", False), ("results", "Итоги года", "текст", False), ("results", "Итоги программы", "текст", True),
+        ("criteria", "Поделиться ссылкой", "текст", False), ("criteria", "Положение.PDF", "текст", False), ("criteria", "Критерии", "файл pdf", False), ("criteria", "Критерии", "файл pdfs", True),
+        ("criteria", " ", "текст", False), ("criteria", "Критерии", None, False), ("contacts", "Критерии", "текст", False), (None, "Критерии", "текст", False),
+    ]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, category string, heading string, content string, shown boolean")
+    got = df.select("k", "shown", labels.is_public_section(F.col("category"), F.col("heading"), F.col("content")).alias("got")).collect()
+    assert [r.k for r in got if r.shown != r.got] == []
+    groups = spark.createDataFrame([("II  цикл",), ("2024 – 2025",), ("2024/2025 годы",), ("цикл",), (None,)], "t string").select(labels.winner_group(F.col("t"))).collect()
+    assert [r[0] for r in groups] == ["ii цикл", "2024 – 2025", None, None, None]
+
+
+def test_access_and_scope(spark):
+    cases = [
+        ("Участие по приглашению фонда", "invitation_only", False), ("Открыт для всех, по всей  России", "open", True), ("любой организации", "open", False), ("Открыто", "unknown", False),
+        ("российских НКО", "unknown", True), ("Российской Федерации", "unknown", True), ("российский рубль", "unknown", False), ("во всех регионах России", "unknown", True), (None, "unknown", False),
+    ]
+    df = spark.createDataFrame(cases, "t string, mode string, wide boolean")
+    assert [r.t for r in df.where((labels.access_mode(F.col("t")) != F.col("mode")) | (labels.country_scope(F.col("t")) != F.col("wide"))).collect()] == []
+
+
+def test_titles(spark):
+    cases = {"Запуск конкурса «Старт»": "«Старт»", "Продление программы на Развитие —": "Развитие", "Конкурс «A»": "Конкурс «A»", "Открыт приём заявок на «A»": "«A»", "Запуск открытия": "открытия"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.x for r in df.select("t", labels.bare_title(F.col("t")).alias("x")).collect()} == cases
+
+
+def test_actions_of_one_busy_key(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, i, rng.choice(["publish", "archive", "republish", "view"])) for k, n in ((1, 1500), (2, 3), (None, 700)) for i in range(n)]
+    got = {(r.k, r.i): (r.state, r.allowed) for r in review.acted(spark.createDataFrame(rows, "k int, i int, a string"), "k", ["i"], "a", review.PROGRAM_ACTIONS, "draft").collect()}
+    state = {}
+    for k, i, a in rows:
+        now = state.get(k, "draft")
+        new = review.PROGRAM_ACTIONS.get((now, a))
+        state[k] = new or now
+        assert got[k, i] == (state[k], new is not None), (k, i)
+    assert len(got) == len(rows)
+
+
+def test_guarded_append(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "log")
+    spark.createDataFrame([(1, "a"), (2, None)], "id int, x string").write.parquet(path)
+    review.guarded_append(spark.createDataFrame([(2, None), (3, "c"), (3, "c")], "id int, x string"), path, "id")
+    with pytest.raises(ValueError, match=r"would change: \['1'\]"):
+        review.guarded_append(spark.createDataFrame([(1, "b"), (4, "d")], "id int, x string"), path, "id")
+    assert sorted((r.id, r.x) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, None), (3, "c")]
+
+
+def test_names_in_a_languages_order(spark):
+    from callboard.operators import bi
+
+    names = ["яблоко", "Ёж", "ель", "Жук", "еж", "ЁЛКА", "апельсин"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(*bi.by_name("n")).collect()]
+    assert got == ["апельсин", "еж", "Ёж", "ЁЛКА", "ель", "Жук", "яблоко"]

@@ -44,11 +44,14 @@ def repeated_programs(programs: DataFrame) -> DataFrame:
 
 
 def source_summary(sources: DataFrame, programs: DataFrame, value: str = "funding", digits: int = 2) -> DataFrame:
-    """``source_shares`` and the quartiles of a value in one pass over a roster of distinct ids."""
-    got = programs.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("n_numeric"), F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, QUARTILES))).alias("q"))
+    """``source_shares`` and the exact quartiles of a value, over a roster of distinct ids.  No task holds
+    a source's amounts (``quantiles``)."""
+    counts = programs.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
+    q = quantiles(programs, ["source_key"], value, QUARTILES).withColumnRenamed("n", "n_numeric")
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = sources.select("source_key").join(got, "source_key", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("total", F.sum("n").over(whole))
-    return rows.select("source_key", "n", ratio(F.col("n"), F.col("total")).alias("share"), "n_numeric", *(_half_even(F.col("q")[k], digits).alias(name) for k, name in enumerate(("q25", "median", "q75"))))
+    rows = sources.select("source_key").join(counts, "source_key", "left").join(q, "source_key", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("total", F.sum("n").over(whole))
+    measured = F.when(F.col("n") > 0, F.coalesce("n_numeric", F.lit(0)))
+    return rows.select("source_key", "n", ratio(F.col("n"), F.col("total")).alias("share"), measured.alias("n_numeric"), *(_half_even(F.col("q")[k], digits).alias(name) for k, name in enumerate(("q25", "median", "q75"))))
 
 
 def _half_even(x: Column, digits: int) -> Column:

@@ -13,38 +13,40 @@ from pyspark.sql import functions as F
 LEVELS = ("exact_external_id", "exact_url", "exact_origin_url", "normalized_fields")
 
 
+def _keys() -> Column:
+    """What a record can be met by: array<struct<level_rank, k1, k2, k3, is_url>>, without null keys."""
+
+    def key(rank: int, *parts: Column, is_url: bool = False) -> Column:
+        blank = [F.lit("")] * (3 - len(parts))
+        return F.struct(F.lit(rank).alias("level_rank"), *(p.cast("string").alias(f"k{k}") for k, p in enumerate((*parts, *blank), 1)), F.lit(is_url).alias("is_url"))
+
+    own = F.array(
+        key(0, F.col("source_id"), F.col("external_id")), key(1, F.col("source_id"), F.col("url")), key(2, F.col("url"), is_url=True), key(3, F.col("title_key"), F.col("organizer_key"), F.col("deadline_on"))
+    )
+    origins = F.transform(F.array_distinct(F.coalesce("origin_urls", F.array().cast("array<string>"))), lambda u: key(2, u))
+    return F.filter(F.concat(own, origins), lambda k: k["k1"].isNotNull() & k["k2"].isNotNull() & k["k3"].isNotNull())
+
+
 def matches(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     """(candidate_id, target_id, level_rank, level, conflicts): the strongest level of each pair.
 
     Both sides: id, source_id, external_id, url, origin_urls (array), title_key, organizer_key,
     deadline_on.  Ids and urls must be of one source; origin urls of two different ones, in either
-    direction; the normalised fields must all be there, of any source.
+    direction; the normalised fields must all be there, of any source.  All levels meet in one join, on the
+    level and its key.
     """
+    fields = ("title_key", "organizer_key", "deadline_on")
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("id").alias(f"{name}_id"), *(F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "id"))
-
-    c, t = side(candidates, "c"), side(targets, "t")
-    apart = F.col("c_id") != F.col("t_id")
-    same, other = F.col("c_source_id") == F.col("t_source_id"), F.col("c_source_id") != F.col("t_source_id")
+    def side(df: DataFrame, n: str) -> DataFrame:
+        named = df.select(F.col("id").alias(f"{n}_id"), F.col("source_id").alias(f"{n}_source_id"), F.struct(*fields).alias(f"{n}_fields"), F.explode(_keys()).alias("k"))
+        return named.select(f"{n}_id", f"{n}_source_id", f"{n}_fields", "k.level_rank", "k.k1", "k.k2", "k.k3", F.col("k.is_url").alias(f"{n}_is_url"))
 
-    fields = ("title_key", "organizer_key", "deadline_on")
-    differ = F.array_compact(F.array(*(F.when(F.col(f"c_{f}") != F.col(f"t_{f}"), F.lit(f)) for f in fields)))
-
-    def pairs(left: DataFrame, right: DataFrame, on: Column, rank: int) -> DataFrame:
-        return left.join(right, on & apart).select("c_id", "t_id", F.lit(rank).alias("level_rank"), differ.alias("conflicts"))
-
-    origin = lambda df, n: df.select(f"{n}_id", f"{n}_source_id", *(f"{n}_{f}" for f in fields), F.explode(F.array_distinct(f"{n}_origin_urls")).alias(f"{n}_origin"))
-    found = pairs(c, t, same & (F.col("c_external_id") == F.col("t_external_id")), 0)
-    found = found.unionByName(pairs(c, t, same & (F.col("c_url") == F.col("t_url")), 1))
-    found = found.unionByName(pairs(origin(c, "c"), t, other & (F.col("c_origin") == F.col("t_url")), 2))
-    found = found.unionByName(pairs(c, origin(t, "t"), other & (F.col("c_url") == F.col("t_origin")), 2))
-    found = found.unionByName(pairs(origin(c, "c"), origin(t, "t"), other & (F.col("c_origin") == F.col("t_origin")), 2))
-    keys = (F.col("c_title_key") == F.col("t_title_key")) & (F.col("c_organizer_key") == F.col("t_organizer_key")) & (F.col("c_deadline_on") == F.col("t_deadline_on"))
-    found = found.unionByName(pairs(c, t, keys, 3))
+    origin = (F.col("c_source_id") != F.col("t_source_id")) & ~(F.col("c_is_url") & F.col("t_is_url"))
+    met = side(candidates, "c").join(side(targets, "t"), ["level_rank", "k1", "k2", "k3"]).where((F.col("c_id") != F.col("t_id")) & ((F.col("level_rank") != 2) | origin))
+    best = met.groupBy("c_id", "t_id").agg(F.min("level_rank").alias("level_rank"), F.first("c_fields").alias("c"), F.first("t_fields").alias("t"))
+    differ = F.array_compact(F.array(*(F.when(F.col(f"c.{f}") != F.col(f"t.{f}"), F.lit(f)) for f in fields)))
     level = F.element_at(F.array(*map(F.lit, LEVELS)), F.col("level_rank") + 1)
-    best = found.groupBy("c_id", "t_id").agg(F.min("level_rank").alias("level_rank"), F.min("conflicts").alias("conflicts"))
-    return best.select(F.col("c_id").alias("candidate_id"), F.col("t_id").alias("target_id"), "level_rank", level.alias("level"), "conflicts")
+    return best.select(F.col("c_id").alias("candidate_id"), F.col("t_id").alias("target_id"), "level_rank", level.alias("level"), differ.alias("conflicts"))
 
 
 def targets(staged: DataFrame, programs: DataFrame) -> DataFrame:

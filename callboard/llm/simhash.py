@@ -227,9 +227,16 @@ def links(fps: DataFrame, budget: int = BUDGET, leaves: int = LEAVES) -> DataFra
     node = F.shiftrightunsigned("path", 64 - width)
     sizes = turned.groupBy("trie", node.alias("top")).count().where("count > 1")
     shared = turned.withColumn("top", node).join(sizes, ["trie", "top"])
-    # Levels below the top until a node should hold few enough leaves; 0 for nearly all.
-    levels = F.when(F.col("count") <= leaves, 0).otherwise(F.least(F.lit(20), F.ceil(F.log2(F.col("count") / leaves)).cast("int") + 2))
-    dealt = shared.withColumn("levels", levels).withColumn("low", F.when(F.col("levels") == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned(shiftleft(path, {width}), 64 - levels)")))
+    # A heavy node is walked further over the bits that part its leaves best, until nodes should be small: leaves that
+    # share their next bits, as texts of one template do, are parted by those that they do not share.
+    heavy = shared.where(F.col("count") > leaves)
+    ones = heavy.groupBy("trie", "top", "count").agg(*(F.sum(F.expr(f"shiftrightunsigned(path, {b}) & 1")).alias(f"b{b}") for b in range(max(64 - width, 1))))
+    uneven = F.array_sort(F.array(*(F.struct(F.abs(2 * F.col(f"b{b}") - F.col("count")).alias("off"), F.lit(b).alias("bit")) for b in range(max(64 - width, 1)))))
+    levels = F.least(F.lit(20), F.ceil(F.log2(F.col("count") / leaves)).cast("int") + 2)
+    bits = ones.select("trie", "top", F.transform(F.slice(uneven, F.lit(1), levels), lambda x: x["bit"]).alias("bits"))
+    low = F.aggregate("bits", F.lit(0).cast("long"), lambda s, b: s * 2 + F.call_function("shiftrightunsigned", F.col("path"), b).bitwiseAND(F.lit(1)))
+    parted = shared.join(bits, ["trie", "top"], "left").withColumn("levels", F.greatest(F.size("bits"), F.lit(0)))
+    dealt = parted.withColumn("low", F.when(F.col("levels") > 0, low).otherwise(F.lit(0).cast("long")))
     turns = [F.expr(f"array(0L{''.join(', ' + ' + '.join(f'{1 << b}L' for b in c) for k in range(1, budget + 1) for c in combinations(range(d), k))})") for d in range(21)]
     masks = F.lit(None)
     for d in range(20, 0, -1):

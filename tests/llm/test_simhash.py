@@ -79,3 +79,43 @@ def test_driver_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert got(simhash.near_duplicates(docs)) == brute(rows)
+
+
+def test_one_dense_node(spark):
+    """50,000 fingerprints that share all but 26 low bits: one top node in two tries, parted by the bits that differ."""
+    import time
+
+    rng = np.random.default_rng(11)
+    low = np.unique(rng.integers(0, 1 << 26, 50_000)).astype(np.int64)
+    fps = low | np.int64(0x5A5A_A5A5_0000_0000 | (1 << 40))
+    flips = [1 << a for a in range(26)] + [1 << a | 1 << b for a in range(26) for b in range(a)]
+    label = np.arange(len(low))
+    pairs = []
+    for f in flips:
+        at = np.minimum(np.searchsorted(low, low ^ f), len(low) - 1)
+        near = np.flatnonzero(low[at] == (low ^ f))
+        pairs.append(np.stack([near, at[near]], 1))
+    forest = simhash._forest(len(low), np.concatenate(pairs))
+    while True:
+        new = label.copy()
+        new[forest[:, 1]] = np.minimum(new[forest[:, 1]], label[forest[:, 0]])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    began = time.time()
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long").repartition(8)
+    got = np.array([(r.src, r.dst) for r in simhash.links(df, leaves=1000).collect()])
+    assert time.time() - began < 90
+    place = {int(x): k for k, x in enumerate(fps)}
+    linked = np.array([(place[a], place[b]) for a, b in got.tolist()])
+    mine = np.arange(len(fps))
+    while True:
+        new = mine.copy()
+        np.minimum.at(new, linked[:, 0], mine[linked[:, 1]])
+        np.minimum.at(new, linked[:, 1], mine[linked[:, 0]])
+        new = new[new]
+        if (new == mine).all():
+            break
+        mine = new
+    assert (mine == label).all() and len(set(label.tolist())) > 100

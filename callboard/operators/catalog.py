@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callboard.functions import textsearch
+from callboard.functions import dictionary, textsearch
 
 SORTS = ("published_at", "updated_at", "deadline_on", "title")
 MAX_PAGE = 100
@@ -122,6 +122,14 @@ def canonical_geographies(links: DataFrame, districts: DataFrame, suffixes: tupl
     return got.select("program_id", F.col("__to.slug").alias("slug"), F.col("__to.name").alias("name")).distinct()
 
 
+def tagged_geographies(texts: DataFrame, districts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, slug, name) of the places that running texts name, by whole words and the longest names, in one pass over
+    the texts however many places there are.  districts: alias, slug, name, as in ``canonical_geographies``."""
+    known = districts.select(F.col("alias").alias("alias"), "slug", "name").unionByName(districts.select(F.col("name").alias("alias"), "slug", "name")).distinct()
+    found = dictionary.tags(texts, known.select(F.col("alias").alias("name"), F.col("slug").alias("tag")), key, text)
+    return found.join(known.groupBy(F.col("slug").alias("tag")).agg(F.min("name").alias("name")), "tag").select(key, F.col("tag").alias("slug"), "name")
+
+
 def in_geographies(slugs: tuple[str, ...], districts: dict[str, tuple[str, ...]]) -> Column:
     """Whether a geography has one of the slugs, or a name that belongs to one of them as a district."""
     names = sorted({n.lower() for s in slugs for n in districts.get(s, ())})

@@ -164,5 +164,5 @@ def grouped_geographies(links: DataFrame, aliases: DataFrame) -> DataFrame:
     """(program_id, kind, names): names by alias (slug -> name, kind), the last alias of a slug
     counting; a slug without an alias is ``other``.  aliases: slug, name, kind, position."""
     known = aliases.groupBy("slug").agg(F.max_by(F.struct("name", "kind"), "position").alias("a"))
-    rows = links.join(F.broadcast(known), "slug", "left").select("program_id", F.coalesce("a.kind", F.lit("other")).alias("kind"), F.coalesce("a.name", "slug").alias("name"))
+    rows = links.join(known, "slug", "left").select("program_id", F.coalesce("a.kind", F.lit("other")).alias("kind"), F.coalesce("a.name", "slug").alias("name"))
     return rows.groupBy("program_id", "kind").agg(F.array_sort(F.collect_set("name")).alias("names"))

@@ -1,14 +1,19 @@
-"""The Snowball stemmer for Russian as Column expressions.
+"""The Snowball stemmer for Russian.
 
 A word's endings only count in its region RV, after the first vowel; a derivational ending in R2, after
-the second group of a vowel and a consonant.  Steps follow the published algorithm; each is one pass over
-the words, so that no expression is worked out twice.  Words without Cyrillic vowels stay as they are.
+the second group of a vowel and a consonant.  Steps follow the published algorithm.  Words without Cyrillic
+vowels stay as they are.  Columns are stemmed in Arrow batches, a word that comes again from memory.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 VOWELS = "аеиоуыэюя"
 #: The endings of the published algorithm, by class; those under AFTER_A follow ``а`` or ``я``.
@@ -25,40 +30,65 @@ SUPERLATIVE = "ейш ейше"
 DERIVATIONAL = "ост ость"
 
 
-def _ending(plain: str, after_a: str = "") -> str:
+def _ending(plain: str, after_a: str = "") -> re.Pattern:
     """A pattern of the longest of some endings; a match from the left is the longest at the end."""
-    either = ["|".join(plain.split())] if plain else []
-    return "(?:" + "|".join(either + ([f"(?<=[ая])(?:{'|'.join(after_a.split())})"] if after_a else [])) + ")$"
+    either = [*plain.split(), *(f"(?<=[ая]){x}" for x in after_a.split())]
+    return re.compile(f"(?:{'|'.join(either)})$")
+
+
+_HEAD = re.compile(f"[^{VOWELS}]*[{VOWELS}]")
+_R2 = re.compile(f"(?:[^{VOWELS}]*[{VOWELS}]+[^{VOWELS}]){{2}}")
+_GERUND, _ADJECTIVE, _PARTICIPLE = _ending(GERUND, GERUND_AFTER_A), _ending(ADJECTIVE), _ending(PARTICIPLE, PARTICIPLE_AFTER_A)
+_REFLEXIVE, _VERB, _NOUN = _ending(REFLEXIVE), _ending(VERB, VERB_AFTER_A), _ending(NOUN)
+_SUPERLATIVE, _DERIVATIONAL = _ending(SUPERLATIVE), _ending(DERIVATIONAL)
+
+
+def _inflected(rv: str) -> str:
+    """RV without its inflection: a gerund's, or an adjective's, a verb's or a noun's after a reflexive one."""
+    bare = _GERUND.sub("", rv)
+    if bare != rv:
+        return bare
+    rv = _REFLEXIVE.sub("", rv)
+    bare = _ADJECTIVE.sub("", rv)
+    if bare != rv:
+        return _PARTICIPLE.sub("", bare)
+    bare = _VERB.sub("", rv)
+    return bare if bare != rv else _NOUN.sub("", rv)
+
+
+@lru_cache(maxsize=1 << 17)
+def stem_word(word: str) -> str:
+    """The stem of a lower-case word, ``ё`` as ``е``."""
+    word = word.replace("ё", "е")
+    first = _HEAD.match(word)
+    if not first:
+        return word
+    head, rv = first[0], _inflected(word[first.end() :])
+    rv = rv.removesuffix("и")
+    second = _R2.match(word)
+    short = _DERIVATIONAL.sub("", rv)
+    if second and len(head) + len(short) >= second.end():
+        rv = short
+    short = _SUPERLATIVE.sub("", rv)
+    if short != rv or rv.endswith("нн"):
+        return head + (short[:-1] if short.endswith("нн") else short)
+    return head + rv.removesuffix("ь")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(lambda found: None if found is None else [stem_word(w) for w in found])
+
+
+@F.pandas_udf(StringType())
+def _stem(words: pd.Series) -> pd.Series:
+    return words.map(stem_word, na_action="ignore")
 
 
 def stems(words: Column) -> Column:
-    """The stem of each of some lower-case words, ``ё`` as ``е``."""
-    cut = lambda x, plain, after_a="": F.regexp_replace(x, _ending(plain, after_a), "")
-    out = F.transform(words, lambda w: F.translate(w, "ё", "е"))
-    out = F.transform(
-        out,
-        lambda w: F.struct(
-            F.regexp_extract(w, f"^[^{VOWELS}]*[{VOWELS}]?", 0).alias("head"), F.regexp_extract(w, f"^[^{VOWELS}]*[{VOWELS}](.*)$", 1).alias("rv"),
-            F.char_length(F.regexp_extract(w, f"^(?:[^{VOWELS}]*[{VOWELS}]+[^{VOWELS}]){{2}}", 0)).alias("r2"),
-        ),
-    )
-    step = lambda s, **new: F.struct(s["head"].alias("head"), s["r2"].alias("r2"), *(c.alias(n) for n, c in new.items()))
-    # One of: a gerund; an adjective or participle, a verb, or a noun, without its reflexive ending.
-    out = F.transform(out, lambda s: step(s, rv=s["rv"], gerund=cut(s["rv"], GERUND, GERUND_AFTER_A), bare=cut(s["rv"], REFLEXIVE)))
-    out = F.transform(out, lambda s: step(s, rv=s["rv"], gerund=s["gerund"], bare=s["bare"], adjective=cut(s["bare"], ADJECTIVE), verb=cut(s["bare"], VERB, VERB_AFTER_A)))
-    out = F.transform(
-        out,
-        lambda s: step(
-            s, rv=F.when(s["gerund"] != s["rv"], s["gerund"]).when(s["adjective"] != s["bare"], cut(s["adjective"], PARTICIPLE, PARTICIPLE_AFTER_A)).when(s["verb"] != s["bare"], s["verb"]).otherwise(cut(s["bare"], NOUN))
-        ),
-    )
-    out = F.transform(out, lambda s: step(s, rv=cut(s["rv"], "и")))
-    out = F.transform(out, lambda s: step(s, rv=s["rv"], short=cut(s["rv"], DERIVATIONAL)))
-    out = F.transform(out, lambda s: step(s, rv=F.when((s["r2"] > 0) & (F.char_length(s["head"]) + F.char_length(s["short"]) >= s["r2"]), s["short"]).otherwise(s["rv"])))
-    out = F.transform(out, lambda s: step(s, rv=s["rv"], short=cut(s["rv"], SUPERLATIVE)))
-    single = lambda x: F.regexp_replace(x, "нн$", "н")
-    return F.transform(out, lambda s: F.concat(s["head"], F.when((s["short"] != s["rv"]) | s["rv"].endswith("нн"), single(s["short"])).otherwise(cut(s["rv"], "ь"))))
+    """The stem of each of an array of lower-case words."""
+    return _stems(words)
 
 
 def stem(word: Column) -> Column:
-    return stems(F.array(word))[0]
+    return _stem(word)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from callboard.functions import covers, snowball
 
@@ -57,24 +59,42 @@ def word_similarity_of(term: str, word: Column) -> Column:
     return shared / (F.size(wanted) + F.size(pieces) - shared)
 
 
-def word_similarity(term: str, text: Column) -> Column:
-    """The best trigram similarity of the term to any word of the text."""
-    return F.coalesce(F.array_max(F.transform(tokens(text), lambda w: word_similarity_of(term, w))), F.lit(0.0))
+def query_words(query: str) -> list[str]:
+    """The lower-case words of a query, in order."""
+    return "".join(c if c.isalnum() else " " for c in query.lower()).split()
 
 
 def long_terms(query: str) -> list[str]:
     """The distinct terms of a query that have four letters and more."""
-    return [t for t in dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split()) if len(t) >= 4]
+    return [t for t in dict.fromkeys(query_words(query)) if len(t) >= 4]
+
+
+def _pieces(word: str) -> frozenset[str]:
+    padded = f"  {word} "
+    return frozenset(padded[k : k + 3] for k in range(len(padded) - 2))
+
+
+@lru_cache(maxsize=1 << 16)
+def _alike(term: str, word: str) -> float:
+    """``word_similarity_of`` of two words."""
+    a, b = _pieces(term), _pieces(word)
+    shared = len(a & b)
+    return shared / (len(a) + len(b) - shared)
 
 
 def fuzzy(text: Column, query: str) -> tuple[Column, Column]:
     """(score, matches): each term of four letters and more must reach THRESHOLD; the score is the
-    least among them.  A query without such terms matches nothing."""
+    least among their best similarities to a word.  A query without such terms matches nothing.  Texts are
+    scored in Arrow batches, a word that comes again from memory."""
     terms = long_terms(query)
     if not terms:
         return F.lit(0.0), F.lit(False)
-    scores = [word_similarity(t, text) for t in terms]
-    score = F.least(*scores) if len(scores) > 1 else scores[0]
+
+    @F.pandas_udf(DoubleType())
+    def scored(found: pd.Series) -> pd.Series:
+        return found.map(lambda held: min(max((_alike(t, w) for w in held), default=0.0) for t in terms))
+
+    score = scored(tokens(text))
     return score, score >= THRESHOLD
 
 
@@ -85,7 +105,8 @@ def words(text: Column | str) -> Column:
 
 def morphology_match(text: Column, query: str) -> Column:
     """Every stem of the query is a stem of the text."""
-    return F.size(F.array_except(snowball.stems(tokens(F.lit(query))), snowball.stems(tokens(text)))) == 0
+    wanted = sorted(set(map(snowball.stem_word, query_words(query))))
+    return F.size(F.array_except(F.array(*map(F.lit, wanted)).cast("array<string>"), snowball.stems(tokens(text)))) == 0
 
 
 @dataclass(frozen=True)
@@ -99,19 +120,17 @@ class Term:
         return F.array(*map(F.lit, self.stems))
 
 
-def parsed(spark: SparkSession, query: str) -> list[list[Term]]:
+def parsed(query: str) -> list[list[Term]]:
     """The alternatives of a web-style query: ``or`` parts them, a minus excludes, quotes keep words together;
-    a term of several words by itself is a phrase.  The stems come from a query of one row."""
-    either: list[list[tuple[str, bool]]] = [[]]
+    a term of several words by itself is a phrase."""
+    either: list[list[Term]] = [[]]
     for term in re.findall(r'-?"[^"]*"|\S+', query):
-        bare = term.lstrip("-").strip('"')
+        found = query_words(term)
         if term.lower() == "or":
             either.append([])
-        elif any(c.isalnum() for c in bare):
-            either[-1].append((bare, term.startswith("-")))
-    flat = [t for g in either for t, _ in g]
-    stems = iter(spark.range(1).select(*(snowball.stems(words(F.lit(t))).alias(f"t{k}") for k, t in enumerate(flat))).first() if flat else ())
-    return [[Term(tuple(next(stems)), excluded) for _, excluded in g] for g in either if g]
+        elif found:
+            either[-1].append(Term(tuple(map(snowball.stem_word, found)), term.startswith("-")))
+    return [g for g in either if g]
 
 
 def web_match(stems: Column, groups: list[list[Term]]) -> Column:
@@ -133,10 +152,10 @@ def searched(rows: DataFrame, text: str, query: str) -> DataFrame:
     alone; words that the query excludes are among those it names.  Each step is a column of its
     own, which the next one reads.
     """
-    groups = parsed(rows.sparkSession, query)
-    score, alike = fuzzy(F.col(text), query)
+    groups = parsed(query)
+    score, _ = fuzzy(F.col(text), query)
     out = rows.withColumn("__stems", snowball.stems(words(F.col(text)))).withColumn("by_stems", web_match(F.col("__stems"), groups)).withColumn("fuzzy", score)
-    out = out.where(F.col("by_stems") | alike)
+    out = out.where(F.col("by_stems") | (F.col("fuzzy") >= THRESHOLD))
     named = sorted({s for g in groups for t in g for s in t.stems})
     out = out.withColumn("__found", covers.entries(F.col("__stems"), F.array(*map(F.lit, named)).cast("array<string>")))
     dense = covers.density(F.col("__found"), [[t.wanted() for t in g if not t.excluded] for g in groups])

@@ -37,12 +37,12 @@ def _write(rows: DataFrame, path: str, *order: str) -> None:
 def build(rows: DataFrame, path: str, key: str, text: str) -> SearchIndex:
     """Writes the tables for some titles, or adds to the tables that are there.  Keys stand for rows: titles of
     one key are one.  Null and blank titles have no words."""
-    held = rows.select(F.col(key).alias("key"), F.explode(F.array_distinct(textsearch.words(F.col(text)))).alias("word"))
-    _write(held.distinct(), f"{path}/words", "word", "key")
+    # Written once: each table draws its ranges from it and then sorts it.
+    held = rows.select(F.col(key).alias("key"), F.explode(F.array_distinct(textsearch.words(F.col(text)))).alias("word")).distinct().checkpoint()
+    _write(held, f"{path}/words", "word", "key")
     spark = rows.sparkSession
     # Distinct words are stemmed and cut once, however many titles hold them; those known before are not new.
-    words = spark.read.parquet(f"{path}/words")
-    distinct = words.select("word").distinct().withColumn("stem", snowball.stem(F.col("word")))
+    distinct = held.select("word").distinct().withColumn("stem", snowball.stem(F.col("word"))).checkpoint()
     _write(held.join(distinct, "word").select("stem", "key").distinct(), f"{path}/stems", "stem", "key")
     pieces = distinct.select("word", textsearch.trigrams(F.col("word")).alias("pieces"))
     if _exists(spark, f"{path}/grams"):
@@ -100,7 +100,7 @@ class SearchIndex:
     def stemmed(self, query: str) -> DataFrame:
         """(key): titles with all stems of an alternative of the query; phrases and exclusions are left to the
         titles themselves."""
-        groups = [sorted({s for t in g if not t.excluded for s in t.stems}) for g in textsearch.parsed(self.spark, query)]
+        groups = [sorted({s for t in g if not t.excluded for s in t.stems}) for g in textsearch.parsed(query)]
         groups = [g for g in groups if g]
         asked = sorted({s for g in groups for s in g})
         held = self.table("stems").where(F.col("stem").isin(asked)).groupBy("key").agg(F.collect_set("stem").alias("held"))
@@ -109,7 +109,7 @@ class SearchIndex:
 
     def candidates(self, query: str) -> DataFrame | None:
         """(key) of the titles to look at; None for all of them, where an alternative only excludes."""
-        if any(all(t.excluded for t in g) for g in textsearch.parsed(self.spark, query)):
+        if any(all(t.excluded for t in g) for g in textsearch.parsed(query)):
             return None
         return self.stemmed(query).union(self.similar(query).select("key")).distinct()
 

@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, leaves: int = LEAVES,
     ``component_id``, the smallest doc_id in its class.
 
     A null text counts as empty and gets fingerprint zero; a null doc_id never names a class
-    unless the whole class has none; repeated rows stay, each with its class.  Other columns of
+    unless the whole class has none; repeated rows stay, each with its class.  A text of any length
+    counts whole; texts of one fingerprint are of one class; an empty table gives no rows.  Other columns of
     the table are ignored.
     """
     rows = fingerprints(docs, carry).checkpoint()

@@ -25,6 +25,14 @@ ROW_COLUMNS = (
 LIMITS = {"record_key": 512, "title": 500, "record_url": 2048}
 
 
+def whole_json(text: Column | str) -> Column:
+    """A text as a variant; null unless all of it is one JSON value.  The built-in parser leaves unread what follows the
+    first value, so the text is parsed inside an array and inside an object: what closes one of them early breaks the other."""
+    text = F.col(text) if isinstance(text, str) else text
+    inside, beside = (F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))) for a, b in (("[", "]"), ('{"v":', "}")))
+    return F.when(beside.isNotNull(), F.try_variant_get(inside, "$[0]", "variant"))
+
+
 def row_errors() -> Column:
     """Why a row (record_key, title, record_url, deadline_on, funding) is bad: an array of codes."""
     tests = [(f"{c}_missing", F.coalesce(F.trim(c), F.lit("")) == "") for c in ("record_key", "title", "record_url")]
@@ -36,7 +44,7 @@ def row_errors() -> Column:
         ("funding_currency", F.col("funding.value_kind").isin("exact", "minimum", "maximum", "range") & ~F.coalesce(F.col("funding.currency_code").rlike("^[A-Z]{3}$"), F.lit(False))),
     ]
     tests += [
-        ("payload_invalid", F.col("payload").isNotNull() & ~F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))),
+        ("payload_invalid", F.col("payload").isNotNull() & ~F.coalesce(F.schema_of_variant(whole_json("payload")).startswith("OBJECT"), F.lit(False))),
         ("warnings_invalid", F.exists(F.coalesce("warnings", F.array(F.lit("-"))), lambda w: F.coalesce(F.trim(w), F.lit("")) == "")),
     ]
     for c in ("exact_amount", "min_amount", "max_amount"):
@@ -98,7 +106,7 @@ def read_foreign(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     its key; its largest support is a maximum in roubles, while a total fund stays in the payload
     with a warning.  A record that is no object is a bad row.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("package"), F.try_parse_json("value").alias("v"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("package"), whole_json("value").alias("v"))
     listed = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False)) & (F.coalesce(F.schema_of_variant("v"), F.lit("")) != "ARRAY<VOID>")
     items = files.where(listed).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("package", F.col("pos").alias("row_number"), F.col("value").alias("x"))
     items = items.withColumn("is_object", F.schema_of_variant("x").startswith("OBJECT"))

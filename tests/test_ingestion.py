@@ -182,3 +182,15 @@ def test_exports(spark, tmp_path):
     assert export.svg_bars([("a<b", 2), ("c", 1)], "T", "h").count("<rect") == 2
     snaps = spark.createDataFrame([("a", "real", True, "f", "f"), ("b", "test", True, "f", "f"), ("c", "real", True, "f", "g")], "snapshot_id string, data_class string, is_compatible boolean, stored_fingerprint string, input_fingerprint string")
     assert {r.snapshot_id: r.reason for r in export.reproducible(snaps).collect()} == {"b": "not_real", "c": "fingerprint_differs"}
+
+
+def test_json_with_something_behind(spark, tmp_path):
+    from callboard.sources.packages import read_foreign, whole_json
+
+    texts = ['[1]', ' {"a": [1]} ', '17', '"x"', 'null', '[1]]', '[1]}', '[1],[2]', '[1],"x":2', '{"a":1} x', '', '[1', '[1]]}', '[1]}]']
+    got = [r.v for r in spark.createDataFrame([(x,) for x in texts], "x string").select(F.to_json(whole_json("x")).alias("v")).collect()]
+    assert got == ["[1]", '{"a":[1]}', "17", '"x"', "null", *[None] * 9]
+
+    (tmp_path / "a.json").write_text('[{"source": "a.example", "collected_at": "2024", "source_url": "https://a.example/1", "title": "A"}]]')
+    rows, rejected = read_foreign(spark, str(tmp_path))
+    assert rows.count() == 0 and [r.reason for r in rejected.collect()] == ["invalid_json"]

@@ -1,7 +1,7 @@
 import oracle
 import pytest
 
-from callboard.plans import records, texts  # noqa: F401
+from callboard.plans import carriers, records, texts  # noqa: F401
 from callboard.plans.oracles import ORACLE_SQL
 from callboard.plans.queries import QUERIES
 

@@ -39,9 +39,10 @@ AMOUNTS = {"exact_amount": "exact", "min_amount": "minimum", "max_amount": "maxi
 FIELDS_SQL = ", ".join(f"{e.format(k='o_orderkey')} AS {n}" for n, e in FIELDS.items())
 
 
-def _errors_sql(currency: str, warnings: str) -> str:
+def _errors_sql(currency: str, warnings: str, **more: str) -> str:
     numeric = "value_kind IN ('exact', 'minimum', 'maximum')"
     tests = {
+        **more,
         "record_key_missing": "record_key IS NULL",
         "title_missing": "title IS NULL",
         "title_too_long": "length(title) > 500",
@@ -57,11 +58,11 @@ def _errors_sql(currency: str, warnings: str) -> str:
     return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',')"
 
 
-def _finished_sql(rejected: str, errors: str, carried: str) -> str:
+def _finished_sql(rejected: str, errors: str, carried: str, fields: str = "*") -> str:
     """Rows of accepted packages with their errors and duplicates, and the rejected packages."""
     return f"""WITH f AS (SELECT o_orderkey // {BLOCK} AS package, o_orderkey, {FIELDS_SQL} FROM orders),
 told AS (SELECT package, {rejected} AS reason FROM (SELECT package, count(*) AS n, count(*) FILTER (o_orderkey % {BLOCK} = 500) AS odd FROM f GROUP BY package)),
-marked AS (SELECT f.*, {errors} AS errors FROM f JOIN told USING (package) WHERE reason IS NULL),
+marked AS (SELECT f.*, {errors} AS errors FROM (SELECT {fields} FROM f) f JOIN told USING (package) WHERE reason IS NULL),
 placed AS (SELECT *, min(CASE WHEN errors = '' THEN o_orderkey END) OVER (PARTITION BY package, record_key) AS first FROM marked)
 SELECT package, {carried}, record_key, errors, errors = '' AND o_orderkey > first AS is_duplicate FROM placed
 UNION ALL SELECT package, {", ".join("NULL" for _ in carried.split(","))}, NULL, reason, false FROM told WHERE reason IS NOT NULL"""
@@ -94,25 +95,34 @@ def _told(rows: DataFrame, rejected: DataFrame, *carried: str) -> DataFrame:
     return got.unionByName(told, allowMissingColumns=True)
 
 
+#: Bare numbers among the records, and funding that is no object.
+BARE, FREE = "o_orderkey % 43 = 0", "o_orderkey % 47 = 0"
+
+
 @asked(_finished_sql(
-    "CASE package % 7 WHEN 3 THEN 'invalid_json' WHEN 5 THEN 'no_records' WHEN 6 THEN 'invalid_envelope' END",
-    _errors_sql("currency_code IS DISTINCT FROM 'USD'", "warning = ' '"),
+    "CASE package % 7 WHEN 2 THEN 'invalid_json' WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'invalid_envelope' WHEN 5 THEN 'no_records' WHEN 6 THEN 'invalid_envelope' END",
+    f"CASE WHEN {BARE} THEN 'record_not_object' ELSE " + _errors_sql("currency_code IS DISTINCT FROM 'USD'", "warning = ' '", record_mistyped=FREE) + " END",
     "title, deadline_on",
+    "* REPLACE (" + ", ".join(f"CASE WHEN NOT {BARE} THEN {c} END AS {c}" for c in ("record_key", "title", "deadline_on")) + f", CASE WHEN NOT {FREE} THEN value_kind END AS value_kind)",
 ))
 def package_rows_json(t: Tables) -> DataFrame:
-    """Packages as JSON: some cut short, some without records or without their source's address."""
+    """Packages as JSON: some cut short or with something behind them, some lists, some without records or their source's address."""
     funding = F.struct("value_kind", "currency_code", *_amounts())
-    record = F.struct(
-        "o_orderkey", "record_key", "title", "record_url", "deadline_on", funding.alias("funding"), "payload",
+    record = F.to_json(F.struct(
+        "record_key", "title", "record_url", "deadline_on", funding.alias("funding"), "payload",
         F.when(F.col("warning").isNotNull(), F.array("warning")).alias("warnings"),
-    )
-    grouped = _records(t).groupBy("pkg").agg(F.array_sort(F.collect_list(record)).alias("records"))
+    ))
+    free = F.regexp_replace(record, r'"funding":\{[^}]*\}', '"funding":"free"')
+    item = F.when(F.expr(BARE), "17").when(F.expr(FREE), free).otherwise(record)
+    grouped = _records(t).groupBy("pkg").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("item")))).alias("items"))
     kind = F.col("pkg") % 7
-    source = F.struct(F.lit("Calls").alias("name"), F.when(kind != 6, F.lit("https://calls.example/")).alias("canonical_url"))
-    adapter = F.struct(F.lit("calls").alias("name"), F.lit("1").alias("version"))
-    records = F.when(kind == 5, F.slice("records", 1, 0)).otherwise(F.col("records"))
-    body = F.to_json(F.struct(F.lit("1").alias("contract_version"), source.alias("source"), adapter.alias("adapter"), records.alias("records")))
-    text = F.when(kind == 3, F.expr("left(body, char_length(body) - 1)")).otherwise(F.col("body"))
+    source = F.when(kind == 6, '"source":{"name":"Calls"}').otherwise('"source":{"name":"Calls","canonical_url":"https://calls.example/"}')
+    records = F.when(kind == 5, "").otherwise(F.array_join(F.transform("items", lambda x: x["item"]), ",\n"))
+    body = F.concat(F.lit('{"contract_version":"1",'), source, F.lit(',"adapter":{"name":"calls","version":"1"},"records":['), records, F.lit("]}"))
+    text = (
+        F.when(kind == 2, F.concat("body", F.lit("\n}"))).when(kind == 3, F.expr("left(body, char_length(body) - 1)"))
+        .when(kind == 4, F.concat(F.lit("["), "body", F.lit("]"))).otherwise(F.col("body"))
+    )
     path = _written(grouped.withColumn("body", body).withColumn("text", text), t, "packages-json")
     rows, rejected = packages.read_package(t.spark, path, "json")
     return _told(rows, rejected, "title", "deadline_on")

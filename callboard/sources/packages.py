@@ -10,11 +10,7 @@ from callboard.operators.resolve import duplicate_rows
 
 FUNDING = "struct<value_kind:string,currency_code:string,exact_amount:string,min_amount:string,max_amount:string>"
 RECORD = f"struct<record_key:string,title:string,record_url:string,deadline_on:string,funding:{FUNDING},payload:string,warnings:array<string>>"
-ENVELOPE = (
-    "contract_version string, source struct<name:string,canonical_url:string>, "
-    "capture struct<source_url:string,received_at:string,external_content_uri:string,content_format:string,response_metadata:map<string,string>>, "
-    f"adapter struct<name:string,version:string>, records array<{RECORD}>, _corrupt_record string"
-)
+ADAPTER = "struct<name:string,version:string>"
 #: The columns of a CSV package; the first nine describe the package.
 PACKAGE_COLUMNS = (
     "contract_version", "source_name", "source_canonical_url", "capture_source_url", "received_at", "external_content_uri", "content_format", "adapter_name", "adapter_version",
@@ -53,17 +49,39 @@ def row_errors() -> Column:
 
 
 def _finished(rows: DataFrame) -> DataFrame:
-    marked = rows.withColumn("errors", row_errors()).withColumn("is_valid", F.size("errors") == 0)
+    """With ``errors``, ``is_valid`` and ``is_duplicate``; what a reader could not read as a record (``malformed``) stays as a bad row."""
+    errors = row_errors()
+    if "malformed" in rows.columns:
+        alone = F.array("malformed")
+        errors = F.when(F.col("malformed") == "record_not_object", alone).when(F.col("malformed").isNotNull(), F.concat(alone, errors)).otherwise(errors)
+    marked = rows.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0).drop("malformed")
     return duplicate_rows(marked.withColumn("_key", F.concat_ws("\x1f", "package", "record_key")), "_key", "row_number").drop("_key")
 
 
 def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected packages) of JSON packages, one per file."""
-    raw = spark.read.schema(ENVELOPE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("package", F.col("_metadata.file_path"))
-    bad = F.col("_corrupt_record").isNotNull() | F.coalesce(F.size("records") < 1, F.lit(True)) | F.col("source.canonical_url").isNull() | F.col("contract_version").isNull()
-    rejected = raw.where(bad).select("package", F.when(F.col("_corrupt_record").isNotNull(), "invalid_json").when(F.coalesce(F.size("records") < 1, F.lit(True)), "no_records").otherwise("invalid_envelope").alias("reason"))
-    rows = raw.where(~bad).select("package", F.col("source.canonical_url").alias("source_url"), "adapter", F.posexplode("records").alias("row_number", "r"))
-    return _finished(rows.select("package", "source_url", "adapter", "row_number", "r.*")), rejected
+    """(rows, rejected packages) of JSON packages, one per file, each one JSON object and nothing behind it.
+
+    A record that is no object, or has a field of a wrong kind, is a bad row of its package.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("package"), whole_json("value").alias("v"))
+    text = lambda p: F.nullif(F.trim(F.try_variant_get("v", p, "string")), F.lit(""))
+    records = F.try_variant_get("v", "$.records", "variant")
+    shape = F.coalesce(F.schema_of_variant(records), F.lit("VOID"))
+    reason = (
+        F.when(F.col("v").isNull(), "invalid_json")
+        .when(~F.schema_of_variant("v").startswith("OBJECT"), "invalid_envelope")
+        .when(shape.isin("VOID", "ARRAY<VOID>") & ~F.coalesce(F.size(F.try_variant_get(records, "$", "array<variant>")) > 0, F.lit(False)), "no_records")
+        .when(~shape.startswith("ARRAY<") | text("$.source.canonical_url").isNull() | text("$.contract_version").isNull(), "invalid_envelope")
+    )
+    told = raw.withColumn("reason", reason)
+    good = told.where("reason is null").select("package", text("$.source.canonical_url").alias("source_url"), F.try_variant_get("v", "$.adapter", ADAPTER).alias("adapter"), records.alias("records"))
+    items = good.lateralJoin(spark.tvf.variant_explode(F.col("records").outer())).select("package", "source_url", "adapter", F.col("pos").alias("row_number"), F.col("value").alias("x"))
+    options = {"columnNameOfCorruptRecord": "_unread"}
+    read = F.when(F.schema_of_variant("x").startswith("OBJECT"), F.from_json(F.to_json("x"), RECORD[:-1] + ",_unread:string>", options))
+    rows = items.select("package", "source_url", "adapter", "row_number", read.alias("r"))
+    malformed = F.when(F.col("r").isNull(), "record_not_object").when(F.col("r._unread").isNotNull(), "record_mistyped")
+    rows = rows.select("package", "source_url", "adapter", "row_number", "r.*", malformed.alias("malformed")).drop("_unread")
+    return _finished(rows), told.where("reason is not null").select("package", "reason")
 
 
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -25,12 +25,19 @@ def test_json_packages(spark, tmp_path):
     for name, body in files.items():
         (tmp_path / f"{name}.json").write_text(json.dumps(body))
     (tmp_path / "d.json").write_text("{ not json")
+    whole = json.dumps(package([good]))
+    for name, body in {"e": whole + whole, "f": whole + " }", "g": f"[{whole},{whole}]", "h": json.dumps(package([good]) | {"records": {"a": 1}}), "i": json.dumps(package([good]) | {"source": {}})}.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    (tmp_path / "j.json").write_text(json.dumps(package([17, None, good | {"funding": "free"}, good])))
     rows, rejected = packages.read_package(spark, str(tmp_path), "json")
-    assert {os.path.basename(r.package): r.reason for r in rejected.collect()} == {"b.json": "no_records", "d.json": "invalid_json"}
+    assert {os.path.basename(r.package): r.reason for r in rejected.collect()} == {
+        "b.json": "no_records", "d.json": "invalid_json", "e.json": "invalid_json", "f.json": "invalid_json", "g.json": "invalid_envelope", "h.json": "invalid_envelope", "i.json": "invalid_envelope",
+    }
     got = {(os.path.basename(r.package), r.row_number): (r.errors, r.is_duplicate) for r in rows.collect()}
     assert got == {
         ("a.json", 0): ([], False), ("a.json", 1): (["deadline_invalid"], False), ("a.json", 2): ([], True), ("a.json", 3): (["record_key_missing"], False),
         ("c.json", 0): (["funding_currency", "exact_amount_invalid"], False),
+        ("j.json", 0): (["record_not_object"], False), ("j.json", 1): (["record_not_object"], False), ("j.json", 2): (["record_mistyped"], False), ("j.json", 3): ([], False),
     }
     with pytest.raises(ValueError):
         packages.read_package(spark, str(tmp_path), "xlsx")

@@ -61,7 +61,7 @@ def _errors_sql(currency: str, warnings: str, **more: str) -> str:
 def _finished_sql(rejected: str, errors: str, carried: str, fields: str = "*") -> str:
     """Rows of accepted packages with their errors and duplicates, and the rejected packages."""
     return f"""WITH f AS (SELECT o_orderkey // {BLOCK} AS package, o_orderkey, {FIELDS_SQL} FROM orders),
-told AS (SELECT package, {rejected} AS reason FROM (SELECT package, count(*) AS n, count(*) FILTER (o_orderkey % {BLOCK} = 500) AS odd FROM f GROUP BY package)),
+told AS (SELECT package, {rejected} AS reason FROM (SELECT DISTINCT package FROM f)),
 marked AS (SELECT f.*, {errors} AS errors FROM (SELECT {fields} FROM f) f JOIN told USING (package) WHERE reason IS NULL),
 placed AS (SELECT *, min(CASE WHEN errors = '' THEN o_orderkey END) OVER (PARTITION BY package, record_key) AS first FROM marked)
 SELECT package, {carried}, record_key, errors, errors = '' AND o_orderkey > first AS is_duplicate FROM placed
@@ -128,30 +128,40 @@ def package_rows_json(t: Tables) -> DataFrame:
     return _told(rows, rejected, "title", "deadline_on")
 
 
+ODD = f"o_orderkey % {BLOCK} = {BLOCK // 2}"
+
+
 @asked(_finished_sql(
-    "CASE WHEN odd > 0 AND n > 1 AND package % 5 = 2 THEN 'disagree: adapter_version' WHEN odd > 0 AND n > 1 AND package % 5 = 4 THEN 'disagree: content_format,adapter_version' END",
-    _errors_sql("currency_code IS NULL", "warning = ' ' OR o_orderkey % 31 = 2"),
+    "CASE WHEN package % 5 = 4 THEN 'invalid_csv_header' END",
+    f"concat_ws(',', nullif({_errors_sql('currency_code IS NULL', "warning = ' ' OR o_orderkey % 31 IN (2, 3)")}, ''), "
+    f"CASE WHEN o_orderkey % 53 = 0 AND currency_code IS NOT NULL THEN 'funding_kind_missing' END, CASE WHEN package % 5 = 2 AND ({ODD}) <> (head % {BLOCK} = {BLOCK // 2}) THEN 'package_metadata_mismatch' END)",
     "record_url, title",
+    "* REPLACE (CASE WHEN o_orderkey % 53 > 0 THEN value_kind END AS value_kind), min(o_orderkey) OVER (PARTITION BY package) AS head",
 ))
 def package_rows_csv(t: Tables) -> DataFrame:
-    """Packages as CSV: in some, one row says something else about the package than the others."""
-    odd = F.col("o_orderkey") % BLOCK == 500
-    kind = F.col("pkg") % 5
+    """Packages as CSV, some with their columns in another order or an unknown one; in some, one row says something else about the
+    package than the first."""
+    odd, kind = F.expr(ODD), F.col("pkg") % 5
     head = {
         "contract_version": F.lit("1"), "source_name": F.lit('Calls, "all"'), "source_canonical_url": F.lit("https://calls.example/"), "capture_source_url": F.lit("https://calls.example/list"),
-        "received_at": F.lit("2024-01-01T00:00:00Z"), "external_content_uri": F.lit(None).cast("string"), "content_format": F.when(odd & (kind == 4), "xml").otherwise("csv"),
-        "adapter_name": F.lit("calls"), "adapter_version": F.when(odd & kind.isin(2, 4), "2").otherwise("1"),
+        "received_at": F.lit("2024-01-01T00:00:00Z"), "external_content_uri": F.lit(None).cast("string"), "content_format": F.lit("csv"),
+        "adapter_name": F.lit("calls"), "adapter_version": F.when(odd & (kind == 2), "2").otherwise("1"),
     }
-    warnings = F.when(F.col("o_orderkey") % 31 == 2, "oops").when(F.col("warning").isNotNull(), F.to_json(F.array("warning")))
+    warnings = F.when(F.col("o_orderkey") % 31 == 2, "oops").when(F.col("o_orderkey") % 31 == 3, "[1]").when(F.col("warning").isNotNull(), F.to_json(F.array("warning")))
     body = {
         "record_key": F.col("record_key"), "title": F.col("title"), "record_url": F.col("record_url"), "deadline_on": F.col("deadline_on"), "funding_value_kind": F.col("value_kind"),
         "currency_code": F.col("currency_code"), **{c: a for c, a in zip(AMOUNTS, _amounts(), strict=True)}, "payload_json": F.col("payload"), "warnings_json": warnings,
     }
-    cells = [{**head, **body}[c].alias(c) for c in (*packages.PACKAGE_COLUMNS, *packages.ROW_COLUMNS)]
+    known = (*packages.PACKAGE_COLUMNS, *packages.ROW_COLUMNS)
+    records = _records(t).withColumn("value_kind", F.when(F.col("o_orderkey") % 53 > 0, F.col("value_kind")))
+    lines = records.select("pkg", F.col("o_orderkey").alias("place"), F.array(*({**head, **body}[c] for c in known)).alias("cells"))
+    names = [F.when((F.col("pkg") % 5 == 4) & F.lit(c == "title"), "name").otherwise(c) for c in known]
+    lines = lines.unionByName(records.select("pkg").distinct().select("pkg", F.lit(-1).cast("long").alias("place"), F.array(*names).alias("cells")))
+    cells = F.when(kind == 3, F.reverse("cells")).otherwise(F.col("cells"))
     path = folders.fresh(t.spark, "packages-csv")
-    # One file per package, its rows in the order of their keys.
-    placed = _records(t).repartition("pkg").sortWithinPartitions("pkg", "o_orderkey")
-    placed.select("pkg", *cells).write.partitionBy("pkg").csv(path, header=True, quote='"', escape='"')
+    # One file per package, the header first and the rows in the order of their keys.
+    placed = lines.withColumn("cells", cells).repartition("pkg").sortWithinPartitions("pkg", "place")
+    placed.select("pkg", *(F.col("cells")[k].alias(f"c{k}") for k in range(len(known)))).write.partitionBy("pkg").csv(path, quote='"', escape='"')
     rows, rejected = packages.read_package(t.spark, path, "csv")
     return _told(rows, rejected, "record_url", "title")
 

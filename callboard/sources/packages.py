@@ -49,12 +49,15 @@ def row_errors() -> Column:
 
 
 def _finished(rows: DataFrame) -> DataFrame:
-    """With ``errors``, ``is_valid`` and ``is_duplicate``; what a reader could not read as a record (``malformed``) stays as a bad row."""
+    """With ``errors``, ``is_valid`` and ``is_duplicate``; what a reader could not read as a record (``malformed``) or
+    found wrong itself (``issues``) stays as a bad row."""
     errors = row_errors()
     if "malformed" in rows.columns:
         alone = F.array("malformed")
         errors = F.when(F.col("malformed") == "record_not_object", alone).when(F.col("malformed").isNotNull(), F.concat(alone, errors)).otherwise(errors)
-    marked = rows.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0).drop("malformed")
+    if "issues" in rows.columns:
+        errors = F.concat(errors, "issues")
+    marked = rows.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0).drop("malformed", "issues")
     return duplicate_rows(marked.withColumn("_key", F.concat_ws("\x1f", "package", "record_key")), "_key", "row_number").drop("_key")
 
 
@@ -85,20 +88,44 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected packages) of CSV packages; the package columns must agree in all rows."""
-    schema = ", ".join(f"{c} string" for c in (*PACKAGE_COLUMNS, *ROW_COLUMNS))
-    raw = spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True, enforceSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    raw = raw.withColumn("package", F.col("_metadata.file_path")).withColumn("row_number", F.monotonically_increasing_id())
-    agreed = raw.groupBy("package").agg(*(F.count_distinct(F.coalesce(c, F.lit("\x00"))).alias(c) for c in PACKAGE_COLUMNS))
-    wrong = F.array_compact(F.array(*(F.when(F.col(c) > 1, F.lit(c)) for c in PACKAGE_COLUMNS)))
-    rejected = agreed.where(F.size(wrong) > 0).select("package", F.concat(F.lit("disagree: "), F.array_join(wrong, ",")).alias("reason"))
-    rows = raw.join(rejected.select("package"), "package", "left_anti")
+    """(rows, rejected packages) of CSV packages, their columns in any order.
+
+    A package is rejected if its header lacks a column or has another one, if it has no rows, or if its first row
+    names no source or version; a file of no bytes is not seen.  A row that describes the package unlike the first one is a bad row.
+    """
+    known = (*PACKAGE_COLUMNS, *ROW_COLUMNS)
+    # A few cells more than there are columns: a header that fills them holds a column that is not known.
+    cells = [f"c{k}" for k in range(len(known) + 4)]
+    read = spark.read.schema(", ".join(f"{c} string" for c in cells))
+    raw = read.csv(path, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    # A file of many lines is read by one task, so numbers follow its rows.
+    raw = raw.select(F.col("_metadata.file_path").alias("package"), F.monotonically_increasing_id().alias("row_number"), F.array(*cells).alias("cells"))
+    heads = raw.groupBy("package").agg(F.min("row_number").alias("head"), F.min_by("cells", "row_number").alias("names"), F.count(F.lit(1)).alias("lines"))
+    names = F.array_compact(F.transform("names", lambda c: F.translate(c, "\ufeff", "")))
+    heads = heads.withColumn("names", names).withColumn("is_known", F.array_sort("names") == F.array(*map(F.lit, sorted(known))))
+    told = raw.join(heads.where("is_known and lines > 1").drop("lines"), "package").where(F.col("row_number") > F.col("head"))
+    by_name = F.map_from_arrays("names", F.slice("cells", F.lit(1), F.size("names")))
+    rows = told.withColumn("cell", by_name).select("package", "row_number", *(F.col("cell")[c].alias(c) for c in known))
+    first = rows.groupBy("package").agg(F.min_by(F.struct(*PACKAGE_COLUMNS), "row_number").alias("first"))
+    unnamed = F.col("first.source_canonical_url").isNull() | F.col("first.contract_version").isNull()
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("package"))
+    reason = F.when(~F.coalesce("is_known", F.lit(False)), "invalid_csv_header").when(F.col("lines") < 2, "empty_package").when(unnamed, "invalid_envelope")
+    rejected = files.join(heads, "package", "left").join(first, "package", "left").select("package", reason.alias("reason")).where("reason is not null")
+
+    rows = rows.join(first.where(~unnamed), "package")
+    differs = F.exists(F.array(*(~F.col(c).eqNullSafe(F.col(f"first.{c}")) for c in PACKAGE_COLUMNS)), lambda x: x)
+    stated = F.coalesce("currency_code", "exact_amount", "min_amount", "max_amount").isNotNull()
+    issues = F.array_compact(F.array(
+        F.when(F.col("funding_value_kind").isNull() & stated, F.lit("funding_kind_missing")), F.when(differs, F.lit("package_metadata_mismatch")),
+    ))
     funding = F.when(F.col("funding_value_kind").isNotNull(), F.struct(F.col("funding_value_kind").alias("value_kind"), F.upper("currency_code").alias("currency_code"), "exact_amount", "min_amount", "max_amount"))
+    listed = whole_json("warnings_json")
+    texts = F.when((F.schema_of_variant(listed) == "ARRAY<STRING>") | (F.to_json(listed) == "[]"), F.try_variant_get(listed, "$", "array<string>"))
     rows = rows.select(
-        "package", F.col("source_canonical_url").alias("source_url"), F.struct(F.col("adapter_name").alias("name"), F.col("adapter_version").alias("version")).alias("adapter"), "row_number",
+        "package", F.col("first.source_canonical_url").alias("source_url"), F.struct(F.col("first.adapter_name").alias("name"), F.col("first.adapter_version").alias("version")).alias("adapter"), "row_number",
         "record_key", "title", "record_url", "deadline_on", funding.alias("funding"), F.col("payload_json").alias("payload"),
-        # Text that is no JSON list becomes a list of one blank, which the checks reject.
-        F.when(F.col("warnings_json").isNotNull(), F.coalesce(F.when(F.col("warnings_json").startswith("["), F.from_json("warnings_json", "array<string>")), F.array(F.lit("")))).alias("warnings"),
+        # Text that is no list of texts becomes a list of one blank, which the checks reject.
+        F.when(F.col("warnings_json").isNotNull(), F.coalesce(texts, F.array(F.lit("")))).alias("warnings"), issues.alias("issues"),
     )
     return _finished(rows), rejected
 

@@ -48,10 +48,22 @@ def test_csv_packages(spark, tmp_path):
     row = dict.fromkeys(head, "") | {"contract_version": "1", "source_canonical_url": "https://s.example/", "record_key": "k", "title": 'A ""quoted"" title', "record_url": "https://s.example/1", "payload_json": '{""a"": 1}', "warnings_json": '[""w""]'}
     line = lambda r: ",".join(f'"{r[c]}"' for c in head)
     (tmp_path / "a.csv").write_text("\n".join([",".join(head), line(row), line(row | {"record_key": "k2", "payload_json": "[1]", "warnings_json": "oops"})]) + "\n")
-    (tmp_path / "b.csv").write_text("\n".join([",".join(head), line(row), line(row | {"contract_version": "2"})]) + "\n")
+    more = row | {"record_key": "k3", "contract_version": "2", "exact_amount": "5", "warnings_json": "[1]"}
+    turned = list(reversed(head))
+    texts = {
+        "b": "\ufeff" + ",".join(turned) + "\n" + "\n".join(",".join(f'"{r[c]}"' for c in turned) for r in (row, more, row)) + "\n",
+        "c": ",".join(head) + "\n", "d": "\n\n", "e": ",".join([*head[:-1], "more"]) + "\n" + line(row) + "\n", "f": ",".join([*head, "more"]) + "\n" + line(row) + ",x\n",
+        "g": ",".join(head) + "\n" + line(row | {"contract_version": ""}) + "\n", "h": ",".join([*head, *(f"m{k}" for k in range(9))]) + "\n" + line(row) + "\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
     rows, rejected = packages.read_csv(spark, str(tmp_path))
-    assert [os.path.basename(r.package) for r in rejected.collect()] == ["b.csv"]
-    got = rows.orderBy("row_number").collect()
+    assert {os.path.basename(r.package)[0]: r.reason for r in rejected.collect()} == {
+        "c": "empty_package", "d": "invalid_csv_header", "e": "invalid_csv_header", "f": "invalid_csv_header", "g": "invalid_envelope", "h": "invalid_csv_header",
+    }
+    others = [(r.record_key, r.errors, r.is_duplicate) for r in rows.where("package like '%b.csv'").orderBy("row_number").collect()]
+    assert others == [("k", [], False), ("k3", ["warnings_invalid", "funding_kind_missing", "package_metadata_mismatch"], False), ("k", [], True)]
+    got = rows.where("package like '%a.csv'").orderBy("row_number").collect()
     assert [r.record_key for r in got] == ["k", "k2"] and got[0].title == 'A "quoted" title' and got[0].warnings == ["w"] and got[0].is_valid
     assert got[1].errors == ["payload_invalid", "warnings_invalid"]
 

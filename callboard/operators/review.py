@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callboard.operators import ordered
+
 #: Allowed moves.
 RUN_MOVES = {("received", "processing"), ("received", "duplicate"), ("processing", "completed"), ("processing", "failed"), ("processing", "duplicate")}
 RECORD_MOVES = {
@@ -17,7 +19,7 @@ CASE_MOVES = {("open", "needs_clarification"), ("open", "resolved"), ("needs_cla
 
 def moves(log: DataFrame, key: str, order: str, state: str) -> DataFrame:
     """Each entry of the log with the state before it."""
-    return log.withColumn("before", F.lag(state).over(Window.partitionBy(key).orderBy(order)))
+    return ordered.placed(log, [key], [order], (state,)).select(*log.columns, F.col(f"previous.`{state}`").alias("before"))
 
 
 def violations(log: DataFrame, key: str, order: str, state: str, allowed: set[tuple[str, str]]) -> DataFrame:
@@ -40,8 +42,8 @@ def current(log: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def previous_record(log: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Each entry next to the values of the one before it."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return log.select("*", *(F.lag(c).over(w).alias(f"previous_{c}") for c in columns))
+    got = ordered.placed(log, keys, order, tuple(columns))
+    return got.select(*log.columns, *(F.col(f"previous.`{c}`").alias(f"previous_{c}") for c in columns))
 
 
 def open_issues(issues: DataFrame, resolutions: DataFrame) -> DataFrame:
@@ -104,8 +106,8 @@ def changed_paths(before: DataFrame, after: DataFrame, key: str, limit: int = 10
 
 def numbered_revisions(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Revisions with ``revision_number`` from 1 in each case and whether it is the latest."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return log.withColumn("revision_number", F.row_number().over(w)).withColumn("is_latest", F.lead(F.lit(1)).over(w).isNull())
+    got = ordered.placed(log, [key], order)
+    return got.select(*log.columns, F.col("nth").alias("revision_number"), (F.col("nth") == F.col("total")).alias("is_latest"))
 
 
 #: What an operator may do to a program, and a reviewer to a discovery: (state, action) -> state.
@@ -164,7 +166,7 @@ def acted(log: DataFrame, key: str, order: list[str], action: str, table: dict[t
     step = lambda state, act: F.coalesce(moves_[F.concat_ws("\x1f", state, act)], state)
     # A stretch of actions maps every state to one, so whole stretches are folded first, each into such a map, and
     # then the maps before each stretch; no row holds more than a stretch's actions.
-    numbered = log.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).withColumn("__part", F.floor(F.col("__n") / STRETCH))
+    numbered = ordered.placed(log, [key], order).select(*log.columns, (F.col("nth") - 1).alias("__n")).withColumn("__part", F.floor(F.col("__n") / STRETCH))
     parts = numbered.groupBy(key, "__part").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.col(action).alias("a")))), lambda x: x["a"]).alias("acts"))
     maps = parts.select(key, "__part", F.array(*(F.struct(F.lit(s).alias("from"), F.aggregate("acts", F.lit(s), step).alias("to")) for s in names)).alias("map"))
     earlier = F.collect_list("map").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))

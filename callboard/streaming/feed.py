@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from callboard.operators import ordered
+
 
 def messages(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 8) -> DataFrame:
     """Messages from a folder that grows."""
@@ -40,8 +42,8 @@ def observations(feed: DataFrame, key: tuple[str, ...] = ("source_id", "message_
     """Every sight of every message with ``sight`` from 1, and whether it is the first, whose provenance
     is kept; later ones are only noted.  A batch; ties go by the smallest row."""
     rest = [c for c in feed.columns if c not in (*key, at)]
-    order = Window.partitionBy(*key).orderBy(at, *rest)
-    return feed.withColumn("sight", F.row_number().over(order)).withColumn("is_first", F.col("sight") == 1)
+    got = ordered.placed(feed, list(key), [at, *rest])
+    return got.select(*feed.columns, F.col("nth").alias("sight"), (F.col("nth") == 1).alias("is_first"))
 
 
 def delivered(batch: DataFrame, known: DataFrame) -> DataFrame:

@@ -155,6 +155,32 @@ def overwritten(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 STRETCH = 256
 
 
+#: How often stretches are put together before what is left of a key is folded in a row: enough for 2**32 actions of one key.
+LEVELS = 2
+
+
+def _begins(maps: DataFrame, key: str, names: list[str], start: str, levels: int) -> DataFrame:
+    """(key, __part, __begin): the state before each part, of parts that map every state to one.
+
+    Parts are put together by stretches, whose states at their begins come first; so no row meets more than a stretch of
+    maps, but for those at the top.
+    """
+    through = lambda s, m: F.filter(m, lambda x: x["from"] == s)[0]["to"]
+    if not levels:
+        w = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        return maps.select(key, "__part", F.aggregate(F.collect_list("map").over(w), F.lit(start), through).alias("__begin"))
+    inner = maps.withColumn("__whole", F.floor(F.col("__part") / STRETCH))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("__part", "map"))), lambda x: x["map"])
+    wholes = inner.groupBy(key, "__whole").agg(held.alias("maps"))
+    folded = F.array(*(F.struct(F.lit(s).alias("from"), F.aggregate("maps", F.lit(s), through).alias("to")) for s in names))
+    upper = _begins(wholes.select(key, F.col("__whole").alias("__part"), folded.alias("map")), key, names, start, levels - 1)
+    upper = upper.select(F.col(key).alias("__key"), F.col("__part").alias("__at"), F.col("__begin").alias("__from"))
+    met = inner.join(upper, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__whole") == F.col("__at")))
+    w = Window.partitionBy(key, "__whole").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("__maps", F.collect_list("map").over(w))
+    return met.select(key, "__part", F.aggregate("__maps", F.col("__from"), through).alias("__begin"))
+
+
 def acted(log: DataFrame, key: str, order: list[str], action: str, table: dict[tuple[str, str], str], start: str) -> DataFrame:
     """The log with ``state`` after each action and whether it was ``allowed``; an action that the
     state before does not allow changes nothing.
@@ -169,9 +195,7 @@ def acted(log: DataFrame, key: str, order: list[str], action: str, table: dict[t
     numbered = ordered.placed(log, [key], order).select(*log.columns, (F.col("nth") - 1).alias("__n")).withColumn("__part", F.floor(F.col("__n") / STRETCH))
     parts = numbered.groupBy(key, "__part").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.col(action).alias("a")))), lambda x: x["a"]).alias("acts"))
     maps = parts.select(key, "__part", F.array(*(F.struct(F.lit(s).alias("from"), F.aggregate("acts", F.lit(s), step).alias("to")) for s in names)).alias("map"))
-    earlier = F.collect_list("map").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    into = F.aggregate(F.col("maps"), F.lit(start), lambda s, m: F.filter(m, lambda x: x["from"] == s)[0]["to"])
-    begins = maps.select(key, "__part", earlier.alias("maps")).select(F.col(key).alias("__key"), F.col("__part").alias("__at"), into.alias("__begin"))
+    begins = _begins(maps, key, names, start, LEVELS).select(F.col(key).alias("__key"), F.col("__part").alias("__at"), "__begin")
     told = numbered.join(begins, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__at")))
     w = Window.partitionBy(key, "__part").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
     got = told.withColumn("__acts", F.collect_list(action).over(w)).withColumn("__before", F.aggregate("__acts", F.col("__begin"), step))

@@ -40,3 +40,19 @@ def test_repeated_rows_empty_tables_and_names(spark):
     assert sorted(r.nth for r in got) == list(range(1, 42)) and {r.total for r in got} == {41}
     assert [r.previous.at for r in got if r.at == 2] == [1]
     assert ordered.placed(rows.limit(0), ["key"], ["at"]).count() == 0
+
+
+def test_actions_of_a_large_key(spark, monkeypatch):
+    from callboard.operators import review
+
+    monkeypatch.setattr(review, "STRETCH", 4)
+    draw = random.Random(3)
+    rows = [(k, draw.choice(["hot", "hot", None, "a"]), draw.choice(["publish", "archive", "republish"])) for k in range(900)]
+    expected, states = {}, {}
+    for k, key, action in rows:
+        new = review.PROGRAM_ACTIONS.get((states.get(key, "draft"), action))
+        states[key] = new or states.get(key, "draft")
+        expected[k] = (new is not None, states[key])
+    df = spark.createDataFrame(rows, "id long, key string, action string").repartition(3)
+    got = review.acted(df, "key", ["id"], "action", review.PROGRAM_ACTIONS, "draft").collect()
+    assert {r.id: (r.allowed, r.state) for r in got} == expected and len(got) == 900

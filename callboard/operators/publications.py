@@ -57,7 +57,8 @@ def matched_names(portal: DataFrame, groups: DataFrame, least: float = 1.0) -> D
     that share one of their rarest words are compared, since names that share enough do.  ``matched`` pairs are the one
     best of both; a best that is tied on either side is ``ambiguous`` and lists all that tie, and others are left out.
 
-    Equal names count as one name until the end, so a name that many rows share costs a row for each.
+    Equal names count as one name until the end, so a name that many rows share costs a row for each.  Names grow with
+    both sides, and their files are much smaller than they, so no join may send one side to the driver.
     """
     sides = {}
     for side, rows, key in (("p", portal, "portal_id"), ("g", groups, "group_id")):
@@ -69,24 +70,26 @@ def matched_names(portal: DataFrame, groups: DataFrame, least: float = 1.0) -> D
 
     def rare(rows: DataFrame, side: str) -> DataFrame:
         """(word, key, queue, words) for the words of a name that a similar name must share one of."""
-        told = rows.select("key", "queue", "words", F.explode("words").alias("word")).join(often, "word")
+        told = rows.select("key", "queue", "words", F.explode("words").alias("word")).join(often.hint("merge"), "word")
         order = Window.partitionBy("key", "queue").orderBy("often", "word")
         first = F.size("words") - F.ceil(F.size("words") * F.lit(least) - 1e-9) + 1
         return told.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= first).select("word", *(F.col(c).alias(f"{side}_{c}") for c in ("key", "queue", "words")))
 
-    pairs = rare(names["p"], "p").join(rare(names["g"], "g"), "word").select("p_key", "p_queue", "g_key", "g_queue", "p_words", "g_words").distinct()
+    pairs = rare(names["p"], "p").join(rare(names["g"], "g").hint("merge"), "word").select("p_key", "p_queue", "g_key", "g_queue", "p_words", "g_words").distinct()
     shared = F.size(F.array_intersect("p_words", "g_words"))
     near = pairs.withColumn("similarity", shared / (F.size("p_words") + F.size("g_words") - shared)).where(F.col("similarity") >= least)
     near = near.where((F.col("p_queue") == "") | (F.col("g_queue") == "") | (F.col("p_queue") == F.col("g_queue"))).select("p_key", "p_queue", "g_key", "g_queue", "similarity")
     ids = near
     for side, key in (("p", "portal_id"), ("g", "group_id")):
-        ids = ids.join(sides[side].select(key, F.col("key").alias(f"{side}_key"), F.col("queue").alias(f"{side}_queue")), [f"{side}_key", f"{side}_queue"])
-    ids = ids.groupBy("portal_id", "group_id").agg(F.max("similarity").alias("similarity"))
+        named = sides[side].select(key, F.col("key").alias(f"{side}_key"), F.col("queue").alias(f"{side}_queue"))
+        ids = ids.join(named.hint("merge"), [f"{side}_key", f"{side}_queue"])
+    ids = ids.groupBy("portal_id", "group_id").agg(F.max("similarity").alias("similarity")).checkpoint()
+    found = ids
     for key, best, ties in (("portal_id", "p_best", "p_ties"), ("group_id", "g_best", "g_ties")):
-        top = ids.groupBy(key).agg(F.max("similarity").alias(best))
-        tied = ids.join(top, key).where(F.col("similarity") == F.col(best)).groupBy(key, best).agg(F.count(F.lit(1)).alias(ties))
-        ids = ids.join(tied, key)
-    mutual = ids.where((F.col("similarity") == F.col("p_best")) & (F.col("similarity") == F.col("g_best")))
+        counts = ids.groupBy(key, "similarity").agg(F.count(F.lit(1)).alias("n"))
+        top = counts.groupBy(key).agg(F.max("similarity").alias(best), F.max_by("n", "similarity").alias(ties))
+        found = found.join(top.hint("merge"), key)
+    mutual = found.where((F.col("similarity") == F.col("p_best")) & (F.col("similarity") == F.col("g_best")))
     return mutual.select("portal_id", "group_id", "similarity", F.when((F.col("p_ties") == 1) & (F.col("g_ties") == 1), "matched").otherwise("ambiguous").alias("outcome"))
 
 

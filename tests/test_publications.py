@@ -105,3 +105,14 @@ def test_names_against_all_pairs(spark):
                 ties = sum(x == s and a == p for (a, _), x in alike.items()), sum(x == s and b == g for (_, b), x in alike.items())
                 expected[p, g] = "matched" if ties == (1, 1) else "ambiguous"
         assert {(r.portal_id, r.group_id): r.outcome for r in publications.matched_names(portal, groups, least).collect()} == expected
+
+
+def test_names_send_nothing_to_the_driver(spark):
+    """Names grow with both sides, so no join of theirs may be a broadcast."""
+    portal, groups = (spark.range(40).selectExpr(f"id AS {key}", "concat('start n', id div 2, ' k', id) AS name") for key in ("portal_id", "group_id"))
+    tables = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(tables, "1b")
+    try:
+        assert publications.matched_names(portal, groups, 0.75).count() == 40
+    finally:
+        spark.conf.unset(tables)

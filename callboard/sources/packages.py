@@ -3,11 +3,9 @@ stays as an error."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callboard.operators.resolve import duplicate_rows
-
 FUNDING = "struct<value_kind:string,currency_code:string,exact_amount:string,min_amount:string,max_amount:string>"
 RECORD = f"struct<record_key:string,title:string,record_url:string,deadline_on:string,funding:{FUNDING},payload:string,warnings:array<string>>"
 ADAPTER = "struct<name:string,version:string>"
@@ -22,11 +20,23 @@ LIMITS = {"record_key": 512, "title": 500, "record_url": 2048}
 
 
 def whole_json(text: Column | str) -> Column:
-    """A text as a variant; null unless all of it is one JSON value.  The built-in parser leaves unread what follows the
-    first value, so the text is parsed inside an array and inside an object: what closes one of them early breaks the other."""
+    """A text as a variant; null unless all of it is one JSON value.  The built-in parsers leave unread what follows the
+    first value, so the text is read inside an array and inside an object: what closes one of them early breaks the other.
+    Only one of the two is built."""
     text = F.col(text) if isinstance(text, str) else text
-    inside, beside = (F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))) for a, b in (("[", "]"), ('{"v":', "}")))
-    return F.when(beside.isNotNull(), F.try_variant_get(inside, "$[0]", "variant"))
+    beside = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.try_variant_get(beside, "$.v", "variant"))
+
+
+def is_object(v: Column | str) -> Column:
+    """Whether a variant is an object; unlike its schema, this does not walk what the object holds."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """With columns that are worked out once a row.  They go through a generator, so that no later projection or filter
+    puts their expression (a parse, say) in the place of each use of theirs."""
+    return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_bound")).select(*(c for c in df.columns if c not in columns), *(F.col(f"_bound.{n}") for n in columns))
 
 
 def row_errors() -> Column:
@@ -40,7 +50,7 @@ def row_errors() -> Column:
         ("funding_currency", F.col("funding.value_kind").isin("exact", "minimum", "maximum", "range") & ~F.coalesce(F.col("funding.currency_code").rlike("^[A-Z]{3}$"), F.lit(False))),
     ]
     tests += [
-        ("payload_invalid", F.col("payload").isNotNull() & ~F.coalesce(F.schema_of_variant(whole_json("payload")).startswith("OBJECT"), F.lit(False))),
+        ("payload_invalid", F.col("payload").isNotNull() & ~is_object(whole_json("payload"))),
         ("warnings_invalid", F.exists(F.coalesce("warnings", F.array(F.lit("-"))), lambda w: F.coalesce(F.trim(w), F.lit("")) == "")),
     ]
     for c in ("exact_amount", "min_amount", "max_amount"):
@@ -57,8 +67,10 @@ def _finished(rows: DataFrame) -> DataFrame:
         errors = F.when(F.col("malformed") == "record_not_object", alone).when(F.col("malformed").isNotNull(), F.concat(alone, errors)).otherwise(errors)
     if "issues" in rows.columns:
         errors = F.concat(errors, "issues")
-    marked = rows.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0).drop("malformed", "issues")
-    return duplicate_rows(marked.withColumn("_key", F.concat_ws("\x1f", "package", "record_key")), "_key", "row_number").drop("_key")
+    marked = bound(rows, errors=errors).withColumn("is_valid", F.size("errors") == 0).drop("malformed", "issues")
+    # One task has read the whole package, so its rows of one key may meet in one; a join would read all packages again.
+    first = F.min(F.when(F.col("is_valid"), F.col("row_number"))).over(Window.partitionBy("package", "record_key"))
+    return marked.withColumn("is_duplicate", F.coalesce(F.col("is_valid") & (F.col("row_number") > first), F.lit(False)))
 
 
 def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -66,22 +78,22 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     A record that is no object, or has a field of a wrong kind, is a bad row of its package.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("package"), whole_json("value").alias("v"))
+    raw = bound(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("package"), "value"), v=whole_json("value")).drop("value")
     text = lambda p: F.nullif(F.trim(F.try_variant_get("v", p, "string")), F.lit(""))
-    records = F.try_variant_get("v", "$.records", "variant")
-    shape = F.coalesce(F.schema_of_variant(records), F.lit("VOID"))
+    raw = bound(raw, records=F.try_variant_get("v", "$.records", "variant"))
+    raw = bound(raw, n_records=F.size(F.try_variant_get("records", "$", "array<variant>")))
     reason = (
         F.when(F.col("v").isNull(), "invalid_json")
-        .when(~F.schema_of_variant("v").startswith("OBJECT"), "invalid_envelope")
-        .when(shape.isin("VOID", "ARRAY<VOID>") & ~F.coalesce(F.size(F.try_variant_get(records, "$", "array<variant>")) > 0, F.lit(False)), "no_records")
-        .when(~shape.startswith("ARRAY<") | text("$.source.canonical_url").isNull() | text("$.contract_version").isNull(), "invalid_envelope")
+        .when(~is_object("v"), "invalid_envelope")
+        .when(F.col("records").isNull() | F.is_variant_null("records") | (F.col("n_records") == 0), "no_records")
+        .when(F.col("n_records").isNull() | text("$.source.canonical_url").isNull() | text("$.contract_version").isNull(), "invalid_envelope")
     )
-    told = raw.withColumn("reason", reason)
-    good = told.where("reason is null").select("package", text("$.source.canonical_url").alias("source_url"), F.try_variant_get("v", "$.adapter", ADAPTER).alias("adapter"), records.alias("records"))
+    told = bound(raw, reason=reason)
+    good = told.where("reason is null").select("package", text("$.source.canonical_url").alias("source_url"), F.try_variant_get("v", "$.adapter", ADAPTER).alias("adapter"), "records")
     items = good.lateralJoin(spark.tvf.variant_explode(F.col("records").outer())).select("package", "source_url", "adapter", F.col("pos").alias("row_number"), F.col("value").alias("x"))
     options = {"columnNameOfCorruptRecord": "_unread"}
-    read = F.when(F.schema_of_variant("x").startswith("OBJECT"), F.from_json(F.to_json("x"), RECORD[:-1] + ",_unread:string>", options))
-    rows = items.select("package", "source_url", "adapter", "row_number", read.alias("r"))
+    items = bound(items, x=F.to_json("x"))
+    rows = bound(items, r=F.when(F.col("x").startswith("{"), F.from_json("x", RECORD[:-1] + ",_unread:string>", options)))
     malformed = F.when(F.col("r").isNull(), "record_not_object").when(F.col("r._unread").isNotNull(), "record_mistyped")
     rows = rows.select("package", "source_url", "adapter", "row_number", "r.*", malformed.alias("malformed")).drop("_unread")
     return _finished(rows), told.where("reason is not null").select("package", "reason")
@@ -100,26 +112,32 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     raw = read.csv(path, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     # A file of many lines is read by one task, so numbers follow its rows.
     raw = raw.select(F.col("_metadata.file_path").alias("package"), F.monotonically_increasing_id().alias("row_number"), F.array(*cells).alias("cells"))
-    heads = raw.groupBy("package").agg(F.min("row_number").alias("head"), F.min_by("cells", "row_number").alias("names"), F.count(F.lit(1)).alias("lines"))
+    top = raw.withColumn("nth", F.row_number().over(Window.partitionBy("package").orderBy("row_number"))).where("nth <= 2")
+    nth = lambda n: F.when(F.col("nth") == n, F.col("cells"))
+    heads = top.groupBy("package").agg(F.min("row_number").alias("head"), F.max(nth(1)).alias("names"), F.max(nth(2)).alias("second"), F.count(F.lit(1)).alias("lines"))
     names = F.array_compact(F.transform("names", lambda c: F.translate(c, "\ufeff", "")))
     heads = heads.withColumn("names", names).withColumn("is_known", F.array_sort("names") == F.array(*map(F.lit, sorted(known))))
-    told = raw.join(heads.where("is_known and lines > 1").drop("lines"), "package").where(F.col("row_number") > F.col("head"))
-    by_name = F.map_from_arrays("names", F.slice("cells", F.lit(1), F.size("names")))
-    rows = told.withColumn("cell", by_name).select("package", "row_number", *(F.col("cell")[c].alias(c) for c in known))
-    first = rows.groupBy("package").agg(F.min_by(F.struct(*PACKAGE_COLUMNS), "row_number").alias("first"))
+    # Where each column is: found once a package, not in every row.
+    heads = bound(heads, places=F.array(*(F.array_position("names", c).cast("int") for c in known)))
+    cell = lambda cells, c: F.get(cells, F.get("places", F.lit(known.index(c))) - 1).alias(c)
+    told = heads.withColumn("first", F.when(F.col("is_known"), F.struct(*(cell(F.col("second"), c) for c in PACKAGE_COLUMNS))))
     unnamed = F.col("first.source_canonical_url").isNull() | F.col("first.contract_version").isNull()
     files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("package"))
     reason = F.when(~F.coalesce("is_known", F.lit(False)), "invalid_csv_header").when(F.col("lines") < 2, "empty_package").when(unnamed, "invalid_envelope")
-    rejected = files.join(heads, "package", "left").join(first, "package", "left").select("package", reason.alias("reason")).where("reason is not null")
+    rejected = files.join(told, "package", "left").select("package", reason.alias("reason")).where("reason is not null")
 
-    rows = rows.join(first.where(~unnamed), "package")
+    # Not by broadcast: there is a head for every package.
+    good = told.where(F.col("is_known") & (F.col("lines") > 1) & ~unnamed).select("package", "head", "places", "first")
+    rows = raw.join(good.hint("merge"), "package").where(F.col("row_number") > F.col("head"))
+    rows = bound(rows, row=F.struct(*(cell(F.col("cells"), c) for c in known))).select("package", "row_number", "first", "row.*")
     differs = F.exists(F.array(*(~F.col(c).eqNullSafe(F.col(f"first.{c}")) for c in PACKAGE_COLUMNS)), lambda x: x)
     stated = F.coalesce("currency_code", "exact_amount", "min_amount", "max_amount").isNotNull()
     issues = F.array_compact(F.array(
         F.when(F.col("funding_value_kind").isNull() & stated, F.lit("funding_kind_missing")), F.when(differs, F.lit("package_metadata_mismatch")),
     ))
     funding = F.when(F.col("funding_value_kind").isNotNull(), F.struct(F.col("funding_value_kind").alias("value_kind"), F.upper("currency_code").alias("currency_code"), "exact_amount", "min_amount", "max_amount"))
-    listed = whole_json("warnings_json")
+    rows = bound(rows, listed=whole_json("warnings_json"))
+    listed = F.col("listed")
     texts = F.when((F.schema_of_variant(listed) == "ARRAY<STRING>") | (F.to_json(listed) == "[]"), F.try_variant_get(listed, "$", "array<string>"))
     rows = rows.select(
         "package", F.col("first.source_canonical_url").alias("source_url"), F.struct(F.col("first.adapter_name").alias("name"), F.col("first.adapter_version").alias("version")).alias("adapter"), "row_number",
@@ -151,15 +169,14 @@ def read_foreign(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     its key; its largest support is a maximum in roubles, while a total fund stays in the payload
     with a warning.  A record that is no object is a bad row.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("package"), whole_json("value").alias("v"))
-    listed = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False)) & (F.coalesce(F.schema_of_variant("v"), F.lit("")) != "ARRAY<VOID>")
-    items = files.where(listed).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("package", F.col("pos").alias("row_number"), F.col("value").alias("x"))
-    items = items.withColumn("is_object", F.schema_of_variant("x").startswith("OBJECT"))
-    text = lambda field: F.nullif(F.trim(F.try_variant_get("x", f"$.{field}", "string")), F.lit(""))
-    head = items.where("is_object").groupBy("package").agg(F.min_by(F.struct(text("source").alias("host"), text("collected_at").alias("at")), "row_number").alias("head"))
-    told = files.select("package", F.when(F.col("v").isNull(), "invalid_json").when(~listed, "no_records").alias("reason")).join(head, "package", "left")
-    reason = F.coalesce("reason", F.when(F.col("head").isNull(), "no_records").when(F.col("head.host").isNull() | F.col("head.at").isNull(), "missing_metadata"))
-    good = items.join(told.where(reason.isNull()).select("package", F.concat(F.lit("https://"), "head.host").alias("source_url")), "package")
+    files = bound(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("package"), "value"), v=whole_json("value")).drop("value")
+    text = lambda field, x="x": F.nullif(F.trim(F.try_variant_get(x, f"$.{field}", "string")), F.lit(""))
+    files = bound(files, first=F.get(F.filter(F.try_variant_get("v", "$", "array<variant>"), is_object), F.lit(0)))
+    reason = F.when(F.col("v").isNull(), "invalid_json").when(F.col("first").isNull(), "no_records").when(text("source", "first").isNull() | text("collected_at", "first").isNull(), "missing_metadata")
+    told = bound(files, reason=reason)
+    good = told.where("reason is null").select("package", F.concat(F.lit("https://"), text("source", "first")).alias("source_url"), "v")
+    good = good.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("package", "source_url", F.col("pos").alias("row_number"), F.col("value").alias("x"))
+    good = bound(good, is_object=is_object("x"))
 
     def kept(field: str) -> Column:
         value = F.try_variant_get("x", f"$.{field}", "variant")
@@ -176,7 +193,7 @@ def read_foreign(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         F.try_variant_get("x", "$.title", "string").alias("title"), text("source_url").alias("record_url"), text("application_end_date").alias("deadline_on"), funding.alias("funding"),
         F.when(F.col("is_object"), F.to_json(F.struct(*(kept(f).alias(f) for f in FOREIGN_PAYLOAD)))).otherwise(F.to_json("x")).alias("payload"), warnings.alias("warnings"),
     )
-    return _finished(rows), told.select("package", reason.alias("reason")).where("reason is not null")
+    return _finished(rows), told.select("package", "reason").where("reason is not null")
 
 
 def allowed_fields(raw: DataFrame, fields: dict[str, str]) -> DataFrame:

@@ -213,3 +213,24 @@ def test_json_with_something_behind(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"source": "a.example", "collected_at": "2024", "source_url": "https://a.example/1", "title": "A"}]]')
     rows, rejected = read_foreign(spark, str(tmp_path))
     assert rows.count() == 0 and [r.reason for r in rejected.collect()] == ["invalid_json"]
+
+
+def test_packages_are_read_once(spark, tmp_path):
+    """What a package's rows are judged by comes from the same read: no join reads and parses all packages again."""
+    from callboard.sources import packages
+
+    for kind, scans in (("json", 1), ("csv", 2), ("foreign", 1)):  # a CSV package's header is looked for first
+        folder = tmp_path / kind
+        folder.mkdir()
+        (folder / "p").write_text({"csv": ",".join((*packages.PACKAGE_COLUMNS, *packages.ROW_COLUMNS)) + "\n"}.get(kind, "[]"))
+        rows, _ = packages.read_foreign(spark, str(folder)) if kind == "foreign" else packages.read_package(spark, str(folder), kind)
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("FileScan") == scans, (kind, plan)
+
+
+def test_whole_json_reads_to_the_end(spark):
+    from callboard.sources.packages import whole_json
+
+    texts = ['{"a":1}', '[1,2]', '7', '"s"', "null", "1],[2", '1},{"v":2', '1,"w":2', "1,2", "", '{"a":1}}', '{"a":1', '{"a":1}\n', "1 2"]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, t string").select("k", whole_json("t").isNotNull().alias("ok")).collect()
+    assert [texts[r.k] for r in sorted(got) if r.ok] == ['{"a":1}', '[1,2]', '7', '"s"', "null", '{"a":1}\n']

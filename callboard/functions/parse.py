@@ -31,6 +31,11 @@ def amounts(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(zipped, amount), lambda a: a > 0))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def funding_kind(text: Column) -> Column:
     """The kind that a sentence gives: range before maximum before minimum before exact; several
     amounts without a range, or none, are unknown."""
@@ -61,10 +66,10 @@ def period(text: Column, fallback_year: Column) -> Column:
     """(start, end) of a window in text: its first and last date; one date is the end.  A day that shares
     its month with the next one has it too, and a date without a year takes the last year named."""
     shared = r"(?iu)(\d{1,2})\s*(по|[-–—])\s*(\d{1,2}\s+(" + "|".join(MONTHS) + r")(\s+\d{4})?)"
-    whole = F.regexp_replace(text, shared, "$1 $4$5 $2 $3")
-    years = F.filter(F.regexp_extract_all(F.lower(whole), F.lit(WORD_DATE), F.lit(3)), lambda y: y != "")
-    dates = word_dates(whole, F.coalesce(F.try_element_at(years, F.lit(-1)).cast("int"), fallback_year))
-    return F.struct(F.when(F.size(dates) > 1, F.array_min(dates)).alias("start_on"), F.array_max(dates).alias("end_on"))
+    named = lambda whole: F.filter(F.regexp_extract_all(F.lower(whole), F.lit(WORD_DATE), F.lit(3)), lambda y: y != "")
+    dates = lambda whole: word_dates(whole, F.coalesce(F.try_element_at(named(whole), F.lit(-1)).cast("int"), fallback_year))
+    ends = lambda d: F.struct(F.when(F.size(d) > 1, F.array_min(d)).alias("start_on"), F.array_max(d).alias("end_on"))
+    return let(F.regexp_replace(text, shared, "$1 $4$5 $2 $3"), lambda whole: let(dates(whole), ends))
 
 
 def timeline_kind(label: Column) -> Column:
@@ -149,14 +154,23 @@ def total_fund(texts: Column) -> Column:
         F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(t["text"], F.lit("")), r"\s+", " ")), r"(?<=[.!?;])\s+|\s+[—–-]\s+(?=[А-ЯЁ])"), lambda s: s != ""),
         lambda s: F.struct(s.alias("sentence"), s.rlike(FUND).alias("named"), (s.rlike(FUND) | F.coalesce(F.lower(t["heading"]).rlike(FUND_HEADINGS), F.lit(False))).alias("counts")),
     )
-    sentences = F.filter(F.flatten(F.transform(texts, listed)), lambda s: s["counts"])
-    every = F.array_distinct(F.flatten(F.transform(sentences, lambda s: amounts(s["sentence"]))))
-    named = F.array_distinct(F.flatten(F.transform(F.filter(sentences, lambda s: s["named"]), lambda s: amounts(s["sentence"]))))
-    n = F.size(every)
-    evidence = F.transform(F.filter(sentences, lambda s: F.size(amounts(s["sentence"])) > 0), lambda s: s["sentence"])
-    kind = F.when(n == 0, "not_stated").when(n == 1, "exact").otherwise("unknown")
-    outcome = F.when(n <= 1, "ok").when(F.size(named) > 1, "total_grant_fund_conflict").otherwise("total_grant_fund_breakdown_required")
-    return F.struct(kind.alias("kind"), F.when(n == 1, every[0]).alias("amount"), outcome.alias("outcome"), evidence.alias("evidence"))
+    # The amounts of each sentence that counts are read once.
+    kept = F.filter(F.flatten(F.transform(texts, listed)), lambda s: s["counts"])
+    read = F.transform(kept, lambda s: F.struct(s["sentence"].alias("sentence"), s["named"].alias("named"), amounts(s["sentence"]).alias("amounts")))
+
+    def told(sentences: Column) -> Column:
+        every = F.array_distinct(F.flatten(F.transform(sentences, lambda s: s["amounts"])))
+        named = F.array_distinct(F.flatten(F.transform(F.filter(sentences, lambda s: s["named"]), lambda s: s["amounts"])))
+        evidence = F.transform(F.filter(sentences, lambda s: F.size(s["amounts"]) > 0), lambda s: s["sentence"])
+        return let(F.struct(every.alias("every"), F.size(named).alias("named"), evidence.alias("evidence")), outcome)
+
+    def outcome(x: Column) -> Column:
+        n = F.size(x["every"])
+        kind = F.when(n == 0, "not_stated").when(n == 1, "exact").otherwise("unknown")
+        clash = F.when(n <= 1, "ok").when(x["named"] > 1, "total_grant_fund_conflict").otherwise("total_grant_fund_breakdown_required")
+        return F.struct(kind.alias("kind"), F.when(n == 1, x["every"][0]).alias("amount"), clash.alias("outcome"), x["evidence"].alias("evidence"))
+
+    return let(read, told)
 
 
 def tagged(texts: DataFrame, rules: dict[str, str], key: str = "doc_id", text: str = "text") -> DataFrame:

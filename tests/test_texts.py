@@ -174,3 +174,10 @@ def test_names_in_a_languages_order(spark):
     names = ["яблоко", "Ёж", "ель", "Жук", "еж", "ЁЛКА", "апельсин"]
     got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(*bi.by_name("n")).collect()]
     assert got == ["апельсин", "еж", "Ёж", "ЁЛКА", "ель", "Жук", "яблоко"]
+
+
+def test_amounts_and_dates_are_read_once(spark):
+    """An expression that is used several times is bound, not written out at each use."""
+    fund = str(parse.total_fund(F.array(F.struct(F.lit("h").alias("heading"), F.col("t").alias("text")))))
+    assert fund.count("regexp_extract_all") == 3
+    assert str(parse.period(F.col("t"), F.lit(2020))).count("regexp_replace") == 1

@@ -112,12 +112,14 @@ def canonical_geographies(links: DataFrame, districts: DataFrame, suffixes: tupl
 
     districts: alias, slug, name; an alias is a name, or a slug with or without a suffix.  A name's case,
     ``ё`` and signs between words do not matter; a name counts before a slug; others stay as they are.
+    Districts are a dictionary that a task can hold: they go to the links.
     """
     key = lambda c: F.trim(F.regexp_replace(F.translate(F.lower(c), "ё", "е"), r"[\s_\-–—]+", " "))
     bare = F.regexp_replace(F.lower(F.trim("slug")), "(" + "|".join(suffixes) + ")$", "")
     known = districts.select(key(F.col("alias")).alias("__key"), F.struct(F.col("slug"), F.col("name")).alias("__to")).dropDuplicates(["__key"])
     rows = links.withColumn("__name", key(F.col("name"))).withColumn("__slug", key(bare))
-    by_name, by_slug = known.select(F.col("__key").alias("__name"), F.col("__to").alias("__a")), known.select(F.col("__key").alias("__slug"), F.col("__to").alias("__b"))
+    # Names and slugs of links are few and uneven: shuffled by them, most links would meet in a few tasks.
+    by_name, by_slug = (F.broadcast(known.select(F.col("__key").alias(k), F.col("__to").alias(to))) for k, to in (("__name", "__a"), ("__slug", "__b")))
     got = rows.join(by_name, "__name", "left").join(by_slug, "__slug", "left").withColumn("__to", F.coalesce("__a", "__b", F.struct("slug", "name")))
     return got.select("program_id", F.col("__to.slug").alias("slug"), F.col("__to.name").alias("name")).distinct()
 

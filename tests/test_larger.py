@@ -1,6 +1,9 @@
 """Steps that must not gather more in a task as the input grows."""
 
-from callboard.operators import catalog
+import random
+from datetime import date
+
+from callboard.operators import catalog, resolve
 
 
 def plan(df):
@@ -14,3 +17,31 @@ def test_links_are_not_shuffled_by_their_names(spark):
     assert "SortMergeJoin" not in plan(got) and "ShuffledHashJoin" not in plan(got)
     rows = {r.program_id: (r.slug, r.name) for r in got.collect()}
     assert len(rows) == 400 and [rows[k] for k in range(4)] == [("volga", "Приволжский")] * 2 + [("city", "City"), ("city", None)]
+
+
+def best_match(c, t):
+    """The level and conflicts of two records by comparing them, or None."""
+    same = lambda f: c[f] is not None and c[f] == t[f]
+    across = c["source_id"] is not None and t["source_id"] is not None and c["source_id"] != t["source_id"]
+    urls = [{u for u in (*(x["origin_urls"] or ()), x["url"]) if u is not None} for x in (c, t)]
+    told = {u for x in (c, t) for u in x["origin_urls"] or ()}
+    levels = (same("source_id") and same("external_id"), same("source_id") and same("url"), across and bool(urls[0] & urls[1] & told), all(map(same, resolve.FIELDS)))
+    conflicts = [f for f in resolve.FIELDS if None not in (c[f], t[f]) and c[f] != t[f]]
+    return next(((rank, conflicts) for rank, holds in enumerate(levels) if holds), None)
+
+
+def test_pairs_are_told_once_and_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "CANDIDATES_OF_PART", 3)
+    rng = random.Random(5)
+    one = lambda *xs: rng.choice([*xs, None])
+    schema = "id int, source_id string, external_id string, url string, origin_urls array<string>, title_key string, organizer_key string, deadline_on date"
+    some = lambda: (one("a", "b"), one("1", "2", "3", "4"), one("u", "v", "w"), one([], ["u"], ["v", "u", None, "u"], ["w", "x"]), one("t", "s"), one("o"), one(date(2024, 1, 1), date(2024, 1, 2)))
+    rows = [(k, *some()) for k in range(120)]
+    records = spark.createDataFrame(rows, schema)
+    got = resolve.matches(records.where("id % 3 = 0"), records)
+    assert "key=[c_id" not in plan(got) and "keys=[c_id" not in plan(got)
+    pairs = [((r.candidate_id, r.target_id), (r.level_rank, r.conflicts)) for r in got.collect()]
+    dicts = [dict(zip(records.columns, r, strict=True)) for r in rows]
+    expected = {(c["id"], t["id"]): best_match(c, t) for c in dicts for t in dicts if c["id"] % 3 == 0 and c["id"] != t["id"]}
+    assert len(pairs) == len(dict(pairs)) and dict(pairs) == {k: v for k, v in expected.items() if v is not None}
+    assert {rank for _, (rank, _) in pairs} == {0, 1, 2, 3}

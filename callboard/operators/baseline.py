@@ -22,8 +22,11 @@ QUARTILES = (0.25, 0.5, 0.75)
 RESAMPLES = 2000
 LEAST_FOR_INTERVAL = 10
 #: Numbers that one block of resamples draws, and the resamples that it has at least.
-BLOCK_DRAWS = 1 << 26
+BLOCK_DRAWS = 1 << 30
 LEAST_OF_BLOCK = 32
+#: Outputs drawn at once, few enough to stay in a core's cache; standard deviations that a resample's quantile may lie off.
+CHUNK = 1 << 15
+DEVIATIONS = 6.0
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -141,7 +144,7 @@ def generator_states(seed: int, n: int, step: int, blocks: int):
             block = 1
         if block >= blocks:
             return
-        fits = (generator.random_raw(1 << 20) >> shift) < n
+        fits = generator.random_raw(1 << 18) < n << shift
         whole = int(np.count_nonzero(fits))
         if block * step < seen + whole:
             at = np.flatnonzero(fits)
@@ -151,6 +154,62 @@ def generator_states(seed: int, n: int, step: int, blocks: int):
         seen += whole
 
 
+def resampled_quantiles(begin, values, p: float, times: int):
+    """The quantile ``p`` of each of ``times`` resamples of ``values``, as ``np.quantile`` gives it, from the numbers of the
+    generator that ``begin`` makes.
+
+    A resample's quantile lies within a few deviations of that of all values.  So draws are counted that fall below
+    these, and only those among them are kept and sorted; if one does lie farther off, all is drawn again for twice the
+    deviations.
+    """
+    import numpy as np
+
+    n = len(values)
+    shift, low = 32 - n.bit_length(), int((n - 1) * p)
+    order = np.argsort(values, kind="stable")
+    ranks = np.empty(n, np.int32)
+    ranks[order] = np.arange(n, dtype=np.int32)
+    below, near, above, no_draw = range(4)
+    deviations = DEVIATIONS
+    while True:
+        width = deviations * (n * p * (1 - p)) ** 0.5 + 2
+        first, last = max(0, int(n * p - width)), min(n, int(n * p + width) + 1)
+        kinds = np.full(1 << n.bit_length(), no_draw, np.uint8)
+        kinds[order[:first]], kinds[order[first:last]], kinds[order[last:]] = below, near, above
+        generator, done, lower = begin(), 0, np.zeros(times, np.int64)
+        owners, found = [], []
+        while done < n * times:
+            drawn = (generator.random_raw(CHUNK) >> shift).view(np.int64)
+            kind = kinds.take(drawn, mode="clip")
+            fits, owner = int(np.count_nonzero(kind < no_draw)), done // n
+            if n < CHUNK:  # of many resamples
+                at = np.flatnonzero(kind < no_draw)[: n * times - done]
+                kind, each = kind[at], ((done + np.arange(len(at))) // n).astype(np.int32)
+                lower += np.bincount(each[kind == below], minlength=times)
+                here = np.flatnonzero(kind == near)
+                owners.append(each[here])
+                found.append(ranks[drawn[at[here]]])
+            else:  # of one or two
+                rest = (owner + 1) * n - done
+                end = CHUNK if fits < rest else int(np.flatnonzero(kind < no_draw)[rest - 1]) + 1
+                for who, part in ((owner, slice(end)), (owner + 1, slice(end, CHUNK))):
+                    if who < times:
+                        lower[who] += np.count_nonzero(kind[part] == below)
+                        kept = ranks[drawn[part][np.flatnonzero(kind[part] == near)]]
+                        owners.append(np.full(len(kept), who, np.int32))
+                        found.append(kept)
+            done += fits
+        owner, rank = np.concatenate(owners), np.concatenate(found)
+        counts, place = np.bincount(owner, minlength=times), low - lower
+        if ((place >= 0) & (place + 1 < counts)).all():
+            break
+        deviations *= 2
+    rank = rank[np.lexsort((rank, owner))]
+    place += np.cumsum(counts) - counts
+    ends = values[order[np.stack([rank[place], rank[place + 1]])]]
+    return np.quantile(ends, (n - 1) * p - low, axis=0)
+
+
 def bootstrap_intervals(df: DataFrame, metric: str, value: str, order: str, seed: str, resamples: int = RESAMPLES) -> DataFrame:
     """A percentile-bootstrap interval (0.025, 0.975) of each quartile of every metric.
 
@@ -183,18 +242,16 @@ def bootstrap_intervals(df: DataFrame, metric: str, value: str, order: str, seed
         for pdf in parts:
             for r in pdf.itertuples(index=False):
                 values, n, p = np.frombuffer(r.values_of, "<f8"), int(r.n), QUARTILES[r.quartile]
-                generator = np.random.MT19937()
-                generator.state = {"bit_generator": "MT19937", "state": {"key": np.frombuffer(r.key, "<u4").astype(np.uint32), "pos": int(r.place)}}
-                generator.random_raw(int(r.skip), output=False)
-                got, rest = [], np.zeros(0, np.int64)
-                for drawn in draws(generator, n, n * int(r.times)):
-                    rest = np.concatenate([rest, drawn])
-                    whole = len(rest) // n * n
-                    if whole:
-                        got.append(np.quantile(values[rest[:whole].reshape(-1, n)], p, axis=1))
-                    rest = rest[whole:]
+
+                def begin(r=r):
+                    generator = np.random.MT19937()
+                    generator.state = {"bit_generator": "MT19937", "state": {"key": np.frombuffer(r.key, "<u4").astype(np.uint32), "pos": int(r.place)}}
+                    generator.random_raw(int(r.skip), output=False)
+                    return generator
+
+                estimates = resampled_quantiles(begin, values, p, int(r.times))
                 exact = float(np.quantile(values, p)) if r.block == 0 else None
-                yield pd.DataFrame([(r.metric, n, r.quartile, exact, np.concatenate(got))], columns=["metric", "n", "quartile", "estimate", "estimates"])
+                yield pd.DataFrame([(r.metric, n, r.quartile, exact, estimates)], columns=["metric", "n", "quartile", "estimate", "estimates"])
 
     def interval(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -207,8 +264,8 @@ def bootstrap_intervals(df: DataFrame, metric: str, value: str, order: str, seed
     blocks = asked.mapInPandas(begun, "_metric string, n long, quartile int, block int, times int, key binary, place int, skip int")
     held = df.where(F.col(value).isNotNull()).select(F.col(metric).alias("_metric"), F.col(order).alias("_order"), F.col(value).cast("double").alias("_value"))
     arrays = held.groupBy("_metric").applyInPandas(packed, "_metric string, _values binary")
-    # Few bytes of blocks stand for much work, so their number of partitions is fixed.
-    dealt = blocks.join(arrays, "_metric").withColumnsRenamed({"_metric": "metric", "_values": "values_of"}).repartition(tasks, "metric", "quartile", "block")
+    # Few bytes of blocks stand for much work, so their number of partitions is fixed, and they are many, to even out.
+    dealt = blocks.join(arrays, "_metric").withColumnsRenamed({"_metric": "metric", "_values": "values_of"}).repartition(4 * tasks, "metric", "quartile", "block")
     parts = dealt.mapInPandas(resample, "metric string, n long, quartile int, estimate double, estimates array<double>")
     got = parts.groupBy("metric", "quartile").applyInPandas(interval, "metric_key string, n long, estimate double, low double, high double").withColumn("status", F.lit("computed"))
     none = F.lit(None).cast("double")

@@ -3,7 +3,10 @@
 import random
 from datetime import date
 
-from callboard.operators import catalog, resolve
+import numpy as np
+import pytest
+
+from callboard.operators import baseline, catalog, resolve
 
 
 def plan(df):
@@ -45,3 +48,14 @@ def test_pairs_are_told_once_and_not_gathered(spark, monkeypatch):
     expected = {(c["id"], t["id"]): best_match(c, t) for c in dicts for t in dicts if c["id"] % 3 == 0 and c["id"] != t["id"]}
     assert len(pairs) == len(dict(pairs)) and dict(pairs) == {k: v for k, v in expected.items() if v is not None}
     assert {rank for _, (rank, _) in pairs} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("n", (10, 11, 700, 40_000))
+@pytest.mark.parametrize("deviations", (6.0, 0.01))
+def test_resampled_quantiles_are_those_of_whole_resamples(monkeypatch, n, deviations):
+    monkeypatch.setattr(baseline, "DEVIATIONS", deviations)
+    times, values = 12, np.random.default_rng(n).integers(0, n // 3, n) / 7.0
+    drawn = np.concatenate(list(baseline.mersenne_draws(77, n, n * times))).reshape(times, n)
+    for p in baseline.QUARTILES:
+        got = baseline.resampled_quantiles(lambda: baseline.twister(77), values, p, times)
+        assert got.tolist() == np.quantile(values[drawn], p, axis=1).tolist()

@@ -5,6 +5,9 @@ Dictionaries are data: a table of units, of months, of theme patterns.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ UNITS = {"тыс": 1_000, "thousand": 1_000, "млн": 1_000_000, "миллио
 MONTHS = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
 MONEY = r"(\d{1,3}(?:[   ]\d{3})+|\d+)(?:[.,](\d{1,2}))?[   ]*(тыс|млн|миллион|млрд|миллиард|thousand|million|billion)?\p{L}*\.?[   ]*(?:руб|₽|rub)"
 WORD_DATE = r"(?i)(\d{1,2})\s+(" + "|".join(MONTHS) + r")(?:\s+(\d{4}))?"
+#: The same in letters of either case, so that no text has to be put into lower case.
+ANY_DATE = r"\d{1,2}\s+(?:" + "|".join("".join(f"[{c.upper()}{c}]" for c in m) for m in MONTHS) + r")(?:\s+\d{4})?"
 
 
 def amounts(text: Column) -> Column:
@@ -49,34 +54,48 @@ def funding_kind(text: Column) -> Column:
     )
 
 
-def word_dates(text: Column, fallback_year: Column) -> Column:
+def word_dates(text: Column, fallback_year: Column, blank: str = r"\s+") -> Column:
     """All dates written out in words, in order; a date without a year takes the fallback; dates
     that do not exist drop out."""
-    day, month, year = (F.regexp_extract_all(F.lower(text), F.lit(WORD_DATE), F.lit(k)) for k in (1, 2, 3))
+    return let(dates_told(text, blank), lambda told: days_of(told, fallback_year))
+
+
+def dates_told(text: Column, blank: str) -> Column:
+    """array<[day, month, year]> of the dates written out in words, as they are written, the year only where it is."""
+    return F.transform(F.regexp_extract_all(text, F.lit(ANY_DATE), F.lit(0)), lambda d: F.split(d, blank))
+
+
+def days_of(told: Column, fallback_year: Column) -> Column:
+    """The days of ``dates_told`` that exist."""
     number = F.create_map(*(F.lit(x) for k, m in enumerate(MONTHS, 1) for x in (m, k)))
 
-    def one(x: Column) -> Column:
-        y = F.coalesce(F.when(x["y"] != "", x["y"]).cast("int"), fallback_year)
-        return F.try_make_timestamp_ntz(y, F.element_at(number, x["m"]), x["d"].cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    def one(d: Column) -> Column:
+        month = F.coalesce(F.try_element_at(number, d[1]), F.try_element_at(number, F.lower(d[1])))
+        return F.try_make_timestamp_ntz(F.coalesce(F.get(d, F.lit(2)).cast("int"), fallback_year), month, d[0].cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
-    return F.filter(F.transform(F.arrays_zip(day.alias("d"), month.alias("m"), year.alias("y")), one), lambda d: d.isNotNull())
+    return F.filter(F.transform(told, one), lambda d: d.isNotNull())
 
 
-def period(text: Column, fallback_year: Column) -> Column:
+def period(text: Column, fallback_year: Column, blank: str = r"\s+") -> Column:
     """(start, end) of a window in text: its first and last date; one date is the end.  A day that shares
-    its month with the next one has it too, and a date without a year takes the last year named."""
+    its month with the next one has it too, and a date without a year takes the last year named.
+
+    ``blank`` is what parts words; a text known to have single blanks is read faster by one."""
     shared = r"(?iu)(\d{1,2})\s*(по|[-–—])\s*(\d{1,2}\s+(" + "|".join(MONTHS) + r")(\s+\d{4})?)"
-    named = lambda whole: F.filter(F.regexp_extract_all(F.lower(whole), F.lit(WORD_DATE), F.lit(3)), lambda y: y != "")
-    dates = lambda whole: word_dates(whole, F.coalesce(F.try_element_at(named(whole), F.lit(-1)).cast("int"), fallback_year))
+    last = lambda told: F.try_element_at(F.filter(F.transform(told, lambda d: F.get(d, F.lit(2))), lambda y: y.isNotNull()), F.lit(-1))
     ends = lambda d: F.struct(F.when(F.size(d) > 1, F.array_min(d)).alias("start_on"), F.array_max(d).alias("end_on"))
-    return let(F.regexp_replace(text, shared, "$1 $4$5 $2 $3"), lambda whole: let(dates(whole), ends))
+    return let(dates_told(F.regexp_replace(text, shared, "$1 $4$5 $2 $3"), blank), lambda told: let(days_of(told, F.coalesce(last(told).cast("int"), fallback_year)), ends))
 
 
 def timeline_kind(label: Column) -> Column:
     """The kind of a timeline event by stems of its label: what is said of evaluation, contracts,
     results and the work itself comes before what is said of applications."""
-    low = F.lower(label)
-    has = lambda *stems: F.coalesce(low.rlike("|".join(stems)), F.lit(False))
+    return kind_of(F.lower(label))
+
+
+def kind_of(low: Column) -> Column:
+    """``timeline_kind`` of a label in lower case."""
+    has = lambda *stems: F.coalesce(reduce(or_, (low.contains(s) for s in stems)), F.lit(False))
     begins, ends, takes = has("начал", "открыти"), has("окончани", "завершени"), has("прием", "приём", "подач") & has("заяв")
     return (
         F.when(has("экспертиз", "оценк", "рассмотрен"), "evaluation").when(has("договор", "контракт"), "contracting").when(has("результат", "победител", "итог"), "results")
@@ -85,9 +104,13 @@ def timeline_kind(label: Column) -> Column:
     )
 
 
-#: Words that open an entry of a schedule, and a cycle's number that may stand before one.
-STAGE = r"(?:начало|окончание|завершение|открытие|при[её]м|подача|экспертиза|оценка|рассмотрение|подведение|объявление|публикация|заключение|подписание|реализация|исполнение)"
-CYCLE = r"(?:[ivx]+|\d+(?:-й)?) (?:цикл|этап|очередь|волна)[:.—– -]*"
+#: Words that open an entry of a schedule, by their first letters, and a cycle's number that may stand before one.
+STAGE = r"(?:начало|о(?:кончание|ткрытие|ценка|бъявление)|за(?:вершение|ключение)|п(?:ри[её]м|од(?:ача|ведение|писание)|убликация)|экспертиза|р(?:ассмотрение|еализация)|исполнение)(?!\p{L})"
+CYCLE = r"(?:цикл|этап|очередь|волна)"
+NUMBERED = rf"(?:[ivx]+|\d+(?:-й)?) {CYCLE}"
+#: The character before an entry, its cycle, and what parts that from the entry; a cycle that five and more characters part from it
+#: is none.  The character is read, not looked back at from every place of the text.
+ENTRY = rf"([[^\p{{L}}\p{{N}}]\x{{10000}}-\x{{10FFFF}}])(?iu)(?:({NUMBERED})([:.—– -]{{0,4}})(?={STAGE})|{NUMBERED}[:.—– -]{{5,}}(?={STAGE})|(?={STAGE})(?<!{CYCLE}[:.—– -]{{0,4}}))"
 
 
 def schedule_events(text: Column, fallback_year: Column) -> Column:
@@ -98,43 +121,42 @@ def schedule_events(text: Column, fallback_year: Column) -> Column:
     stands before a colon or its first date, after its cycle, which holds for the entries after it until
     another is named.  An entry without dates drops out; one whose dates cannot be read stays, and says so.
     """
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    entries = F.split(flat, rf"(?iu)(?<![\p{{L}}\p{{N}}])(?={CYCLE}{STAGE}(?!\p{{L}}))|(?<![\p{{L}}\p{{N}}])(?<!(?:цикл|этап|очередь|волна)[:.—– -]{{0,4}})(?={STAGE}(?!\p{{L}}))")
-    opens = rf"(?iu)^(?:{CYCLE})?{STAGE}(?!\p{{L}})"
-
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s(?:\s+|(?<! ))", " "))
+    # Each entry becomes a line: cycle, what parts it from the entry, entry; a blank first, as an entry may open the text.  Lines and
+    # their parts are split at single characters, since split() compiles any other pattern for each row.
+    lines = F.split(F.regexp_replace(F.concat(F.lit(" "), flat), ENTRY, "$1\n$2\t$3\t"), "\n")
+    closed = lambda e: F.when(reduce(or_, (e.endswith(x) for x in "\x85\u2028\u2029")), F.regexp_replace(e, r"[ ;]+$", "")).otherwise(F.rtrim(e, F.lit(" ;")))
     # One step at a time, so that no expression is worked out twice.
-    found = F.transform(F.filter(entries, lambda e: e.rlike(opens)), lambda e: F.regexp_replace(e, r"[ ;]+$", ""))
-    found = F.transform(found, lambda e: F.struct(e.alias("evidence"), F.regexp_extract(e, rf"(?iu)^{CYCLE}", 0).alias("cycle"), F.regexp_replace(e, rf"(?iu)^{CYCLE}", "").alias("body")))
-    found = F.transform(found, lambda e: e.withField("at", F.instr(e["body"], ":")))
-    found = F.transform(
-        found,
-        lambda e: F.struct(
-            e["evidence"].alias("evidence"), F.nullif(F.regexp_replace(e["cycle"], r"[:.—– -]+$", ""), F.lit("")).alias("cycle"),
-            F.trim(F.when(e["at"] > 0, F.substring(e["body"], F.lit(1), e["at"] - 1)).otherwise(F.split(e["body"], WORD_DATE, 2)[0])).alias("before"),
-            F.when(e["at"] > 0, F.substring(e["body"], e["at"] + 1, F.char_length(e["body"]))).otherwise(e["body"]).alias("detail"),
-        ),
-    )
-    part = "struct<evidence:string,cycle:string,before:string,detail:string>"
-    start = F.struct(F.lit(None).cast("string").alias("cycle"), F.array().cast(f"array<{part}>").alias("all"))
-    found = F.aggregate(found, start, lambda s, e: F.struct(F.coalesce(e["cycle"], s["cycle"]).alias("cycle"), F.array_append(s["all"], e.withField("cycle", F.coalesce(e["cycle"], s["cycle"])).cast(part)).alias("all")), lambda s: s["all"])
-    found = F.transform(
-        found,
-        lambda e: F.struct(
-            F.concat_ws(" — ", e["cycle"], F.trim(F.regexp_replace(e["before"], r"(?iu)(?<!\p{L})(?:с|по|до|не позднее)$", ""))).alias("label"),
-            period(e["detail"], fallback_year).alias("dates"), e["evidence"].alias("evidence"), e["detail"].rlike(WORD_DATE).alias("dated"),
-        ),
-    )
-    found = F.transform(
+    found = F.filter(F.transform(lines, lambda e: F.split(closed(e), "\t")), lambda p: F.size(p) == 3)
+
+    def carried(f: Column) -> Column:
+        named = F.aggregate(f, F.array().cast("array<string>"), lambda s, p: F.array_append(s, F.when(p[0] != "", p[0]).otherwise(F.try_element_at(s, F.lit(-1)))))
+        cycles = F.when(F.exists(f, lambda p: p[0] != ""), named)
+        told = lambda c: F.transform(f, lambda p, k: F.struct(F.get(c, k).alias("cycle"), F.array_join(p, "").alias("evidence"), parts(p).alias("parts"), period(detail(parts(p)), fallback_year, " ").alias("dates")))
+        return let(cycles, told)
+
+    parts = lambda p: F.split(p[2], ":", 2)
+    detail = lambda parts: F.element_at(parts, -1)
+    # Only an entry without an end is asked whether it has a date that cannot be read.
+    found = F.filter(let(found, carried), lambda e: e["dates"]["end_on"].isNotNull() | detail(e["parts"]).rlike(WORD_DATE))
+
+    def label(e: Column) -> Column:
+        before = F.trim(F.when(F.size(e["parts"]) > 1, e["parts"][0]).otherwise(F.regexp_replace(e["parts"][0], f"(?s){WORD_DATE}.*", "")))
+        # The pattern is tried where the last character may end it.
+        may = lambda b: reduce(or_, (b.endswith(x) for x in "сСоОеЕ\u1c82\u1c83\x85\u2028\u2029"))
+        bare = lambda b: F.when(may(b), F.trim(F.regexp_replace(b, r"(?iu)(?<!\p{L})(?:с|по|до|не позднее)$", ""))).otherwise(b)
+        return F.concat_ws(" — ", e["cycle"], let(before, bare))
+
+    found = F.transform(found, lambda e: F.struct(label(e).alias("label"), e["dates"].alias("dates"), e["evidence"].alias("evidence")))
+    same = lambda a, b: a["dates"]["end_on"].eqNullSafe(b["dates"]["end_on"]) & a["dates"]["start_on"].eqNullSafe(b["dates"]["start_on"]) & (F.lower(a["label"]) == F.lower(b["label"]))
+    found = let(found, lambda f: F.filter(f, lambda e, k: ~F.exists(F.slice(f, 1, k), lambda x: same(x, e))))
+    return F.transform(
         found,
         lambda e: F.struct(
-            e["label"].alias("label"), timeline_kind(e["label"]).alias("kind"), e["dates"]["start_on"].alias("start_on"), e["dates"]["end_on"].alias("end_on"), e["evidence"].alias("evidence"),
-            (e["dates"]["end_on"].isNull() & e["dated"]).alias("date_error"),
+            e["label"].alias("label"), let(F.lower(e["label"]), kind_of).alias("kind"), e["dates"]["start_on"].alias("start_on"), e["dates"]["end_on"].alias("end_on"), e["evidence"].alias("evidence"),
+            e["dates"]["end_on"].isNull().alias("date_error"),
         ),
     )
-    same = lambda a, b: (F.lower(a["label"]) == F.lower(b["label"])) & a["start_on"].eqNullSafe(b["start_on"]) & a["end_on"].eqNullSafe(b["end_on"])
-    event = "struct<label:string,kind:string,start_on:date,end_on:date,evidence:string,date_error:boolean>"
-    none = F.array().cast(f"array<{event}>")
-    return F.aggregate(F.filter(found, lambda e: e["end_on"].isNotNull() | e["date_error"]), none, lambda kept, e: F.when(F.exists(kept, lambda k: same(k, e)), kept).otherwise(F.array_append(kept, e.cast(event))))
 
 
 #: Headings of a contest's whole fund, and how a sentence names it.

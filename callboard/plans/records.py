@@ -382,7 +382,10 @@ def schedule_events(t: Tables) -> DataFrame:
 
     last = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("2 этап Подведение итогов "), told(50))).otherwise(F.concat(F.lit("Подведение итогов: "), told(50), F.lit(" года")))
     text = F.concat(F.lit("График.  Приём заявок: с "), told(0), F.lit(" по "), told(30), F.lit("; Экспертиза до "), told(40), F.lit(" приём заявок: с "), told(0), F.lit(" по "), told(30), F.lit("; Оценка без даты; "), last)
-    return t.orders.select("o_orderkey", F.explode(parse.schedule_events(text, F.lit(1990))).alias("e")).select("o_orderkey", "e.label", "e.kind", "e.start_on", "e.end_on")
+    # Reading a text is long, its row is short: rows are dealt out, so that a file of few row groups keeps all cores busy.
+    orders = t.orders.select("o_orderkey", "o_orderdate").repartition(4 * t.spark.sparkContext.defaultParallelism)
+    texts = orders.select("o_orderkey", text.alias("text"))
+    return texts.select("o_orderkey", F.explode(parse.schedule_events(F.col("text"), F.lit(1990))).alias("e")).select("o_orderkey", "e.label", "e.kind", "e.start_on", "e.end_on")
 
 
 #: A title, a text and the class they make, each branch and its near misses.

@@ -6,8 +6,12 @@ from datetime import date
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from callboard.functions import parse
 from callboard.operators import baseline, catalog, drafts, resolve
+from callboard.plans import records  # noqa: F401  registers queries of its own
+from callboard.plans.queries import QUERIES
 
 
 def plan(df):
@@ -88,3 +92,24 @@ def test_preview_reads_a_record_once_and_tells_what_build_holds(spark):
     assert sorted((x["candidate_id"], x["dimension"], x["slug"], x["name"]) for x in tables["taxonomy"]) == [
         (0, "themes", "a", "A"), (0, "themes", "a", "B"), (0, "themes", "b", "b"), (1, "geographies", "russia", "Россия"), (2, "geographies", "north", "north"),
     ]
+
+
+def test_schedules_compile_no_pattern_for_each_row(spark, sf, monkeypatch):
+    """split() compiles a pattern of several characters whenever it is called; a text is built once, before it is read."""
+    patterns, split = [], F.split
+    monkeypatch.setattr(F, "split", lambda text, pattern, *limit: patterns.append(pattern) or split(text, pattern, *limit))
+    read = parse.schedule_events(F.col("t"), F.lit(2020))
+    assert patterns and all(len(p) == 1 for p in patterns)
+    steps = plan(QUERIES["schedule_events"](spark, sf))
+    (generate,) = [x for x in steps.splitlines() if "Generate explode" in x]
+    assert "o_orderdate" not in generate and "RoundRobinPartitioning" in steps
+
+    texts = {
+        "2 этап ----- Приём 5 мая 2024; Экспертиза: 6-8 мая 2024": [("Приём", None, "2024-05-05", "Приём 5 мая 2024"), ("Экспертиза", "2024-05-06", "2024-05-08", "Экспертиза: 6-8 мая 2024")],
+        "(ПРИЁМ: с 1 по 3 МАЯ; iv волна: Оценка до 7 июня 2023 ;\u2028 приём с 1 мая 2023 по 3 мая;": [
+            ("ПРИЁМ", "2020-05-01", "2020-05-03", "ПРИЁМ: с 1 по 3 МАЯ"), ("iv волна — Оценка", None, "2023-06-07", "iv волна: Оценка до 7 июня 2023 ;\u2028"), ("iv волна — приём", "2023-05-01", "2023-05-03", "приём с 1 мая 2023 по 3 мая"),
+        ],
+        "Приём: 1 мая; приём: 1 мая; Оценка 31 июня": [("Приём", None, "2020-05-01", "Приём: 1 мая"), ("Оценка", None, "None", "Оценка 31 июня")],
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", read.alias("e")).collect()
+    assert {r.t: [(e.label, e.start_on and str(e.start_on), str(e.end_on), e.evidence) for e in r.e] for r in rows} == texts
